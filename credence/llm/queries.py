@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
-from .common import table
+from . import bpe, langid, packing, simhash
+from .common import crc_mod, table
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    langs, logp = langid.train(docs.where(~held_out), vocabulary)
+    found = langid.predict(docs, langs, logp, vocabulary)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -26,7 +35,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing}
+    return {"op5_simhash": op5_simhash, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
