@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from array import array
 from itertools import count
 
 import numpy as np
@@ -76,12 +78,22 @@ def tokenizer(path: str):
     return found
 
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+#: Runs of letters, with a space before if there is one, and what stands between.
+RUNS = re.compile(rf" ?[{_LETTERS}]+|(?:(?! ?[{_LETTERS}]).)+", re.DOTALL)
+
+#: With an apostrophe, a character beyond these, or white space before other white space than a space,
+#: the pattern's matches may cross the ends of such runs.
+CROSSING = re.compile(rf"[^\n\x20-\x26\x28-\x7e{_LETTERS}]|\s\n")
+
+
 class CachedEncoder:
-    """Token ids, as bytes of little-endian unsigned 32-bit integers, word by word.
+    """Token ids, as bytes of little-endian unsigned 32-bit integers, part by part.
 
-    A text is cut at safe boundaries (a single space between two other characters): pre-tokens never
-    cross one, so the ids of the parts on end are the ids of the text. Parts seen before come from a
-    bounded memory, the others go to the tokenizer in one call.
+    A text is cut where no pre-token crosses: at the ends of RUNS, or, if CROSSING finds anything, at safe
+    boundaries (a single space between two other characters). So the ids of the parts on end are the ids of
+    the text. Parts seen before come from a bounded memory, the others go to the tokenizer in one call.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -92,16 +104,34 @@ class CachedEncoder:
             self.known = {}
         known, parts = self.known, []
         for t in texts:
-            found = SAFE_CUT.split(t)
-            found[0] = "\n" + found[0]  # no later part starts with white space
+            if CROSSING.search(t):
+                found = SAFE_CUT.split(t)
+                found[1:] = [" " + p for p in found[1:]]
+            else:
+                found = RUNS.findall(t)
             parts.append(found)
-        new = list({p for found in parts for p in found if p not in known})
+        new = {p for found in parts for p in found if p not in known}
         if new:
-            got = tokenizer(self.path).encode_batch_fast([p[1:] if p[:1] == "\n" else " " + p for p in new], add_special_tokens=False)
-            for p, e in zip(new, got, strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
+            plain = [p for p in new if p.isalpha() or p[:1] == " " and p[1:].isalpha()]
+            known.update(self._runs([p for p in plain if p[0] == " "]))
+            other = [p for p in new if p not in known]
+            for p, e in zip(other, tokenizer(self.path).encode_batch_fast(other, add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
         return [b"".join([known[p] for p in found]) for found in parts]
 
+    def _runs(self, words: list[str], size: int = 256):
+        """(word, ids) of words, a space and letters each: encoded on end, each is a pre-token of its own."""
+        groups = [words[a : a + size] for a in range(0, len(words), size)]
+        for group, e in zip(groups, tokenizer(self.path).encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids, of = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
+            ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of))
+            if len(ends) != len(group):
+                raise ValueError("a word is no pre-token of its own")
+            start, data = 0, ids.tobytes()
+            for word, end in zip(group, (4 * ends).tolist(), strict=True):
+                yield word, data[start:end]
+                start = end
+
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: all full but perhaps the first."""
