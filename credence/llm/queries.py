@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, ngram, packing, quality, simhash
+from . import bpe, langid, licenses, minhash, ngram, packing, quality, simhash
 from .common import crc_mod, table
 
 
@@ -26,6 +26,10 @@ def op3_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compared(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -53,7 +57,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op5_simhash": op5_simhash, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses}
+    return {"op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op4_minhash": op4_minhash, "op5_simhash": op5_simhash, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
