@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, minhash, ngram, packing, quality, simhash
+from . import ann, bpe, htmltext, langid, licenses, minhash, ngram, packing, quality, simhash
 from .common import crc_mod, table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.scored(docs, *quality.train(docs, table(spark, sf_dir, "labels")))
@@ -35,6 +39,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extracted(pages, htmltext.learn(pages))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -57,7 +66,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op4_minhash": op4_minhash, "op5_simhash": op5_simhash, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses}
+    return {"op1_ann": op1_ann, "op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op4_minhash": op4_minhash, "op5_simhash": op5_simhash, "op6_html_text": op6_html_text, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
