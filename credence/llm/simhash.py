@@ -118,7 +118,7 @@ def _compare(distance: int, most: int):
             at = at[left[at] > d]
             if not len(at):
                 break
-            close = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= distance]
+            close = at[np.bitwise_count((fp[at] ^ fp[at + d]).view(np.uint64)) <= distance]
             xs.append(fp[close])
             ys.append(fp[close + d])
         a, b = _forest(np.concatenate([*xs, fp[:0]]), np.concatenate([*ys, fp[:0]]))
