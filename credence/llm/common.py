@@ -44,6 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare_name(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of doc_id as text, modulo n; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -37,8 +37,14 @@ _SPACES = re.compile(r"\s+")
 #: Pages that the weights are learned from, at most (about: they are drawn by a hash of page_id).
 SAMPLE_PAGES = 2000
 
-#: Fixed values. Weights where no page is labelled: of a word, a tag, and a word of a link.
-PLAIN = {"word": 1.0, "linked": -0.6, "tag": -3.0}
+#: Fixed values. Elements that carry running text.
+FLOW = ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ol", "ul", "blockquote", "pre", "dl", "dt", "dd", "table", "tbody", "tr", "td", "th", "figure", "hr", "img")
+
+#: Fixed values. Weights where no page is labelled: of a word, a word of a link, a tag, and tags of running text and inside lines.
+PLAIN = {"word": 1.0, "linked": -0.6, "tag": -3.0} | {f"<{x}": -0.4 for x in FLOW} | {f"<{x}": -0.1 for x in INLINE}
+
+#: Share of a tag's weight that counts inside labelled content, and of a word's weight that counts there at least.
+LABELLED_TAG, LABELLED_WORD = 0.1, 0.5
 
 
 def named_aside(attributes: str) -> bool:
@@ -117,7 +123,7 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
         elif name == "linked":
             made[name] = min(max(odds, -2.0), 0.3)
         else:
-            made[name] = min(max(odds - 1.0, -6.0), -0.2)
+            made[name] = min(max(odds, -6.0), PLAIN.get(name, -1.0))
     return made
 
 
@@ -153,21 +159,22 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
 def extract(page: str | None, weights: dict[str, float] = PLAIN) -> str:
     """A page's main text: the region of the largest score, without what is no article inside it.
 
-    Words score above 0 and tags below; what stands in menus, forms, notices and the like scores as a tag does.
-    A page without positive region has no text.
+    Words score above 0 and tags below. What is no article costs its first tag only: it may stand inside the
+    region, but its text never counts. A page without positive region has no text.
     """
     tokens = parsed(page or "")
-    links, scores = 0, np.zeros(len(tokens))
+    links, scores, before = 0, np.zeros(len(tokens)), False
     for k, (kind, name, aside, mark) in enumerate(tokens):
         links += (kind == "start") - (kind == "end") if name == "a" and kind != "text" else 0
-        if kind == "text":
-            n = len(name.split())
+        labelled = mark in ("article", "main")
+        if aside:
+            scores[k] = 0 if before else weights["tag"] * (LABELLED_TAG if labelled else 1)
+        elif kind == "text":
             w = weights["linked"] if links > 0 else weights["word"]
-            scores[k] = -abs(weights["word"]) * n if aside else w * n
+            scores[k] = len(name.split()) * (max(w, LABELLED_WORD * weights["word"]) if labelled else w)
         else:
-            scores[k] = weights.get(f"<{name}", weights["tag"]) * (2 if aside else 1)
-        if mark in ("article", "main") and not aside and kind == "text":
-            scores[k] = max(scores[k], 0.1 * n)
+            scores[k] = weights.get(f"<{name}", weights["tag"]) * (LABELLED_TAG if labelled else 1)
+        before = aside
     a, b = best_region(scores)
     blocks, held = [], []
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, map_texts, written
+from .common import Words, map_texts, spare_name, written
 from .components import components
 
 SHINGLE = 3
@@ -74,16 +74,18 @@ def cells_near(fp, segments: int = SEGMENTS):
     """
     width = 64 // segments
     bits = width.bit_length()
+    if segments * bits > 63 or segments * width != 64:
+        raise ValueError("segments must divide 64 and their counts fit a long: 1, 2, 4, 8 or 16")
     counts = [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))).cast("long") for i in range(segments)]
     packed = counts[0]
     for i in range(1, segments):
         packed = packed + F.shiftleft(counts[i], i * bits)
     field = lambda point, i: F.shiftrightunsigned(point, i * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    signed = lambda i: F.lit((1 << (i * bits)) - ((1 << 64) if i * bits == 63 else 0)).cast("long")
+    step = lambda i: F.lit(1 << (i * bits)).cast("long")
     return packed, lambda point: [
         point,
-        *[F.when(field(point, i) > 0, point - signed(i)) for i in range(segments)],
-        *[F.when(field(point, i) < width, point + signed(i)) for i in range(segments)],
+        *[F.when(field(point, i) > 0, point - step(i)) for i in range(segments)],
+        *[F.when(field(point, i) < width, point + step(i)) for i in range(segments)],
     ]
 
 
@@ -209,6 +211,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return found
     again = written(again, "simhash-repeated")
     most = found.join(again, "doc_id", "left_anti")
+    nth = spare_name(docs, "nth")
     order = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    few = found.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    few = found.join(again, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
     return most.unionByName(few.select(*most.columns))
