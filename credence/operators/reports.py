@@ -89,8 +89,8 @@ def percentiles(rows: DataFrame, value: str, ps: tuple[float, ...], by: list[str
 def pearson(rows: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """n and Pearson's r; NULL for fewer than two pairs or no variance."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    got = both.groupBy(*by).agg(F.count("*").alias("n"), F.var_pop(x).alias("_x"), F.var_pop(y).alias("_y"), F.corr(x, y).alias("_r"))
-    return got.select(*by, "n", F.when((F.col("n") > 1) & (F.col("_x") > 0) & (F.col("_y") > 0), F.round("_r", 6)).alias("r"))
+    got = both.groupBy(*by).agg(F.count("*").alias("n"), F.var_pop(x).alias("_x"), F.var_pop(y).alias("_y"), F.covar_pop(x, y).alias("_c"))
+    return got.select(*by, "n", F.when(F.col("n") > 1, F.round(F.try_divide(F.col("_c"), F.sqrt("_x") * F.sqrt("_y")), 6)).alias("r"))
 
 
 def label_distribution(tokens: DataFrame, by: str, samples: list[str]) -> DataFrame:

@@ -60,7 +60,7 @@ def greedy(rows: DataFrame, key: str, ratios: tuple[float, ...], names: tuple[st
     """Groups (key, n, n_correct) dealt one after the other to the split that then deviates least.
 
     Order: n, then distance of the group's correct rate from the overall one, both from high to low, then key. Deviation:
-    candidates, correct ones and groups against their targets, weighted. Each step needs the last one's totals, so
+    candidates, correct ones and groups against their targets, as squared shares, weighted. Each step needs the last one's totals, so
     it is one sequential pass. Groups of equal (n, n_correct) are alike: the driver deals kinds, each a count,
     and the groups of a kind are then taken in hashed order; so what it holds is kinds, not groups.
     """
@@ -74,7 +74,7 @@ def greedy(rows: DataFrame, key: str, ratios: tuple[float, ...], names: tuple[st
     quota: dict[tuple[int, int], list[int]] = {}
 
     def cost(s: int, add: tuple[float, float, float]) -> float:
-        return sum(w * (abs(now[s][i] + add[i] - target[s][i]) - abs(now[s][i] - target[s][i])) / max(1.0, (total, right, count)[i]) for i, w in enumerate(weights))
+        return sum(w * ((now[s][i] + add[i] - target[s][i]) ** 2 - (now[s][i] - target[s][i]) ** 2) / max(1.0, (total, right, count)[i]) ** 2 for i, w in enumerate(weights))
 
     for r in sorted(kinds, key=lambda r: (-r["n"], -abs((r["n_correct"] / r["n"] if r["n"] else 0) - rate), r["n_correct"])):
         dealt, left = [0] * len(ratios), r["groups"]
