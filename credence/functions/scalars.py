@@ -259,3 +259,32 @@ def resolved_specifiers(specifiers: list, n: Column, start: Column, end: Column)
 def specifier_name(spec: Column) -> Column:
     """A specifier as part of a file's name."""
     return F.when(spec.startswith("-"), F.concat(F.lit("m"), F.substring(spec, 2, 32))).otherwise(spec)
+
+
+def valid_range(start: Column, end: Column) -> Column:
+    """STRUCT(start, end) if both are integers and 0 <= start <= end, else NULL."""
+    a, b = start.try_cast("int"), end.try_cast("int")
+    return F.when((a >= 0) & (a <= b), F.struct(a.alias("start"), b.alias("end")))
+
+
+def token_slice(ids: Column, start: Column, end: Column, offset: Column) -> Column:
+    """Ids from start to end, inclusive, of a candidate whose ids begin after `offset` prompt ids."""
+    return F.slice(ids, (start + offset + 1).cast("int"), F.greatest(end - start + 1, F.lit(0)).cast("int"))
+
+
+def shifted(values: Column, pos: Column) -> Column:
+    """The value that predicts position pos: the one before it, the first for position 0."""
+    return F.get(values, F.greatest(pos - 1, F.lit(0)).cast("int"))
+
+
+#: Fixed values. What stands for a missing program and a missing fix.
+NO_PROGRAM, NO_FIX = "<no_program>", "<no_fix>"
+
+
+def annotation_tokens(raw: Column) -> Column:
+    """ARRAY<STRUCT(text, label, line)> from JSON of one candidate in either layout: objects, or [text, label, line] lists,
+    bare or under `tokens`."""
+    v = F.try_parse_json(raw)
+    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.tokens", "array<variant>"))
+    pick = lambda x, name, i, kind: F.coalesce(F.try_variant_get(x, f"$.{name}", kind), F.try_variant_get(x, f"$[{i}]", kind))
+    return F.transform(items, lambda x: F.struct(F.coalesce(pick(x, "token_text", 0, "string"), pick(x, "text", 0, "string")).alias("text"), pick(x, "label", 1, "boolean").alias("label"), F.coalesce(pick(x, "line", 2, "int"), F.lit(-1)).alias("line")))

@@ -98,3 +98,39 @@ def padded(seq: Column, to: Column, zero: Column) -> Column:
 
 def missing_layers(requested: list[int], available: Column) -> Column:
     return F.array_except(F.array(*[F.lit(x) for x in sorted(set(requested))]), available)
+
+
+def role_positions(vectors: DataFrame, keys: list[str], requested: int | None = None) -> DataFrame:
+    """Stored positions by role. Without a request all, named first, (second, second_last,) last in candidates of 2 to 4
+    positions and by number in others. A negative request counts from the end; -2 and -3 only where 3 or 4 are stored."""
+    w = W.partitionBy(*keys)
+    at = vectors.withColumn("_i", F.row_number().over(w.orderBy("pos"))).withColumn("_n", F.count("*").over(w))
+    named = F.when(~F.col("_n").between(2, 4), F.col("pos").cast("string")).when(F.col("_i") == 1, "first").when(F.col("_i") == F.col("_n"), "last").when(F.col("_i") == F.col("_n") - 1, "second_last").otherwise("second")
+    rows = at.withColumn("role", named)
+    if requested is None:
+        return rows.drop("_i", "_n")
+    if requested >= 0:
+        return rows.where(F.col("pos") == requested).drop("_i", "_n")
+    ok = F.col("_i") == F.col("_n") + requested + 1
+    return rows.where(ok & F.col("_n").isin(3, 4) if requested in (-2, -3) else ok).drop("_i", "_n")
+
+
+def inferred_layers(requested: list[int], declared: list[int], vectors: DataFrame) -> list[int]:
+    """Layers asked for, else those the payload declares, else those that occur: a few numbers, in order."""
+    return list(requested or declared) or sorted(r["layer"] for r in vectors.select("layer").distinct().collect())
+
+
+def three_way(is_correct: Column) -> Column:
+    """correct, incorrect or unknown."""
+    return F.when(is_correct.isNull(), "unknown").when(is_correct, "correct").otherwise("incorrect")
+
+
+def subsample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """n rows without replacement, by a hash of seed and key."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
+
+
+def decoded(token_ids: DataFrame, vocabulary: DataFrame, special: list[int]) -> DataFrame:
+    """Tokens (…, token_id) with their piece: empty for special ones, NULL for unknown ones."""
+    joined = token_ids.join(vocabulary.select("token_id", "piece"), "token_id", "left")
+    return joined.withColumn("piece", F.when(F.col("token_id").isin(special), "").otherwise(F.col("piece")))

@@ -76,3 +76,22 @@ def audit(rows: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     for name, condition in reversed(reasons.items()):
         reason = F.when(condition, F.lit(name)).otherwise(reason)
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def label_counts(tokens: DataFrame, mapped: DataFrame, keys: list[str]) -> DataFrame:
+    """Per candidate true and false labels of tokens that are not masked; of the lines of its map where no token has a label."""
+    own = tokens.where(~F.col("ws_comment") & F.col("tok_is_correct").isNotNull()).groupBy(*keys).agg(F.count_if("tok_is_correct").alias("_t"), F.count_if(~F.col("tok_is_correct")).alias("_f"))
+    other = mapped.groupBy(*keys).agg(F.count_if("line_is_clean").alias("_lt"), F.count_if(~F.col("line_is_clean")).alias("_lf"))
+    both = own.join(other, keys, "full")
+    tok = F.col("_t").isNotNull()
+    return both.select(*keys, F.when(tok, F.col("_t")).otherwise(F.col("_lt")).alias("n_true"), F.when(tok, F.col("_f")).otherwise(F.col("_lf")).alias("n_false"), F.when(tok, "tokens").otherwise("lines").alias("level"))
+
+
+def largest_groups(tokens: DataFrame, by: str, n: int = 5) -> DataFrame:
+    """The n values of `by` with most tokens (ties in their order)."""
+    return tokens.groupBy(by).agg(F.count("*").alias("tokens")).orderBy(F.desc("tokens"), by).limit(n)
+
+
+def at_positions(labelled: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Labels (keys, tok_idx, code_start) joined to features (keys, pos) at pos = code_start + tok_idx."""
+    return labelled.withColumn("pos", F.col("code_start") + F.col("tok_idx")).join(stored, [*keys, "pos"])

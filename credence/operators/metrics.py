@@ -190,3 +190,22 @@ def expected_random_hit(lines: DataFrame, ks: tuple[int, ...] = (1, 2, 3)) -> Da
     got = each.agg(*[F.avg(1 - missed(k)).alias(f"x{k}") for k in ks])
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(f"x{k}"), 9).alias("expected")) for k in ks])
     return got.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def evaluation(df: DataFrame, y: Column, p: Column, threshold: float = 0.5, by: list[str] = ()) -> DataFrame:
+    """n, mean log-loss over rows (probabilities cut to 1e-7 .. 1 - 1e-7), accuracy and F1 in one pass."""
+    q = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
+    hit = p >= F.lit(threshold)
+    got = df.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.avg(F.when(y, -F.ln(q)).otherwise(-F.ln(1 - q))).alias("_loss"),
+        _int(F.count_if(hit & y)).alias("_tp"),
+        _int(F.count_if(hit & ~y)).alias("_fp"),
+        _int(F.count_if(~hit & y)).alias("_fn"),
+    )
+    return got.select(*by, "n", F.round("_loss", 6).alias("log_loss"), F.round(F.try_divide((F.col("n") - F.col("_fp") - F.col("_fn")).cast("double"), F.col("n")), 9).alias("accuracy"), F.round(f1(F.col("_tp"), F.col("_fp"), F.col("_fn")), 9).alias("f1"))
+
+
+def selection_score(auc: Column, otherwise: Column) -> Column:
+    """What models are chosen by: AUC, or another metric where that is undefined."""
+    return F.coalesce(F.nanvl(auc, F.lit(None).cast("double")), otherwise)

@@ -56,3 +56,16 @@ def in_two_dimensions(rows: DataFrame, keys: list[str]) -> DataFrame:
     x = rows.select(*keys, array_to_vector(normalised(F.col("vec"))).alias("x"))
     got = PCA(k=2, inputCol="x", outputCol="p").fit(x).transform(x).withColumn("p", vector_to_array("p"))
     return got.select(*keys, F.get("p", F.lit(0)).alias("px"), F.get("p", F.lit(1)).alias("py"))
+
+
+def saved(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def loaded(kind, path: str, needs: tuple[str, ...] = ("featuresCol", "labelCol")):
+    """A stored model of a class; a file that lacks a needed parameter fails."""
+    model = kind.load(path)
+    for name in needs:
+        if not model.hasParam(name):
+            raise ValueError(f"{path} has no {name}")
+    return model

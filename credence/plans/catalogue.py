@@ -567,6 +567,96 @@ def middle_truncation(spark, sf):
     return views.table(spark, sf, "conversations").select("conv_id", "turn", scalars.shortened(F.col("text"), 20).alias("short"))
 
 
+# Further operators on the same views.
+
+
+@query(f"""WITH c AS (SELECT line, count(*) AS n, avg(CASE WHEN wrong THEN -ln(least(greatest(score, 1e-7), 1 - 1e-7)) ELSE -ln(1 - least(greatest(score, 1e-7), 1 - 1e-7)) END) AS l, count(*) FILTER (WHERE score >= 0.5 AND wrong) AS tp, count(*) FILTER (WHERE score >= 0.5 AND NOT wrong) AS fp, count(*) FILTER (WHERE score < 0.5 AND wrong) AS fn FROM ({TOKENS}) GROUP BY line)
+SELECT line, n, round(l, 6) AS log_loss, round((n - fp - fn) / CAST(n AS DOUBLE), 9) AS accuracy, {f1_sql()} AS f1 FROM c""")
+def evaluation_metrics(spark, sf):
+    return metrics.evaluation(views.tokens(spark, sf), ~F.col("tok_is_correct"), F.col("score"), by=["line"])
+
+
+@query(f"""WITH t AS (SELECT sample, count(*) FILTER (WHERE NOT wrong) AS a, count(*) FILTER (WHERE wrong) AS b FROM ({TOKENS}) WHERE NOT masked AND sample % 4 <> 0 GROUP BY sample),
+m AS (SELECT sample, line, NOT bool_or(wrong AND NOT masked) AS clean FROM ({TOKENS}) GROUP BY sample, line), l AS (SELECT sample, count(*) FILTER (WHERE clean) AS a, count(*) FILTER (WHERE NOT clean) AS b FROM m GROUP BY sample)
+SELECT l.sample, coalesce(t.a, l.a) AS n_true, coalesce(t.b, l.b) AS n_false, CASE WHEN t.a IS NULL THEN 'lines' ELSE 'tokens' END AS level FROM l LEFT JOIN t ON l.sample = t.sample""")
+def label_counts_fallback(spark, sf):
+    t = views.tokens(spark, sf)
+    return labels.label_counts(t.where("sample % 4 <> 0"), labels.line_error_map(t, ["sample"]), ["sample"])
+
+
+@query("SELECT l_shipdate_year AS year, count(*) AS tokens FROM (SELECT year(l_shipdate) AS l_shipdate_year FROM lineitem) GROUP BY 1 ORDER BY tokens DESC, year LIMIT 3")
+def largest_groups(spark, sf):
+    rows = views.table(spark, sf, "lineitem").select(F.year("l_shipdate").cast("bigint").alias("year"))
+    return labels.largest_groups(rows, "year", 3)
+
+
+@query("""WITH v AS (SELECT vec_id, layer AS pos, 1 + vec_id % 4 AS n, row_number() OVER (PARTITION BY vec_id ORDER BY layer) AS i FROM embeddings, range(4) t(layer) WHERE layer <= vec_id % 4)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, CASE WHEN n NOT BETWEEN 2 AND 4 THEN CAST(pos AS VARCHAR) WHEN i = 1 THEN 'first' WHEN i = n THEN 'last' WHEN i = n - 1 THEN 'second_last' ELSE 'second' END AS role FROM v""")
+def role_positions(spark, sf):
+    rows = views.vectors(spark, sf).where("pos <= vec_id % 4")
+    return features.role_positions(rows, ["vec_id"]).select("vec_id", "pos", "role")
+
+
+@query("SELECT vec_id FROM embeddings ORDER BY md5('sub|' || vec_id), vec_id LIMIT 50")
+def random_subsample(spark, sf):
+    return features.subsample(views.table(spark, sf, "embeddings").select("vec_id"), "vec_id", 50, "sub")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
+def three_way_labels(spark, sf):
+    return views.responses(spark, sf).select("doc_id", features.three_way(F.col("is_correct")).alias("verdict"))
+
+
+@query(f"""WITH s AS ({SCORES}), l AS (SELECT "user", unnest([0, 1, 2]) AS tok_idx, min(pos) + 1 AS code_start FROM s GROUP BY "user") SELECT l."user", tok_idx, code_start + tok_idx AS pos, score FROM l JOIN s ON l."user" = s."user" AND s.pos = code_start + tok_idx""")
+def label_feature_by_position(spark, sf):
+    s = views.scores(spark, sf)
+    starts = s.groupBy("user").agg((F.min("pos") + 1).alias("code_start"))
+    labelled = starts.select("user", "code_start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tok_idx"))
+    return labels.at_positions(labelled, s.select("user", "pos", "score"), ["user"]).select("user", "tok_idx", "pos", "score")
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) WHERE i >= 20 AND i < 50")
+def row_window_relative(spark, sf):
+    return selection.row_window(views.table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 20, 30)
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) WHERE i >= 20 AND i < 30")
+def row_window_absolute(spark, sf):
+    return selection.row_window(views.table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 20, 30, absolute=True)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 7 <= o_orderkey % 11 THEN CAST(o_orderkey % 11 - o_custkey % 7 AS INTEGER) ELSE -1 END AS width FROM orders")
+def code_range_valid(spark, sf):
+    span = scalars.valid_range((F.col("o_custkey") % 7).cast("string"), (F.col("o_orderkey") % 11).cast("string"))
+    return views.table(spark, sf, "orders").select("o_orderkey", F.coalesce(span["end"] - span["start"], F.lit(-1)).alias("width"))
+
+
+@query("SELECT vec_id, embedding[1 + greatest(vec_id % 64 - 1, 0)] AS logit FROM embeddings")
+def shifted_gather(spark, sf):
+    return views.table(spark, sf, "embeddings").select("vec_id", scalars.shifted(F.col("embedding"), F.col("vec_id") % 64).alias("logit"))
+
+
+@query("SELECT role, CASE WHEN role IN ('val', 'valid', 'validation', 'dev') THEN 'validation' WHEN role IN ('train', 'training') THEN 'train' WHEN role IN ('test', 'testing') THEN 'test' ELSE role END AS split, n FROM (SELECT CASE CAST(turn % 4 AS INTEGER) WHEN 0 THEN 'val' WHEN 1 THEN 'training' WHEN 2 THEN 'test' ELSE role END AS role, count(*) AS n FROM conversations GROUP BY 1)")
+def canonical_splits(spark, sf):
+    raw = F.when(F.col("turn") % 4 == 0, "val").when(F.col("turn") % 4 == 1, "training").when(F.col("turn") % 4 == 2, "test").otherwise(F.col("role"))
+    rows = views.table(spark, sf, "conversations").groupBy(raw.alias("role")).agg(F.count("*").alias("n"))
+    return rows.select("role", scalars.canonical_split(F.col("role")).alias("split"), "n")
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS same FROM orders")
+def graded_output(spark, sf):
+    k = F.col("o_orderkey")
+    want = F.concat(k.cast("string"), F.lit(".50 x\nlast"))
+    got = F.concat(k.cast("string"), F.when(k % 3 == 0, F.lit(".50 x \n last ")).otherwise(F.lit(".5 y\nlast")))
+    return views.table(spark, sf, "orders").select("o_orderkey", scalars.same_output(want, got).alias("same"))
+
+
+@query("SELECT o_custkey, bool_and(o_orderstatus = 'F') AS verdict FROM orders GROUP BY o_custkey")
+def candidate_verdict(spark, sf):
+    rows = views.table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderstatus") == "F").alias("r"))
+    return rows.select("o_custkey", outcomes.verdict(F.col("r")).alias("verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -316,3 +316,42 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = stream.line_maps(readers.json_lines(spark, str(tmp_path / "in")))
     assert sorted(map(tuple, spark.table("maps").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_further_scalars(spark):
+    row = spark.createDataFrame([([10, 11, 12, 13, 14], '[{"token_text": "a", "label": true, "line": 2}]', '{"tokens": [["b", false]]}', "x")], "v array<int>, a string, b string, c string")
+    got = row.select(
+        scalars.token_slice(F.col("v"), F.lit(1), F.lit(2), F.lit(1)).alias("s"), scalars.shifted(F.col("v"), F.lit(0)).alias("h0"), scalars.shifted(F.col("v"), F.lit(3)).alias("h3"),
+        scalars.valid_range(F.lit("3"), F.lit("2")).alias("r"), *[scalars.annotation_tokens(F.col(c)).alias(f"t{c}") for c in "abc"],
+    ).first()
+    assert got["s"] == [12, 13] and (got["h0"], got["h3"], got["r"]) == (10, 12, None)
+    assert [tuple(x) for x in got["ta"]] == [("a", True, 2)] and [tuple(x) for x in got["tb"]] == [("b", False, -1)] and got["tc"] is None
+    assert one(row.select(metrics.selection_score(F.lit(float("nan")), F.lit(0.4)).alias("x")))["x"] == 0.4
+
+
+def test_roles_and_layers(spark):
+    rows = spark.createDataFrame([(1, 3, p) for p in (0, 4, 9)] + [(2, 3, p) for p in range(5)], "c int, layer int, pos int")
+    assert sorted((r["pos"], r["role"]) for r in features.role_positions(rows.where("c = 1"), ["c"]).collect()) == [(0, "first"), (4, "second_last"), (9, "last")]
+    assert sorted((r["c"], r["pos"]) for r in features.role_positions(rows, ["c"], -2).collect()) == [(1, 4)]
+    assert sorted((r["c"], r["pos"]) for r in features.role_positions(rows, ["c"], -1).collect()) == [(1, 9), (2, 4)]
+    assert features.inferred_layers([], [], rows) == [3] and features.inferred_layers([7], [1], rows) == [7]
+    pieces = spark.createDataFrame([(1, "a"), (2, "<end>")], "token_id int, piece string")
+    got = {r["token_id"]: r["piece"] for r in features.decoded(spark.createDataFrame([(1,), (2,), (3,)], "token_id int"), pieces, [2]).collect()}
+    assert got == {1: "a", 2: "", 3: None}
+
+
+def test_probes(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from credence.operators import probes
+
+    draw = random.Random(3)
+    rows = probes.prepared(spark.createDataFrame([([draw.gauss(y, 0.4), draw.gauss(-y, 0.4)], bool(y)) for y in (0, 1) for _ in range(60)], "vec array<double>, y boolean"))
+    judge = lambda df: one(metrics.roc_auc(df, F.col("y") > 0, F.col("score")))["auc"]
+    model = probes.fitted("logistic", rows, 2, weighted=True)
+    assert judge(probes.scores(model, rows)) > 0.9
+    probes.saved(model, str(tmp_path / "m"))
+    assert judge(probes.scores(probes.loaded(LogisticRegressionModel, str(tmp_path / "m")), rows)) > 0.9
+    rate, best = probes.swept("gbt", rows, rows, 2, (0.1, 0.1, 0.3), judge, rounds=3)
+    assert rate in (0.1, 0.3) and judge(probes.scores(best, rows)) > 0.9
+    assert probes.in_two_dimensions(rows.withColumn("id", F.monotonically_increasing_id()), ["id"]).count() == 120
