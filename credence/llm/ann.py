@@ -54,6 +54,14 @@ def bounds(codes: np.ndarray, norm: np.ndarray, align: np.ndarray, queries: np.n
     return whole - both * inner, whole - both * np.minimum(inner + error, 1)
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, squares added in the order of the components."""
+    total = np.zeros(len(vectors))
+    for column, x in zip(vectors.T, query, strict=True):
+        total += (column - x) ** 2
+    return np.sqrt(total)
+
+
 def search_block(query_ids, queries, ids, vectors, codes, norm, align, centre, turn, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, vector number, distance) of each query's k nearest in a block, in order of distance and vec_id.
 
@@ -77,7 +85,7 @@ def search_block(query_ids, queries, ids, vectors, codes, norm, align, centre, t
             limit = exact[k - 1] if len(exact) >= k else np.inf
             near = np.flatnonzero((low[i] <= limit * (1 + 1e-9)) & ~own)
             near = np.union1d(near, first)
-            d = np.sqrt(((vectors[near] - q) ** 2).sum(axis=1))
+            d = distances(vectors[near], q)
             best = np.lexsort((ids[near], d))[:k]
             rows.append(np.full(len(best), a + i))
             columns.append(order[near[best]])

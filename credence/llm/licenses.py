@@ -175,6 +175,39 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def scan_sql() -> str:
+    """The scan of `documents` (doc_id, text; one row a doc_id) in DuckDB's SQL."""
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    vocabulary = sorted({w for _, w, _ in index()} | {w for p in BASE for w in p.split()})
+    held: dict[int, int] = {}
+    for k, _, _ in index():
+        held[k] = held.get(k, 0) + 1
+    postings = ", ".join(f"({k}, '{w}', {i}, {held[k]}, {len(TEMPLATES[k][1].split())}, '{TEMPLATES[k][0]}')" for k, w, i in index())
+    phrases = " OR ".join("(template = {} AND {})".format(k, " AND ".join(f"contains(near, ' {p} ')" for p in t[2])) for k, t in enumerate(TEMPLATES))
+    bases = " UNION ALL ".join(
+        "SELECT h0.doc_id, h0.i, '{}' AS label FROM hits h0 {} WHERE h0.word = '{}'".format(
+            label, " ".join(f"JOIN hits h{j} ON h{j}.doc_id = h0.doc_id AND h{j}.i = h0.i + {j} AND h{j}.word = '{w}'" for j, w in enumerate(phrase.split()) if j), phrase.split()[0]
+        )
+        for phrase, label in BASE.items()
+    )
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SEPARATORS}'), lambda x: x <> '') AS words FROM documents),
+hits AS (SELECT doc_id, word, i - 1 AS i FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d) WHERE word IN ({quoted(vocabulary)})),
+known AS (SELECT DISTINCT doc_id, word FROM hits),
+idf AS (SELECT word, -ln((count(*) + 1.0) / ((SELECT count(*) FROM d) + 1.0)) AS idf FROM known GROUP BY word),
+chosen AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS n FROM known JOIN idf USING (word)) WHERE n <= {LOOKED_UP}),
+postings(template, word, place, held, n, label) AS (VALUES {postings}),
+votes AS (SELECT doc_id, template, held, n, label, i - place AS off, count(*) AS aligned FROM hits JOIN postings USING (word) JOIN chosen USING (doc_id, word) GROUP BY ALL HAVING count(*) >= least({LEAST_ALIGNED}, held)),
+places AS (SELECT votes.*, ' ' || array_to_string(words[greatest(off - {SLACK}, 0) + 1 : greatest(off - {SLACK}, 0) + n + {2 * SLACK}], ' ') || ' ' AS near FROM votes JOIN d USING (doc_id)),
+verified AS (SELECT doc_id, label, least(1.0, aligned / CAST(held AS DOUBLE)) AS share FROM places WHERE {phrases}),
+base AS ({bases}),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM verified) GROUP BY doc_id),
+s AS (SELECT doc_id, max(share) AS share FROM verified GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(greatest(coalesce(share, 0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END) AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 def scan_one(text: str | None) -> tuple[int, list[int], list[str]]:
     """Words, base places and base labels of one text in plain Python, to test against."""
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")

@@ -102,3 +102,25 @@ def test_licence_scan(docs):
     assert got[5]["labels"] == "apache,apache-2.0" and got[6]["labels"] == "gpl,gpl-3.0" and got[7]["labels"] == "cc-by-nc-4.0" and got[8]["labels"] == ""
     assert got[3]["labels"] == "mit,mit-notice" and got[13]["labels"] == "mit-notice" and got[11]["labels"] == "all-rights-reserved" and got[10]["labels"] == "all-rights-reserved"
     assert licenses.scan(docs([])).count() == 0
+
+
+def test_same_as_sql(spark):
+    """The registered queries that SQL can express, on the smallest tables."""
+    import os
+
+    import duckdb
+
+    from credence.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, sf)
+        columns = sorted(got.columns)
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(tuple, got.select(*columns).collect()), key=key) == sorted(want, key=key), name
