@@ -7,7 +7,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Words, chunks, map_texts, random_words, shingle_hashes, texts_of, written
@@ -18,6 +17,9 @@ SHINGLE = 5
 PERMUTATIONS = 64
 BAND_ROWS = 4
 
+#: Texts of a band that are compared in one group.
+BLOCK = 128
+
 #: Jaccard similarity from which documents are near-duplicates.
 SIMILARITY = 0.8
 
@@ -121,50 +123,69 @@ def compared(docs: DataFrame, size: int = SHINGLE, permutations: int = PERMUTATI
     return _ordered(docs, parts).mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, class_id and n_links of every document: classes of documents linked by a Jaccard similarity of `similarity`
-    or more over word shingles, candidates sharing a band of the signature, each verified on the shingles.
-
-    Documents with equal shingles are one candidate, whatever their number, and its class holds them all; n_links
-    counts the different texts a document's text links to. A band that many texts share is not joined pair by pair:
-    its texts are each compared with the band's first in turn, and those left over go on to a next round among
-    themselves, until none is left. Null and wordless texts form one class. Repeated rows stay; an empty table gives
-    no rows.
+def _links(similarity: float):
+    """Over the texts (block, fp, shingles) of two blocks lo and hi of a band: verified links that connect those alike."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(key, rows):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        rows = rows.sort_by("fp")
+        fps, blocks = rows["fp"].to_pylist(), rows["block"].to_pylist()
+        sets = [np.array(x, np.int64) for x in rows["shingles"].to_pylist()]
+        parent = list(range(len(fps)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i in range(len(fps)):
+            for j in range(i):
+                if lo != hi and blocks[i] == blocks[j] or (x := root(i)) == (y := root(j)):
+                    continue
+                small, large = sorted((len(sets[i]), len(sets[j])))
+                if small < similarity * large:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (small + large - both):
+                    parent[max(x, y)] = min(x, y)
+        found = [(fps[root(i)], fps[i]) for i in range(len(fps)) if root(i) != i]
+        return pa.table([[x for x, _ in found], [y for _, y in found]], schema=schema) if found else schema.empty_table()
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
+    """doc_id and class_id of every document: classes of documents linked by a Jaccard similarity of `similarity` or more
+    over word shingles. Candidates share a band of the signature; each is verified on the shingles, unless others link it already.
+
+    Documents with equal shingles are one candidate, whatever their number. A band of over `block` texts is dealt out in
+    pairs of blocks, a task's group each, which return links that connect what is alike, not all pairs. class_id is the
+    smallest doc_id of the class. Null and wordless texts form one class. Repeated rows stay; an empty table gives no rows.
     """
 
     def described(texts):
         x, first = shingle_hashes(Words(texts), size)
         sets = [np.unique(x[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
         own = signatures(texts, size, permutations)
+        digest = lambda data: int(np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), np.int64)[0])
         return {
-            "fp": [int(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), np.int64)[0]) for s in sets],
+            "fp": [digest(s.tobytes()) for s in sets],
             "shingles": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))),
-            "bands": [[int(np.frombuffer(hashlib.blake2b(bytes([k]) + s[k : k + rows].tobytes(), digest_size=8).digest(), np.int64)[0]) for k in range(0, permutations, rows)] for s in own],
+            "bands": [[digest(bytes([k]) + s[k : k + rows].tobytes()) for k in range(0, permutations, rows)] for s in own],
         }
 
     found = written(map_texts(docs, "text", {"doc_id": "doc_id"}, described, "fp bigint, shingles array<bigint>, bands array<bigint>"), "minhash-sets")
     classes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "minhash-classes")
-    left = written(classes.select("fp", F.explode("bands").alias("band")), "minhash-bands")
-    pairs = None
-    while True:
-        leader = F.min("fp").over(W.partitionBy("band"))
-        led = written(left.withColumn("leader", leader).where("leader <> fp"), "minhash-led")
-        if led.isEmpty():
-            break
-        close = led.select("leader", "fp").distinct()
-        a, b = classes.select(F.col("fp").alias("leader"), F.col("shingles").alias("a")), classes.select("fp", F.col("shingles").alias("b"))
-        shared = F.size(F.array_intersect("a", "b"))
-        whole = F.size("a") + F.size("b") - shared
-        ok = F.when(whole == 0, 1.0).otherwise(shared / whole) >= similarity
-        close = written(close.join(a, "leader").join(b, "fp").where(ok).select(F.col("leader").alias("a"), F.col("fp").alias("b")), "minhash-close")
-        pairs = close if pairs is None else pairs.union(close)
-        left = led.select("fp", "band")
-    if pairs is None:
-        pairs = classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    pairs = written(pairs.distinct(), "minhash-pairs")
+    bands = classes.select("fp", F.explode("bands").alias("band"))
+    shared = bands.join(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
+    parts = F.ceil(F.col("n") / F.lit(float(block)))
+    own = F.pmod(F.xxhash64("fp"), parts)
+    dealt = shared.select("band", "fp", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
+    groups = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp").join(classes.select("fp", "shingles"), "fp")
+    pairs = written(groups.groupBy("band", "lo", "hi").applyInArrow(_links(similarity), "a bigint, b bigint").distinct(), "minhash-links")
     linked = classes.join(components(pairs), F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("class_id")), "root").select("fp", "class_id")
-    degree = pairs.select("a").union(pairs.select("b")).groupBy("a").count().select(F.col("a").alias("fp"), F.col("count").alias("n_links"))
-    ids = classes.select("fp", "first_id").join(named, "fp", "left").join(degree, "fp", "left")
-    ids = written(ids.select("fp", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "minhash-ids")
-    return found.select("doc_id", "fp").join(ids, "fp").select("doc_id", "class_id", "n_links")
+    ids = classes.select("fp", "first_id").join(named, "fp", "left").select("fp", F.coalesce("class_id", "first_id").alias("class_id"))
+    return found.select("doc_id", "fp").join(written(ids, "minhash-ids"), "fp").select("doc_id", "class_id")

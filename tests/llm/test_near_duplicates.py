@@ -149,10 +149,12 @@ def test_minhash_against_brute_force(docs):
     assert minhash.compared(docs([(1, "a b")])).first()["near_next"] == 1.0
 
 
-def test_minhash_classes(docs):
+@pytest.mark.parametrize("block", [2, 128])
+def test_minhash_classes(docs, block):
     draw = random.Random(2)
     long = [[f"w{draw.randrange(9000)}" for _ in range(200)] for _ in range(6)]
     texts = [" ".join(w) for w in long] + [" ".join([*w[:190], "changed", *w[191:]]) for w in long[:3]] + [" ".join(long[0])] * 3 + [None, "", "x"]
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash.near_duplicates(docs(list(enumerate(texts)))).collect()}
-    assert {d: c for d, (c, _) in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 2, 9: 0, 10: 0, 11: 0, 12: 12, 13: 12, 14: 14}
-    assert got[0][1] == got[6][1] == got[9][1] == 1 and got[3][1] == 0
+    texts += [" ".join([*long[3][:k], "other", *long[3][k + 1 :]]) for k in range(20, 180, 20)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(list(enumerate(texts))), block=block).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 2, 9: 0, 10: 0, 11: 0, 12: 12, 13: 12, 14: 14} | dict.fromkeys(range(15, 23), 3)
+    assert minhash.near_duplicates(docs([])).count() == 0
