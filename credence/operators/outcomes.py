@@ -95,3 +95,8 @@ def unused_scores(records: DataFrame, scores: DataFrame, task: str, n: str) -> D
 def aligned(values: Column, n: Column) -> Column:
     """Values cut to n or padded with False."""
     return F.slice(F.concat(values, F.array_repeat(F.lit(False), F.greatest(n - F.size(values), F.lit(0)).cast("int"))), F.lit(1), n.cast("int"))
+
+
+def known_and_unknown(records: DataFrame, catalogue: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Records joined to their problem, and those whose problem the catalogue doesn't have (to be reported, not lost)."""
+    return records.join(catalogue, key), records.join(catalogue.select(key), key, "left_anti")

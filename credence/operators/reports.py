@@ -107,3 +107,12 @@ def share_stats(candidates: DataFrame, share: str, row: str) -> DataFrame:
     whole = candidates.agg(F.avg(share).alias("m"), F.percentile(share, 0.5).alias("md"))
     got = whole.join(middle).join(inner)  # one row each
     return got.select("n", F.round("m", 6).alias("mean"), F.round("md", 6).alias("median"), F.round("p90", 6).alias("p90"), F.round("d", 6).alias("within_row_std"))
+
+
+def macro_shares(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Means over candidates of their shares, in %, of true, false and masked tokens; the masked share is at most the true one
+    and comes off it (masked tokens are labelled true)."""
+    per = tokens.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("tok_is_correct") | F.col("ws_comment")).alias("t"), F.count_if("ws_comment").alias("m"))
+    true, masked = F.col("t") / F.col("n"), F.least(F.col("m") / F.col("n"), F.col("t") / F.col("n"))
+    got = per.agg(F.count("*").alias("candidates"), F.avg(true - masked).alias("a"), F.avg(1 - true).alias("b"), F.avg(masked).alias("c"))
+    return got.select("candidates", F.round(100 * F.col("a"), 6).alias("true_pct"), F.round(100 * F.col("b"), 6).alias("false_pct"), F.round(100 * F.col("c"), 6).alias("masked_pct"))

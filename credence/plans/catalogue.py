@@ -657,6 +657,18 @@ def candidate_verdict(spark, sf):
     return rows.select("o_custkey", outcomes.verdict(F.col("r")).alias("verdict"))
 
 
+@query(f"""WITH p AS (SELECT sample, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE NOT wrong OR masked) AS t, count(*) FILTER (WHERE masked) AS m FROM ({TOKENS}) GROUP BY sample)
+SELECT count(*) AS candidates, round(100 * avg(t / n - least(m / n, t / n)), 6) AS true_pct, round(100 * avg(1 - t / n), 6) AS false_pct, round(100 * avg(least(m / n, t / n)), 6) AS masked_pct FROM p""")
+def macro_shares(spark, sf):
+    return reports.macro_shares(views.tokens(spark, sf), ["sample"])
+
+
+@query("""SELECT 'known' AS kind, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 10 UNION ALL SELECT 'unknown', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey < 10)""")
+def unknown_problem_audit(spark, sf):
+    known, unknown = outcomes.known_and_unknown(views.candidates(spark, sf), views.table(spark, sf, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("problem")), "problem")
+    return known.agg(F.count("*").alias("n")).select(F.lit("known").alias("kind"), "n").union(unknown.agg(F.count("*").alias("n")).select(F.lit("unknown").alias("kind"), "n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
