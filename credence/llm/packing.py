@@ -23,6 +23,9 @@ END_ID = 2
 #: Bins that a packer holds open at once.
 OPEN_BINS = 2048
 
+#: Pieces that a packer takes at once, longest first: short ones then find the gaps that long ones leave.
+WINDOW = 2048
+
 #: Words whose ids a worker remembers before it starts anew.
 CACHE_WORDS = 400_000
 
@@ -141,31 +144,43 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def pack(docs: DataFrame, tokenizer_file: str, capacity: int = SEQUENCE_LENGTH, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, capacity: int = SEQUENCE_LENGTH, end_id: int = END_ID, open_bins: int = OPEN_BINS, window: int = WINDOW) -> DataFrame:
     """Packs every document's ids and an end id into sequences of at most `capacity` ids.
 
     A document of at most `capacity` ids stays whole; a longer one is cut into full pieces after a first
-    one that may be shorter. Each input partition packs its own rows in one pass, without a shuffle: a
-    null text is one end id, repeated rows are packed each by itself, an empty table gives no rows and
-    other columns are ignored. sequence_id holds the partition's number in its upper bits. A task that
-    is run again reads the same rows in the same order and so makes the same sequences.
+    one that may be shorter. Each input partition packs its own rows in one pass, without a shuffle, `window`
+    pieces after the other, the longest of them first: a null text is one end id, repeated rows are packed
+    each by itself, an empty table gives no rows and other columns are ignored. sequence_id holds the
+    partition's number in its upper bits. A task that is run again reads the same rows in the same order
+    and so makes the same sequences.
     """
     tail = np.array([end_id], dtype="<u4").tobytes()
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def run(batches):
         base = TaskContext.get().partitionId() << 36
         bins, encoder = OpenBins(capacity, open_bins), CachedEncoder(tokenizer_file)
+
+        def placed(pieces: list[tuple]) -> pa.RecordBatch:
+            rows = []
+            for row in sorted(pieces, key=lambda r: -r[3]):  # equal lengths stay in the order they came in
+                name, offset = bins.place(row[3])
+                rows.append((*row, base + name, offset))
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        held: list[tuple] = []
         for batch in batches:
-            ids, texts = batch.column(0), texts_of(batch.column(1))
+            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
             for a, b in chunks(texts, CHUNK_BYTES):
-                rows, numbers = [], []
-                for k, found in enumerate(encoder.encode(texts.slice(a, b - a).to_pylist())):
+                for doc_id, found in zip(ids[a:b], encoder.encode(texts.slice(a, b - a).to_pylist()), strict=True):
                     found += tail
                     for piece, (start, length) in enumerate(cuts(len(found) // 4, capacity)):
-                        name, offset = bins.place(length)
-                        rows.append(a + k)
-                        numbers.append((piece, start, length, zlib.crc32(found[4 * start : 4 * (start + length)]), base + name, offset))
-                made = [pa.array(c, type=t) for c, t in zip(zip(*numbers, strict=True), [pa.int32(), *[pa.int64()] * 5], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *made], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                        held.append((doc_id, piece, start, length, zlib.crc32(found[4 * start : 4 * (start + length)])))
+                while len(held) >= window:
+                    yield placed(held[:window])
+                    held = held[window:]
+        if held:
+            yield placed(held)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
