@@ -2,25 +2,46 @@ import os
 
 import pytest
 
+import pyarrow as pa
+
 import corpus_pipeline
-from credence.llm import queries
+from credence.llm import queries, simhash
+from credence.llm.common import texts_of
 
 SF = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
+def survivors(texts):
+    """The smallest doc_id of each group of fingerprints that differ in 2 bits or fewer, pair by pair."""
+    ids = sorted(texts)
+    prints = simhash.fingerprints_of(texts_of(pa.array([texts[d] for d in ids], pa.string())))
+    group = {d: d for d in ids}
+    for i, a in enumerate(ids):
+        for j, b in enumerate(ids[:i]):
+            if bin(int(prints[i] ^ prints[j])).count("1") <= 2 and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return set(group.values())
+
+
 def test_stages_keep_columns_and_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     ids = {r["doc_id"] for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
         docs = stage(spark, docs, SF)
         docs.write.mode("overwrite").parquet(path := f"/tmp/credence-test-stage-{os.getpid()}-{name}")
         docs = spark.read.parquet(path)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         now = {r["doc_id"] for r in docs.collect()}
         assert now <= ids
+        if name == "language_id":  # every text with letters has a language here
+            assert now == {d for d, t in before.items() if t and any(c.isalpha() for c in t)}
+        if name == "simhash_dedup":
+            assert now == survivors(before)
         if name == "quality":
             gone = ids - now
             assert sum(labels[d]["quality"] == 1 and labels[d]["toxic"] == 0 for d in gone if d in labels) <= 0.03 * len(labels)
