@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
     rated = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("g")).where("g is not null and doc_id is not null").groupBy("doc_id").agg(F.min("g").alias("g"))
     share = min(1.0, sample / max(1, rated.count()))
     drawn = rated.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_003)) / 1_000_003.0 < share)
-    chosen = docs.select("doc_id", "text").join(drawn, "doc_id").select("g", "text")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("g", "text")  # about `sample` ids and grades
 
     def hashed(texts):
         buckets, first = features(texts)
