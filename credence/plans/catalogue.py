@@ -151,10 +151,11 @@ def line_sequences(spark, sf):
     return labels.sequence_items(views.tokens(spark, sf), ["sample"]).select("sample", "line", F.size("positions").cast("bigint").alias("n_positions"))
 
 
-@query(f"""WITH a AS (SELECT row_number() OVER (PARTITION BY sample ORDER BY o1, o2) - 1 AS i, count(*) OVER (PARTITION BY sample) AS n, wrong FROM (SELECT DISTINCT sample, line, o1, o2, wrong FROM ({TOKENS})))
+@query(f"""WITH a AS (SELECT row_number() OVER (PARTITION BY sample ORDER BY o1, o2, line, NOT wrong) - 1 AS i, count(*) OVER (PARTITION BY sample) AS n, wrong FROM (SELECT DISTINCT sample, line, o1, o2, wrong FROM ({TOKENS})))
 SELECT CAST(least(floor(i * 20 / CAST(n AS DOUBLE)), 19) AS INTEGER) AS bucket, count(*) AS tokens, count(*) FILTER (WHERE wrong) AS errors, round(100.0 * count(*) FILTER (WHERE wrong) / count(*), 6) AS error_pct FROM a GROUP BY 1""")
 def position_error_profile(spark, sf):
     rows = views.tokens(spark, sf).select("sample", "line", "ordinal", "tok_is_correct").distinct()
+    rows = rows.withColumn("ordinal", F.struct("ordinal", "line", "tok_is_correct"))  # a total order
     return labels.position_profile(rows, ["sample"])
 
 
