@@ -40,6 +40,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch that goes to a Python worker: what a task holds at once, whatever the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once, where the session allows more."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -187,7 +199,7 @@ def map_texts(df: DataFrame, text: str, keep: dict[str, str], fn, out: str, limi
     without nulls and returns a dict of the further columns; out: their schema as DDL. The input's
     other columns, whatever their names, are not read.
     """
-    spark = df.sparkSession
+    small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{a}`").alias(f"k{i}") for i, a in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
     fields = [(b, source.schema[f"k{i}"].dataType) for i, b in enumerate(keep.values())]
     ddl = ", ".join([*(f"`{b}` {kind.simpleString()}" for b, kind in fields), *([out] if out else [])])
@@ -196,7 +208,6 @@ def map_texts(df: DataFrame, text: str, keep: dict[str, str], fn, out: str, limi
 
     arrow = to_arrow_schema(_parse_datatype_string(ddl))
     names = list(keep.values())
-    del spark
 
     def run(batches):
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, chunks, map_texts, random_words, shingle_hashes, texts_of, written
+from .common import CHUNK_BYTES, Words, chunks, map_texts, random_words, shingle_hashes, small_batches, texts_of, written
 from .components import components
 
 #: Words of a shingle, permutations of a signature, and rows of a band.
@@ -119,6 +119,7 @@ def compared(docs: DataFrame, size: int = SHINGLE, permutations: int = PERMUTATI
                         yield out(ids.slice(0, len(ids) - 1), all_texts)
                     held_ids, held = ids.slice(len(ids) - 1), all_texts[-1:]
 
+    small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _ordered(docs, parts).mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, map_texts, mix, new_folder, texts_of
+from .common import Words, chunks, map_texts, mix, new_folder, small_batches, texts_of
 
 #: Tokens whose bigrams a task counts before it passes the counts on.
 FLUSH = 1 << 22
@@ -187,6 +187,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 def train(texts: DataFrame) -> dict:
     """Counts the bigrams of all texts (column `text`; null: empty) and stores the model; returns its place and totals."""
     spark = texts.sparkSession
+    small_batches(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = _local(new_folder(spark, "ngram"))
     counted = texts.select(F.col("text").cast("string")).mapInArrow(_counter(shards), "shard int, v binary, w binary, n binary")

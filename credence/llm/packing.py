@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SAFE_CUT
-from .common import CHUNK_BYTES, chunks, texts_of
+from .common import CHUNK_BYTES, chunks, small_batches, texts_of
 
 SEQUENCE_LENGTH = 1024
 END_ID = 2
@@ -154,6 +154,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = SEQUENCE_LENGTH,
     partition's number in its upper bits. A task that is run again reads the same rows in the same order
     and so makes the same sequences.
     """
+    small_batches(docs.sparkSession)
     tail = np.array([end_id], dtype="<u4").tobytes()
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
