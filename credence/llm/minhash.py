@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Words, chunks, map_texts, random_words, shingle_hashes, small_batches, texts_of, written
 from .components import components
+from .simhash import one_of_each
 
 #: Words of a shingle, permutations of a signature, and rows of a band.
 SHINGLE = 5
@@ -157,13 +158,12 @@ def _links(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
-    """doc_id and class_id of every document: classes of documents linked by a Jaccard similarity of `similarity` or more
-    over word shingles. Candidates share a band of the signature; each is verified on the shingles, unless others link it already.
+def grouped(docs: DataFrame, keep: dict[str, str], similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(every row's kept columns and fp; fp and root of the fps that are linked): rows of one root, or else of one fp, are one group.
 
-    Documents with equal shingles are one candidate, whatever their number. A band of over `block` texts is dealt out in
-    pairs of blocks, a task's group each, which return links that connect what is alike, not all pairs. class_id is the
-    smallest doc_id of the class. Null and wordless texts form one class. Repeated rows stay; an empty table gives no rows.
+    fp stands for a set of shingles. Sets that share a band of the signature are compared, in blocks of about `block`.
+    In a band of more blocks, what the blocks' links leave outside the band's largest component is then compared with
+    the rest, so pairs within one component are not.
     """
 
     def described(texts):
@@ -177,16 +177,48 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
             "bands": [[digest(bytes([k]) + s[k : k + rows].tobytes()) for k in range(0, permutations, rows)] for s in own],
         }
 
-    found = written(map_texts(docs, "text", {"doc_id": "doc_id"}, described, "fp bigint, shingles array<bigint>, bands array<bigint>"), "minhash-sets")
-    classes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "minhash-classes")
-    bands = classes.select("fp", F.explode("bands").alias("band"))
-    shared = bands.join(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
-    parts = F.ceil(F.col("n") / F.lit(float(block)))
-    own = F.pmod(F.xxhash64("fp"), parts)
-    dealt = shared.select("band", "fp", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
-    groups = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp").join(classes.select("fp", "shingles"), "fp")
-    pairs = written(groups.groupBy("band", "lo", "hi").applyInArrow(_links(similarity), "a bigint, b bigint").distinct(), "minhash-links")
-    linked = classes.join(components(pairs), F.col("fp") == F.col("node")).select("fp", "root", "first_id")
+    found = written(map_texts(docs, "text", keep, described, "fp bigint, shingles array<bigint>, bands array<bigint>"), "minhash-sets")
+    bands = found.select("fp", F.explode("bands").alias("band")).distinct()
+    shared = written(bands.join(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "minhash-bands")
+    sets = written(found.select("fp", "shingles").join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")), "minhash-shared")
+
+    def links(dealt: DataFrame) -> DataFrame:
+        groups = dealt.select("band", "lo", "hi", "block", "fp").join(sets.hint("merge"), "fp")
+        return written(groups.groupBy("band", "lo", "hi").applyInArrow(_links(similarity), "a bigint, b bigint").distinct(), "minhash-links")
+
+    parts = lambda n: F.ceil(n / F.lit(float(block)))
+    own = F.pmod(F.xxhash64("fp"), parts(F.col("n")))
+    pairs = links(shared.select("band", "fp", own.alias("lo"), own.alias("hi"), own.alias("block")))
+    roots = written(components(pairs), "minhash-roots")
+    full = shared.where(F.col("n") > block).join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    most = full.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("most")).select("band", "most.m", F.col("most.root").alias("main"))
+    few, many = parts(F.col("n") - F.col("m")), parts(F.col("m"))
+    inside = F.col("root") == F.col("main")
+    rest = full.join(most, "band").where("n > m").select("band", "fp", few.alias("few"), many.alias("many"), inside.alias("inside"), F.when(inside, few + F.pmod(F.xxhash64("fp"), many)).otherwise(F.pmod(F.xxhash64("fp"), few)).alias("block"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    further = links(rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp"))
+    if not further.isEmpty():
+        roots = written(components(pairs.union(further)), "minhash-roots")
+    return found.drop("shingles", "bands"), roots.select(F.col("node").alias("fp"), "root")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
+    """doc_id and class_id of every document: classes of documents linked by a Jaccard similarity of `similarity` or more
+    over word shingles. Candidates share a band of the signature; each is verified on the shingles, unless others link it already.
+
+    Documents with equal shingles are one candidate, whatever their number. A band of over `block` texts is dealt out in
+    blocks, a task's group each, which return links that connect what is alike, not all pairs. class_id is the
+    smallest doc_id of the class. Null and wordless texts form one class. Repeated rows stay; an empty table gives no rows.
+    """
+    found, roots = grouped(docs, {"doc_id": "doc_id"}, similarity, size, permutations, rows, block)
+    classes = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    linked = classes.join(roots, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("class_id")), "root").select("fp", "class_id")
     ids = classes.select("fp", "first_id").join(named, "fp", "left").select("fp", F.coalesce("class_id", "first_id").alias("class_id"))
     return found.select("doc_id", "fp").join(written(ids, "minhash-ids"), "fp").select("doc_id", "class_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more), all its columns kept."""
+    found = near_duplicates(docs)
+    return one_of_each(docs, found.where("doc_id = class_id").select("doc_id").distinct())

@@ -204,7 +204,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a kept doc_id one stays: the one of the smallest text.
     """
-    kept = written(kept_ids(docs), "simhash-kept")
+    return one_of_each(docs, kept_ids(docs))
+
+
+def one_of_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of docs for each doc_id of ids."""
+    kept = written(ids, "simhash-kept")
     found = docs.join(kept.hint("merge"), "doc_id", "left_semi")  # as many ids as documents: never broadcast
     again = docs.groupBy("doc_id").count().where("`count` > 1").select("doc_id")
     if again.isEmpty():

@@ -158,3 +158,39 @@ def test_minhash_classes(docs, block):
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(list(enumerate(texts))), block=block).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 2, 9: 0, 10: 0, 11: 0, 12: 12, 13: 12, 14: 14} | dict.fromkeys(range(15, 23), 3)
     assert minhash.near_duplicates(docs([])).count() == 0
+
+
+def test_pipeline_stage_against_jaccard_pairs(spark, docs):
+    """Near copies with J >= 0.8 over five words go, whatever their SimHash distance; those below stay."""
+    import corpus_pipeline
+
+    draw = random.Random(11)
+    long = [[f"w{draw.randrange(9000)}" for _ in range(200)] for _ in range(8)]
+    texts = [" ".join(w) for w in long]
+    for w in long:
+        for edits in (1, 2, 3, 9):
+            changed = list(w)
+            for at in draw.sample(range(len(w)), edits):
+                changed[at] = f"x{at}"
+            texts.append(" ".join(changed))
+    sets = [set(shingles(t, 5)) for t in texts]
+    group = list(range(len(texts)))
+    wide = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                wide += bin(fingerprint(texts[i]) ^ fingerprint(texts[j])).count("1") > 2
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert wide > 10
+    got = corpus_pipeline.distinct(spark, docs(list(enumerate(texts))), "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(group))
+
+
+def test_full_bands_link_across_blocks(docs):
+    """A band of many texts in several components: blocks of any size give the same classes."""
+    head = " ".join(f"h{i}" for i in range(60))
+    rows = [(100 * k + i, f"{head} {' '.join(f't{k}x{j}' for j in range(40))} end{i}") for k in range(3) for i in range(12)]
+    want = {d: 100 * (d // 100) for d, _ in rows}
+    for block in (3, 128):
+        assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(rows), block=block).collect()} == want
