@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Words, chunks, map_texts, random_words, shingle_hashes, small_batches, texts_of, written
 from .components import components
-from .simhash import one_of_each
+from .simhash import one_of_each, row_keys
 
 #: Words of a shingle, permutations of a signature, and rows of a band.
 SHINGLE = 5
@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more), all its columns kept."""
-    found = near_duplicates(docs)
-    return one_of_each(docs, found.where("doc_id = class_id").select("doc_id").distinct())
+    """docs with one row of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more), all its columns
+    kept: the row of the smallest doc_id (nulls last), then of the smallest text. No group is lost, whatever its doc_ids."""
+    keyed, keys = row_keys(docs)
+    return one_of_each(docs, *grouped(keyed, {k: k for k in ("doc_id", *keys)}))

@@ -60,9 +60,9 @@ def fingerprints_of(texts: pa.Array, size: int = SHINGLE) -> np.ndarray:
     return made
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (long) of every whole text; a null or wordless text has fingerprint zero."""
-    return map_texts(docs, "text", {"doc_id": "doc_id"}, lambda texts: {"fp": fingerprints_of(texts, size).view(np.int64)}, "fp bigint")
+def fingerprints(docs: DataFrame, size: int = SHINGLE, keep: dict[str, str] | None = None) -> DataFrame:
+    """doc_id (or the columns of `keep`) and fp (long) of every whole text; a null or wordless text has fingerprint zero."""
+    return map_texts(docs, "text", keep or {"doc_id": "doc_id"}, lambda texts: {"fp": fingerprints_of(texts, size).view(np.int64)}, "fp bigint")
 
 
 def cells_near(fp, segments: int = SEGMENTS):
@@ -193,30 +193,41 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, segments: int = SEGMEN
     return prints.join(written(ids, "simhash-ids"), "fp").select("doc_id", "fp", "component_id")
 
 
-def kept_ids(docs: DataFrame) -> DataFrame:
-    """The doc_id of one document of each group of near-duplicates: the smallest."""
-    found = near_duplicates(docs)
-    return found.where("doc_id = component_id").select("doc_id").distinct()
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near-duplicates, all its columns kept: see one_of_each."""
+    keyed, keys = row_keys(docs)
+    prints = written(fingerprints(keyed, keep={k: k for k in ("doc_id", *keys)}), "simhash-fingerprints")
+    roots = components(links(prints.select("fp").distinct()))
+    return one_of_each(docs, prints, roots.select(F.col("node").alias("fp"), "root"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near-duplicates, all its columns kept.
+def row_keys(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two hashes of each row's columns, nulls included, and their names; only rows that are the same throughout share both."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    own += [F.concat(*[F.when(x.isNull(), "1").otherwise("0") for x in own])]
+    keys = [spare_name(docs, "row_key_a"), spare_name(docs, "row_key_b")]
+    return docs.select("*", F.xxhash64(*own).alias(keys[0]), F.xxhash64(F.lit("b"), *reversed(own)).alias(keys[1])), keys
 
-    Of rows that repeat a kept doc_id one stays: the one of the smallest text.
-    """
-    return one_of_each(docs, kept_ids(docs))
 
+def one_of_each(docs: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of docs, one of each group: that of the smallest doc_id (nulls last), then of the smallest text, then of the other columns.
 
-def one_of_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of docs for each doc_id of ids."""
-    kept = written(ids, "simhash-kept")
-    found = docs.join(kept.hint("merge"), "doc_id", "left_semi")  # as many ids as documents: never broadcast
-    again = docs.groupBy("doc_id").count().where("`count` > 1").select("doc_id")
+    found: doc_id, the row_keys and fp of every row; roots: fp and root of the fps that are linked. Rows of one root,
+    or else of one fp, are one group. Every group leaves one row, whatever its doc_ids.
+    """
+    keyed, keys = row_keys(docs)
+    root = spare_name(keyed, "root")
+    every = found.join(roots.select("fp", F.col("root").alias(root)), "fp", "left").withColumn(root, F.coalesce(root, "fp"))
+    every = written(every.select(root, "doc_id", *keys), "kept-groups")
+    least = every.groupBy(root).agg(F.min("doc_id").alias("least"))
+    first = every.join(least, root).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    chosen = first.groupBy(root).agg(F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys])
+    kept = written(chosen.where("n = 1").select(*keys), "kept-rows")
+    one = keyed.join(kept.hint("merge"), keys, "left_semi").select(*docs.columns)  # as many rows as documents: never broadcast
+    again = chosen.where("n > 1").select(root)
     if again.isEmpty():
-        return found
-    again = written(again, "simhash-repeated")
-    most = found.join(again, "doc_id", "left_anti")
-    nth = spare_name(docs, "nth")
-    order = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    few = found.join(again, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
-    return most.unionByName(few.select(*most.columns))
+        return one
+    again = written(first.join(again, root).select(root, *keys).distinct(), "kept-repeated")
+    order = ["text", *[c for c in docs.columns if c != "text"]]
+    few = keyed.join(again, keys).groupBy(root).agg(F.min(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)])).alias("row"))
+    return one.unionByName(few.select(*[F.col(f"row.c{order.index(c)}").alias(c) for c in docs.columns]))

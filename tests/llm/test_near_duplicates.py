@@ -194,3 +194,13 @@ def test_full_bands_link_across_blocks(docs):
     want = {d: 100 * (d // 100) for d, _ in rows}
     for block in (3, 128):
         assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(rows), block=block).collect()} == want
+
+
+@pytest.mark.parametrize("method", [simhash, minhash])
+def test_deduplicated_keeps_a_row_of_each_group(docs, method):
+    """Null doc_ids, and different texts of one doc_id, lose no group."""
+    own = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcdef"}
+    rows = [(None, own["a"]), (None, own["b"]), (None, own["b"]), (3, own["c"]), (None, own["c"]), (4, own["d"]), (4, own["e"]), (2, own["d"]), (5, own["f"].upper()), (5, own["f"])]
+    got = [(r["doc_id"], r["text"]) for r in method.deduplicated(docs(rows)).collect()]
+    want = [(None, own["a"]), (None, own["b"]), (2, own["d"]), (3, own["c"]), (4, own["e"]), (5, own["f"].upper())]
+    assert sorted(got, key=str) == sorted(want, key=str)
