@@ -42,7 +42,7 @@ TEMPLATES = [
 #: Fixed values. Words of the notices that are too common to find one by.
 COMMON = "a and any are as be by can code following for form forms free in into is it of or person provided purpose source subject terms that the this to under use v with without you 0 2 3 4".split()
 
-#: Words of a file, highest IDF first, that are looked up in the index.
+#: Words of a file, highest IDF first, that the SQL looks up; the scan looks up all, which differs where a file has more distinct ones.
 LOOKED_UP = 12
 
 #: Least number of a notice's indexed words (all, if it has fewer) that must stand at the same relative position.
@@ -93,10 +93,9 @@ def _starts(hits: Column, phrase: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base: all places where a phrase of BASE stands. The method looks up a file's LOOKED_UP licence words of
-    highest IDF over all documents (ties: alphabetical) in the notices' postings, keeps notices of which enough
-    words stand at one relative position, and verifies their key phrases there; its labels are added to the base
-    ones. score: the largest share of a verified notice's indexed words that stand in place, at least 0.5 if there
+    Base: all places where a phrase of BASE stands. The method looks up all of a file's licence words (at most the
+    fixed vocabulary) in the notices' postings, keeps notices of which enough words stand at one relative position,
+    and verifies their key phrases there; its labels are added to the base ones. score: the largest share of a verified notice's indexed words that stand in place, at least 0.5 if there
     is a base place, else 0. A null text is empty; repeated rows give a row each; an empty table gives none;
     columns other than doc_id and text are not read.
     """
@@ -115,16 +114,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     marked = compact.where("hits is not null")
     places = marked.select("rid", F.explode("hits").alias("h")).select("rid", F.col("h.w").alias("word"), F.col("h.i").alias("i"))
-    total = compact.count()
-    per_file = marked.select("rid", F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("word"))
-    idf = per_file.groupBy("word").agg((-F.log((F.count("*") + 1.0) / (total + 1.0))).alias("idf"))
-    weight = F.broadcast(idf)  # a row for each word of the vocabulary, which is fixed
-    ranked = per_file.join(weight, "word").groupBy("rid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("r"), "word"))), 1, LOOKED_UP)["word"].alias("chosen"))
-    looked_up = ranked.select("rid", F.explode("chosen").alias("word"))
 
     votes = (
         places.join(F.broadcast(_postings(spark)), "word")
-        .join(looked_up, ["rid", "word"], "left_semi")
         .select("rid", "template", "held", "n", (F.col("i") - F.col("place")).alias("at"), "word")
         .groupBy("rid", "template", "held", "n", "at")
         .agg(F.count("*").alias("aligned"))

@@ -124,3 +124,20 @@ def test_same_as_sql(spark):
         want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
         key = lambda r: tuple(map(str, r))
         assert sorted(map(tuple, got.select(*columns).collect()), key=key) == sorted(want, key=key), name
+
+
+def test_licence_scan_of_several_notices(docs):
+    """Files of more than twelve licence words keep every notice, however common its words are."""
+    notices = {k: t for k, t, _ in licenses.TEMPLATES}
+    first = {"mit-notice": "released under the mit license", "mit-text": licenses.TEMPLATES[1][1]}
+    files = [
+        (["bsd-notice", "isc-notice", "mit-notice"], [licenses.TEMPLATES[8][1], notices["isc-notice"], first["mit-notice"]]),
+        (["apache-2.0", "bsd-notice", "mit-notice"], [first["mit-text"], licenses.TEMPLATES[8][1], notices["apache-2.0"]]),
+        (["apache-2.0", "gpl-notice", "mit-notice", "mpl-2.0"], [first["mit-text"], notices["gpl-notice"], notices["apache-2.0"], notices["mpl-2.0"]]),
+        (sorted(notices), [t for _, t, _ in licenses.TEMPLATES]),
+    ]
+    common = ["released under the mit license", "licensed under the apache license version 2 0", notices["mpl-2.0"]] * 20
+    rows = list(enumerate([" filler words between ".join(parts) for _, parts in files] + common))
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs(rows)).collect()}
+    for i, (labels, _) in enumerate(files):
+        assert set(labels) <= set(got[i]), i
