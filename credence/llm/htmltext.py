@@ -16,20 +16,27 @@ from .common import map_texts, texts_of
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 
 #: Fixed values. Elements whose content is text to the parser until their end tag, and is never shown.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select", "button")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "select", "button")
 
 #: Fixed values. Elements that are no part of an article wherever they stand.
-ASIDE = ("nav", "footer", "aside", "form", "menu", "dialog", "head", "figcaption")
+ASIDE = ("nav", "footer", "aside", "form", "menu", "dialog", "head")
 
 #: Fixed values. Elements without content, and elements that end where one of the same kind begins.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 #: Fixed values. Elements inside a line; all others begin and end blocks.
-INLINE = ("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
+INLINE = ("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "object", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "mfrac", "msqrt", "semantics")
 
 #: Fixed values. Words of a class, id or role that name what is no part of an article.
 NAMES = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 
+#: Fixed values. Of these, names that never stand for a part with running text of the article's own, and names of headers, which inside an article are its own.
+FOREIGN = "comment comments commentlist cookie cookies consent disqus newsletter reply replies respond".split()
+HEADERS = ("banner", "header", "masthead")
+
+#: Weight of a word, as a share of its usual one, in a part with one of NAMES among others in its name, and where that is a FOREIGN one.
+NAMED, NAMED_FOREIGN = 0.25, -0.3
+
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
@@ -38,7 +45,7 @@ _SPACES = re.compile(r"\s+")
 SAMPLE_PAGES = 2000
 
 #: Fixed values. Elements that carry running text.
-FLOW = ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ol", "ul", "blockquote", "pre", "dl", "dt", "dd", "table", "tbody", "tr", "td", "th", "figure", "hr", "img")
+FLOW = ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ol", "ul", "blockquote", "pre", "dl", "dt", "dd", "table", "tbody", "tr", "td", "th", "figure", "figcaption", "hr", "img")
 
 #: Fixed values. Weights where no page is labelled: of a word, a word of a link, a tag, and tags of running text and inside lines.
 PLAIN = {"word": 1.0, "linked": -0.6, "tag": -3.0} | {f"<{x}": -0.4 for x in FLOW} | {f"<{x}": -0.1 for x in INLINE}
@@ -47,53 +54,72 @@ PLAIN = {"word": 1.0, "linked": -0.6, "tag": -3.0} | {f"<{x}": -0.4 for x in FLO
 LABELLED_TAG, LABELLED_WORD = 0.1, 0.5
 
 
-def named_aside(attributes: str) -> bool:
-    """Whether a start tag's class, id or role names a part that is not the article's."""
-    if _HIDDEN.search(attributes):
-        return True
+def hidden(attributes: str) -> bool:
+    return bool(_HIDDEN.search(attributes))
+
+
+def named_aside(attributes: str, own_headers: bool = False) -> float:
+    """What a start tag's class, id or role leaves of the weight of words: 0 if a whole token is one of NAMES, NAMED or NAMED_FOREIGN if a part of one is, else 1."""
+    found = 1.0
     for _, value in _ATTRIBUTE.findall(attributes):
-        words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        if any(w in NAMES for w in words):
-            return True
-    return False
+        for token in value.strip("\"'").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w in NAMES and not (own_headers and w in HEADERS)]
+            if words and token.lower() in words:
+                return 0.0
+            if words:
+                found = min(found, NAMED_FOREIGN if any(w in FOREIGN for w in words) else NAMED)
+    return found
 
 
-def parsed(page: str) -> list[tuple[str, str, bool, str]]:
-    """The page as (kind, name or text, whether it is inside what is no article, enclosing landmark) in order; kind: start, end, text."""
-    out: list[tuple[str, str, bool, str]] = []
-    stack: list[tuple[str, bool, str]] = []  # name, aside, landmark
+def parsed(page: str) -> list[tuple[str, str, bool, str, float, int]]:
+    """The page as (kind, name or text, whether it is inside what is no article, enclosing landmark, share of words' weights, innermost part
+    that lowers it, by the place of its start, or -1) in order; kind: start, end, text.
+
+    A named wrapper says nothing of an article or main inside it.
+    """
+    out: list[tuple[str, str, bool, str, float, int]] = []
+    stack: list[tuple[str, bool, bool, str, float, int]] = []  # name, aside by element, aside by name, landmark, share, part
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
+        _, aside, named, mark, share, part = stack[-1] if stack else ("", False, False, "", 1.0, -1)
         if text := page[at : m.start() if m else len(page)]:
-            aside, mark = (stack[-1][1], stack[-1][2]) if stack else (False, "")
-            out.append(("text", text, aside, mark))
+            out.append(("text", text, aside or named, mark, share, part))
         if not m:
             break
         at = m.end()
         if not m[1]:
             continue
         name = m[1].lower()
-        aside, mark = (stack[-1][1], stack[-1][2]) if stack else (False, "")
         if m[0][1] == "/":
             if any(s[0] == name for s in stack):
                 while stack.pop()[0] != name:
                     pass
-            out.append(("end", name, aside, mark))
+                _, aside, named, mark, share, part = stack[-1] if stack else ("", False, False, "", 1.0, -1)
+            out.append(("end", name, aside or named, mark, share, part))
             continue
         if name in RAW and not m[0].endswith("/>"):
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else (at if name in ("button", "select", "svg", "math") else len(page))
-            out.append(("start", name, True, mark))
+            at = end.end() if end else (at if name in ("button", "select", "svg") else len(page))
+            out.append(("start", name, True, mark, share, part))
             continue
-        if name in ("article", "main") or name == "body" and not mark:
-            mark = name if mark != "article" else mark
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        here = aside or name in ASIDE or (name == "header" and mark != "article") or (name not in ("body", "html", "article", "main") and bool(m[2]) and named_aside(m[2]))
-        out.append(("start", name, here, mark))
+        leaves = named_aside(m[2] or "", mark == "article") if m[2] and name not in ("body", "html", "main") else 1.0
+        if name in ("article", "main"):
+            if name == "article" and leaves > NAMED_FOREIGN and (leaves > 0 or not any(w in FOREIGN for w in re.split(r"[^a-z]+", m[2].lower()))):
+                leaves = 1.0
+            if leaves == 1.0:
+                named, share, part = False, 1.0, -1
+        if name in ("article", "main") or name == "body" and not mark:
+            mark = name if mark != "article" else mark
+        aside = aside or name in ASIDE or (name == "header" and mark != "article") or (name not in ("body", "html", "article", "main") and bool(m[2]) and hidden(m[2]))
+        named = named or leaves == 0
+        if leaves not in (0.0, 1.0):
+            share, part = min(share, leaves), len(out)
+        out.append(("start", name, aside or named, mark, share, part))
         if name not in VOID and not m[0].endswith("/>"):
-            stack.append((name, here, mark))
+            stack.append((name, aside, named, mark, share, part))
     return out
 
 
@@ -104,7 +130,7 @@ def feature(kind: str, name: str, links: int) -> str:
 def counted(page: str, into: dict) -> None:
     """Adds how often each feature stands inside and outside a page's labelled content (article or main) to `into`."""
     links = 0
-    for kind, name, aside, mark in parsed(page):
+    for kind, name, aside, mark, _, _ in parsed(page):
         links += (kind == "start") - (kind == "end") if name == "a" and kind != "text" else 0
         n = len(name.split()) if kind == "text" else 1
         inside = mark in ("article", "main") and not aside
@@ -156,25 +182,44 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(sums[:b] == low[b])[-1]), b
 
 
-def extract(page: str | None, weights: dict[str, float] = PLAIN) -> str:
-    """A page's main text: the region of the largest score, without what is no article inside it.
-
-    Words score above 0 and tags below. What is no article costs its first tag only: it may stand inside the
-    region, but its text never counts. A page without positive region has no text.
-    """
-    tokens = parsed(page or "")
+def scored(tokens: list[tuple], weights: dict[str, float]) -> np.ndarray:
+    """Each token's score."""
     links, scores, before = 0, np.zeros(len(tokens)), False
-    for k, (kind, name, aside, mark) in enumerate(tokens):
+    for k, (kind, name, aside, mark, share, _) in enumerate(tokens):
         links += (kind == "start") - (kind == "end") if name == "a" and kind != "text" else 0
         labelled = mark in ("article", "main")
         if aside:
             scores[k] = 0 if before else weights["tag"] * (LABELLED_TAG if labelled else 1)
         elif kind == "text":
             w = weights["linked"] if links > 0 else weights["word"]
-            scores[k] = len(name.split()) * (max(w, LABELLED_WORD * weights["word"]) if labelled else w)
+            if share != 1:
+                w = min(w, PLAIN["linked"]) if links > 0 else w * share
+            scores[k] = len(name.split()) * (max(w, LABELLED_WORD * weights["word"]) if labelled and share == 1 else w)
         else:
             scores[k] = weights.get(f"<{name}", weights["tag"]) * (LABELLED_TAG if labelled else 1)
         before = aside
+    return scores
+
+
+def without_named(tokens: list[tuple], weights: dict[str, float]) -> list[tuple]:
+    """The tokens, with those parts as no article whose name lowers their words' weights and whose score is not above 0 then."""
+    scores, total = scored(tokens, weights), {}
+    for k, t in enumerate(tokens):
+        if t[5] >= 0:
+            total[t[5]] = total.get(t[5], 0.0) + scores[k]
+    gone = {p for p, x in total.items() if x <= 0}
+    return [(kind, name, aside or part in gone, mark, share, part) for kind, name, aside, mark, share, part in tokens]
+
+
+def extract(page: str | None, weights: dict[str, float] = PLAIN) -> str:
+    """A page's main text: the region of the largest score, without what is no article inside it.
+
+    Words score above 0 and tags below. What is no article costs its first tag only: it may stand inside the
+    region, but its text never counts. A page without positive region has no text.
+    """
+    tokens = parsed(page or "")
+    tokens = without_named(tokens, weights) if any(t[5] >= 0 for t in tokens) else tokens
+    scores = scored(tokens, weights)
     a, b = best_region(scores)
     blocks, held = [], []
 
@@ -183,7 +228,7 @@ def extract(page: str | None, weights: dict[str, float] = PLAIN) -> str:
             blocks.append(text)
         held.clear()
 
-    for kind, name, aside, _ in tokens[a:b]:
+    for kind, name, aside, *_ in tokens[a:b]:
         if kind == "text":
             if not aside:
                 held.append(name)

@@ -141,3 +141,18 @@ def test_licence_scan_of_several_notices(docs):
     got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs(rows)).collect()}
     for i, (labels, _) in enumerate(files):
         assert set(labels) <= set(got[i]), i
+
+
+PROSE = "Some long running prose of the text with quite a few words that a reader would want to read here"
+
+
+@pytest.mark.parametrize("wrapper", ["content-sidebar-wrap", "has-sidebar", "sidebar", "page header-fixed"])
+def test_wrapper_names_leave_the_article(wrapper):
+    page = f"<body><nav><a>Menu</a></nav><div class='{wrapper}'><article><p>{PROSE}</p></article></div><footer>Foot</footer></body>"
+    assert htmltext.extract(page) == PROSE
+    assert htmltext.extract(page.replace("article>", "main>")) == PROSE
+
+
+def test_names_inside_an_article():
+    page = "<body><article><header class='entry-header'><h1>The title</h1></header><p>{0}</p><section class='related-work'><h2>Related work</h2><p>{0}</p></section><figure><figcaption>Caption words</figcaption></figure><p>Let <math><mi>x</mi></math> be <object>an object</object></p><div class='share-buttons'><a>Tweet</a></div><div class='ad'>Buy</div></article><section id='comments'><article class='comment'><p>{0}</p></article></section></body>".format(PROSE)
+    assert htmltext.extract(page) == f"The title {PROSE} Related work {PROSE} Caption words Let x be an object"
