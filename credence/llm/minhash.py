@@ -179,8 +179,10 @@ def grouped(docs: DataFrame, keep: dict[str, str], similarity: float = SIMILARIT
 
     found = written(map_texts(docs, "text", keep, described, "fp bigint, shingles array<bigint>, bands array<bigint>"), "minhash-sets")
     bands = found.select("fp", F.explode("bands").alias("band")).distinct()
-    shared = written(bands.join(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "minhash-bands")
-    sets = written(found.select("fp", "shingles").join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")), "minhash-shared")
+    held = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
+    once = held.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")  # bands of the same sets are compared once
+    shared = written(bands.join(once, "band"), "minhash-bands")
+    sets = written(found.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(shared.select("fp").distinct(), "fp", "left_semi"), "minhash-shared")
 
     def links(dealt: DataFrame) -> DataFrame:
         groups = dealt.select("band", "lo", "hi", "block", "fp").join(sets.hint("merge"), "fp")
@@ -195,6 +197,9 @@ def grouped(docs: DataFrame, keep: dict[str, str], similarity: float = SIMILARIT
     few, many = parts(F.col("n") - F.col("m")), parts(F.col("m"))
     inside = F.col("root") == F.col("main")
     rest = full.join(most, "band").where("n > m").select("band", "fp", few.alias("few"), many.alias("many"), inside.alias("inside"), F.when(inside, few + F.pmod(F.xxhash64("fp"), many)).otherwise(F.pmod(F.xxhash64("fp"), few)).alias("block"))
+    rest = written(rest, "minhash-rest")
+    if rest.isEmpty():
+        return found.drop("shingles", "bands"), roots.select(F.col("node").alias("fp"), "root")
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
     further = links(rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp"))
     if not further.isEmpty():
