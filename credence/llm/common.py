@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,11 +38,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() has stored, once nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df, a table or its filtered rows, reads, as the optimiser knows them; 0 for rows that stand in no file."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def release_memory() -> None:
+    """Gives what a Python worker no longer needs back to the system: workers that wait for another task stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 #: Rows and bytes of a batch that goes to a Python worker: what a task holds at once, whatever the texts' lengths.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -200,7 +225,11 @@ def map_texts(df: DataFrame, text: str, keep: dict[str, str], fn, out: str, limi
     other columns, whatever their names, are not read.
     """
     small_batches(df.sparkSession)
-    source = df.select(*[F.col(f"`{a}`").alias(f"k{i}") for i, a in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
+    kept = [F.col(f"`{a}`").alias(f"k{i}") for i, a in enumerate(keep)]
+    whole = F.col(f"`{text}`")
+    once = text in keep and dict(df.dtypes)[text] == "string"  # then the text goes to the worker once
+    source = df.select(*kept) if once else df.select(*kept, whole.cast("string").alias("t"))
+    at = list(keep).index(text) if once else len(keep)
     fields = [(b, source.schema[f"k{i}"].dataType) for i, b in enumerate(keep.values())]
     ddl = ", ".join([*(f"`{b}` {kind.simpleString()}" for b, kind in fields), *([out] if out else [])])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -210,12 +239,15 @@ def map_texts(df: DataFrame, text: str, keep: dict[str, str], fn, out: str, limi
     names = list(keep.values())
 
     def run(batches):
-        for batch in batches:
-            texts = texts_of(batch.column(batch.num_columns - 1))
-            for a, b in chunks(texts, limit):
-                made = fn(texts.slice(a, b - a))
-                columns = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(names)} | made
-                yield pa.RecordBatch.from_arrays([_column(columns[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in batches:
+                texts = texts_of(batch.column(at))
+                for a, b in chunks(texts, limit):
+                    made = fn(texts.slice(a, b - a))
+                    columns = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(names)} | made
+                    yield pa.RecordBatch.from_arrays([_column(columns[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            release_memory()
 
     return source.mapInArrow(run, ddl)
 

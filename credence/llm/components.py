@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,6 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         new = written(_small_star(_large_star(edges)), "links")
         now = _state(new)
+        discard(edges)
         edges = new
         if now == state:
             break

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, chunks, map_texts, random_words, shingle_hashes, small_batches, texts_of, written
+from .common import CHUNK_BYTES, Words, chunks, input_bytes, map_texts, mix, random_words, release_memory, shingle_hashes, small_batches, spare_name, texts_of, written
 from .components import components
 from .simhash import one_of_each, row_keys
 
@@ -21,25 +21,47 @@ BAND_ROWS = 4
 #: Texts of a band that are compared in one group.
 BLOCK = 128
 
+#: Times that a fuller band is divided by further bands of other permutations, before what is left in one is compared in pairs of blocks.
+LEVELS = 2
+
+#: Bytes of text whose shingles are hashed at once.
+BLOCK_BYTES = 1 << 18
+
+#: Bytes of documents that one stretch of their order holds, about.
+PART_BYTES = 128 << 20
+
 #: Jaccard similarity from which documents are near-duplicates.
 SIMILARITY = 0.8
 
 #: Universal hashes of 64-bit values: the upper half of a * x + b modulo 2**64, a odd.
-_A = random_words(41, 256) | np.uint64(1)
-_B = random_words(43, 256)
+_A = random_words(41, 1024) | np.uint64(1)
+_B = random_words(43, 1024)
 
 
 def signatures(texts: pa.Array, size: int = SHINGLE, permutations: int = PERMUTATIONS) -> np.ndarray:
     """A row of `permutations` 32-bit minima for each text; all ones for a text without words."""
-    made = np.full((len(texts), permutations), 0xFFFFFFFF, dtype=np.uint32)
-    x, first = shingle_hashes(Words(texts), size)
+    return minima(*shingle_hashes(Words(texts), size), permutations)
+
+
+def minima(x: np.ndarray, first: np.ndarray, permutations: int, skip: int = 0) -> np.ndarray:
+    """A row of the least hashes of x[first[i]:first[i + 1]] under each permutation after the first `skip`; all ones for none."""
+    made = np.full((len(first) - 1, permutations), 0xFFFFFFFF, dtype=np.uint32)
     some = np.flatnonzero(np.diff(first))
     if len(some):
         for k in range(permutations):
-            made[some, k] = np.minimum.reduceat((x * _A[k] + _B[k]) >> np.uint64(32), first[some]).astype(np.uint32)
+            made[some, k] = np.minimum.reduceat((x * _A[skip + k] + _B[skip + k]) >> np.uint64(32), first[some]).astype(np.uint32)
     return made
 
 
+def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
+    """A column for each band of `rows` minima: a hash of the band's number and minima."""
+    bands = signature.shape[1] // rows
+    keys = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64) + np.uint64(1)), (len(signature), bands))
+    for j in range(rows):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + signature[:, j : bands * rows : rows])
+    return keys
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The share of equal minima, an estimate of the Jaccard similarity of the shingles."""
     return (a == b).mean(axis=-1)
@@ -59,23 +81,31 @@ def edited(text: str, following: str) -> str:
 def _ordered(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (part, own, doc_id, text) in which each part, in order, holds a stretch of the descending doc_ids and then
     the first row of the next stretch (own false), after the last the very first."""
+    from pyspark.ml.feature import Bucketizer
+
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = rows.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    part = F.lit(0)
-    for c in sorted({int(c) for c in cuts}):
-        part = part + F.when(F.col("doc_id") < c, 1).otherwise(0)
-    part = F.when(F.col("doc_id").isNull(), parts).otherwise(part)
-    rows = rows.withColumn("part", part.cast("int"))
+    at = rows.withColumn("at", F.col("doc_id").cast("double"))
+    cuts = sorted(set(at.where("at is not null").approxQuantile("at", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]  # it asks for two buckets at least
+    # a binary search in the JVM, however many parts there are; null ids come after all
+    rows = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(at)
+    part = F.when(F.col("doc_id").isNull(), len(splits)).otherwise(len(splits) - 2 - F.col("bucket"))
+    rows = rows.select(part.cast("int").alias("part"), "doc_id", "text")
     last = rows.groupBy("part").agg(F.max("doc_id").alias("doc_id"))  # a row for each part
     heads = rows.join(F.broadcast(last.withColumnRenamed("part", "p")), (F.col("part") == F.col("p")) & rows["doc_id"].eqNullSafe(last["doc_id"])).groupBy("part").agg(F.max(F.struct(rows["doc_id"], F.col("text"))).alias("h"))
     heads = written(heads.select("part", "h.doc_id", "h.text"), "minhash-heads")
     names = sorted(r["part"] for r in heads.select("part").collect())
-    before = F.create_map(*[x for a, b in zip(names, names[-1:] + names[:-1], strict=True) for x in (F.lit(a), F.lit(b))]) if names else F.create_map().cast("map<int,int>")
-    ends = heads.select(before[F.col("part")].cast("int").alias("part"), F.lit(False).alias("own"), "doc_id", "text")
+    before = docs.sparkSession.createDataFrame(list(zip(names, names[-1:] + names[:-1], strict=True)), "part int, before int")  # a row for each part
+    ends = heads.join(F.broadcast(before), "part").select(F.col("before").alias("part"), F.lit(False).alias("own"), "doc_id", "text")
     both = rows.select("part", F.lit(True).alias("own"), "doc_id", "text").unionByName(ends)
     return both.repartition(max(1, parts), "part").sortWithinPartitions("part", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("text"))
 
 
+def parts_of(docs: DataFrame) -> int:
+    """Stretches of the ordered documents: as many as shuffles have partitions, and more where one would exceed PART_BYTES."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // PART_BYTES))
+
+
 def compared(docs: DataFrame, size: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
     """Each document's fingerprint, its edited text's, and how like they and the next document's are.
 
@@ -119,10 +149,10 @@ def compared(docs: DataFrame, size: int = SHINGLE, permutations: int = PERMUTATI
                     if len(all_texts) > 1:
                         yield out(ids.slice(0, len(ids) - 1), all_texts)
                     held_ids, held = ids.slice(len(ids) - 1), all_texts[-1:]
+        release_memory()
 
     small_batches(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _ordered(docs, parts).mapInArrow(run, schema)
+    return _ordered(docs, parts_of(docs)).mapInArrow(run, schema)
 
 
 def _links(similarity: float):
@@ -158,53 +188,95 @@ def _links(similarity: float):
     return run
 
 
-def grouped(docs: DataFrame, keep: dict[str, str], similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def _lists(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix of 64-bit numbers as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
+
+
+def _further_bands(level: int, permutations: int, rows: int):
+    """Over rows (fp, shingles): fp and each of its bands by the permutations of `level`."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            keys = band_keys(minima(lists.flatten().to_numpy().view(np.uint64), first, permutations, level * permutations), rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(keys)], names=["fp", "bands"])
+
+    return run
+
+
+def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(every row's kept columns and fp; fp and root of the fps that are linked): rows of one root, or else of one fp, are one group.
 
-    fp stands for a set of shingles. Sets that share a band of the signature are compared, in blocks of about `block`.
-    In a band of more blocks, what the blocks' links leave outside the band's largest component is then compared with
-    the rest, so pairs within one component are not.
+    fp stands for a set of shingles. Sets that share a band of the signature are compared, in blocks of about `block`;
+    only sets that share a band are ever stored. Blocks of a band of one component need no more. In other bands of more
+    blocks, those are compared that also share one of as many bands by further permutations (so two alike are missed
+    with the same small probability as before), in blocks again, and so on `levels` times. What then is left of more
+    blocks and components, texts that share band after band and are not alike, is compared in all pairs of blocks:
+    those outside the band's largest component with all.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
+    keyed, keys = row_keys(docs)
 
     def described(texts):
         x, first = shingle_hashes(Words(texts), size)
         sets = [np.unique(x[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        own = signatures(texts, size, permutations)
-        digest = lambda data: int(np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), np.int64)[0])
-        return {
-            "fp": [digest(s.tobytes()) for s in sets],
-            "shingles": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))),
-            "bands": [[digest(bytes([k]) + s[k : k + rows].tobytes()) for k in range(0, permutations, rows)] for s in own],
-        }
-
-    found = written(map_texts(docs, "text", keep, described, "fp bigint, shingles array<bigint>, bands array<bigint>"), "minhash-sets")
-    bands = found.select("fp", F.explode("bands").alias("band")).distinct()
-    held = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
-    once = held.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")  # bands of the same sets are compared once
-    shared = written(bands.join(once, "band"), "minhash-bands")
-    sets = written(found.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(shared.select("fp").distinct(), "fp", "left_semi"), "minhash-shared")
+        sums = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) ^ len(s) for s in sets]
+        return {"fp": np.array(sums, np.uint64).view(np.int64), "bands": _lists(band_keys(minima(x, first, permutations), rows))}
+
+    def shingled(texts):
+        x, first = shingle_hashes(Words(texts), size)
+        sets = [np.unique(x[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        ends = np.cumsum([0, *[len(s) for s in sets]])
+        return {"shingles": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))}
+
+    found = written(map_texts(keyed, "text", {k: k for k in dict.fromkeys([*keep, *keys])}, described, "fp bigint, bands array<bigint>", limit=BLOCK_BYTES), "minhash-bands-of-rows")
+
+    def crowded(bands: DataFrame) -> DataFrame:
+        """(band, fp, n) of the bands that hold n > 1 sets; bands of the same sets count once."""
+        held = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
+        once = held.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
+        return written(bands.join(once, "band"), "minhash-shared")
+
+    one = found.groupBy("fp").agg(F.min(F.struct(*keys)).alias("k"), F.first("bands").alias("bands"))
+    shared = crowded(one.select("fp", F.explode("bands").alias("band")).distinct())
+    wanted = written(found.groupBy("fp").agg(F.min(F.struct(*keys)).alias("k")).join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "k.*"), "minhash-wanted")
+    text = spare_name(keyed, "set_text")
+    texts = keyed.select(*keys, F.col("text").alias(text)).join(wanted.hint("merge"), keys)
+    sets = written(map_texts(texts, text, {"fp": "fp"}, shingled, "shingles array<bigint>", limit=BLOCK_BYTES).groupBy("fp").agg(F.first("shingles").alias("shingles")), "minhash-sets")  # a row may stand twice
 
     def links(dealt: DataFrame) -> DataFrame:
         groups = dealt.select("band", "lo", "hi", "block", "fp").join(sets.hint("merge"), "fp")
         return written(groups.groupBy("band", "lo", "hi").applyInArrow(_links(similarity), "a bigint, b bigint").distinct(), "minhash-links")
 
     parts = lambda n: F.ceil(n / F.lit(float(block)))
-    own = F.pmod(F.xxhash64("fp"), parts(F.col("n")))
-    pairs = links(shared.select("band", "fp", own.alias("lo"), own.alias("hi"), own.alias("block")))
-    roots = written(components(pairs), "minhash-roots")
-    full = shared.where(F.col("n") > block).join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    most = full.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("most")).select("band", "most.m", F.col("most.root").alias("main"))
+    pairs, level = None, 0
+    while True:
+        own = F.pmod(F.xxhash64("fp"), parts(F.col("n")))
+        new = links(shared.select("band", "fp", own.alias("lo"), own.alias("hi"), own.alias("block")))
+        pairs = new if pairs is None else pairs.union(new)
+        roots = written(components(pairs), "minhash-roots")
+        full = shared.where(F.col("n") > block).join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root"))
+        most = full.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("most")).select("band", "most.m", F.col("most.root").alias("main"))
+        rest = written(full.join(most, "band").where("n > m"), "minhash-rest")
+        level += 1
+        if rest.isEmpty():
+            return found.select(*keep, "fp"), roots.select(F.col("node").alias("fp"), "root")
+        if level > levels:
+            break
+        members = sets.join(rest.select("fp").distinct(), "fp", "left_semi").select("fp", "shingles")
+        further = members.mapInArrow(_further_bands(level, permutations, rows), "fp bigint, bands array<bigint>")
+        inside = rest.select("fp", "band").join(further, "fp").select("fp", F.explode(F.transform("bands", lambda b: F.xxhash64("band", b))).alias("band"))
+        shared = crowded(inside.distinct())
     few, many = parts(F.col("n") - F.col("m")), parts(F.col("m"))
     inside = F.col("root") == F.col("main")
-    rest = full.join(most, "band").where("n > m").select("band", "fp", few.alias("few"), many.alias("many"), inside.alias("inside"), F.when(inside, few + F.pmod(F.xxhash64("fp"), many)).otherwise(F.pmod(F.xxhash64("fp"), few)).alias("block"))
-    rest = written(rest, "minhash-rest")
-    if rest.isEmpty():
-        return found.drop("shingles", "bands"), roots.select(F.col("node").alias("fp"), "root")
+    rest = rest.select("band", "fp", few.alias("few"), many.alias("many"), inside.alias("inside"), F.when(inside, few + F.pmod(F.xxhash64("fp"), many)).otherwise(F.pmod(F.xxhash64("fp"), few)).alias("block"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
-    further = links(rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp"))
-    if not further.isEmpty():
-        roots = written(components(pairs.union(further)), "minhash-roots")
-    return found.drop("shingles", "bands"), roots.select(F.col("node").alias("fp"), "root")
+    last = links(rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp"))
+    roots = written(components(pairs.union(last)), "minhash-roots")
+    return found.select(*keep, "fp"), roots.select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
@@ -215,7 +287,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     blocks, a task's group each, which return links that connect what is alike, not all pairs. class_id is the
     smallest doc_id of the class. Null and wordless texts form one class. Repeated rows stay; an empty table gives no rows.
     """
-    found, roots = grouped(docs, {"doc_id": "doc_id"}, similarity, size, permutations, rows, block)
+    found, roots = grouped(docs, ["doc_id"], similarity, size, permutations, rows, block)
     classes = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     linked = classes.join(roots, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("class_id")), "root").select("fp", "class_id")
@@ -226,5 +298,5 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more), all its columns
     kept: the row of the smallest doc_id (nulls last), then of the smallest text. No group is lost, whatever its doc_ids."""
-    keyed, keys = row_keys(docs)
-    return one_of_each(docs, *grouped(keyed, {k: k for k in ("doc_id", *keys)}))
+    _, keys = row_keys(docs)
+    return one_of_each(docs, *grouped(docs, ["doc_id", *keys]))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import _SPACE, NO_LETTER, Words, map_texts, mix, raw_bytes
 
+#: Bytes of text that are hashed at once.
+BLOCK_BYTES = 1 << 18
+
 #: Weights, one for each hash bucket.
 BUCKETS = 1 << 20
 
@@ -48,23 +51,28 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words, its words' mean length and its own length, each in steps.
     """
     n = len(texts)
-    letters, symbols, spaced = Words(texts, NO_LETTER), Words(texts, _NO_SYMBOL), Words(texts, _SPACE)
     data, offsets = raw_bytes(texts)
     size = np.maximum(np.diff(offsets), 1)
 
     def share(mask):
-        sums = np.concatenate([[0], np.cumsum(mask[data])])
+        sums = np.concatenate([[0], np.cumsum(mask[data], dtype=np.int64)])
         return (sums[offsets[1:]] - sums[offsets[:-1]]) / size
 
+    def hashed(ends_word: np.ndarray, seed: int = 0):
+        """(row, bucket) of each run, as one number; the words go before the next kind of them is made."""
+        words = Words(texts, ends_word)
+        codes = mix(words.hashes + np.uint64(seed)) if seed else words.hashes
+        return words.rows * BUCKETS + (codes % np.uint64(BUCKETS)).astype(np.int64)
+
+    spaced = Words(texts, _SPACE)
     counts = np.diff(spaced.first)
     pairs = np.unique(spaced.hashes ^ mix(spaced.rows.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
     distinct = np.bincount(spaced.rows[pairs], minlength=n) / np.maximum(counts, 1)
+    del spaced, pairs
     width = size / np.maximum(counts, 1)
     shape = [share(_UPPER) * 20, share(_DIGIT) * 20, share(~_NO_SYMBOL) * 20, distinct * 10, np.minimum(width, 40) / 2, np.log2(size)]
-    codes = np.concatenate([mix(x.astype(np.uint64) + np.uint64(1000 * (k + 1))) for k, x in enumerate(shape)])
-    rows = np.concatenate([letters.rows, symbols.rows, np.tile(np.arange(n), len(shape))])
-    both = np.concatenate([letters.hashes, mix(symbols.hashes + np.uint64(1)), codes]) % np.uint64(BUCKETS)
-    keys = np.unique(rows.astype(np.int64) * BUCKETS + both.astype(np.int64))
+    codes = [np.arange(n) * BUCKETS + (mix(x.astype(np.uint64) + np.uint64(1000 * (k + 1))) % np.uint64(BUCKETS)).astype(np.int64) for k, x in enumerate(shape)]
+    keys = np.unique(np.concatenate([hashed(NO_LETTER), hashed(_NO_SYMBOL, 1), *codes]))
     return (keys % BUCKETS).astype(np.int32), np.searchsorted(keys, np.arange(n + 1) * BUCKETS)
 
 
@@ -137,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
         buckets, first = features(texts)
         return {"buckets": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(buckets, pa.int32()))}
 
-    rows = map_texts(chosen, "text", {"g": "g"}, hashed, "buckets array<int>").toArrow()
+    rows = map_texts(chosen, "text", {"g": "g"}, hashed, "buckets array<int>", BLOCK_BYTES).toArrow()
     lists = rows["buckets"].combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     grades = rows["g"].to_numpy().astype(np.int64)
@@ -165,4 +173,4 @@ def scored(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray, keep: dict[st
         above = 1 - _sigmoid(c[None, :] - s[:, None])
         return {"expected_grade": above.sum(axis=1), "p_good": above[:, -1]}
 
-    return map_texts(docs, "text", keep or {"doc_id": "doc_id"}, score, "expected_grade double, p_good double")
+    return map_texts(docs, "text", keep or {"doc_id": "doc_id"}, score, "expected_grade double, p_good double", BLOCK_BYTES)

@@ -149,6 +149,49 @@ def test_minhash_against_brute_force(docs):
     assert minhash.compared(docs([(1, "a b")])).first()["near_next"] == 1.0
 
 
+def test_minhash_at_many_partitions_and_odd_ids(spark, docs):
+    """2,000 parts plan and run; repeated and null doc_ids and a very long text are rows like others."""
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    rows = [(7, "a b c"), (7, "a b d"), (7, "a b c"), (None, "x y"), (None, None), (1, long), (9, "z"), (-4, "")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        parts = minhash._ordered(docs([(i, str(i)) for i in range(3000)]), 2000).select("part", "own", "doc_id").collect()
+        ordered = sorted((r for r in parts if r["own"]), key=lambda r: -r["doc_id"])
+        assert [r["doc_id"] for r in ordered] == list(range(2999, -1, -1))
+        assert [r["part"] for r in ordered] == sorted(r["part"] for r in ordered) and len({r["part"] for r in ordered}) > 900
+        got = minhash.compared(docs(rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = [(9, "z"), (7, "a b d"), (7, "a b c"), (7, "a b c"), (1, long), (-4, ""), (None, "x y"), (None, "")]
+    want = sorted((str(d), len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()) for (d, t), (_, n) in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == want
+
+
+def test_hot_band_of_unlike_texts(docs):
+    """Texts that share a long passage and many bands, in many small groups: divided by further bands, all groups are found, in no more than a few comparisons."""
+    draw = random.Random(21)
+    head = [f"h{i}" for i in range(120)]
+    rows, want = [], {}
+    for k in range(150):
+        tail = [f"t{k}x{j}" for j in range(60)]
+        for i in range(2):
+            w = head + tail
+            if i:
+                w[draw.randrange(len(w))] = f"edit{k}"
+            rows.append((2 * k + i, " ".join(w)))
+            want[2 * k + i] = 2 * k
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    assert all(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for i in range(0, 40, 2) for j in range(i))
+    for levels in (0, 2):
+        found, roots = minhash.grouped(docs(rows), ["doc_id"], block=8, levels=levels)
+        root = {r["fp"]: r["root"] for r in roots.collect()}
+        least = {}
+        for r in found.collect():
+            least.setdefault(root.get(r["fp"], r["fp"]), []).append(r["doc_id"])
+        assert {d: min(g) for g in least.values() for d in g} == want
+
+
 @pytest.mark.parametrize("block", [2, 128])
 def test_minhash_classes(docs, block):
     draw = random.Random(2)
