@@ -19,6 +19,12 @@ LONG_TEXT = 65536
 #: pattern always starts at such a space, whatever stands before it.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
+#: Runs of this many white-space characters are encoded by themselves.
+LEAST_RUN = 4096
+
+#: White space of the pattern: the property of Unicode, which Python's class exceeds by four control characters.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LEAST_RUN)
+
 
 @functools.lru_cache(maxsize=4)
 def encoding(rank_file: str, pattern: str):
@@ -43,11 +49,23 @@ def safe_parts(text: str, size: int = LONG_TEXT) -> list[str]:
 
 
 def encode(text: str, rank_file: str, pattern: str, size: int = LONG_TEXT) -> list[int]:
-    """Token ids of the whole text; the same for every `size`."""
+    """Token ids of the whole text; the same for every `size`.
+
+    Of a run of white space before another character, all but the last make one match of the pattern, and at the end
+    of the text all do: long runs go to the ranks as they are, as the library's search for a match can't hold them.
+    """
     enc = encoding(rank_file, pattern)
-    if len(text) <= size:
-        return enc.encode_ordinary(text)
-    return [i for part in safe_parts(text, size) for i in enc.encode_ordinary(part)]
+    made: list[int] = []
+    at = 0
+    for run in LONG_RUN.finditer(text) if len(text) >= LEAST_RUN else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        for part in safe_parts(text[at : run.start()], size):
+            made += enc.encode_ordinary(part)
+        made += enc._core_bpe.encode_single_piece(text[run.start() : end].encode())
+        at = end
+    for part in safe_parts(text[at:], size):
+        made += enc.encode_ordinary(part)
+    return made
 
 
 def decode(ids, rank_file: str, pattern: str) -> bytes:
@@ -55,15 +73,6 @@ def decode(ids, rank_file: str, pattern: str) -> bytes:
     return encoding(rank_file, pattern).decode_bytes(ids)
 
 
-def with_ids(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array<int>) of every whole text; a null text counts as empty, repeated rows stay."""
-
-    def ids(texts):
-        return {"ids": [encode(t, rank_file, pattern) for t in texts.to_pylist()]}
-
-    return map_texts(docs, "text", {"doc_id": "doc_id"}, ids, "ids array<int>")
-
-
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Every whole text encoded, decoded again, and both digested.
 

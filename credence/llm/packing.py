@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SAFE_CUT
-from .common import CHUNK_BYTES, chunks, small_batches, texts_of
+from .common import CHUNK_BYTES, chunks, release_memory, small_batches, texts_of
 
 SEQUENCE_LENGTH = 1024
 END_ID = 2
@@ -26,8 +26,10 @@ OPEN_BINS = 2048
 #: Pieces that a packer takes at once, longest first: short ones then find the gaps that long ones leave.
 WINDOW = 2048
 
-#: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Bytes of words and ids that a worker remembers before it starts anew, bytes that an entry takes besides, and characters of the longest part that is kept.
+CACHE_BYTES = 128 << 20
+ENTRY_BYTES = 150
+LONGEST_KEPT = 64
 
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
@@ -99,28 +101,42 @@ class CachedEncoder:
     the text. Parts seen before come from a bounded memory, the others go to the tokenizer in one call.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
-        self.path, self.limit, self.known = path, limit, {}
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
+        self.path, self.limit, self.known, self.held = path, limit, {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {}
-        known, parts = self.known, []
+        if self.held > self.limit:
+            self.known, self.held = {}, 0
+        made, missing, parts, known = [], [], set(), self.known.get
         for t in texts:
             if CROSSING.search(t):
                 found = SAFE_CUT.split(t)
                 found[1:] = [" " + p for p in found[1:]]
             else:
                 found = RUNS.findall(t)
-            parts.append(found)
-        new = {p for found in parts for p in found if p not in known}
-        if new:
-            plain = [p for p in new if p.isalpha() or p[:1] == " " and p[1:].isalpha()]
-            known.update(self._runs([p for p in plain if p[0] == " "]))
-            other = [p for p in new if p not in known]
-            for p, e in zip(other, tokenizer(self.path).encode_batch_fast(other, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
-        return [b"".join([known[p] for p in found]) for found in parts]
+            ids = list(map(known, found))
+            if None in ids:
+                new = [j for j, x in enumerate(ids) if x is None]
+                parts.update([found[j] for j in new])
+                missing.append((ids, found, new))
+            made.append(ids)
+        if missing:
+            fresh = self._encoded(parts)
+            for ids, found, new in missing:
+                for j in new:
+                    ids[j] = fresh[found[j]]
+            for p, ids in fresh.items():
+                if len(p) <= LONGEST_KEPT:
+                    self.known[p] = ids
+                    self.held += ENTRY_BYTES + 2 * len(p) + len(ids)
+        return [b"".join(ids) for ids in made]
+
+    def _encoded(self, parts: set[str]) -> dict[str, bytes]:
+        found = dict(self._runs([p for p in parts if p[:1] == " " and p[1:].isalpha()]))
+        other = [p for p in parts if p not in found]
+        for p, e in zip(other, tokenizer(self.path).encode_batch_fast(other, add_special_tokens=False), strict=True):
+            found[p] = array("I", e.ids).tobytes()
+        return found
 
     def _runs(self, words: list[str], size: int = 256):
         """(word, ids) of words, a space and letters each: encoded on end, each is a pre-token of its own."""
@@ -183,5 +199,6 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = SEQUENCE_LENGTH,
                     held = held[window:]
         if held:
             yield placed(held)
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

@@ -98,3 +98,41 @@ def test_safe_parts():
 @pytest.mark.parametrize("text", ["x" * 200_000, "a " * 100_000])
 def test_very_long_texts(docs, text):
     assert bpe.round_trip(docs([(1, text)]), RANKS, PATTERN).first()["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("c", [" ", "\t", "\n", "\u3000", " \n", "a", "中"])
+def test_a_million_times_the_same(c):
+    """Long runs have the ids of the ranks: what the library says of shorter runs in the same place goes on."""
+    text = "x" + c * 1_000_000 + "y"
+    ids = bpe.encode(text, RANKS, PATTERN)
+    assert bpe.decode(ids, RANKS, PATTERN) == text.encode()
+    white = c.isspace()
+    piece = (c * 1_000_000)[:-1] if white else text
+    own = bpe.encoding(RANKS, PATTERN)._core_bpe.encode_single_piece(piece.encode())
+    assert ids == ([*bpe.encode("x", RANKS, PATTERN), *own, *bpe.encode(c[-1] + "y", RANKS, PATTERN)] if white else own)
+
+
+def test_long_runs_among_others():
+    draw = random.Random(1)
+    enc = bpe.encoding(RANKS, PATTERN)
+    kinds = [lambda: " " * draw.randrange(4090, 4110), lambda: "\n" * draw.randrange(4090, 4105), lambda: " \t\n" * 1500, *[lambda x=x: x for x in ("a", "!", "1", " ", "'s", "é")]]
+    for _ in range(100):
+        text = "".join(draw.choice(kinds)() for _ in range(draw.randrange(1, 7)))
+        assert bpe.encode(text, RANKS, PATTERN) == enc.encode_ordinary(text)
+
+
+def test_cache_is_bounded_by_bytes():
+    """Unspaced texts of many characters are not kept, and words are as far as the bound goes; the ids stay the same."""
+    draw = random.Random(3)
+    encoder = packing.CachedEncoder(FILE, limit=100_000)
+    for turn in range(4):
+        texts = ["".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(5000)) for _ in range(20)] + [" ".join(f"w{draw.randrange(10**6)}" for _ in range(300)) for _ in range(3)]
+        got = encoder.encode(texts)
+        for t, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == packing.tokenizer(FILE).encode(t, add_special_tokens=False).ids
+        assert all(len(p) <= packing.LONGEST_KEPT for p in encoder.known) and encoder.held <= 2 * encoder.limit
+
+
+def test_repeated_rows_are_packed_each(docs):
+    got = packing.pack(docs([(5, "same text")] * 3 + [(None, "x"), (None, "x")]), FILE).collect()
+    assert len(got) == 5 and len({(r["sequence_id"], r["offset"]) for r in got}) == 5
