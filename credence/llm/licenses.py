@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -42,9 +43,6 @@ TEMPLATES = [
 #: Fixed values. Words of the notices that are too common to find one by.
 COMMON = "a and any are as be by can code following for form forms free in into is it of or person provided purpose source subject terms that the this to under use v with without you 0 2 3 4".split()
 
-#: Words of a file, highest IDF first, that the SQL looks up; the scan looks up all, which differs where a file has more distinct ones.
-LOOKED_UP = 12
-
 #: Least number of a notice's indexed words (all, if it has fewer) that must stand at the same relative position.
 LEAST_ALIGNED = 2
 
@@ -69,13 +67,29 @@ def index() -> list[tuple[int, str, int]]:
     return [(k, w, i) for k, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in COMMON]
 
 
-def _postings(spark) -> DataFrame:
-    """The postings and each template's figures: some 150 rows, whatever the input."""
+def _held() -> dict[int, int]:
+    """Indexed words of each template."""
     held: dict[int, int] = {}
     for k, _, _ in index():
         held[k] = held.get(k, 0) + 1
-    rows = ", ".join(f"({k}, '{w}', {i}, {held[k]}, {len(TEMPLATES[k][1].split())})" for k, w, i in index())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, word, place, held, n)")
+    return held
+
+
+def _postings(spark, idf: dict[str, float]) -> DataFrame:
+    """The postings, each word's share of its template's IDF, and each template's figures: some 150 rows, whatever the input."""
+    held, whole = _held(), {}
+    for k, w, _ in index():
+        whole[k] = whole.get(k, 0.0) + idf[w]
+    rows = ", ".join(f"({k}, '{w}', {i}, CAST({idf[w] / whole[k]!r} AS DOUBLE), {held[k]}, {len(TEMPLATES[k][1].split())})" for k, w, i in index())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, word, place, share, held, n)")
+
+
+def _idf(compact: DataFrame, vocabulary: list[str]) -> dict[str, float]:
+    """Inverse document frequency of each licence word over all files; above 0 for every word."""
+    words = compact.where("hits is not null").select(F.explode(F.array_distinct(F.col("hits.w"))).alias("w")).groupBy("w").count()
+    counts = {r["w"]: r["count"] for r in words.collect()}  # the vocabulary's words at most
+    n = compact.count()
+    return {w: math.log((n + 2.0) / (counts.get(w, 0) + 1.0)) for w in vocabulary}
 
 
 def _starts(hits: Column, phrase: str) -> Column:
@@ -93,10 +107,11 @@ def _starts(hits: Column, phrase: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base: all places where a phrase of BASE stands. The method looks up all of a file's licence words (at most the
-    fixed vocabulary) in the notices' postings, keeps notices of which enough words stand at one relative position,
-    and verifies their key phrases there; its labels are added to the base ones. score: the largest share of a verified notice's indexed words that stand in place, at least 0.5 if there
-    is a base place, else 0. A null text is empty; repeated rows give a row each; an empty table gives none;
+    Base: all places where a phrase of BASE stands. The method looks up all of a file's licence words (of the fixed
+    vocabulary) in the notices' postings, those of high IDF counting most, keeps notices of which at least LEAST_ALIGNED
+    words stand at one relative position, and verifies their key phrases there; its labels are added to the base ones.
+    score: the largest share of a verified notice's IDF that stands in place, to six digits, at least 0.5 if there is a
+    base place, else 0. A null text is empty; repeated rows give a row each; an empty table gives none;
     columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
@@ -108,34 +123,39 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.when(F.col("known") > 0, hits).alias("hits"),
-        F.when(F.col("known") > 0, F.array_join("words", " ")).alias("norm"),
+        F.when(F.col("known") > 1, F.array_join("words", " ")).alias("norm"),  # a notice has two different words at least
     )
     compact = written(compact.withColumn("rid", F.monotonically_increasing_id()), "licence-hits")
 
-    marked = compact.where("hits is not null")
+    marked = compact.where("norm is not null")
     places = marked.select("rid", F.explode("hits").alias("h")).select("rid", F.col("h.w").alias("word"), F.col("h.i").alias("i"))
 
     votes = (
-        places.join(F.broadcast(_postings(spark)), "word")
-        .select("rid", "template", "held", "n", (F.col("i") - F.col("place")).alias("at"), "word")
+        places.join(F.broadcast(_postings(spark, _idf(compact, vocabulary))), "word")
+        .select("rid", "template", "held", "n", (F.col("i") - F.col("place")).alias("at"), "share")
         .groupBy("rid", "template", "held", "n", "at")
-        .agg(F.count("*").alias("aligned"))
+        .agg(F.count("*").alias("aligned"), F.sum("share").alias("share"))
         .where(F.col("aligned") >= F.least(F.lit(LEAST_ALIGNED), F.col("held")))
+        .groupBy("rid")
+        .agg(F.collect_list(F.struct("template", "at", "n", "share")).alias("votes"))
     )
-    near = F.concat(F.lit(" "), F.array_join(F.slice(F.split("norm", " "), F.greatest(F.col("at") - SLACK, F.lit(0)) + 1, F.col("n") + 2 * SLACK), " "), F.lit(" "))
-    holds = F.lit(False)
-    for k, (_, _, phrases) in enumerate(TEMPLATES):
-        every = F.lit(True)
-        for p in phrases:
-            every = every & F.col("near").contains(f" {p} ")
-        holds = holds | ((F.col("template") == k) & every)
+    phrases = F.array(*[_literals(t[2]) for t in TEMPLATES])
     names = _literals([t[0] for t in TEMPLATES])
-    verified = (
-        votes.join(marked.select("rid", "norm"), "rid")
-        .withColumn("near", near)
-        .where(holds)
-        .groupBy("rid")
-        .agg(F.collect_set(F.get(names, F.col("template"))).alias("more"), F.max(F.least(F.lit(1.0), F.col("aligned") / F.col("held"))).alias("share"))
+
+    def near(words: Column, v: Column) -> Column:
+        return F.concat(F.lit(" "), F.array_join(F.slice(words, F.greatest(v["at"] - SLACK, F.lit(0)) + 1, v["n"] + 2 * SLACK), " "), F.lit(" "))
+
+    def holds(words: Column, v: Column) -> Column:
+        place = near(words, v)
+        return F.forall(F.get(phrases, v["template"]), lambda p: F.contains(place, F.concat(F.lit(" "), p, F.lit(" "))))
+
+    # a file's words are split once, whatever the number of its votes
+    split = votes.join(marked.select("rid", "norm"), "rid").select("rid", "votes", F.explode(F.array(F.split("norm", " "))).alias("words"))
+    kept = split.select("rid", F.filter("votes", lambda v: holds(F.col("words"), v)).alias("votes")).where(F.size("votes") > 0)
+    verified = kept.select(
+        "rid",
+        F.array_distinct(F.transform("votes", lambda v: F.get(names, v["template"]))).alias("more"),
+        F.round(F.array_max(F.transform("votes", lambda v: F.least(F.lit(1.0), v["share"]))), 6).alias("share"),
     )
     empty = F.array().cast("array<string>")
     starts = {label: _starts(F.col("hits"), phrase) for phrase, label in BASE.items()}
@@ -171,9 +191,7 @@ def scan_sql() -> str:
     """The scan of `documents` (doc_id, text; one row a doc_id) in DuckDB's SQL."""
     quoted = lambda words: ", ".join(f"'{w}'" for w in words)
     vocabulary = sorted({w for _, w, _ in index()} | {w for p in BASE for w in p.split()})
-    held: dict[int, int] = {}
-    for k, _, _ in index():
-        held[k] = held.get(k, 0) + 1
+    held = _held()
     postings = ", ".join(f"({k}, '{w}', {i}, {held[k]}, {len(TEMPLATES[k][1].split())}, '{TEMPLATES[k][0]}')" for k, w, i in index())
     phrases = " OR ".join("(template = {} AND {})".format(k, " AND ".join(f"contains(near, ' {p} ')" for p in t[2])) for k, t in enumerate(TEMPLATES))
     bases = " UNION ALL ".join(
@@ -185,17 +203,17 @@ def scan_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SEPARATORS}'), lambda x: x <> '') AS words FROM documents),
 hits AS (SELECT doc_id, word, i - 1 AS i FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d) WHERE word IN ({quoted(vocabulary)})),
-known AS (SELECT DISTINCT doc_id, word FROM hits),
-idf AS (SELECT word, -ln((count(*) + 1.0) / ((SELECT count(*) FROM d) + 1.0)) AS idf FROM known GROUP BY word),
-chosen AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS n FROM known JOIN idf USING (word)) WHERE n <= {LOOKED_UP}),
+counts AS (SELECT word, count(DISTINCT doc_id) AS n FROM hits GROUP BY word),
 postings(template, word, place, held, n, label) AS (VALUES {postings}),
-votes AS (SELECT doc_id, template, held, n, label, i - place AS off, count(*) AS aligned FROM hits JOIN postings USING (word) JOIN chosen USING (doc_id, word) GROUP BY ALL HAVING count(*) >= least({LEAST_ALIGNED}, held)),
+idf AS (SELECT DISTINCT postings.word, ln(((SELECT count(*) FROM d) + 2.0) / (coalesce(counts.n, 0) + 1.0)) AS idf FROM postings LEFT JOIN counts USING (word)),
+whole AS (SELECT template, sum(idf) AS whole FROM postings JOIN idf USING (word) GROUP BY template),
+votes AS (SELECT doc_id, template, held, n, label, i - place AS off, count(*) AS aligned, sum(idf / whole) AS share FROM hits JOIN postings USING (word) JOIN idf USING (word) JOIN whole USING (template) GROUP BY ALL HAVING count(*) >= least({LEAST_ALIGNED}, held)),
 places AS (SELECT votes.*, ' ' || array_to_string(words[greatest(off - {SLACK}, 0) + 1 : greatest(off - {SLACK}, 0) + n + {2 * SLACK}], ' ') || ' ' AS near FROM votes JOIN d USING (doc_id)),
-verified AS (SELECT doc_id, label, least(1.0, aligned / CAST(held AS DOUBLE)) AS share FROM places WHERE {phrases}),
+verified AS (SELECT doc_id, label, least(1.0, share) AS share FROM places WHERE {phrases}),
 base AS ({bases}),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM verified) GROUP BY doc_id),
-s AS (SELECT doc_id, max(share) AS share FROM verified GROUP BY doc_id)
+s AS (SELECT doc_id, round(max(share), 6) AS share FROM verified GROUP BY doc_id)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(greatest(coalesce(share, 0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END) AS DOUBLE) AS score
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
