@@ -217,6 +217,15 @@ def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), first
 
 
+def sums_of_rows(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of values[first[i]:first[i + 1]], each made by itself: they don't depend on what else is in the block."""
+    made = np.zeros((len(first) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        made[some] = np.add.reduceat(values, first[some], axis=0)
+    return made
+
+
 def map_texts(df: DataFrame, text: str, keep: dict[str, str], fn, out: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """fn(block of kept columns, texts) -> columns, over blocks of about `limit` bytes of whole texts.
 

@@ -3,36 +3,34 @@
 from __future__ import annotations
 
 import base64
+import functools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE_VALUES, _INVERSE, NO_LETTER, Words, _powers, map_texts, mix
+from .common import _BASE, _BYTE_VALUES, _INVERSE, NO_LETTER, Words, _powers, chunks, discard, map_texts, mix, release_memory, small_batches, sums_of_rows, texts_of, written
 
-#: Bytes of the longest piece of the vocabulary that is used, and of the longest unit that is scored at once.
-LONGEST_PIECE = 16
-LONGEST_UNIT = 48
-
-#: Labelled documents a language is learned from, and its most frequent words in them.
+#: Labelled documents a language is learned from.
 SAMPLE_DOCUMENTS = 2000
-SAMPLE_WORDS = 30_000
 
 #: Rounds of expectation maximisation, and the count every piece has besides.
 ROUNDS = 3
 SMOOTHING = 0.01
 
 #: Words a worker remembers before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+
+#: Bytes of words, padded, that are worked on at once, and words of them.
+CELLS, MOST_WORDS = 400_000, 20_000
 
-#: Each byte of a word multiplies its probability by this, lest it underflow.
-SCALE = 256.0
+#: Places after which running sums are divided by the last, lest they underflow.
+RESCALE = 8
 
 
-def vocabulary(path: str, longest: int = LONGEST_PIECE) -> list[bytes]:
-    """The pieces of a rank file that can stand in a lower-cased word with a space before it, and every byte."""
+def vocabulary(path: str) -> list[bytes]:
+    """The pieces of a rank file that can stand in a run of letters, A-Z lower-cased, with a space before it, and every byte."""
     ok = ~NO_LETTER.copy()
     ok[65:91] = False
     found = {bytes([b]) for b in range(256) if ok[b] or b == 32}
@@ -40,7 +38,7 @@ def vocabulary(path: str, longest: int = LONGEST_PIECE) -> list[bytes]:
         for line in f:
             token = base64.b64decode(line.split()[0])
             body = token[1:] if token[:1] == b" " else token
-            if len(token) <= longest and body and all(ok[b] for b in body):
+            if body and all(ok[b] for b in body):
                 found.add(token)
     return sorted(found)
 
@@ -83,86 +81,114 @@ class Lattice:
         return found
 
 
+@functools.lru_cache(maxsize=2)
+def lattice_of(path: str) -> tuple[list[bytes], Lattice]:
+    pieces = vocabulary(path)
+    return pieces, Lattice(pieces)
+
+
 def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(w) for w in words])
     width = int(lengths.max())
     return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width), lengths
 
 
-def forward(lattice: dict[int, np.ndarray], lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[word, place, language]: the sum over all segmentations of the first `place` bytes, times SCALE a byte.
-
-    p[piece, language] holds scaled probabilities: times SCALE to the power of the piece's length.
-    """
-    n, width = lattice[1].shape
-    alpha = np.zeros((n, width + 1, p.shape[1]))
-    alpha[:, 0] = 1
-    for to in range(1, width + 1):
-        for size, number in lattice.items():
-            if size > to:
-                break
-            here = number[:, to - size]
-            rows = np.flatnonzero(here >= 0)
-            if len(rows):
-                alpha[rows, to] += alpha[rows, to - size] * p[here[rows]]
-    return alpha
-
-
-def scaled(logp: np.ndarray, pieces: list[bytes]) -> np.ndarray:
-    return np.exp(logp + np.log(SCALE) * np.array([len(x) for x in pieces])[:, None])
+def batches_of(words: list[bytes]):
+    """The words' numbers, from short to long, in batches of about CELLS padded bytes; together they are all words."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        n = min(MOST_WORDS, len(order) - at)
+        while n > 1 and n * sizes[order[at + n - 1]] > CELLS:
+            n = max(1, n // 2)
+        yield order[at : at + n]
+        at += n
+
+
+def _starting(lattice: Lattice, rows: np.ndarray, lengths: np.ndarray):
+    """For each place, in order, the pieces that start there: (place, [(size, rows, numbers)])."""
+    longest, span = max(lattice.tables), max(64, CELLS // len(rows))
+    for base in range(0, rows.shape[1], span):
+        found = lattice.find(rows[:, base : base + span + longest - 1], lengths - base)
+        for at in range(min(span, rows.shape[1] - base)):
+            here = []
+            for size, number in found.items():
+                if at >= number.shape[1]:
+                    break
+                own = np.flatnonzero(number[:, at] >= 0)
+                if len(own):
+                    here.append((size, own, number[own, at]))
+            yield base + at, here
 
 
 def word_scores(words: list[bytes], lattice: Lattice, p: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each word's probability in each language, over all its segmentations."""
+    """Natural logarithm of each word's probability in each language, over all its segmentations, whatever its length.
+
+    p[piece, language] are probabilities. A forward pass: of all places, the sums of as many as the longest piece has
+    bytes are held, divided by a common factor whose logarithm is kept.
+    """
     made = np.zeros((len(words), p.shape[1]))
-    sizes = np.array([len(w) for w in words])
-    for low, high in ((0, 8), (8, 12), (12, 18), (18, 28), (28, 1 << 20)):
-        own = np.flatnonzero((sizes > low) & (sizes <= high))
-        for a in range(0, len(own), 20_000):
-            part = own[a : a + 20_000]
-            rows, lengths = padded([words[i] for i in part.tolist()])
-            alpha = forward(lattice.find(rows, lengths), lengths, p)
-            made[part] = np.log(np.maximum(alpha[np.arange(len(part)), lengths], 1e-300)) - lengths[:, None] * np.log(SCALE)
+    slots = max(lattice.tables) + 1
+    for part in batches_of(words):
+        rows, lengths = padded([words[i] for i in part.tolist()])
+        ring, logs = np.zeros((slots, len(part), p.shape[1])), np.zeros((len(part), p.shape[1]))
+        ring[0] = 1
+        done = 0
+        for at, here in _starting(lattice, rows, lengths):
+            now = ring[at % slots]
+            for size, own, number in here:
+                ring[(at + size) % slots, own] += now[own] * p[number]
+            now[:] = 0
+            reached = ring[(at + 1) % slots]
+            to = int(np.searchsorted(lengths, at + 1, "right"))  # they go from short to long
+            if to > done:
+                made[part[done:to]] = np.log(reached[done:to]) + logs[done:to]
+                done = to
+            if (at + 1) % RESCALE == 0:
+                by = np.where(reached > 0, reached, 1.0)
+                ring /= by
+                logs += np.log(by)
     return made
 
 
-def learn(words: list[bytes], counts: np.ndarray, pieces: list[bytes], lattice: Lattice, rounds: int = ROUNDS) -> np.ndarray:
-    """Log-probabilities of the pieces, from words and how often each occurs, by expectation maximisation over segmentations."""
-    expected = np.full(len(pieces), SMOOTHING)
-    lengths_of = np.array([len(x) for x in pieces])
-    for turn in range(rounds + 1):
-        logp = np.log(expected / expected.sum())
-        if turn == rounds or not words:
-            return logp
-        p = scaled(logp[:, None], pieces)
-        expected = np.full(len(pieces), SMOOTHING)
-        for a in range(0, len(words), 20_000):
-            rows, lengths = padded(words[a : a + 20_000])
-            found = lattice.find(rows, lengths)
-            n, width = found[1].shape
-            ahead = forward(found, lengths, p)[:, :, 0]
-            back = np.zeros((n, width + 1))
-            back[np.arange(n), lengths] = 1
-            for at in range(width - 1, -1, -1):
-                for size, number in found.items():
-                    if at + size > width:
-                        break
-                    here = number[:, at]
-                    r = np.flatnonzero(here >= 0)
-                    back[r, at] += back[r, at + size] * p[here[r], 0]
-            whole = counts[a : a + 20_000] / np.maximum(ahead[np.arange(n), lengths], 1e-300)
-            for size, number in found.items():
-                r, at = np.nonzero(number >= 0)
-                k = number[r, at]
-                weight = ahead[r, at] * p[k, 0] * back[r, at + size] * whole[r]
-                if turn == 0:  # to start with, longer pieces are as likely as they are frequent
-                    weight = counts[a : a + 20_000][r] * lengths_of[k]
-                expected += np.bincount(k, weight, len(pieces))
-    raise AssertionError
+def expected_counts(words: list[bytes], counts: np.ndarray, lattice: Lattice, logp: np.ndarray | None) -> np.ndarray:
+    """How often each piece is expected in the words, each as often as `counts` says, over all segmentations.
+
+    Without probabilities, every place where a piece stands counts its length: to start with, longer pieces are as likely as they are frequent.
+    """
+    size_of = np.zeros(sum(len(n) for _, n in lattice.tables.values()))
+    for size, (_, numbers) in lattice.tables.items():
+        size_of[numbers] = size
+    made = np.zeros(len(size_of))
+    for part in batches_of(words):
+        rows, lengths = padded([words[i] for i in part.tolist()])
+        n, width, own_counts = len(part), rows.shape[1], counts[part]
+        places = [(at, here) for at, here in _starting(lattice, rows, lengths)]
+        if logp is None:
+            for _, here in places:
+                for size, own, number in here:
+                    made += np.bincount(number, own_counts[own] * size, len(made))
+            continue
+        ahead, back = np.full((n, width + 1), -np.inf), np.full((n, width + 1), -np.inf)
+        ahead[:, 0] = 0
+        back[np.arange(n), lengths] = 0
+        for at, here in places:
+            for size, own, number in here:
+                ahead[own, at + size] = np.logaddexp(ahead[own, at + size], ahead[own, at] + logp[number])
+        for at, here in reversed(places):
+            for size, own, number in here:
+                back[own, at] = np.logaddexp(back[own, at], back[own, at + size] + logp[number])
+        whole = ahead[np.arange(n), lengths]
+        for at, here in places:
+            for size, own, number in here:
+                weight = np.exp(ahead[own, at] + logp[number] + back[own, at + size] - whole[own])
+                made += np.bincount(number, weight * own_counts[own], len(made))
+    return made
 
 
 def _units(texts: pa.Array) -> tuple[Words, bytes]:
-    words = Words(texts, NO_LETTER, LONGEST_UNIT)
+    words = Words(texts, NO_LETTER)
     return words, words.data.tobytes()
 
 
@@ -171,54 +197,81 @@ def _unit(words: Words, data: bytes, i: int) -> bytes:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) of documents (lang, text): units of letters, lower-cased, with a space before."""
+    """(lang, word, n) of documents (lang, text): runs of letters, lower-cased, with a space before."""
 
     def counted(batches):
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            words, data = _units(batch.column(1).cast(pa.large_string()).fill_null(""))
-            order = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-            group = np.array([order[x] for x in langs], np.int64)[words.rows] if len(langs) else np.zeros(0, np.int64)
-            for name, g in order.items():
-                own = np.flatnonzero(group == g)
-                _, at, n = np.unique(words.hashes[own], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([_unit(words, data, i) for i in own[at].tolist()], pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
-
+            langs, all_texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            for a, b in chunks(all_texts):
+                words, data = _units(all_texts.slice(a, b - a))
+                order = {x: i for i, x in enumerate(dict.fromkeys(langs[a:b]))}
+                group = np.array([order[x] for x in langs[a:b]], np.int64)[words.rows]
+                for name, g in order.items():
+                    own = np.flatnonzero(group == g)
+                    _, at, n = np.unique(words.hashes[own], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([_unit(words, data, i) for i in own[at].tolist()], pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+        release_memory()
+
+    small_batches(docs.sparkSession)
     return docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(counted, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, vocabulary_file: str, sample: int = SAMPLE_DOCUMENTS, most_words: int = SAMPLE_WORDS) -> tuple[list[str], np.ndarray]:
+def _expected(vocabulary_file: str, logp: dict[str, np.ndarray] | None):
+    """Over rows (lang, word, n): each language's expected counts of pieces above 0, for this task's words."""
+
+    def run(batches):
+        _, lattice = lattice_of(vocabulary_file)
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, counts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().astype(float)
+            words = batch.column(1).to_pylist()
+            for name in dict.fromkeys(names):
+                own = np.flatnonzero(names == name)
+                found = expected_counts([words[i] for i in own.tolist()], counts[own], lattice, None if logp is None else logp[name])
+                held[name] = found + held.get(name, 0.0)
+        for name, found in held.items():
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at])], names=["lang", "piece", "n"])
+        release_memory()
+
+    return run
+
+
+def train(labelled: DataFrame, vocabulary_file: str, sample: int = SAMPLE_DOCUMENTS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability of each piece in each) from documents (doc_id, text, lang).
 
-    Learns from about `sample` documents a language, drawn by a hash of doc_id, and their `most_words` most
-    frequent words; both are bounds, so training costs the same at any size. Rows without text or lang are left out.
+    Learns from about `sample` documents a language, drawn by a hash of doc_id, and all words of these, by expectation
+    maximisation over segmentations: each round is one pass over the counted words in Spark, of which the driver gets
+    a number for each piece and language. Rows without text or lang are left out.
     """
     known = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    pieces = vocabulary(vocabulary_file)
+    pieces, _ = lattice_of(vocabulary_file)
     if not sizes:
         return [], np.zeros((len(pieces), 0))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    counts = word_counts(known.where(draw < share[F.col("lang")]))
-    order = W.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counts.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most_words).select("lang", "word", "n").toArrow()
-    langs, lattice = sorted(sizes), Lattice(pieces)
-    names = rows["lang"].to_numpy(zero_copy_only=False)
-    words, n = rows["word"].to_pylist(), rows["n"].to_numpy()
-    learned = []
-    for lang in langs:
-        own = np.flatnonzero(names == lang)
-        learned.append(learn([words[i] for i in own.tolist()], n[own].astype(float), pieces, lattice))
-    return langs, np.stack(learned, axis=1)
+    counts = written(word_counts(known.where(draw < share[F.col("lang")])), "language-words")
+    langs = sorted(sizes)
+    logp = None
+    for _ in range(rounds):
+        rows = counts.select("lang", "word", "n").mapInArrow(_expected(vocabulary_file, logp), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        names, at, n = rows["lang"].to_numpy(zero_copy_only=False), rows["piece"].to_numpy(), rows["n"].to_numpy()
+        logp = {}
+        for lang in langs:
+            expected = np.full(len(pieces), SMOOTHING)
+            expected[at[names == lang]] += n[names == lang]
+            logp[lang] = np.log(expected / expected.sum())
+    discard(counts)
+    return langs, np.stack([logp[x] for x in langs], axis=1)
 
 
 class Scorer:
     """Per-language log-probabilities of texts; words seen before come from a bounded memory."""
 
     def __init__(self, langs: list[str], logp: np.ndarray, vocabulary_file: str):
-        pieces = vocabulary(vocabulary_file)
-        self.langs, self.lattice, self.p = langs, Lattice(pieces), scaled(logp, pieces)
+        _, lattice = lattice_of(vocabulary_file)
+        self.langs, self.lattice, self.p = langs, lattice, np.exp(logp)
         self._forget()
 
     def _forget(self):
@@ -236,10 +289,7 @@ class Scorer:
             self.scores = np.insert(self.scores, at[new], made, axis=0)
             self.keys = np.insert(self.keys, at[new], keys[new])
             at = np.searchsorted(self.keys, keys)
-        own = self.scores[at][which]
-        running = np.zeros((len(own) + 1, len(self.langs)))
-        np.cumsum(own, axis=0, out=running[1:])
-        return running[words.first[1:]] - running[words.first[:-1]]
+        return sums_of_rows(self.scores[at][which], words.first)
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, vocabulary_file: str, keep: dict[str, str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, NO_LETTER, Words, map_texts, mix, raw_bytes
+from .common import _SPACE, NO_LETTER, Words, map_texts, mix, raw_bytes, sums_of_rows
 
 #: Bytes of text that are hashed at once.
 BLOCK_BYTES = 1 << 18
@@ -168,8 +168,7 @@ def scored(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray, keep: dict[st
     def score(texts):
         w, c = model.value
         buckets, first = features(texts)
-        sums = np.concatenate([[0.0], np.cumsum(w[buckets], dtype=np.float64)])
-        s = sums[first[1:]] - sums[first[:-1]]
+        s = sums_of_rows(w[buckets].astype(np.float64), first)
         above = 1 - _sigmoid(c[None, :] - s[:, None])
         return {"expected_grade": above.sum(axis=1), "p_good": above[:, -1]}
 

@@ -83,19 +83,53 @@ def test_ngram_counts_above_the_stored_width(spark, docs, monkeypatch):
     assert few["tokens"] == sum(len(tokens(t)) for t in corpus(40))
 
 
-def test_forward_sums_all_segmentations():
+def exact(word, number, p):
+    """Log of the sum over all segmentations, place by place."""
+    longest = max(map(len, number))
+    alpha = [0.0] + [-math.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        parts = [alpha[i] + math.log(p[number[word[i:j]]]) for i in range(max(0, j - longest), j) if word[i:j] in number]
+        top = max(parts)
+        alpha[j] = top + math.log(sum(math.exp(x - top) for x in parts))
+    return alpha[-1]
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
     pieces = langid.vocabulary(VOCABULARY)
-    lattice, draw = langid.Lattice(pieces), np.random.default_rng(0)
+    lattice, draw, chars = langid.Lattice(pieces), np.random.default_rng(0), random.Random(1)
+    assert max(map(len, pieces)) > 16
     p = draw.dirichlet(np.ones(len(pieces)), 2).T
     number = {x: i for i, x in enumerate(pieces)}
-    words = [b" the", b" " + "été".encode(), b" " + b"zq" * 12, b" a"]
-    got = langid.word_scores(words, lattice, langid.scaled(np.log(p), pieces))
-    for w, g in zip(words, got, strict=True):
-        for lang in (0, 1):
-            alpha = [1.0] + [0.0] * len(w)
-            for j in range(1, len(w) + 1):
-                alpha[j] = sum(alpha[i] * p[number[w[i:j]], lang] for i in range(max(0, j - langid.LONGEST_PIECE), j) if w[i:j] in number)
-            assert g[lang] == pytest.approx(math.log(alpha[-1]))
+    unspaced = "".join(chr(chars.randrange(0x4E00, 0x5200)) for _ in range(10_000))
+    words = [b" the", b" " + "été".encode(), b" " + b"zq" * 12, b" a", max(pieces, key=len), b" " + unspaced.encode(), b" " + b"internationalisation" * 40]
+    for cells in (langid.CELLS, 500):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        for some in (words, words[:5]):
+            got = langid.word_scores(some, lattice, p)
+            for w, g in zip(some, got, strict=True):
+                assert g.tolist() == pytest.approx([exact(w, number, p[:, lang]) for lang in (0, 1)], rel=1e-9)
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    """Against listing every segmentation of short words."""
+    pieces = langid.vocabulary(VOCABULARY)
+    lattice, p = langid.Lattice(pieces), np.random.default_rng(2).dirichlet(np.ones(len(pieces)))
+    number = {x: i for i, x in enumerate(pieces)}
+
+    def ways(word):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in number:
+                for rest in ways(word[k:]):
+                    yield [number[word[:k]], *rest]
+
+    words, counts, want = [b" then", b" other", b" \xc3\xa9t"], np.array([3.0, 1.0, 2.0]), np.zeros(len(pieces))
+    for w, n in zip(words, counts, strict=True):
+        every = [(s, np.prod(p[s])) for s in ways(w)]
+        for s, weight in every:
+            np.add.at(want, s, n * weight / sum(x for _, x in every))
+    assert langid.expected_counts(words, counts, lattice, np.log(p)) == pytest.approx(want, rel=1e-9, abs=1e-12)
 
 
 def labelled(seed):
@@ -114,6 +148,21 @@ def test_language_id(docs):
     assert [(got[i]["lang_pred"], got[i]["score"]) for i in (900, 901, 902)] == [("und", 0.0)] * 3
     assert all(got[i]["lang_pred"] in langs and 0 <= got[i]["score"] <= 1 for i in (903, 904, 905))
     assert langid.predict(docs([]), langs, logp, VOCABULARY).count() == 0
+    doubled = {r["doc_id"]: r for r in langid.predict(docs(test * 2), langs, logp, VOCABULARY).collect()}
+    assert doubled == got and langid.predict(docs(test * 2), langs, logp, VOCABULARY).count() == 2 * len(test)
+
+
+def test_posteriors_against_brute_force(docs):
+    """The whole query on a small table: every text's score from sums over all segmentations, place by place."""
+    langs, logp = langid.train(docs(labelled(1)), VOCABULARY)
+    number = {x: i for i, x in enumerate(langid.vocabulary(VOCABULARY))}
+    texts = ["der Hund und the dog", "unspacedmaison" * 9, "中文中文", "Été, 12 ÉTÉ!", "x"]
+    got = {r["doc_id"]: r for r in langid.predict(docs(list(enumerate(texts))), langs, logp, VOCABULARY).collect()}
+    for i, t in enumerate(texts):
+        runs = re.findall(rb"[a-z\x80-\xff]+", t.translate(LOW).encode())
+        total = np.array([sum(exact(b" " + r, number, np.exp(logp[:, k])) for r in runs) for k in range(len(langs))])
+        k = int(total.argmax())
+        assert got[i]["lang_pred"] == langs[k] and got[i]["score"] == pytest.approx(1 / np.exp(total - total[k]).sum())
 
 
 def test_language_id_without_labels(docs):
