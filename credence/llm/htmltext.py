@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, texts_of
 
-#: Markup, comments and declarations; the text between them is the rest. Attribute values may hold ">".
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+#: Comments and declarations, and tags: of these, attribute values may hold ">", unless quotes don't pair up to the page's end.
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.DOTALL)
+TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+PLAIN_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 
 #: Fixed values. Elements whose content is text to the parser until their end tag, and is never shown.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "select", "button")
@@ -34,11 +36,17 @@ NAMES = "ad ads advert adverts advertisement advertising banner breadcrumb bread
 FOREIGN = "comment comments commentlist cookie cookies consent disqus newsletter reply replies respond".split()
 HEADERS = ("banner", "header", "masthead")
 
+#: Fixed values. Further elements whose tags have weights of their own; those of others count as "<other".
+OTHERS = ("html", "body", "div", "section", "article", "main", "header", "address", "center", "details", "summary", "fieldset", "legend", "optgroup", "option", "audio", "video", "picture", "caption", "colgroup", "thead", "tfoot", "hgroup", "search", "slot", "path")
+
 #: Weight of a word, as a share of its usual one, in a part with one of NAMES among others in its name, and where that is a FOREIGN one.
 NAMED, NAMED_FOREIGN = 0.25, -0.3
 
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+#: Share of a list's words that are links, and number of links, from which a list outside an article or main is a menu.
+MENU_SHARE, MENU_LINKS = 0.8, 3
+
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
 
 #: Pages that the weights are learned from, at most (about: they are drawn by a hash of page_id).
@@ -54,16 +62,28 @@ PLAIN = {"word": 1.0, "linked": -0.6, "tag": -3.0} | {f"<{x}": -0.4 for x in FLO
 LABELLED_TAG, LABELLED_WORD = 0.1, 0.5
 
 
-def hidden(attributes: str) -> bool:
-    return bool(_HIDDEN.search(attributes))
+def attributes_of(tag: str) -> dict[str, str]:
+    """A start tag's attributes by lower-cased name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(tag):
+        found.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return found
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(attributes.get("style", "")))
 
 
-def named_aside(attributes: str, own_headers: bool = False) -> float:
+def _words_of(token: str) -> list[str]:
+    return re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+
+
+def named_aside(attributes: dict[str, str], own_headers: bool = False) -> float:
     """What a start tag's class, id or role leaves of the weight of words: 0 if a whole token is one of NAMES, NAMED or NAMED_FOREIGN if a part of one is, else 1."""
     found = 1.0
-    for _, value in _ATTRIBUTE.findall(attributes):
-        for token in value.strip("\"'").split():
-            words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w in NAMES and not (own_headers and w in HEADERS)]
+    for value in (attributes[x] for x in ("class", "id", "role", "aria-label") if x in attributes):
+        for token in value.split():
+            words = [w for w in _words_of(token) if w in NAMES and not (own_headers and w in HEADERS)]
             if words and token.lower() in words:
                 return 0.0
             if words:
@@ -71,60 +91,132 @@ def named_aside(attributes: str, own_headers: bool = False) -> float:
     return found
 
 
+def foreign(attributes: dict[str, str]) -> bool:
+    return any(w in FOREIGN for x in ("class", "id", "role", "aria-label") for w in _words_of(attributes.get(x, "")))
+
+
+def lexed(page: str):
+    """(text before, the match of a tag, or None for what is no tag) from start to end, in one pass."""
+    at = start = 0
+    tag, last = TAG, page.rfind(">")
+    while (at := page.find("<", at)) >= 0:
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?") and after:
+            m = COMMENT.match(page, at)
+            yield page[start:at], None, m.end()
+            at = start = m.end()
+            continue
+        opens = at < last and (after.isalpha() or after == "/")
+        m = tag.match(page, at) if opens else None
+        if not m and opens and tag is TAG and (m := PLAIN_TAG.match(page, at)):
+            tag = PLAIN_TAG  # quotes that don't pair up: from here on they mean nothing
+        if not m:
+            at += 1
+            continue
+        skip = yield page[start:at], m, m.end()
+        at = start = skip or m.end()
+    yield page[start:], None, len(page)
+
+
 def parsed(page: str) -> list[tuple[str, str, bool, str, float, int]]:
     """The page as (kind, name or text, whether it is inside what is no article, enclosing landmark, share of words' weights, innermost part
     that lowers it, by the place of its start, or -1) in order; kind: start, end, text.
 
-    A named wrapper says nothing of an article or main inside it.
+    A named wrapper says nothing of an article or main inside it. A part with a name of NAMES is no article unless it holds
+    more than half of the words of the page's content (those of FOREIGN never are); nor is a list of links outside an article or main.
     """
     out: list[tuple[str, str, bool, str, float, int]] = []
-    stack: list[tuple[str, bool, bool, str, float, int]] = []  # name, aside by element, aside by name, landmark, share, part
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        _, aside, named, mark, share, part = stack[-1] if stack else ("", False, False, "", 1.0, -1)
-        if text := page[at : m.start() if m else len(page)]:
-            out.append(("text", text, aside or named, mark, share, part))
-        if not m:
+    special: list[int] = []  # each token's innermost doubtful part
+    doubtful: list[list] = []  # parent, name or list, words, words of links, links, inside article or main
+    stack: list[tuple[str, bool, str, float, int, int]] = []  # name, aside by element, landmark, share, part, doubtful part
+    opened: dict[str, int] = {}
+    total = {False: 0, True: 0}
+
+    def put(kind: str, name: str, aside: bool, mark: str, share: float, part: int, own: int) -> None:
+        out.append((kind, name, aside, mark, share, part))
+        special.append(own)
+
+    outside = ("", False, "", 1.0, -1, -1)
+    tokens = lexed(page)
+    send = None
+    while True:
+        try:
+            text, m, at = tokens.send(send)
+        except StopIteration:
             break
-        at = m.end()
-        if not m[1]:
+        send = None
+        _, aside, mark, share, part, own = stack[-1] if stack else outside
+        if text:
+            put("text", text, aside, mark, share, part, own)
+            if not aside:
+                n = len(text.split())
+                total[mark in ("article", "main")] += n
+                if own >= 0:
+                    doubtful[own][2] += n
+                    doubtful[own][3] += n if opened.get("a") else 0
+        if not m:
             continue
         name = m[1].lower()
         if m[0][1] == "/":
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-                _, aside, named, mark, share, part = stack[-1] if stack else ("", False, False, "", 1.0, -1)
-            out.append(("end", name, aside or named, mark, share, part))
+            if opened.get(name):
+                while True:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
+                        break
+                _, aside, mark, share, part, own = stack[-1] if stack else outside
+            put("end", name, aside, mark, share, part, own)
             continue
         if name in RAW and not m[0].endswith("/>"):
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else (at if name in ("button", "select", "svg") else len(page))
-            out.append(("start", name, True, mark, share, part))
+            end = _RAW_END[name].search(page, at)
+            send = end.end() if end else (at if name in ("button", "select", "svg") else len(page))
+            put("start", name, True, mark, share, part, own)
             continue
         if name == "p" and stack and stack[-1][0] == "p":
+            opened["p"] -= 1
             stack.pop()
-        leaves = named_aside(m[2] or "", mark == "article") if m[2] and name not in ("body", "html", "main") else 1.0
+        given = attributes_of(m[2]) if m[2] else {}
+        leaves = named_aside(given, mark == "article") if given and name not in ("body", "html", "main") else 1.0
         if name in ("article", "main"):
-            if name == "article" and leaves > NAMED_FOREIGN and (leaves > 0 or not any(w in FOREIGN for w in re.split(r"[^a-z]+", m[2].lower()))):
+            if name == "article" and leaves > NAMED_FOREIGN and not (leaves == 0 and foreign(given)):
                 leaves = 1.0
             if leaves == 1.0:
-                named, share, part = False, 1.0, -1
+                own, share, part = -1, 1.0, -1
         if name in ("article", "main") or name == "body" and not mark:
             mark = name if mark != "article" else mark
-        aside = aside or name in ASIDE or (name == "header" and mark != "article") or (name not in ("body", "html", "article", "main") and bool(m[2]) and hidden(m[2]))
-        named = named or leaves == 0
+        inside = mark in ("article", "main")
+        aside = aside or name in ASIDE or (name == "header" and mark != "article") or (name not in ("body", "html", "article", "main") and hidden(given))
+        if own >= 0 and name == "a":
+            doubtful[own][4] += 1
+        if leaves == 0 or name in ("ul", "ol") and not inside:
+            doubtful.append([own, "list" if leaves else "foreign" if foreign(given) else "name", 0, 0, 0, inside])
+            own = len(doubtful) - 1
         if leaves not in (0.0, 1.0):
             share, part = min(share, leaves), len(out)
-        out.append(("start", name, aside or named, mark, share, part))
+        put("start", name, aside, mark, share, part, own)
         if name not in VOID and not m[0].endswith("/>"):
-            stack.append((name, aside, named, mark, share, part))
-    return out
+            stack.append((name, aside, mark, share, part, own))
+            opened[name] = opened.get(name, 0) + 1
+    for i in range(len(doubtful) - 1, -1, -1):
+        if (up := doubtful[i][0]) >= 0:
+            for k in (2, 3, 4):
+                doubtful[up][k] += doubtful[i][k]
+    gone: list[bool] = []
+    for up, kind, words, linked, links, inside in doubtful:
+        if kind == "list":
+            no = links >= MENU_LINKS and linked >= MENU_SHARE * words
+        else:  # the content is what is labelled so, or else the page
+            no = kind == "foreign" or 2 * words <= total[inside] or not inside and total[True] > 0
+        gone.append(no or up >= 0 and gone[up])
+    return [(*t[:2], t[2] or own >= 0 and gone[own], *t[3:]) for t, own in zip(out, special, strict=True)]
+
+
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in RAW}
+_KNOWN = frozenset((*RAW, *ASIDE, *VOID, *INLINE, *FLOW, *OTHERS))
 
 
 def feature(kind: str, name: str, links: int) -> str:
-    return ("linked" if links else "word") if kind == "text" else f"<{name}"
+    return ("linked" if links else "word") if kind == "text" else f"<{name if name in _KNOWN else 'other'}"
 
 
 def counted(page: str, into: dict) -> None:
@@ -167,8 +259,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
         yield pa.RecordBatch.from_pydict({"feature": list(held), "o": [c[0] for c in held.values()], "i": [c[1] for c in held.values()]}, schema=pa.schema([("feature", pa.string()), ("o", pa.int64()), ("i", pa.int64())]))
 
     known = drawn.select("html").mapInArrow(count, "feature string, o bigint, i bigint").groupBy("feature").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
-    top = known.orderBy(F.desc(F.col("o") + F.col("i")), "feature").limit(500)  # names of elements
-    return weights_of({r["feature"]: (r["o"], r["i"]) for r in top.collect()})
+    return weights_of({r["feature"]: (r["o"], r["i"]) for r in known.collect()})  # one for each of a fixed list of elements
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
@@ -196,7 +287,7 @@ def scored(tokens: list[tuple], weights: dict[str, float]) -> np.ndarray:
                 w = min(w, PLAIN["linked"]) if links > 0 else w * share
             scores[k] = len(name.split()) * (max(w, LABELLED_WORD * weights["word"]) if labelled and share == 1 else w)
         else:
-            scores[k] = weights.get(f"<{name}", weights["tag"]) * (LABELLED_TAG if labelled else 1)
+            scores[k] = weights.get(feature(kind, name, 0), weights["tag"]) * (LABELLED_TAG if labelled else 1)
         before = aside
     return scores
 

@@ -156,3 +156,57 @@ def test_wrapper_names_leave_the_article(wrapper):
 def test_names_inside_an_article():
     page = "<body><article><header class='entry-header'><h1>The title</h1></header><p>{0}</p><section class='related-work'><h2>Related work</h2><p>{0}</p></section><figure><figcaption>Caption words</figcaption></figure><p>Let <math><mi>x</mi></math> be <object>an object</object></p><div class='share-buttons'><a>Tweet</a></div><div class='ad'>Buy</div></article><section id='comments'><article class='comment'><p>{0}</p></article></section></body>".format(PROSE)
     assert htmltext.extract(page) == f"The title {PROSE} Related work {PROSE} Caption words Let x be an object"
+
+
+LONG = " ".join(f"{PROSE} and so on, part {i}." for i in range(6))
+
+
+@pytest.mark.parametrize("part", ["<p title='the hidden gem'>{}</p>", "<div class='social-science'><p>{}</p></div>", "<div class='notice'><p>{}</p></div>", "<div class='article-header'><p>{}</p></div>", "<p class='ad-free'>{}</p>", "<p data-hidden='1'>{}</p>", "<figcaption>{}</figcaption>"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "{}"])
+def test_attributes_and_names_alone_delete_no_article(part, around):
+    page = "<body><nav><a>Menu</a></nav>" + around.format(part.format(LONG)) + "<footer>Foot</footer></body>"
+    assert htmltext.extract(page) == LONG
+
+
+def test_what_is_hidden_or_named_goes():
+    inside = "<p hidden>one two three</p><p aria-hidden=true>four</p><p style='color:red; display : none'>five</p><div class='notice'>We changed our terms</div><div id=comments>six</div>"
+    assert htmltext.extract(f"<article><p>{LONG}</p>{inside}<p>{PROSE}</p></article>") == f"{LONG} {PROSE}"
+
+
+def test_links_between_paragraphs():
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Some linked title {i}</a></li>" for i in range(20)) + "</ul>"
+    assert htmltext.extract(f"<body><div><p>{LONG}</p>{menu}<p>{LONG}</p></div></body>") == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</p>" * 20_000, "<p a=\"'" * 40_000, "<p a=\"'" * 40_000 + ">", "<p x='>" * 30_001, "<" * 220_000, "<!" * 100_000, "</a" * 70_000, "<a b='" * 30_000 + ">" * 3000, "<ul><li><a>x" * 15_000, "<script>" * 25_000])
+def test_adversarial_pages_are_linear(page):
+    import time
+
+    began = time.process_time()
+    htmltext.extract(page)
+    assert time.process_time() - began < 1.5
+
+
+def test_against_a_brute_force_extractor():
+    """On random pages: of all contiguous regions, the text of the one with the largest sum of scores."""
+    draw = random.Random(4)
+    kinds = ["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "<b>", "</b>", "<article>", "</article>", "<nav>", "</nav>", "<br>", "words of text ", "more words &amp; others here ", "<ul><li>", "</ul>", "<div class=ad>", "<td>"]
+    for _ in range(300):
+        page = "".join(draw.choice(kinds) for _ in range(draw.randrange(1, 30)))
+        tokens = htmltext.parsed(page)
+        scores = htmltext.scored(tokens, htmltext.PLAIN)
+        n = len(scores)
+        sums = {(i, j): sum(scores[i:j]) for i in range(n + 1) for j in range(i, n + 1)}
+        best = max(sums.values(), default=0)
+        texts = set()
+        for (i, j), x in sums.items():
+            if x >= best - 1e-9:
+                made, block = [], ""
+                for kind, name, aside, *_ in [*tokens[i:j], ("end", "div", False)]:
+                    if kind == "text":
+                        block += "" if aside else name
+                    elif name not in htmltext.INLINE:
+                        made.append(" ".join(block.replace("&amp;", "&").split()))
+                        block = ""
+                texts.add(" ".join(x for x in made if x))
+        assert htmltext.extract(page) in texts
