@@ -131,6 +131,11 @@ def fit(buckets: np.ndarray, first: np.ndarray, grades: np.ndarray, classes: int
     return weights, cuts
 
 
+def prior_of_best(cuts: np.ndarray) -> float:
+    """The probability of the best grade of a document without any weighted bucket."""
+    return float(1 - _sigmoid(cuts[-1]))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from rated documents: about `sample` of them, drawn by a hash of doc_id.
 

@@ -1,39 +1,43 @@
 import os
+import re
 
 import pytest
 
-import pyarrow as pa
-
 import corpus_pipeline
-from credence.llm import queries, simhash
-from credence.llm.common import texts_of
+from credence.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
 def survivors(texts):
-    """The smallest doc_id of each group of fingerprints that differ in 2 bits or fewer, pair by pair."""
+    """The smallest doc_id of each group of texts linked by a Jaccard similarity of 0.8 or more over five-word shingles, pair by pair."""
     ids = sorted(texts)
-    prints = simhash.fingerprints_of(texts_of(pa.array([texts[d] for d in ids], pa.string())))
+    sets = [shingles(texts[d]) for d in ids]
     group = {d: d for d in ids}
     for i, a in enumerate(ids):
         for j, b in enumerate(ids[:i]):
-            if bin(int(prints[i] ^ prints[j])).count("1") <= 2 and group[a] != group[b]:
+            both = len(sets[i] & sets[j])
+            if (sets[i] == sets[j] or both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)) and group[a] != group[b]:
                 low, high = sorted((group[a], group[b]))
                 group = {d: low if g == high else g for d, g in group.items()}
     return set(group.values())
 
 
-def test_stages_keep_columns_and_clean_documents(spark):
+def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     ids = {r["doc_id"] for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r["doc_id"]: r["text"] for r in docs.collect()}
         docs = stage(spark, docs, SF)
-        docs.write.mode("overwrite").parquet(path := f"/tmp/credence-test-stage-{os.getpid()}-{name}")
+        docs.write.parquet(path := f"file://{tmp_path}/{name}")
         docs = spark.read.parquet(path)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         now = {r["doc_id"] for r in docs.collect()}
@@ -51,6 +55,76 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [4, None]
 
 
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, score string, lang_pred string, p_good string, k0 string, t string, k1 string, row_key_a string, root string, set_text string, piece string"
+
+
+def odd_rows():
+    prose = {"en": "the cat sat on the mat with a house and a dog that ran over the hill", "de": "der Hund lief mit der Katze über das Haus und die Wiese am Abend"}
+    rows = [(i, f"{prose[k]} {i} {prose[k]}", k) for i, k in enumerate(["en", "de"] * 8)]
+    rows += [(3, rows[3][1], "de"), (None, "und der Hund mit der Katze", "de"), (None, "the dog and the cat", None), (50, None, "en"), (51, "", "en"), (52, " \t", None), (53, "12 %%", "en"), (54, "the cat and the dog " * 60_000, "en")]
+    return [(i, t, k, None, None, *["x"] * 11) for i, t, k in rows]
+
+
+@pytest.mark.parametrize("rated", [True, False])
+def test_stages_on_odd_rows(spark, tmp_path, rated):
+    """Nulls, empty and very long texts, repeated rows, clashing columns: no stage fails, and each keeps what it says."""
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    labels = [(i, 1, 0) for i in range(0, 16)] + [(3, None, None), (None, 1, 0)] if rated else []
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    named = stage["language_id"](spark, docs, str(tmp_path))
+    assert named.columns == docs.columns and named.dtypes == docs.dtypes
+    got = sorted(str(r["doc_id"]) for r in named.collect())
+    assert got == sorted([*map(str, range(16)), "3", "None", "None", "54"])
+    good = stage["quality"](spark, docs, str(tmp_path))
+    assert good.columns == docs.columns and sorted(map(str, good.collect())) == sorted(map(str, docs.collect()))  # nothing speaks against any
+    one = stage["simhash_dedup"](spark, docs, str(tmp_path))
+    left = {r["doc_id"]: r["text"] for r in one.collect() if r["doc_id"] is not None}
+    whole = {}
+    for i, t, *_ in odd_rows():
+        if i is not None:
+            whole[i] = t
+    assert one.columns == docs.columns and set(left) == survivors(whole) and one.where("doc_id is null").count() == 2
+    packed = stage["best_fit_packing"](spark, docs, str(tmp_path))
+    assert packed.where("piece = 0").count() == docs.count()
+    assert packed.where("doc_id = 50").select("length").collect() == [(1,)]
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_language_and_quality_stages_against_their_rules(spark):
+    """Row by row: a document stays if what the operator says of its text alone meets the stage's rule."""
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+
+    from credence.llm import langid, quality
+    from credence.llm.common import texts_of
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    langs, logp = langid.train(docs, vocabulary)
+    scorer = langid.Scorer(langs, logp, vocabulary)
+    weights, cuts = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    named, kept = set(), set()
+    for r in docs.collect():
+        text = texts_of(pa.array([r["text"]], pa.string()))
+        total = scorer.totals(text)[0]
+        if any(c.isalpha() for c in r["text"] or "") and 1 / np.exp(total - total.max()).sum() >= corpus_pipeline.LEAST_SCORE:
+            named.add(r["doc_id"])
+        buckets, _ = quality.features(text)
+        if 1 - 1 / (1 + np.exp(weights.astype(np.float32)[buckets].astype(float).sum() - cuts[-1])) >= quality.KEEP:
+            kept.add(r["doc_id"])
+    stage = dict(corpus_pipeline.STAGES)
+    assert {r["doc_id"] for r in stage["language_id"](spark, docs, SF).collect()} == named
+    assert {r["doc_id"] for r in stage["quality"](spark, docs, SF).collect()} == kept
+
+
 def test_registered_names():
     assert [sum(n.startswith(f"op{k}_") for n in queries.queries()) for k in range(1, 11)] == [1] * 10
 
