@@ -5,8 +5,13 @@ Bigrams are counted in Spark and stored as sorted hash arrays in the shared fold
 
 from __future__ import annotations
 
+import contextlib
 import os
+import shutil
+import tempfile
 import uuid
+from collections import OrderedDict
+from math import isqrt
 from urllib.parse import urlparse
 
 import numpy as np
@@ -14,11 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, map_texts, mix, new_folder, small_batches, texts_of
+from .common import Words, chunks, input_bytes, map_texts, mix, new_folder, release_memory, small_batches, texts_of
 
 #: Tokens whose bigrams a task counts before it passes the counts on.
 FLUSH = 1 << 22
 
+#: Bytes of training text for each shard, at most about, and shards that a worker has mapped at once.
+SHARD_BYTES = 16 << 20
+OPEN_SHARDS = 400
+
+#: The arrays of a shard of bigrams (upper and lower parts of the hash, count, large counts) and of words (hash, count, kinds of words before, kinds after by count).
+BIGRAMS = (np.uint32, np.uint16, np.uint16, np.int64)
+WORDS = (np.uint64, np.int64, np.uint32, np.uint32)
+
 #: A context's bigrams are dealt over so many shards, so that no context fills one.
 SPREAD = np.uint64(16)
 
@@ -63,28 +76,83 @@ def _summed(keys: np.ndarray, *columns: np.ndarray):
     return keys[starts], order[starts], *sums
 
 
-def _local(folder: str) -> str:
-    at = urlparse(folder)
-    if at.scheme not in ("", "file"):
-        raise ValueError(f"workers map the model from {folder}: spark.checkpoint.dir must be a folder that is mounted on every machine")
-    return at.path
+class Store:
+    """A folder of shards, each one file of arrays, that workers map into memory.
 
+    A folder of a mounted file system is mapped as it is. From any other store that pyarrow knows (hdfs, s3, gs, abfs), a
+    worker fetches the shards that it needs into a folder of its own, which it removes; at most OPEN_SHARDS are there.
+    """
+
+    def __init__(self, folder: str, local: bool | None = None):
+        self.folder, at = folder, urlparse(folder)
+        self.local = at.scheme in ("", "file") if local is None else local
+        self.base = at.path
+        self.open_: OrderedDict[str, np.ndarray | None] = OrderedDict()
+        self.own: tempfile.TemporaryDirectory | None = None
+        if not self.local:
+            from pyarrow import fs
+
+            self.fs, self.base = fs.FileSystem.from_uri(folder)
+
+    def put(self, name: str, arrays: list[np.ndarray]) -> None:
+        """The arrays on end, each from a multiple of 8 bytes, after their lengths; a task that is run again replaces a file by the same."""
+        data = [np.array([a.nbytes for a in arrays], np.int64).tobytes()]
+        data += [np.ascontiguousarray(a).tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays]
+        path = f"{self.base}/{name}"
+        part = f"{path}.{uuid.uuid4().hex}"
+        if self.local:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(part, "wb") as f:
+                f.writelines(data)
+            os.replace(part, path)
+            return
+        self.fs.create_dir(os.path.dirname(path))
+        with self.fs.open_output_stream(part) as f:
+            for x in data:
+                f.write(x)
+        self.fs.move(part, path)
+
+    def get(self, name: str, kinds: tuple) -> list[np.ndarray] | None:
+        """A shard's arrays of these kinds, or None where there is none."""
+        if name in self.open_:
+            self.open_.move_to_end(name)
+        else:
+            while len(self.open_) >= OPEN_SHARDS:
+                gone, _ = self.open_.popitem(last=False)
+                if self.own:
+                    with contextlib.suppress(FileNotFoundError):
+                        os.remove(f"{self.own.name}/{gone.replace('/', '-')}")
+            self.open_[name] = self._mapped(name)
+        data = self.open_[name]
+        if data is None:
+            return None
+        sizes = data[: 8 * len(kinds)].view(np.int64)
+        found, at = [], 8 * len(kinds)
+        for kind, n in zip(kinds, sizes.tolist(), strict=True):
+            found.append(data[at : at + n].view(kind))
+            at += n + -n % 8
+        return found
 
-def _save(path: str, **arrays: np.ndarray) -> None:
-    """One file per array; a task that is run again replaces them by the same."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    for name, a in arrays.items():
-        part = f"{path}.{name}.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            np.save(f, a)
-        os.replace(part, f"{path}.{name}.npy")
+    def _mapped(self, name: str) -> np.ndarray | None:
+        path = f"{self.base}/{name}"
+        if not self.local:
+            from pyarrow import fs
+
+            if self.fs.get_file_info(path).type == fs.FileType.NotFound:
+                return None
+            self.own = self.own or tempfile.TemporaryDirectory(prefix="ngram-")
+            path, source = f"{self.own.name}/{name.replace('/', '-')}", path
+            with self.fs.open_input_stream(source) as f, open(path, "wb") as out:
+                shutil.copyfileobj(f, out)
+        return np.asarray(np.memmap(path, np.uint8, "r")) if os.path.exists(path) else None
 
 
 def _counter(shards: int):
     """Over texts: bigrams and their counts, packed, a row for each shard and FLUSH tokens."""
 
     def rows(parts):
-        v, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+        v, w = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        parts.clear()
         _, at, n = _summed(_pair(v, w), np.ones(len(v), np.int64))
         v, w = v[at], w[at]
         shard = _shard(v, w, shards)
@@ -108,6 +176,7 @@ def _counter(shards: int):
                     parts, held = [], 0
         if held:
             yield rows(parts)
+        release_memory()
 
     return run
 
@@ -116,7 +185,7 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
 
-def _bigrams(folder: str, shards: int):
+def _bigrams(folder: str, parts: int):
     """Merges a shard's counts, stores it, and passes on what its words need: (part, kind, h, x)."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -125,21 +194,15 @@ def _bigrams(folder: str, shards: int):
         keys, at, n = _summed(_pair(v, w), n)
         v, w = v[at], w[at]
         large = np.flatnonzero(n >= 65535)
-        _save(
-            f"{folder}/bigrams/{shard:06d}",
-            high=(keys >> np.uint64(32)).astype(np.uint32),
-            low=(keys >> np.uint64(16)).astype(np.uint16),
-            n=np.minimum(n, 65535).astype(np.uint16),
-            large=np.stack([large, n[large]]),
-        )
+        Store(folder).put(f"bigrams/{shard:08d}", [(keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(16)).astype(np.uint16), np.minimum(n, 65535).astype(np.uint16), np.stack([large, n[large]])])
         words, _, count, left = _summed(w, n, np.ones(len(n), np.int64))
         heads, _, *follow = _summed(v, n == 1, n == 2, n >= 3)
         out: dict[str, list] = {"part": [-1], "kind": [2], "h": [b""], "x": [np.array([*((n == k).sum() for k in (1, 2, 3, 4)), len(n)], np.int64).tobytes()]}
         for kind, h, columns in ((0, words, (count, left)), (1, heads, follow)):
-            part = (h % np.uint64(shards)).astype(np.int64)
+            part = (h % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(shards + 1))
-            for i in range(shards):
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for i in range(parts):
                 own = order[cuts[i] : cuts[i + 1]]
                 if len(own):
                     out["part"].append(i)
@@ -168,7 +231,7 @@ def _words(folder: str):
                 j = i if kind == 0 else i - 2
                 columns[i].append(x[j] if 0 <= j < len(x) and (i < 2) == (kind == 0) else np.zeros(len(a), np.uint32))
         keys, _, count, left, n1, n2, n3 = _summed(np.concatenate(h), *[np.concatenate(c) for c in columns])
-        _save(f"{folder}/words/{part:06d}", keys=keys, count=count, left=left.astype(np.uint32), follow=np.stack([n1, n2, n3]).astype(np.uint32))
+        Store(folder).put(f"words/{part:08d}", [keys, count, left.astype(np.uint32), np.stack([n1, n2, n3]).astype(np.uint32)])
         known = left[count > 0]
         figures = [int(count.sum()), int((count > 0).sum()), *[int((known == k).sum()) for k in (1, 2, 3, 4)], int((known >= 3).sum())]
         return pa.table({"kind": [0], "figures": [figures]}, schema=schema)
@@ -188,44 +251,45 @@ def train(texts: DataFrame) -> dict:
     """Counts the bigrams of all texts (column `text`; null: empty) and stores the model; returns its place and totals."""
     spark = texts.sparkSession
     small_batches(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = _local(new_folder(spark, "ngram"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(texts) // SHARD_BYTES))
+    parts = min(shards, max(64, 8 * isqrt(shards)))  # a shard makes a row for each: far fewer than shards, where these are many
+    folder = new_folder(spark, "ngram")
+    Store(folder)  # fails here, and not in every task, where the store is none that workers can write to
     counted = texts.select(F.col("text").cast("string")).mapInArrow(_counter(shards), "shard int, v binary, w binary, n binary")
-    shared = counted.groupBy("shard").applyInArrow(_bigrams(folder, shards), "part int, kind int, h binary, x binary")
+    # a shard for each task: Spark would put several together
+    shared = counted.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(_bigrams(folder, parts), "part int, kind int, h binary, x binary")
     figures = shared.groupBy("part").applyInArrow(_words(folder), _STATS).groupBy("kind").agg(*[F.sum(F.get("figures", F.lit(i))).alias(f"f{i}") for i in range(7)]).collect()
     words = next(([*r][1:] for r in figures if r["kind"] == 0), [0] * 7)
     pairs = next(([*r][1:6] for r in figures if r["kind"] == 2), [0] * 5)
-    return {"folder": folder, "shards": shards, "tokens": words[0], "types": words[1], "left": words[2:7], "pairs": pairs}
+    return {"folder": folder, "shards": shards, "parts": parts, "tokens": words[0], "types": words[1], "left": words[2:7], "pairs": pairs}
+
+
+def _by_shard(shard: np.ndarray, key: np.ndarray):
+    """(shard, places in order of the key) for each shard that occurs."""
+    order = np.lexsort((key, shard))
+    starts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        yield int(shard[order[a]]), order[a:b]
 
 
 class Model:
     """A stored model, mapped into memory as it is needed."""
 
     def __init__(self, at: dict):
-        self.at, self.files = at, {}
+        self.at, self.store = at, Store(at["folder"])
         self.pair_off = discounts(*at["pairs"][:4])
         m1, m2, _, _, m3 = at["left"]
         self.left_off = discounts(*at["left"][:4])
         self.all_pairs = max(1, at["pairs"][4])
         self.spare = float(np.dot(self.left_off[1:], [m1, m2, m3])) / self.all_pairs if at["pairs"][4] else 1.0
 
-    def _open(self, kind: str, shard: int, names: tuple[str, ...]):
-        if (kind, shard) not in self.files:
-            path = f"{self.at['folder']}/{kind}/{shard:06d}"
-            there = os.path.exists(f"{path}.{names[0]}.npy")
-            self.files[kind, shard] = [np.load(f"{path}.{x}.npy", mmap_mode="r") for x in names] if there else None
-        return self.files[kind, shard]
-
     def words(self, h: np.ndarray) -> np.ndarray:
         """Rows count, left, n1, n2, n3 of distinct hashes; zeros for unknown ones."""
         found = np.zeros((5, len(h)), np.int64)
-        part = (h % np.uint64(self.at["shards"])).astype(np.int64)
-        order = np.lexsort((h, part))
-        cuts = np.searchsorted(part[order], np.arange(self.at["shards"] + 1))
-        for i in range(self.at["shards"]):
-            own = order[cuts[i] : cuts[i + 1]]
-            if len(own) and (table := self._open("words", i, ("keys", "count", "left", "follow"))):
+        for i, own in _by_shard((h % np.uint64(self.at["parts"])).astype(np.int64), h):
+            if table := self.store.get(f"words/{i:08d}", WORDS):
                 keys, count, left, follow = table
+                follow = follow.reshape(3, -1)
                 at = np.minimum(np.searchsorted(keys, h[own]), len(keys) - 1)
                 ok = keys[at] == h[own]
                 own, at = own[ok], at[ok]
@@ -235,14 +299,12 @@ class Model:
     def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """How often each w came after v."""
         key, shard = _pair(v, w), _shard(v, w, self.at["shards"])
-        order = np.lexsort((key, shard))
-        cuts = np.searchsorted(shard[order], np.arange(self.at["shards"] + 1))
         found = np.zeros(len(v), np.int64)
-        for i in range(self.at["shards"]):
-            own = order[cuts[i] : cuts[i + 1]]
-            if not len(own) or not (table := self._open("bigrams", i, ("high", "low", "n", "large"))):
+        for i, own in _by_shard(shard, key):
+            if not (table := self.store.get(f"bigrams/{i:08d}", BIGRAMS)):
                 continue
             high, low, n, large = table
+            large = large.reshape(2, -1)
             want, check = (key[own] >> np.uint64(32)).astype(np.uint32), (key[own] >> np.uint64(16)).astype(np.uint16)
             at = np.searchsorted(high, want)
             while len(own):  # past others with the same upper half

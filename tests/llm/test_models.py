@@ -83,6 +83,33 @@ def test_ngram_counts_above_the_stored_width(spark, docs, monkeypatch):
     assert few["tokens"] == sum(len(tokens(t)) for t in corpus(40))
 
 
+def test_a_store_that_is_not_mounted(tmp_path, monkeypatch):
+    """Shards come by pyarrow's file systems, a few at a time, and are removed again."""
+    monkeypatch.setattr(ngram, "OPEN_SHARDS", 3)
+    far = ngram.Store(f"file://{tmp_path}", local=False)
+    for i in range(8):
+        far.put(f"words/{i}", [np.arange(i, dtype=np.uint64), np.full(3, i, np.int64), np.zeros(1, np.uint32), np.arange(3 * i, dtype=np.uint32)])
+    for store in (far, ngram.Store(f"file://{tmp_path}")):
+        for i in [*range(8), 0, 7]:
+            a, b, c, d = store.get(f"words/{i}", ngram.WORDS)
+            assert a.tolist() == list(range(i)) and b.tolist() == [i] * 3 and c.tolist() == [0] and d.tolist() == list(range(3 * i))
+        assert store.get("words/9", ngram.WORDS) is None and len(store.open_) <= 3
+    import os
+
+    assert len(os.listdir(far.own.name)) <= 3 and sorted(os.listdir(f"{tmp_path}/words")) == [str(i) for i in range(8)]
+
+
+def test_ngram_shards_follow_the_input(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, t) for i, t in enumerate(corpus(60))] * 2, "doc_id bigint, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    whole = ngram.scored(docs, few := ngram.train(docs)).collect()
+    monkeypatch.setattr(ngram, "SHARD_BYTES", 100)
+    again = ngram.scored(docs, many := ngram.train(docs)).collect()
+    assert many["shards"] > few["shards"] and len(whole) == 120
+    near = lambda rows: sorted((r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in rows)
+    assert near(whole) == near(again)
+
+
 def exact(word, number, p):
     """Log of the sum over all segmentations, place by place."""
     longest = max(map(len, number))
