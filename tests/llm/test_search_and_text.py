@@ -35,10 +35,34 @@ def test_nearest(spark, blocks):
         hits += len({x[1] for x in got[q]} & {i for i, _ in w})
         total += len(w)
     assert hits / total >= 0.99
+    assert hits == total  # recall 1.0
     assert [x[1] for x in got[2000]] == [100, *range(1000, 1009)] and got[2000][0][2] == 0.0
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_repeated_ids_are_candidates_each(spark):
+    draw = np.random.default_rng(5)
+    v = draw.standard_normal((40, 8)).tolist()
+    rows = [(i, v[i]) for i in range(30)] + [(7, v[30]), (7, v[7]), (0, v[31]), (0, v[0])]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, 40, 5, 3).orderBy("rank").collect()]
+    q = min(v[0], v[31])
+    want = sorted((float(np.sqrt(((np.array(w) - q) ** 2).sum())), i) for i, w in rows if i)
+    assert [(r[0], r[1], r[2]) for r in got] == [(0, n, i) for n, (_, i) in enumerate(want, 1)] and [r[3] for r in got] == pytest.approx([d for d, _ in want])
+
+
+def test_far_cells_are_not_visited(spark):
+    """Of separate groups, a query visits its own cells only, and still finds its nearest exactly."""
+    draw = np.random.default_rng(6)
+    rows = [(i, (np.eye(16)[i % 8] * 50 + draw.standard_normal(16)).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    centre = ann.centres(ann.usable(df), 50)[16]
+    assert len(centre) == 16
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, 10, 50).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in w] for q, w in brute(rows, 10).items()}
+
+
 def test_bounds_hold():
     draw = np.random.default_rng(1)
     x, q = draw.standard_normal((2000, 64)), draw.standard_normal((20, 64))
