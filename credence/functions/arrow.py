@@ -76,6 +76,13 @@ def token_labels(given: pd.Series, fixed: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else difference_labels(list(a), list(b)) for a, b in zip(given, fixed, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def code_token_labels(given: pd.Series, fixed: pd.Series, offset: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    """difference_labels by both alignments: of the whole sequences, and of the given code from start to end with what is fixed from `offset` on."""
+    rows = zip(given, fixed, offset, start, end, strict=True)
+    return pd.Series([None if a is None or b is None else difference_labels(list(a), list(b), int(o), (int(s), int(e))) for a, b, o, s, e in rows])
+
+
 @F.pandas_udf(T.ArrayType(_LEAF))
 def leaves(source: pd.Series) -> pd.Series:
     """The lexical leaves of Python source (comment, identifier, string, number, operator) by character offsets; row from 0."""

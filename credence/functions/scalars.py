@@ -52,6 +52,17 @@ def line_id(*candidates: Column) -> Column:
     return F.coalesce(*[c.try_cast("int") for c in candidates])
 
 
+def number(value: Column) -> Column:
+    """A finite number, NULL where there is none."""
+    got = value.try_cast("double")
+    return F.when(~F.isnan(got) & (F.abs(got) != float("inf")), got)
+
+
+def fix_of(fixed: Column, program: Column) -> Column:
+    """The fixed program, or what says why there is none: no program to fix, or no fix for it."""
+    return F.when(F.coalesce(F.trim(program), F.lit("")) == "", NO_PROGRAM).when(F.coalesce(F.trim(fixed), F.lit("")) == "", NO_FIX).otherwise(fixed)
+
+
 def int_list(values: Column) -> Column:
     """An array of integers; NULL if any is none."""
     got = F.transform(values, lambda x: x.try_cast("bigint"))
@@ -78,9 +89,9 @@ def code_span(text: Column) -> Column:
 
 
 def code_of(text: Column) -> Column:
-    """The last fenced block's body, trimmed; empty if there is none."""
+    """The last fenced block's body without white space at its ends; empty if there is none."""
     span = code_span(text)
-    return F.coalesce(F.trim(F.substring(text, span["start"] + 1, span["end"] - span["start"])), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.substring(text, span["start"] + 1, span["end"] - span["start"]), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def token_span(offsets: Column, span: Column) -> Column:
@@ -207,6 +218,29 @@ def prompt(title: Column, body: Column, starter: Column) -> Column:
     return F.concat_ws("\n\n", title, body, code)
 
 
+def instruction(task: Column, entry_point: Column) -> Column:
+    """A prompt that names what is to be written: the task, and the function that must be there if one is named."""
+    named = F.when(F.coalesce(F.trim(entry_point), F.lit("")) != "", F.concat(F.lit("Define `"), entry_point, F.lit("`.")))
+    return F.concat_ws("\n\n", F.trim(task), named)
+
+
+def repair_prompt(task: Column, program: Column, failure: Column) -> Column:
+    """A prompt that asks for a correction: the task, the program fenced, and what went wrong if that is known."""
+    code = F.concat(F.lit(f"{FENCE}python\n"), F.coalesce(program, F.lit("")), F.lit(f"\n{FENCE}"))
+    why = F.when(F.coalesce(F.trim(failure), F.lit("")) != "", F.concat(F.lit("It fails with: "), F.trim(failure)))
+    return F.concat_ws("\n\n", task, code, why)
+
+
+def token_at(offsets: Column, byte: Column) -> Column:
+    """The index of the token (start, end) that holds a place; NULL if none does."""
+    return F.array_min(F.filter(F.transform(offsets, lambda o, i: F.when((o["start"] <= byte) & (byte < o["end"]), i)), lambda i: i.isNotNull()))
+
+
+def tokens_in(offsets: Column, start: Column, end: Column) -> Column:
+    """The indices of the tokens that overlap start..end (exclusive)."""
+    return F.filter(F.transform(offsets, lambda o, i: F.when((o["start"] < end) & (o["end"] > start), i)), lambda i: i.isNotNull())
+
+
 def token_entropy(logits: Column, k: int = 0) -> Column:
     """Entropy in nats of softmax(logits); with k, of the k largest and one bucket for the rest."""
     x = F.transform(logits, lambda v: v.cast("double"))

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 
 def mapped(task_libs: DataFrame, lib_domains: DataFrame) -> DataFrame:
     """(task, lib, domain): exact names first, then without case; domain NULL for an unmapped library."""
-    exact = lib_domains.select("lib", F.col("domain").alias("exact"))
-    folded = lib_domains.groupBy(F.lower("lib").alias("folded_lib")).agg(F.min_by("domain", "lib").alias("folded"))
-    both = task_libs.join(exact, "lib", "left").join(folded, F.lower(task_libs["lib"]) == F.col("folded_lib"), "left")
-    return both.select("task", task_libs["lib"], F.coalesce("exact", "folded").alias("domain"))
+    names = lib_domains.select(F.col("lib").alias("name"), "domain", F.lower("lib").alias("folded"))
+    exact = names.groupBy("name").agg(F.min("domain").alias("exact"))
+    folded = names.groupBy("folded").agg(F.min_by("domain", "name").alias("other"))
+    both = task_libs.join(exact, task_libs["lib"] == exact["name"], "left").join(folded, F.lower(task_libs["lib"]) == folded["folded"], "left")
+    return both.select("task", "lib", F.coalesce("exact", "other").alias("domain"))
+
+
+def pairs(task_libs: DataFrame, lib_domains: DataFrame) -> DataFrame:
+    """(task, domain), each once: libraries are mapped where they stand, and one shuffle drops the repeats."""
+    return mapped(task_libs, lib_domains).where("domain is not null").select("task", "domain").distinct()
 
 
 def domains_of(task_libs: DataFrame, lib_domains: DataFrame) -> DataFrame:

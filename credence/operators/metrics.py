@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import CELLS, running, with_cells
+
 #: Thresholds of a sweep, as exact tenths.
 TENTHS = tuple(range(1, 10))
 
@@ -69,23 +71,18 @@ def brier_skill(df: DataFrame, y: Column, p: Column, by: list[str] = ()) -> Data
     return got.select(*by, "n", F.round("b", 9).alias("base_rate"), F.round("e", 9).alias("brier"), F.round(F.try_divide(spread - F.col("e"), spread), 9).alias("bss"))
 
 
-def roc_auc(df: DataFrame, y: Column, p: Column, cells: int = 1024) -> DataFrame:
-    """n_pos, n_neg and auc with ties at midrank, for scores from 0 to 1.
+def roc_auc(df: DataFrame, y: Column, p: Column, cells: int = CELLS) -> DataFrame:
+    """n_pos, n_neg and auc with ties at midrank, for scores of any scale.
 
-    Rows shrink to one for each distinct score; running sums go over score cells first and inside each cell
-    then, so no window holds all scores.
+    Rows shrink to one for each distinct score; running sums go over stretches of about as many rows first and
+    inside each then, so no window holds all scores.
     """
-    levels = df.groupBy(p.alias("score")).agg(_int(F.count_if(y)).alias("pos"), _int(F.count_if(~y)).alias("neg"))
-    levels = levels.where("score is not null").withColumn("cell", F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * cells))
-    totals = levels.groupBy("cell").agg(F.sum("neg").alias("cell_neg"))
-    before = F.coalesce(F.sum("cell_neg").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("cell", before.alias("offset"))  # at most cells + 1 rows
-    own = F.coalesce(F.sum("neg").over(W.partitionBy("cell").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = levels.withColumn("own", own).join(offsets, "cell")
-    got = ranked.agg(
+    scored = df.select(y.alias("_y"), p.alias("score")).where("score is not null")
+    levels = with_cells(scored, "score", "cell", cells).groupBy("cell", "score").agg(_int(F.count_if("_y")).alias("pos"), _int(F.count_if(~F.col("_y"))).alias("neg"))
+    got = running(levels, "score", "cell", "neg").agg(
         F.coalesce(_int(F.sum("pos")), F.lit(0)).alias("n_pos"),
         F.coalesce(_int(F.sum("neg")), F.lit(0)).alias("n_neg"),
-        F.sum(F.col("pos") * (F.col("offset") + F.col("own") + F.col("neg") / 2.0)).alias("u"),
+        F.sum(F.col("pos") * (F.col("_before") + F.col("neg") / 2.0)).alias("u"),
     )
     return got.select("n_pos", "n_neg", F.round(F.try_divide(F.col("u"), F.col("n_pos").cast("double") * F.col("n_neg")), 9).alias("auc"))
 
@@ -165,13 +162,14 @@ def random_hit_baseline(lines: DataFrame, trials: int, seed: str, ks: tuple[int,
     """Mean and population deviation over trials of Hit@K under an order drawn by a hash of trial, candidate and line.
 
     Each trial draws one permutation of a candidate's lines: those are listed once, so the shuffle carries every
-    line once, not once a trial; expected is the exact value for a uniform order.
+    line once, not once a trial, and the draws of a candidate stay in its task. The first hit comes after the lines
+    that aren't wrong and are drawn before the first wrong one. expected_random_hit is the exact value.
     """
-    listed = lines.groupBy("sample").agg(F.collect_list(F.struct("line", "is_error")).alias("lines"))
-    trial = listed.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    drawn = F.transform("lines", lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col("trial").cast("string"), F.col("sample").cast("string"), x["line"].cast("string"))).alias("h"), x["is_error"].alias("e")))
-    first = F.array_position(F.transform(F.array_sort(drawn), lambda x: x["e"]), True)
-    each = trial.select("trial", first.alias("first"))
+    listed = lines.groupBy("sample").agg(F.collect_list(F.struct("line", "is_error")).alias("lines")).where(F.exists("lines", lambda x: x["is_error"]))
+    drawn = listed.select("sample", F.explode("lines").alias("x"), F.sequence(F.lit(0), F.lit(trials - 1)).alias("trials")).select("sample", "x", F.explode("trials").alias("trial"))
+    drawn = drawn.select("sample", "trial", F.col("x.is_error").alias("e"), F.md5(F.concat_ws("|", F.lit(seed), F.col("trial").cast("string"), F.col("sample").cast("string"), F.col("x.line").cast("string"))).alias("h"))
+    first = drawn.groupBy("sample", "trial").agg(F.min(F.when(F.col("e"), F.col("h"))).alias("f"), F.collect_list(F.when(~F.col("e"), F.col("h"))).alias("rest"))
+    each = first.select("trial", (F.size(F.filter("rest", lambda h: h < F.col("f"))) + 1).alias("first"))
     per = each.groupBy("trial").agg(*[F.try_divide(_int(F.count_if((F.col("first") > 0) & (F.col("first") <= k))).cast("double"), _int(F.count_if(F.col("first") > 0))).alias(f"r{k}") for k in ks])
     got = per.agg(*[x for k in ks for x in (F.avg(f"r{k}").alias(f"m{k}"), F.stddev_pop(f"r{k}").alias(f"s{k}"))])
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(f"m{k}"), 9).alias("mean_rate"), F.round(F.col(f"s{k}"), 9).alias("std_rate")) for k in ks])
@@ -206,6 +204,13 @@ def evaluation(df: DataFrame, y: Column, p: Column, threshold: float = 0.5, by:
     return got.select(*by, "n", F.round("_loss", 6).alias("log_loss"), F.round(F.try_divide((F.col("n") - F.col("_fp") - F.col("_fn")).cast("double"), F.col("n")), 9).alias("accuracy"), F.round(f1(F.col("_tp"), F.col("_fp"), F.col("_fn")), 9).alias("f1"))
 
 
+def batch_mean_loss(df: DataFrame, y: Column, p: Column, batch: Column, by: list[str] = ()) -> DataFrame:
+    """Mean of the batches' mean log-losses, which weighs a short last batch like others; and the number of batches."""
+    q = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
+    per = df.groupBy(*by, batch.alias("_batch")).agg(F.avg(F.when(y, -F.ln(q)).otherwise(-F.ln(1 - q))).alias("_loss"))
+    return per.groupBy(*by).agg(F.count("*").alias("batches"), F.round(F.avg("_loss"), 6).alias("loss"))
+
+
 def selection_score(auc: Column, otherwise: Column) -> Column:
     """What models are chosen by: AUC, or another metric where that is undefined."""
     return F.coalesce(F.nanvl(auc, F.lit(None).cast("double")), otherwise)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import running, with_cells
+
 
 def best_auc(results: DataFrame, exclude: str | None = None) -> DataFrame:
     """Each model's largest roc_auc and whose it is (the first by `ord` on ties); rows of rank `exclude` don't count."""
@@ -38,7 +40,8 @@ def shortfall(home: DataFrame, away: DataFrame, epsilon: float = 0.05) -> DataFr
 def bootstrap(values: DataFrame, samples: int, seed: str, by: list[str] = ()) -> DataFrame:
     """Percentile interval (2.5 to 97.5 %) of the mean over hashed resamples of each group's values (id, value).
 
-    Draw j of resample s takes the value at md5(seed|s|j) mod n in the order of id: repeatable on any cluster.
+    Draw j of resample s takes the value at md5(seed|s|j) mod n in the order of id: repeatable on any cluster. A group's
+    values are held in one row: it is for tables of results, not of tokens.
     """
     listed = values.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda r: r["value"]).alias("v"))
     rows = listed.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
@@ -71,18 +74,30 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.get(F.array_sort(values), F.rint(F.lit(p / 100.0) * (F.size(values) - 1)).cast("int"))
 
 
-def percentiles(rows: DataFrame, value: str, ps: tuple[float, ...], by: list[str] = ()) -> DataFrame:
-    """Nearest-rank percentiles of each group without gathering it: counts per distinct value, then running totals.
+def percentiles(rows: DataFrame, value: str, ps: tuple[float, ...], by: list[str] = (), between: tuple[float, ...] = ()) -> DataFrame:
+    """Nearest-rank percentiles p<p> of each group, and interpolated ones m<p> for those of `between`, without gathering it.
 
-    The distinct values of a group are what a window holds.
+    Counts for each distinct value, then running totals over stretches of values and inside each: neither a group nor its
+    distinct values meet in one window.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*by)
-    run = counts.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    known = with_cells(rows.where(F.col(value).isNotNull()).select(*by, value), value, "_cell")
+    counts = known.groupBy(*by, "_cell", value).agg(F.count("*").alias("_c"))
+    names = {c: f"_by{i}" for i, c in enumerate(by)}
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).withColumnsRenamed(names)
+    run = running(counts, value, "_cell", "_c", by)
+    run = run.join(sizes, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).drop(*names.values()) if by else run.join(sizes)  # a row a group
+    upto = F.col("_before") + F.col("_c")
     picks = []
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(upto > rank, F.col(value)))
+
     for p in ps:
-        at = F.rint(F.lit(p / 100.0) * (F.col("_n") - 1))
-        picks.append(F.min(F.when(F.col("_to") > at, F.col(value))).alias(f"p{p:g}"))
+        picks.append(at(F.rint(F.lit(p / 100.0) * (F.col("_n") - 1))).alias(f"p{p:g}"))
+    for p in between:
+        place = F.lit(p / 100.0) * (F.col("_n") - 1)
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        picks.append((low + (high - low) * part).alias(f"m{p:g}"))
     return run.groupBy(*by).agg(F.max("_n").alias("n"), *picks)
 
 
@@ -102,11 +117,11 @@ def label_distribution(tokens: DataFrame, by: str, samples: list[str]) -> DataFr
 
 def share_stats(candidates: DataFrame, share: str, row: str) -> DataFrame:
     """Mean, median, 90th percentile (nearest rank) of a candidate's share, and the mean deviation within rows of two or more."""
-    middle = percentiles(candidates, share, (90.0,))
+    middle = percentiles(candidates, share, (90.0,), between=(50.0,))
     inner = candidates.groupBy(row).agg(F.count("*").alias("k"), F.stddev_pop(share).alias("d")).where("k >= 2").agg(F.avg("d").alias("d"))
-    whole = candidates.agg(F.avg(share).alias("m"), F.percentile(share, 0.5).alias("md"))
+    whole = candidates.agg(F.avg(share).alias("m"))
     got = whole.join(middle).join(inner)  # one row each
-    return got.select("n", F.round("m", 6).alias("mean"), F.round("md", 6).alias("median"), F.round("p90", 6).alias("p90"), F.round("d", 6).alias("within_row_std"))
+    return got.select("n", F.round("m", 6).alias("mean"), F.round("m50", 6).alias("median"), F.round("p90", 6).alias("p90"), F.round("d", 6).alias("within_row_std"))
 
 
 def macro_shares(tokens: DataFrame, keys: list[str]) -> DataFrame:

@@ -105,11 +105,10 @@ def realigned_end(tokens: DataFrame, keys: list[str], marker: Column) -> DataFra
 
 def row_window(rows: DataFrame, order: list[str], start: int = 0, limit: int | None = None, absolute: bool = False) -> DataFrame:
     """Rows start.. of an order, `limit` of them; with absolute, up to index `limit`."""
-    n = rows.withColumn("_i", F.row_number().over(W.orderBy(*order)) - 1) if not (start == 0 and limit is not None) else None
-    if n is None:
-        return rows.orderBy(*order).limit(limit)
-    end = math.inf if limit is None else limit if absolute else start + limit
-    return n.where((F.col("_i") >= start) & (F.col("_i") < (end if end < math.inf else 1 << 62))).drop("_i")
+    ordered = rows.orderBy(*order)
+    many = limit if limit is None or not absolute else max(0, limit - start)
+    ordered = ordered.offset(start) if start else ordered
+    return ordered if many is None else ordered.limit(many)
 
 
 def limited(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:

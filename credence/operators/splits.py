@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,64 +37,89 @@ def hashed_ranks(rows: DataFrame, key: str, seed: str, by: list[str] = ()) -> Da
     cells = rows.withColumn("_h", h).withColumn("_cell", F.substring("_h", 1, 3))
     totals = cells.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select(*by, "_cell", before.alias("_before"))
+    names = {c: f"_on{i}" for i, c in enumerate((*by, "_cell"))}
+    offsets = totals.select(*by, "_cell", before.alias("_before")).withColumnsRenamed(names)
     own = F.row_number().over(W.partitionBy(*by, "_cell").orderBy("_h", key))
-    return cells.withColumn("_own", own).join(offsets, [*by, "_cell"]).withColumn("_rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_cell", "_h")
+    joined = cells.withColumn("_own", own).join(offsets, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return joined.withColumn("_rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_cell", "_h", *names.values())
 
 
 def split(rows: DataFrame, key: str, ratios: tuple[float, ...], seed: str, strata: str | None = None, names: tuple[str, ...] = SPLITS) -> DataFrame:
-    """rows with `split`, of exactly the sizes that `allocated` gives (for each stratum, if there are any)."""
+    """rows with `split`, of exactly the sizes that `allocated` gives (for each stratum, if there are any): strata are counted,
+    allotted and joined in Spark, however many there are."""
     check_ratios(ratios)
     by = [strata] if strata else []
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).collect()  # a row for each stratum
-    ranked = hashed_ranks(rows, key, seed, by)
-    name = F.lit(None).cast("string")
-    for r in sizes:
-        counts, label, end = allocated(r["n"], ratios), F.lit(None).cast("string"), r["n"]
-        for c, x in reversed(list(zip(counts, names, strict=False))):
-            label = F.when((F.col("_rank") > end - c) & (F.col("_rank") <= end), x).otherwise(label)
-            end -= c
-        name = F.when(F.col(strata).eqNullSafe(F.lit(r[strata])) if strata else F.lit(True), label).otherwise(name)
-    return ranked.withColumn("split", name).drop("_rank")
-
-
-def greedy(rows: DataFrame, key: str, ratios: tuple[float, ...], names: tuple[str, ...] = SPLITS, weights: tuple[float, float, float] = (1.0, 2.0, 0.2)) -> DataFrame:
-    """Groups (key, n, n_correct) dealt one after the other to the split that then deviates least.
-
-    Order: n, then distance of the group's correct rate from the overall one, both from high to low, then key. Deviation:
-    candidates, correct ones and groups against their targets, as squared shares, weighted. Each step needs the last one's totals, so
-    it is one sequential pass. Groups of equal (n, n_correct) are alike: the driver deals kinds, each a count,
-    and the groups of a kind are then taken in hashed order; so what it holds is kinds, not groups.
+
+    def allotted(frames):
+        for pdf in frames:
+            out = []
+            for stratum, n in zip(pdf["stratum"], pdf["n"], strict=True):
+                end = 0
+                for c, x in zip(allocated(int(n), ratios), names, strict=False):
+                    out.append((stratum, x, end, end + c))
+                    end += c
+            yield pd.DataFrame(out, columns=["stratum", "split", "low", "high"])
+
+    stratum = F.to_json(F.struct(F.col(strata).alias("s"))) if strata else F.lit("")  # of any type; a null is a stratum too
+    sizes = rows.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("n"))
+    cuts = sizes.mapInPandas(allotted, "stratum string, split string, low bigint, high bigint")
+    ranked = hashed_ranks(rows, key, seed, by).withColumn("_stratum", stratum)
+    ranges = cuts.groupBy(F.col("stratum").alias("_stratum")).agg(F.collect_list(F.struct("low", "high", "split")).alias("_ranges"))
+    own = F.get(F.filter("_ranges", lambda r: (F.col("_rank") > r["low"]) & (F.col("_rank") <= r["high"])), F.lit(0))["split"]
+    return ranked.join(ranges, "_stratum").withColumn("split", own).drop("_rank", "_stratum", "_ranges")
+
+
+#: Weights of errors in candidates, correct ones and groups, as whole numbers of fifths: 1, 2 and 0.2.
+GREEDY_WEIGHTS = (5, 10, 1)
+
+
+def dealt(kinds: list[tuple[int, int, int]], ratios: tuple[float, ...], weights: tuple[int, int, int] = GREEDY_WEIGHTS) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """For kinds (n, n_correct, groups), each kind's groups dealt as runs (split, how many), in order.
+
+    One group after the other goes to the split for which the weighted sum of absolute errors against the targets
+    (largest remainders) is then least, ties to the lower split. Errors are piecewise linear, so as long as no total
+    of the chosen split reaches its target the choice stays: such groups are dealt in one run, with the same result.
     """
-    kinds = rows.groupBy("n", "n_correct").agg(F.count("*").alias("groups")).collect()
-    total = sum(r["n"] * r["groups"] for r in kinds)
-    right = sum(r["n_correct"] * r["groups"] for r in kinds)
-    count = sum(r["groups"] for r in kinds)
-    rate = right / total if total else 0.0
-    target = [(total * r, right * r, count * r) for r in ratios]
-    now = [[0.0, 0.0, 0.0] for _ in ratios]
-    quota: dict[tuple[int, int], list[int]] = {}
-
-    def cost(s: int, add: tuple[float, float, float]) -> float:
-        return sum(w * ((now[s][i] + add[i] - target[s][i]) ** 2 - (now[s][i] - target[s][i]) ** 2) / max(1.0, (total, right, count)[i]) ** 2 for i, w in enumerate(weights))
-
-    for r in sorted(kinds, key=lambda r: (-r["n"], -abs((r["n_correct"] / r["n"] if r["n"] else 0) - rate), r["n_correct"])):
-        dealt, left = [0] * len(ratios), r["groups"]
+    total, right, count = (sum(k[2] * x for k, x in zip(kinds, column, strict=True)) for column in ([k[0] for k in kinds], [k[1] for k in kinds], [1] * len(kinds)))
+    target = list(zip(allocated(total, ratios), allocated(right, ratios), allocated(count, ratios), strict=True))
+    now = [[0, 0, 0] for _ in ratios]
+    rate = Fraction(right, total) if total else Fraction(0)
+    runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for n, correct, groups in sorted(kinds, key=lambda k: (-k[0], -abs(Fraction(k[1], k[0]) - rate) if k[0] else 0, k[1])):
+        add, left, own = (n, correct, 1), groups, []
         while left:
-            step = max(1, left // 64)
-            add = (r["n"] * step, r["n_correct"] * step, step)
-            s = min(range(len(ratios)), key=lambda s: (cost(s, add), s))
+            change = [sum(w * (abs(x + a - t) - abs(x - t)) for w, x, a, t in zip(weights, now[s], add, target[s], strict=True)) for s in range(len(ratios))]
+            s = change.index(min(change))
+            steps = [(t - x) // a for x, a, t in zip(now[s], add, target[s], strict=True) if a and x < t]
+            run = min([left, *steps])  # 0 where the next group passes a target
+            run = max(1, run)
             for i in range(3):
-                now[s][i] += add[i]
-            dealt[s] += step
-            left -= step
-        quota[r["n"], r["n_correct"]] = dealt
-    spark = rows.sparkSession
-    table = [(n, c, x, sum(q[:i]), sum(q[: i + 1])) for (n, c), q in quota.items() for i, x in enumerate(names[: len(ratios)])]
-    cuts = spark.createDataFrame(table, "n bigint, n_correct bigint, split string, low bigint, high bigint")
-    w = W.partitionBy("n", "n_correct").orderBy(F.md5(F.col(key).cast("string")), key)
-    ranked = rows.withColumn("_rank", F.row_number().over(w))
-    return ranked.join(cuts, ["n", "n_correct"]).where("_rank > low and _rank <= high").drop("_rank", "low", "high")
+                now[s][i] += add[i] * run
+            own.append((s, run))
+            left -= run
+        runs[n, correct] = own
+    return runs
+
+
+def greedy(rows: DataFrame, key: str, ratios: tuple[float, ...], names: tuple[str, ...] = SPLITS, weights: tuple[int, int, int] = GREEDY_WEIGHTS) -> DataFrame:
+    """Groups (key, n, n_correct) dealt one after the other to the split for which the errors are then least: see `dealt`.
+
+    Order: n, then distance of the group's correct rate from the overall one, both from high to low, then n_correct, then
+    a hash of the key. Each step needs the last one's totals, so it is one sequential pass; groups of equal
+    (n, n_correct) are alike, so the driver deals kinds, each a count, and holds kinds, not groups.
+    """
+    kinds = [(r["n"], r["n_correct"], r["groups"]) for r in rows.groupBy("n", "n_correct").agg(F.count("*").alias("groups")).collect()]
+    table = []
+    for (n, correct), runs in dealt(kinds, ratios, weights).items():
+        at = 0
+        for s, many in runs:
+            table.append((n, correct, names[s], at, at + many))
+            at += many
+    cuts = rows.sparkSession.createDataFrame(table, "n bigint, n_correct bigint, split string, low bigint, high bigint")
+    ranked = hashed_ranks(rows, key, "greedy", ["n", "n_correct"])
+    ranges = cuts.groupBy("n", "n_correct").agg(F.collect_list(F.struct("low", "high", "split")).alias("_ranges"))
+    own = F.get(F.filter("_ranges", lambda r: (F.col("_rank") > r["low"]) & (F.col("_rank") <= r["high"])), F.lit(0))["split"]
+    return ranked.join(ranges, ["n", "n_correct"]).withColumn("split", own).drop("_rank", "_ranges")
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -281,9 +281,7 @@ def unused_scores(spark, sf):
 
 @query(f"SELECT domain, count(*) AS tasks FROM (SELECT DISTINCT task, domain FROM ({MAPPED}) WHERE domain IS NOT NULL) GROUP BY domain")
 def domain_fanout_counts(spark, sf):
-    libs = views.task_libs(spark, sf)
-    rows = domains.fanned_out(libs.select("task").distinct(), domains.domains_of(libs, views.lib_domains(spark, sf)))
-    return rows.groupBy("domain").agg(F.count("*").alias("tasks"))
+    return domains.pairs(views.task_libs(spark, sf), views.lib_domains(spark, sf)).groupBy("domain").agg(F.count("*").alias("tasks"))
 
 
 @query(f"SELECT task, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, coalesce(bool_or(lower(domain) = 'asia'), false) AS is_held_out FROM ({MAPPED}) GROUP BY task")
@@ -514,16 +512,6 @@ def logtoku_reliability(spark, sf):
     return views.table(spark, sf, "embeddings").select("vec_id", F.round(logtoku("embedding"), 9).alias("reliability"))
 
 
-@query()
-def diff_token_labels(spark, sf):
-    from ..functions.arrow import token_labels
-
-    d = views.table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("given"))
-    fixed = F.filter("given", lambda w, i: i % 7 != 3)
-    short = d.where(F.size("given").between(1, 200)).withColumn("fixed", fixed)  # an alignment is quadratic in a text's words
-    return short.select("doc_id", F.size("given").alias("n"), F.size(F.filter(token_labels("given", "fixed"), lambda x: ~x)).alias("n_wrong"))
-
-
 @query()
 def gbt_probe_metrics(spark, sf):
     rows = probes.prepared(views.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), (F.col("label") >= 4).alias("y")))
@@ -550,7 +538,7 @@ def flatten_samples(spark, sf):
 @query("SELECT conv_id, turn, array_to_string(str_split(text, ' ')[3:7], ' ') AS part FROM conversations")
 def prompt_prefix_slice(spark, sf):
     c = views.table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.array_join(F.slice(F.split("text", " "), F.lit(3), F.lit(5)), " ").alias("part"))
+    return c.select("conv_id", "turn", F.array_join(scalars.token_slice(F.split("text", " "), F.lit(1), F.lit(5), F.lit(1)), " ").alias("part"))
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rk FROM conversations) WHERE rk <= 2")
@@ -671,9 +659,12 @@ def unknown_problem_audit(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import further  # noqa: F401  it adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 

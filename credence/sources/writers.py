@@ -36,3 +36,21 @@ def markdown(report: DataFrame, title: str) -> str:
     rows = [list(map(str, r)) for r in report.collect()]
     head = report.columns
     return "\n".join([f"### {title}", "", "| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(r) + " |" for r in rows), ""])
+
+
+def markdown_tables(rows: DataFrame, heading: str, order: str, columns: dict[str, str]) -> DataFrame:
+    """(value): for each value of `heading` a section of markdown with its rows as a table, in order of `order`.
+
+    columns: those of rows and what they are called. A section's rows, a report's table, are gathered as text.
+    """
+    names = list(columns.values())
+    cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), cells.alias("c")))), lambda x: F.concat(F.lit("| "), x["c"], F.lit(" |")))
+    head = F.array(F.concat(F.lit("### "), F.col(heading)), F.lit(""), F.lit("| " + " | ".join(names) + " |"), F.lit("|" + " --- |" * len(names)))
+    return rows.groupBy(heading).agg(lines.alias("lines")).select(F.array_join(F.concat(head, F.col("lines"), F.array(F.lit(""))), "\n").alias("value"))
+
+
+def summary(title: str, facts: dict[str, object], tables: dict[str, DataFrame]) -> str:
+    """A report of a few small aggregates: a title, a line for each fact, and a section with a table for each frame."""
+    lines = [f"# {title}", "", *[f"- {k}: {v}" for k, v in facts.items()], ""]
+    return "\n".join(lines) + "\n" + "\n".join(markdown(df, name) for name, df in tables.items())
