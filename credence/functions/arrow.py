@@ -120,3 +120,35 @@ def test_cases(stored: pd.Series) -> pd.Series:
         return None
 
     return stored.map(of)
+
+
+_SPANS = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+
+
+def spans_of_ids(ids: list[int], tokenizer) -> tuple[str, list[tuple[int, int]]]:
+    """The ids' text and each token's place in it, in characters: the tokenizer's own if encoding the text gives the same ids,
+    else those of the tokens decoded one by one and laid end to end."""
+    text = tokenizer.decode(ids, skip_special_tokens=False)
+    again = tokenizer.encode(text, add_special_tokens=False)
+    if again.ids == ids:
+        return text, [tuple(x) for x in again.offsets]
+    spans, at = [], 0
+    for i in ids:
+        n = len(tokenizer.decode([i], skip_special_tokens=False))
+        spans.append((at, at + n))
+        at += n
+    return text, spans
+
+
+def token_offsets(path: str):
+    """An Arrow UDF over arrays of ids: STRUCT(text, spans) by the tokenizer of a file."""
+
+    @F.pandas_udf(_SPANS)
+    def offsets(ids: pd.Series) -> pd.DataFrame:
+        from tokenizers import Tokenizer
+
+        known = Tokenizer.from_file(path)
+        made = [(None, None) if x is None else spans_of_ids([int(i) for i in x], known) for x in ids]
+        return pd.DataFrame({"text": [t for t, _ in made], "spans": [None if s is None else [{"start": a, "end": b} for a, b in s] for _, s in made]})
+
+    return offsets

@@ -397,6 +397,17 @@ def labelled_candidates(spark, sf):
     return outcomes.filtered(flagged).select("doc_id", "tokens", "correct")
 
 
+@query()
+def token_offsets_of_ids(spark, sf):
+    """Places of the tokens of ids that a tokenizer may or may not make again."""
+    import public_tokenizers
+
+    ids = F.transform("text_ids", lambda x: x)
+    rows = views.table(spark, sf, "conversations").select("conv_id", "turn", F.transform(F.split("text", ""), lambda c: F.pmod(F.ascii(c) * 7 + F.col("turn"), F.lit(256)).cast("int")).alias("text_ids"))
+    got = rows.select("conv_id", "turn", F.size("text_ids").alias("tokens"), arrow.token_offsets(public_tokenizers.path("byte_bpe_50k.json"))(ids).alias("o"))
+    return got.select("conv_id", "turn", "tokens", F.size("o.spans").alias("spans"), F.element_at("o.spans", -1)["end"].alias("end"))
+
+
 def _judged(model, test):
     got = probes.scores(model, test).select("y", "score")
     auc, best = metrics.roc_auc(got, F.col("y") > 0, F.col("score")), metrics.f1_sweep(got, F.col("y") > 0, F.col("score")).where("is_best")

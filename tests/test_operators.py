@@ -528,3 +528,18 @@ def test_reports_render_and_parse(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         writers.features(rows.withColumn("split", F.lit("train")).withColumn("layer", F.lit(1)), str(tmp_path / "f"))
         readers.features(spark, str(tmp_path / "f"), "test")
+
+
+def test_offsets_of_ids(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known = tokenizers.Tokenizer.from_file(path)
+    text = "def f(x):\n    return x + 1  # done"
+    own = known.encode(text, add_special_tokens=False).ids
+    odd = [known.token_to_id(c) for c in "return"]  # letter by letter: not what the tokenizer makes of the word
+    rows = spark.createDataFrame([(1, own), (2, odd), (3, []), (4, None)], "i int, ids array<int>")
+    got = {r["i"]: r["o"] for r in rows.select("i", arrow.token_offsets(path)("ids").alias("o")).collect()}
+    assert got[1]["text"] == text and "".join(text[a:b] for a, b in got[1]["spans"]) == text
+    assert (got[2]["text"], [tuple(x) for x in got[2]["spans"]]) == ("return", [(k, k + 1) for k in range(6)])
+    assert (got[3]["text"], got[3]["spans"]) == ("", []) and (got[4] is None or got[4]["spans"] is None)
