@@ -34,6 +34,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compared(table(spark, sf_dir, "documents"))
 
 
+def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4's bands, joined and verified: each document's class of texts with a Jaccard similarity of 0.8 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -66,7 +71,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ann": op1_ann, "op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op4_minhash": op4_minhash, "op5_simhash": op5_simhash, "op6_html_text": op6_html_text, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses}
+    return {"op1_ann": op1_ann, "op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op4_minhash": op4_minhash, "minhash_classes": minhash_classes, "op5_simhash": op5_simhash, "op6_html_text": op6_html_text, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses}
 
 
 #: Every pair, measured: what the codes must find.

@@ -220,6 +220,28 @@ def test_quality(spark, docs):
     assert quality.scored(docs([]), *model).count() == 0
 
 
+def test_a_document_rated_twice_counts_once_with_the_least(spark, docs):
+    rows = [(i, f"good words here {i}") if i % 2 else (i, f"nasty words here {i}") for i in range(200)]
+    once = [(i, int(i % 2), 0) for i in range(200)]
+    make = lambda x: spark.createDataFrame(x, "doc_id bigint, quality int, toxic int")
+    want = quality.train(docs(rows), make(once))
+    got = quality.train(docs(rows), make(once + [(0, 1, 0), (2, 1, None), (1, 1, 0)]))
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_quality_query_against_its_formula(spark, docs):
+    """Every document's grade from the model's weights, document by document."""
+    rows = [(i, f"{'GOOD' if i % 3 else 'bad!!'} text number {i} " * (1 + i % 4)) for i in range(300)] + [(900, None), (901, ""), (902, "a " * 5000)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 6 == 0)) for i in range(250)], "doc_id bigint, quality int, toxic int")
+    weights, cuts = quality.train(docs(rows), labels)
+    got = {r["doc_id"]: r for r in quality.scored(docs(rows), weights, cuts).collect()}
+    for i, t in rows:
+        buckets, _ = quality.features(texts_of(pa.array([t], pa.string())))
+        s = float(np.float32(weights)[buckets].astype(float).sum())
+        above = [1 - 1 / (1 + math.exp(-(c - s))) for c in cuts]
+        assert got[i]["expected_grade"] == pytest.approx(sum(above)) and got[i]["p_good"] == pytest.approx(above[-1])
+
+
 def test_quality_without_labels(spark, docs):
     model = quality.train(docs([(1, "x")]), spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert quality.scored(docs([(1, "x")]), *model).first()["p_good"] == pytest.approx(1 / 3)

@@ -183,7 +183,7 @@ def test_hot_band_of_unlike_texts(docs):
             want[2 * k + i] = 2 * k
     sets = [set(shingles(t, 5)) for _, t in rows]
     assert all(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for i in range(0, 40, 2) for j in range(i))
-    for levels in (0, 2):
+    for levels in (0, 1, 2):
         found, roots = minhash.grouped(docs(rows), ["doc_id"], block=8, levels=levels)
         root = {r["fp"]: r["root"] for r in roots.collect()}
         least = {}
@@ -192,6 +192,20 @@ def test_hot_band_of_unlike_texts(docs):
         assert {d: min(g) for g in least.values() for d in g} == want
 
 
+def test_alike_against_pairs():
+    draw = random.Random(12)
+    for _ in range(60):
+        sets = [np.unique(np.array(draw.sample(range(40), draw.randrange(0, 30)), np.int64)) for _ in range(draw.randrange(1, 14))]
+        group = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if len(a & b) >= 0.5 * len(a | b) and group[i] != group[j]:
+                    low, high = sorted((group[i], group[j]))
+                    group = [low if g == high else g for g in group]
+        assert minhash.alike(sets, 0.5).tolist() == group
+
+
 @pytest.mark.parametrize("block", [2, 128])
 def test_minhash_classes(docs, block):
     draw = random.Random(2)
@@ -247,3 +261,29 @@ def test_deduplicated_keeps_a_row_of_each_group(docs, method):
     got = [(r["doc_id"], r["text"]) for r in method.deduplicated(docs(rows)).collect()]
     want = [(None, own["a"]), (None, own["b"]), (2, own["d"]), (3, own["c"]), (4, own["e"]), (5, own["f"].upper())]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_fingerprint_of_a_very_long_text():
+    """More shingles than are counted at once."""
+    draw = random.Random(9)
+    text = " ".join(f"w{draw.randrange(500)}" for _ in range(70_000))
+    assert simhash.fingerprints_of(texts_of(pa.array([text, "a b"]))).tolist() == [fingerprint(text), fingerprint("a b")]
+
+
+def test_minhash_recall_on_a_hot_band(docs):
+    """A passage shared by thousands of texts: near copies of each are found, at a recall of 0.9 at least, and nothing else is linked."""
+    draw = random.Random(31)
+    head = [f"h{i}" for i in range(40)]
+    rows, want = [], 0
+    for k in range(2500):
+        tail = [f"t{k}x{j}" for j in range(30)]
+        w = head + tail
+        rows.append((4 * k, " ".join(w)))
+        w = list(w)
+        w[draw.choice([0, len(w) - 1])] = f"e{k}"
+        rows.append((4 * k + 1, " ".join(w)))
+    sets = [set(shingles(t, 5)) for _, t in rows[:60]]
+    assert len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2]) and len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert all(c // 4 == d // 4 for d, c in got.items())
+    assert sum(got[d] == d - 1 for d in got if d % 4 == 1) >= 0.99 * 2500
