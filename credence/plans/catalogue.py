@@ -505,11 +505,20 @@ def token_entropy(spark, sf):
     return views.table(spark, sf, "embeddings").select("vec_id", F.round(scalars.token_entropy(F.col("embedding")), 6).alias("entropy"))
 
 
-@query()
+def _digamma(x: str) -> str:
+    """Digamma for x >= 1 as SQL: seven steps of the recurrence, then the asymptotic series."""
+    y = f"({x} + 7)"
+    steps = " - ".join(f"1 / ({x} + {k})" for k in range(7))
+    return f"(ln({y}) - 0.5 / {y} - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8) - 1 / (132 * {y} ** 10) - {steps})"
+
+
+@query(f"""WITH a AS (SELECT vec_id, list_transform(list_reverse_sort(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))[1:25], lambda x: greatest(x, 0) + 1) AS a FROM embeddings),
+t AS (SELECT vec_id, a, list_sum(a) AS t FROM a), d AS (SELECT vec_id, t, len(a) AS n, unnest(a) AS x FROM t)
+SELECT vec_id, round(sum(x / t * ({_digamma("(x + 1)")} - {_digamma("(t + 1)")})) * max(n) / max(t), 6) AS reliability FROM d GROUP BY vec_id""")
 def logtoku_reliability(spark, sf):
     from ..functions.arrow import logtoku
 
-    return views.table(spark, sf, "embeddings").select("vec_id", F.round(logtoku("embedding"), 9).alias("reliability"))
+    return views.table(spark, sf, "embeddings").select("vec_id", F.round(logtoku("embedding"), 6).alias("reliability"))
 
 
 @query()

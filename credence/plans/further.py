@@ -360,6 +360,47 @@ def strategy_comment_or_identifier_entropy(spark, sf):
     return _strategy(spark, sf, "comment-or-identifier+top_k-token-entropy", k=3)
 
 
+# Small ones.
+
+
+@query("SELECT doc_id, regexp_replace(coalesce(source, '') || '/ ' || coalesce(lang, '') || ' v' || doc_id || '?', '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM documents")
+def safe_names(spark, sf):
+    raw = F.concat(F.coalesce("source", F.lit("")), F.lit("/ "), F.coalesce("lang", F.lit("")), F.lit(" v"), F.col("doc_id").cast("string"), F.lit("?"))
+    return views.table(spark, sf, "documents").select("doc_id", scalars.safe_name(raw).alias("name"))
+
+
+@query("SELECT event_id, k % 5 < 3 AS passed, CASE WHEN k % 5 < 2 THEN 2 WHEN k % 5 = 2 THEN 1 ELSE 0 END AS n_true, CASE WHEN k % 5 < 2 THEN 3 ELSE 1 END AS n FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)")
+def statuses(spark, sf):
+    """Statuses in words, and flags from JSON that holds a list or one value."""
+    k = F.get_json_object("props", "$.k").cast("int") % 5
+    word = F.when(k == 0, "Passed").when(k == 1, " ok ").when(k == 2, "success").when(k == 3, "error")
+    flags = scalars.flags(F.when(k < 2, '[true, "no", 1]').when(k == 2, '"pass"').otherwise("false"))
+    return views.table(spark, sf, "events").select("event_id", scalars.passed(word).alias("passed"), F.size(F.filter(flags, lambda x: x)).alias("n_true"), F.size(flags).alias("n"))
+
+
+@query("SELECT DISTINCT CAST(layer AS INTEGER) AS layer, 'occurs' AS how FROM embeddings, range(4) t(layer) WHERE layer <> 1 UNION ALL SELECT unnest([5, 2]), 'declared' UNION ALL SELECT 3, 'asked'")
+def inferred_layers(spark, sf):
+    """Layers that are asked for, else declared, else those that occur."""
+    v = views.vectors(spark, sf).where("layer <> 1")
+    rows = [(x, how) for how, asked, declared in (("asked", [3], [5]), ("declared", [], [5, 2]), ("occurs", [], [])) for x in features.inferred_layers(asked, declared, v)]
+    return spark.createDataFrame(rows, "layer int, how string")
+
+
+@query("SELECT k, n, floor(n * CAST(0.6 AS DOUBLE)) + CASE WHEN n % 5 = 1 THEN 1 ELSE 0 END AS train FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1) WHERE n % 5 IN (0, 1, 4)")
+def allocations(spark, sf):
+    """Largest remainders of the counts of each group, for ratios that add up to one."""
+    from ..operators import splits
+
+    splits.check_ratios((0.6, 0.2, 0.2))
+    rows = views.table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n")).where("n % 5 in (0, 1, 4)")
+
+    def allotted(frames):
+        for pdf in frames:
+            yield pdf.assign(train=[float(splits.allocated(int(n), (0.6, 0.2, 0.2))[0]) for n in pdf["n"]])
+
+    return rows.mapInPandas(allotted, "k int, n bigint, train double")
+
+
 # From programs and their fixes to labels, and probes end to end. SQL has neither alignments nor trees: the tests hold these against
 # the alignment itself, and against data of known answers.
 
