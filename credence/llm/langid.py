@@ -47,12 +47,14 @@ class Lattice:
     """For a list of words: which piece, if any, stands at each place with each length."""
 
     def __init__(self, pieces: list[bytes]):
-        self.tables = {}
+        self.tables, self.starts = {}, {}
         for size in sorted({len(p) for p in pieces}):
             own = [(i, p) for i, p in enumerate(pieces) if len(p) == size]
             h = self._hash(np.frombuffer(b"".join(p for _, p in own), np.uint8).reshape(-1, size))
             order = np.argsort(h)
             self.tables[size] = h[order], np.array([i for i, _ in own])[order]
+            self.starts[size] = np.zeros(1 << 16, bool)  # which upper halves of halves occur: most places have no piece of a length
+            self.starts[size][h >> np.uint64(48)] = True
 
     @staticmethod
     def _hash(rows: np.ndarray) -> np.ndarray:
@@ -74,9 +76,12 @@ class Lattice:
             here = np.full((n, width - size + 1), -1, np.int32)
             inside = np.arange(width - size + 1) + size <= lengths[:, None]
             h = mix((sums[:, size:] - sums[:, :-size]) * down[: width - size + 1])[inside]
-            at = np.searchsorted(keys, h)
+            number = np.full(len(h), -1, np.int32)
+            likely = np.flatnonzero(self.starts[size][h >> np.uint64(48)])
+            at = np.searchsorted(keys, h[likely])
             at[at == len(keys)] = 0
-            here[inside] = np.where(keys[at] == h, numbers[at], -1)
+            number[likely] = np.where(keys[at] == h[likely], numbers[at], -1)
+            here[inside] = number
             found[size] = here
         return found
 
