@@ -114,8 +114,8 @@ class Block:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (doubles) and dim of the vectors that take part: neither null nor empty nor zero, all components finite."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id, v (doubles, or floats as they are stored) and dim of the vectors that take part: neither null nor empty nor zero, all components finite."""
+    v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return rows.where(F.size("v") > 0).where(finite).where(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
@@ -164,7 +164,7 @@ def nearest_cell(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *[squared_distances(x[a : a + 1024], centre).argmin(axis=1) for a in range(0, len(x), 1024)]])
 
 
-_INDEX = "dim int, cell int, vec_id bigint, v array<double>, code binary, norm double, align double"
+_INDEX = "dim int, cell int, vec_id bigint, v {}, code binary, norm double, align double"
 
 
 def index(vectors: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
@@ -188,10 +188,10 @@ def index(vectors: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
                 )
         release_memory()
 
-    return vectors.select("dim", "vec_id", "v").mapInArrow(coded, _INDEX)
+    return vectors.select("dim", "vec_id", "v").mapInArrow(coded, _INDEX.format(dict(vectors.dtypes)["v"]))
 
 
-_VISIT = "dim int, cell int, block int, query_id bigint, v array<double>, far double"
+_VISIT = "dim int, cell int, block int, query_id bigint, v {}, far double"
 
 
 def _visits(queries: DataFrame, model, figures: dict[tuple[int, int], tuple[float, int]], probes: int, block: int, rest: bool) -> DataFrame:
@@ -223,7 +223,7 @@ def _visits(queries: DataFrame, model, figures: dict[tuple[int, int], tuple[floa
                         names=["dim", "cell", "block", "query_id", "v", "far"],
                     )
 
-    return queries.select("dim", "query_id", "v", "far").mapInArrow(run, _VISIT)
+    return queries.select("dim", "query_id", "v", "far").mapInArrow(run, _VISIT.format(dict(queries.dtypes)["v"]))
 
 
 def _searched(coded: DataFrame, visits: DataFrame, model, k: int, tasks: int) -> DataFrame:
