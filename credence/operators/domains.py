@@ -31,9 +31,8 @@ def unmapped(task_libs: DataFrame, lib_domains: DataFrame) -> DataFrame:
 
 
 def fanned_out(candidates: DataFrame, task_domains: DataFrame) -> DataFrame:
-    """Candidates counted in every domain of their task; totals may exceed the candidates."""
-    long = task_domains.select("task", F.explode("domains").alias("domain"))
-    return candidates.join(long, "task")
+    """Candidates counted in every domain of their task, given as `pairs`; totals may exceed the candidates."""
+    return candidates.join(task_domains, "task")
 
 
 def held_out(tasks: DataFrame, target: str) -> DataFrame:

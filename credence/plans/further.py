@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrow, scalars
-from ..operators import features, labels, metrics, outcomes, probes, selection
+from ..operators import domains, features, labels, metrics, outcomes, probes, selection
 from ..operators.ranges import running, with_cells
 from ..sources import readers, writers
 from ..sources.scratch import folder
 from . import views
-from .catalogue import RESULTS, SCORES, TOKENS, query
+from .catalogue import MAPPED, RESULTS, SCORES, TOKENS, query
 
 # Sources and sinks.
 
@@ -363,6 +363,13 @@ def strategy_comment_or_identifier_entropy(spark, sf):
 # Small ones.
 
 
+@query(f"SELECT domain, count(*) AS candidates FROM orders JOIN (SELECT DISTINCT task, domain FROM ({MAPPED}) WHERE domain IS NOT NULL) ON o_custkey = task GROUP BY domain")
+def candidates_by_domain(spark, sf):
+    """Candidates in every domain of their task."""
+    rows = views.candidates(spark, sf).select(F.col("problem").alias("task"), "cand")
+    return domains.fanned_out(rows, domains.pairs(views.task_libs(spark, sf), views.lib_domains(spark, sf))).groupBy("domain").agg(F.count("*").alias("candidates"))
+
+
 @query("SELECT doc_id, regexp_replace(coalesce(source, '') || '/ ' || coalesce(lang, '') || ' v' || doc_id || '?', '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM documents")
 def safe_names(spark, sf):
     raw = F.concat(F.coalesce("source", F.lit("")), F.lit("/ "), F.coalesce("lang", F.lit("")), F.lit(" v"), F.col("doc_id").cast("string"), F.lit("?"))
