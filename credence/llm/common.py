@@ -167,11 +167,11 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a block of texts, [^\\x20\\x09-\\x0D]+ or as `ends_word` says, A-Z lower-cased, as 64-bit hashes.
 
-    longest: longer words are cut into parts of so many bytes. hashes: of all words in order; rows: each word's row; first: where each row's words start
+    hashes: of all words in order; rows: each word's row; first: where each row's words start
     (one more at the end); starts and ends: byte positions in `data`, the lower-cased bytes.
     """
 
-    def __init__(self, texts: pa.Array, ends_word: np.ndarray = _SPACE, longest: int = 0):
+    def __init__(self, texts: pa.Array, ends_word: np.ndarray = _SPACE):
         data, offsets = raw_bytes(texts)
         n = len(data)
         self.data = low = _LOWER[data]
@@ -186,11 +186,6 @@ class Words:
             before = offsets[1:][offsets[1:] > 0] - 1
             stops[before] = inside[before]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        if longest and len(self.starts) and (self.ends - self.starts).max() > longest:
-            parts = -(-(self.ends - self.starts) // longest)
-            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            self.starts = np.repeat(self.starts, parts) + nth * longest
-            self.ends = np.minimum(self.starts + longest, np.repeat(self.ends, parts))
         self.first = np.searchsorted(self.starts, offsets)
         counts = np.diff(self.first)
         self.rows = np.repeat(np.arange(len(counts)), counts)
