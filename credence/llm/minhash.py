@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, chunks, input_bytes, map_texts, mix, random_words, release_memory, shingle_hashes, small_batches, spare_name, texts_of, written
+from .common import CHUNK_BYTES, Words, chunks, discard, input_bytes, map_texts, mix, random_words, release_memory, shingle_hashes, small_batches, spare_name, texts_of, written
 from .components import components
 from .simhash import one_of_each, row_keys
 
@@ -155,35 +155,41 @@ def compared(docs: DataFrame, size: int = SHINGLE, permutations: int = PERMUTATI
     return _ordered(docs, parts_of(docs)).mapInArrow(run, schema)
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set (of distinct numbers) the least number of a set that it is linked to by pairs of that similarity."""
+    sizes = np.array([len(x) for x in sets])
+    group = np.arange(len(sets))
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return np.zeros_like(group)  # sets of nothing are the same
+    group[sizes == 0] = np.flatnonzero(sizes == 0).min(initial=len(sets))
+    values, of = np.unique(np.concatenate([sets[i] for i in some]), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(sizes[some])])
+    here = np.zeros(len(values), bool)
+    for k, i in enumerate(some.tolist()):
+        own = of[first[k] : first[k + 1]]
+        here[own] = True
+        both = np.add.reduceat(here[of], first[:-1], dtype=np.int64)
+        here[own] = False
+        linked = np.unique(group[some[both >= similarity * (sizes[i] + sizes[some] - both)]])
+        if len(linked) > 1:
+            group[np.isin(group, linked)] = linked[0]
+    return group
+
+
 def _links(similarity: float):
-    """Over the texts (block, fp, shingles) of two blocks lo and hi of a band: verified links that connect those alike."""
+    """Over texts (fp, root, shingles): verified links between those of different roots that connect what is alike."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(key, rows):
-        lo, hi = key[1].as_py(), key[2].as_py()
         rows = rows.sort_by("fp")
-        fps, blocks = rows["fp"].to_pylist(), rows["block"].to_pylist()
-        sets = [np.array(x, np.int64) for x in rows["shingles"].to_pylist()]
-        parent = list(range(len(fps)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i in range(len(fps)):
-            for j in range(i):
-                if lo != hi and blocks[i] == blocks[j] or (x := root(i)) == (y := root(j)):
-                    continue
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if small < similarity * large:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= similarity * (small + large - both):
-                    parent[max(x, y)] = min(x, y)
-        found = [(fps[root(i)], fps[i]) for i in range(len(fps)) if root(i) != i]
-        return pa.table([[x for x, _ in found], [y for _, y in found]], schema=schema) if found else schema.empty_table()
+        fps, roots = rows["fp"].to_numpy(), rows["root"].to_numpy()
+        group = alike([x.values.to_numpy() for x in rows["shingles"]], similarity)
+        _, root = np.unique(roots, return_inverse=True)
+        seen, at = np.unique(np.stack([group, root]), axis=1, return_index=True)  # the first of each root in each group
+        head = np.concatenate([[True], seen[0, 1:] != seen[0, :-1]])
+        heads = at[head][np.cumsum(head) - 1]
+        return pa.table([fps[heads[~head]], fps[at[~head]]], schema=schema)
 
     return run
 
@@ -210,15 +216,20 @@ def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, si
     """(every row's kept columns and fp; fp and root of the fps that are linked): rows of one root, or else of one fp, are one group.
 
     fp stands for a set of shingles. Sets that share a band of the signature are compared, in blocks of about `block`;
-    only sets that share a band are ever stored. Blocks of a band of one component need no more. In other bands of more
-    blocks, those are compared that also share one of as many bands by further permutations (so two alike are missed
-    with the same small probability as before), in blocks again, and so on `levels` times. What then is left of more
-    blocks and components, texts that share band after band and are not alike, is compared in all pairs of blocks:
-    those outside the band's largest component with all.
+    only sets that share a band are ever stored. Bands of several blocks that are one component then need no more. Where
+    no more than a block for each band of a signature is outside a band's largest component, that is compared with all of this component. In the others
+    those are compared that also share one of as many bands by further permutations (so two alike are missed with
+    the same small probability as before), in blocks again, and so on `levels` times. What then is left, texts that
+    share band after band and are not alike, is compared like the former, in pairs of blocks.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     keyed, keys = row_keys(docs)
+    passing: list[DataFrame] = []
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        """Written, to be deleted at the end."""
+        passing.append(written(df, name))
+        return passing[-1]
 
     def described(texts):
         x, first = shingle_hashes(Words(texts), size)
@@ -235,48 +246,68 @@ def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, si
     found = written(map_texts(keyed, "text", {k: k for k in dict.fromkeys([*keep, *keys])}, described, "fp bigint, bands array<bigint>", limit=BLOCK_BYTES), "minhash-bands-of-rows")
 
     def crowded(bands: DataFrame) -> DataFrame:
-        """(band, fp, n) of the bands that hold n > 1 sets; bands of the same sets count once."""
-        held = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).where("n > 1")
+        """(band, fp, root, n) of the bands that hold n > 1 sets, of more than one root; bands of the same sets count once."""
+        held = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
         once = held.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
-        return written(bands.join(once, "band"), "minhash-shared")
+        return stored(bands.join(once, "band"), "minhash-shared")
 
     one = found.groupBy("fp").agg(F.min(F.struct(*keys)).alias("k"), F.first("bands").alias("bands"))
-    shared = crowded(one.select("fp", F.explode("bands").alias("band")).distinct())
-    wanted = written(found.groupBy("fp").agg(F.min(F.struct(*keys)).alias("k")).join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "k.*"), "minhash-wanted")
+    shared = crowded(one.select("fp", F.col("fp").alias("root"), F.explode("bands").alias("band")).distinct())
+    wanted = stored(found.groupBy("fp").agg(F.min(F.struct(*keys)).alias("k")).join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "k.*"), "minhash-wanted")
     text = spare_name(keyed, "set_text")
     texts = keyed.select(*keys, F.col("text").alias(text)).join(wanted.hint("merge"), keys)
-    sets = written(map_texts(texts, text, {"fp": "fp"}, shingled, "shingles array<bigint>", limit=BLOCK_BYTES).groupBy("fp").agg(F.first("shingles").alias("shingles")), "minhash-sets")  # a row may stand twice
+    sets = stored(map_texts(texts, text, {"fp": "fp"}, shingled, "shingles array<bigint>", limit=BLOCK_BYTES).groupBy("fp").agg(F.first("shingles").alias("shingles")), "minhash-sets")  # a row may stand twice
 
     def links(dealt: DataFrame) -> DataFrame:
-        groups = dealt.select("band", "lo", "hi", "block", "fp").join(sets.hint("merge"), "fp")
-        return written(groups.groupBy("band", "lo", "hi").applyInArrow(_links(similarity), "a bigint, b bigint").distinct(), "minhash-links")
+        groups = dealt.select("band", "lo", "hi", "fp", "root").join(sets.hint("merge"), "fp")
+        return stored(groups.groupBy("band", "lo", "hi").applyInArrow(_links(similarity), "a bigint, b bigint").distinct(), "minhash-links")
 
     parts = lambda n: F.ceil(n / F.lit(float(block)))
-    pairs, level = None, 0
-    while True:
+
+    def outside_with_others(outside: DataFrame, roots: DataFrame) -> list[DataFrame]:
+        """Links of what is outside its band's largest component: with each other, band by band, and with the members of
+        those components, each of which stands there once, however many bands it shares."""
+        few = parts(F.col("k"))
+        own = outside.withColumn("lo", F.pmod(F.xxhash64("fp"), few)).withColumn("hi", F.explode(F.sequence(F.lit(0).cast("bigint"), few - 1)))
+        among = links(own.select("band", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "fp", "root"))
+        met = stored(outside.select("main", "fp", "root").distinct(), "minhash-met")
+        mains = met.groupBy("main").agg(F.count("*").alias("outsiders"))
+        members = roots.join(mains, F.col("root") == F.col("main")).select("main", "node", "outsiders").union(mains.select("main", F.col("main").alias("node"), "outsiders")).distinct()  # a text alone is its own root
+        members = stored(members, "minhash-members")
+        sizes = members.groupBy("main").agg(F.count("*").alias("members"), F.first("outsiders").alias("outsiders"))
+        left = met.join(sizes, "main").select(F.col("main").alias("band"), F.pmod(F.xxhash64("fp"), parts(F.col("outsiders"))).alias("lo"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts(F.col("members")) - 1)).alias("hi"), "fp", "root")
+        right = members.drop("outsiders").join(sizes, "main").select(F.col("main").alias("band"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts(F.col("outsiders")) - 1)).alias("lo"), F.pmod(F.xxhash64("node"), parts(F.col("members"))).alias("hi"), F.col("node").alias("fp"), F.col("main").alias("root"))
+        return [among, links(left.union(right))]
+
+    pairs = None
+    for level in range(levels + 1):
         own = F.pmod(F.xxhash64("fp"), parts(F.col("n")))
-        new = links(shared.select("band", "fp", own.alias("lo"), own.alias("hi"), own.alias("block")))
+        new = links(shared.select("band", "fp", "root", own.alias("lo"), own.alias("hi")))
         pairs = new if pairs is None else pairs.union(new)
-        roots = written(components(pairs), "minhash-roots")
-        full = shared.where(F.col("n") > block).join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root"))
-        most = full.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("most")).select("band", "most.m", F.col("most.root").alias("main"))
-        rest = written(full.join(most, "band").where("n > m"), "minhash-rest")
-        level += 1
-        if rest.isEmpty():
-            return found.select(*keep, "fp"), roots.select(F.col("node").alias("fp"), "root")
-        if level > levels:
+        roots = stored(components(pairs), "minhash-roots")
+        full = shared.where(F.col("n") > block).drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
+        most = full.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("n"))
+        most = stored(most.select("band", F.col("most.root").alias("main"), (F.col("n") - F.col("most.m")).alias("k")).where("k > 0"), "minhash-full")  # a row a band
+        if most.isEmpty():
+            break
+        some = block * (permutations // rows)  # up to here, comparing all with all takes no more rows than further bands would
+        near = most.where(F.col("k") <= some) if level < levels else most
+        outside = full.join(near.withColumnRenamed("band", "b"), (F.col("band") == F.col("b")) & (F.col("root") != F.col("main"))).select("band", "fp", "root", "main", "k")
+        for found_links in outside_with_others(stored(outside, "minhash-outside"), roots):
+            pairs = pairs.union(found_links)
+        wide = most.where(F.col("k") > some)
+        roots = stored(components(pairs), "minhash-roots")
+        if level == levels or wide.isEmpty():
             break
-        members = sets.join(rest.select("fp").distinct(), "fp", "left_semi").select("fp", "shingles")
-        further = members.mapInArrow(_further_bands(level, permutations, rows), "fp bigint, bands array<bigint>")
-        inside = rest.select("fp", "band").join(further, "fp").select("fp", F.explode(F.transform("bands", lambda b: F.xxhash64("band", b))).alias("band"))
-        shared = crowded(inside.distinct())
-    few, many = parts(F.col("n") - F.col("m")), parts(F.col("m"))
-    inside = F.col("root") == F.col("main")
-    rest = rest.select("band", "fp", few.alias("few"), many.alias("many"), inside.alias("inside"), F.when(inside, few + F.pmod(F.xxhash64("fp"), many)).otherwise(F.pmod(F.xxhash64("fp"), few)).alias("block"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
-    last = links(rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp"))
-    roots = written(components(pairs.union(last)), "minhash-roots")
-    return found.select(*keep, "fp"), roots.select(F.col("node").alias("fp"), "root")
+        wide = stored(full.join(wide.select("band"), "band").select("band", "fp"), "minhash-wide").join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
+        members = sets.join(wide.select("fp").distinct(), "fp", "left_semi").select("fp", "shingles")
+        further = members.mapInArrow(_further_bands(level + 1, permutations, rows), "fp bigint, bands array<bigint>")
+        inner = wide.join(further, "fp").select("fp", "root", F.explode(F.transform("bands", lambda b: F.xxhash64("band", b))).alias("band"))
+        shared = crowded(inner.distinct())
+    roots = written(roots.select(F.col("node").alias("fp"), "root"), "minhash-roots")
+    for df in passing:
+        discard(df)
+    return found.select(*keep, "fp"), roots
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
