@@ -83,11 +83,36 @@ def tokenizer(path: str):
     return found
 
 
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str):
+    """Ids of one pre-token's bytes by the merges of a byte-level BPE file, or None where it is another model.
+
+    Where merges stand in the order of the ids that they make, as here, the ids are ranks: the pair that makes the least
+    id is merged first either way.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model.get("merges", ())]
+    made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    if model["type"] != "BPE" or model.get("dropout") or made != list(range(256, 256 + len(made))) or len(model["vocab"]) != 256 + len(made):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the names of tokens; the others follow 255 in order
+    byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items()}
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 #: Runs of letters, with a space before if there is one, and what stands between.
 RUNS = re.compile(rf" ?[{_LETTERS}]+|(?:(?! ?[{_LETTERS}]).)+", re.DOTALL)
 
+WORD = re.compile(rf" [{_LETTERS}]+")
+
 #: With an apostrophe, a character beyond these, or white space before other white space than a space,
 #: the pattern's matches may cross the ends of such runs.
 CROSSING = re.compile(rf"[^\n\x20-\x26\x28-\x7e{_LETTERS}]|\s\n")
@@ -132,25 +157,15 @@ class CachedEncoder:
         return [b"".join(ids) for ids in made]
 
     def _encoded(self, parts: set[str]) -> dict[str, bytes]:
-        found = dict(self._runs([p for p in parts if p[:1] == " " and p[1:].isalpha()]))
+        """Ids of the parts; a space and letters are one pre-token, which needs no tokenizer but its merges."""
+        found, single = {}, word_encoder(self.path)
+        if single:
+            found = {p: array("I", single(p.encode())).tobytes() for p in parts if WORD.fullmatch(p)}
         other = [p for p in parts if p not in found]
         for p, e in zip(other, tokenizer(self.path).encode_batch_fast(other, add_special_tokens=False), strict=True):
             found[p] = array("I", e.ids).tobytes()
         return found
 
-    def _runs(self, words: list[str], size: int = 256):
-        """(word, ids) of words, a space and letters each: encoded on end, each is a pre-token of its own."""
-        groups = [words[a : a + size] for a in range(0, len(words), size)]
-        for group, e in zip(groups, tokenizer(self.path).encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids, of = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-            ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of))
-            if len(ends) != len(group):
-                raise ValueError("a word is no pre-token of its own")
-            start, data = 0, ids.tobytes()
-            for word, end in zip(group, (4 * ends).tolist(), strict=True):
-                yield word, data[start:end]
-                start = end
-
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: all full but perhaps the first."""

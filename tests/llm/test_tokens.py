@@ -136,3 +136,21 @@ def test_cache_is_bounded_by_bytes():
 def test_repeated_rows_are_packed_each(docs):
     got = packing.pack(docs([(5, "same text")] * 3 + [(None, "x"), (None, "x")]), FILE).collect()
     assert len(got) == 5 and len({(r["sequence_id"], r["offset"]) for r in got}) == 5
+
+
+def test_words_by_merges_are_the_tokenizers():
+    """A space and letters: the merges give the ids of the tokenizer, for words of every kind, tokens on end among them."""
+    draw = random.Random(8)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]]
+    tokens = [x for x in packing.tokenizer(FILE).get_vocab() if x.isalpha() and x.isascii()]
+    kinds = [lambda: draw.choice(letters), lambda: draw.choice("etaoinshrdlu"), lambda: draw.choice(tokens)]
+    words = [" " + "".join(kind() for _ in range(draw.randrange(1, 9))) for kind in kinds for _ in range(20_000)]
+    single = packing.word_encoder(FILE)
+    for w, e in zip(words, packing.tokenizer(FILE).encode_batch(words, add_special_tokens=False), strict=True):
+        assert single(w.encode()) == e.ids, w
+
+
+def test_words_without_merges(monkeypatch):
+    monkeypatch.setattr(packing, "word_encoder", lambda path: None)
+    text = "Some words, été and more of them."
+    assert np.frombuffer(packing.CachedEncoder(FILE).encode([text])[0], "<u4").tolist() == packing.tokenizer(FILE).encode(text, add_special_tokens=False).ids
