@@ -14,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SAFE_CUT
-from .common import CHUNK_BYTES, chunks, release_memory, small_batches, texts_of
+from .bpe import SAFE_CUT, safe_parts
+from .common import chunks, release_memory, small_batches, texts_of
 
 SEQUENCE_LENGTH = 1024
 END_ID = 2
@@ -31,6 +31,9 @@ CACHE_BYTES = 128 << 20
 ENTRY_BYTES = 150
 LONGEST_KEPT = 64
 
+#: Bytes of texts that are encoded at once, and characters of a text beyond which it is cut at safe boundaries for that.
+BLOCK_BYTES, LONGEST_TEXT = 1 << 19, 1 << 16
+
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
@@ -130,6 +133,14 @@ class CachedEncoder:
         self.path, self.limit, self.known, self.held = path, limit, {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; a long one is encoded a stretch at a time, so that its parts aren't all there at once."""
+        made = self._batch([t if len(t) <= LONGEST_TEXT else "" for t in texts])
+        for i, t in enumerate(texts):
+            if len(t) > LONGEST_TEXT:
+                made[i] = b"".join([ids for p in safe_parts(t, LONGEST_TEXT) for ids in self._batch([p])])
+        return made
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         if self.held > self.limit:
             self.known, self.held = {}, 0
         made, missing, parts, known = [], [], set(), self.known.get
@@ -204,7 +215,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = SEQUENCE_LENGTH,
         held: list[tuple] = []
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for a, b in chunks(texts, CHUNK_BYTES):
+            for a, b in chunks(texts, BLOCK_BYTES):
                 for doc_id, found in zip(ids[a:b], encoder.encode(texts.slice(a, b - a).to_pylist()), strict=True):
                     found += tail
                     for piece, (start, length) in enumerate(cuts(len(found) // 4, capacity)):

@@ -150,6 +150,13 @@ def test_words_by_merges_are_the_tokenizers():
         assert single(w.encode()) == e.ids, w
 
 
+def test_long_texts_a_stretch_at_a_time():
+    draw = random.Random(10)
+    texts = [" ".join(draw.choice(["alpha", "été", "don't", "中文", "x\n\ny", "  ", "12%"]) for _ in range(60_000)), "short", "z" * 70_000, " \n" * 40_000]
+    for t, ids in zip(texts, packing.CachedEncoder(FILE).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == packing.tokenizer(FILE).encode(t, add_special_tokens=False).ids
+
+
 def test_words_without_merges(monkeypatch):
     monkeypatch.setattr(packing, "word_encoder", lambda path: None)
     text = "Some words, été and more of them."
