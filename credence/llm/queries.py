@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, htmltext, langid, licenses, minhash, ngram, packing, quality, simhash
+from . import ann, bpe, contamination, htmltext, langid, licenses, minhash, ngram, packing, quality, simhash
 from .common import crc_mod, table
 
 
@@ -70,8 +70,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digest(contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ann": op1_ann, "op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op4_minhash": op4_minhash, "minhash_classes": minhash_classes, "op5_simhash": op5_simhash, "op6_html_text": op6_html_text, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses}
+    return {"op1_ann": op1_ann, "op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op4_minhash": op4_minhash, "minhash_classes": minhash_classes, "op5_simhash": op5_simhash, "op6_html_text": op6_html_text, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses, "op13_decontamination": op13_decontamination}
 
 
 #: Every pair, measured: what the codes must find.
@@ -83,4 +87,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": OP1_SQL, "op10_licenses": licenses.scan_sql()}
+    return {"op1_ann": OP1_SQL, "op10_licenses": licenses.scan_sql(), "op13_decontamination": contamination.SCAN_SQL}
