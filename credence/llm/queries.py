@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bpe, contamination, htmltext, langid, licenses, minhash, ngram, packing, quality, simhash
+from . import ann, audit, bpe, contamination, htmltext, langid, licenses, minhash, negatives, ngram, packing, quality, simhash
 from .common import crc_mod, table
 
 
@@ -74,12 +74,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label").cast("bigint"), F.col("vec_id")
+    return negatives.mined(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ann": op1_ann, "op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op4_minhash": op4_minhash, "minhash_classes": minhash_classes, "op5_simhash": op5_simhash, "op6_html_text": op6_html_text, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses, "op11_filter_audit": op11_filter_audit, "op13_decontamination": op13_decontamination}
+    return {"op1_ann": op1_ann, "op2_quality": op2_quality, "op3_ngram_score": op3_ngram_score, "op4_minhash": op4_minhash, "minhash_classes": minhash_classes, "op5_simhash": op5_simhash, "op6_html_text": op6_html_text, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_best_fit_packing": op9_best_fit_packing, "op10_licenses": op10_licenses, "op11_filter_audit": op11_filter_audit, "op12_hard_negatives": op12_hard_negatives, "op13_decontamination": op13_decontamination}
 
 
 #: Every pair, measured: what the codes must find.
@@ -91,4 +96,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": OP1_SQL, "op10_licenses": licenses.scan_sql(), "op11_filter_audit": audit.AUDIT_SQL, "op13_decontamination": contamination.SCAN_SQL}
+    return {"op1_ann": OP1_SQL, "op10_licenses": licenses.scan_sql(), "op11_filter_audit": audit.AUDIT_SQL, "op12_hard_negatives": negatives.MINED_SQL, "op13_decontamination": contamination.SCAN_SQL}
