@@ -49,6 +49,7 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = rows.select("doc_id", "part", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest"), *[c.alias(k) for k, c in text_failures(F.col("t")).items()])
     marked = written(marked, "audit-rows")
     copies = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
+    copies = written(copies, "audit-copies")  # so that the join has exchanges of its own, which Spark may split
     own = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     no = F.lit(False)
     return (
