@@ -1,21 +1,22 @@
-"""What Spark has no function for, over Arrow batches: alignments, digamma, tokenizer spans, syntax leaves, inflated test cases."""
+"""What Spark has no function for, over Arrow batches: alignments, digamma, tokenizer spans, inflated test cases."""
 
 from __future__ import annotations
 
 import base64
-import io
 import json
-import tokenize
+import pickle
+import pickletools
 import zlib
-from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .alignment import matching_blocks, standing
+
 #: Types are objects, not text: workers import this module without a session to parse it.
-_LEAF = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType())])
 _CASE = T.StructType([T.StructField(x, T.StringType()) for x in ("input", "output", "testtype")])
 
 
@@ -54,20 +55,42 @@ def difference_labels(given: list, fixed: list, offset: int = 0, code: tuple[int
     Whole sequences first: tokens at which something must be inserted are wrong. Then the code alone: tokens outside
     equal blocks are wrong.
     """
-    ok = [True] * len(given)
-    for tag, a, b, _, _ in SequenceMatcher(None, given, fixed, autojunk=False).get_opcodes():
-        if tag == "insert" and given:
-            ok[min(a, len(given) - 1)] = False
-        elif tag in ("replace", "delete"):
-            ok[a:b] = [False] * (b - a)
+    ok, inserts = standing(given, fixed)
+    if len(given):
+        ok[np.minimum(inserts, len(given) - 1)] = False
     if code:
         a, b = code
-        stands = set()
-        for block in SequenceMatcher(None, given[a:b], fixed[offset:], autojunk=False).get_matching_blocks():
-            stands.update(range(a + block.a, a + block.a + block.size))
-        for i in range(a, b):
-            ok[i] = ok[i] and i in stands
-    return ok
+        ok[a:b] &= standing(given[a:b], fixed[offset:])[0]
+    return ok.tolist()
+
+
+def labels_from_fix(given: list, fixed: list, given_mask: list[bool], fixed_mask: list[bool]) -> tuple[list[bool], bool, list[int]]:
+    """(labels, has_equal, inserts) of given tokens: a token that is not masked stands if it is in a block that the tokens of both sides
+    that are not masked share. Of the whole sequences it is told whether they share anything, and before which tokens something that
+    is not all masked was inserted. A mask of another length than its tokens masks nothing.
+    """
+    labels = np.zeros(len(given), bool)
+    if not len(given) or not len(fixed):
+        return labels.tolist(), False, []
+    masks = [np.asarray(m, bool) if m is not None and len(m) == len(s) else np.zeros(len(s), bool) for s, m in ((given, given_mask), (fixed, fixed_mask))]
+    blocks = matching_blocks(given, fixed)
+    code_before = np.concatenate([[0], np.cumsum(~masks[1])])
+    ends = zip([(0, 0), *((i + n, j + n) for i, j, n in blocks)], [*((i, j) for i, j, _ in blocks), (len(given), len(fixed))], strict=True)
+    inserts = [i for (a, b), (i, j) in ends if a == i and code_before[j] > code_before[b]]
+    code = [np.flatnonzero(~m) for m in masks]
+    for i, _, n in matching_blocks([given[k] for k in code[0]], [fixed[k] for k in code[1]]):
+        labels[code[0][i : i + n]] = True
+    return labels.tolist(), bool(blocks), inserts
+
+
+_FIX = T.StructType([T.StructField("labels", T.ArrayType(T.BooleanType())), T.StructField("has_equal", T.BooleanType()), T.StructField("inserts", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_FIX)
+def fix_labels(given: pd.Series, fixed: pd.Series, given_mask: pd.Series, fixed_mask: pd.Series) -> pd.DataFrame:
+    """labels_from_fix of each row; NULL fields without tokens on either side."""
+    made = [(None, None, None) if a is None or b is None else labels_from_fix(list(a), list(b), m, n) for a, b, m, n in zip(given, fixed, given_mask, fixed_mask, strict=True)]
+    return pd.DataFrame({f.name: pd.Series([x[k] for x in made], dtype=object) for k, f in enumerate(_FIX)})
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -83,43 +106,123 @@ def code_token_labels(given: pd.Series, fixed: pd.Series, offset: pd.Series, sta
     return pd.Series([None if a is None or b is None else difference_labels(list(a), list(b), int(o), (int(s), int(e))) for a, b, o, s, e in rows])
 
 
-@F.pandas_udf(T.ArrayType(_LEAF))
-def leaves(source: pd.Series) -> pd.Series:
-    """The lexical leaves of Python source (comment, identifier, string, number, operator) by character offsets; row from 0."""
-    kinds = {tokenize.COMMENT: "comment", tokenize.NAME: "identifier", tokenize.STRING: "string", tokenize.NUMBER: "number", tokenize.OP: "operator"}
-
-    def of(text):
-        starts, at, out = [], 0, []
-        for line in (text or "").splitlines(keepends=True):
-            starts.append(at)
-            at += len(line)
+def stored_form(text: str, form: int) -> str:
+    """JSON of test cases as it is (0), as a JSON string (1), and in base64: a packed pickle of its text (2) or of its list (3), and a
+    plain pickle of its text (4); 5 is a pickle that would import and call a function."""
+    if form < 2:
+        return json.dumps(text) if form else text
+    data = b"cbuiltins\nprint\n(Vcalled\ntR." if form == 5 else pickle.dumps(json.loads(text) if form == 3 else text)
+    return base64.b64encode(data if form == 4 else zlib.compress(data)).decode()
+
+
+@F.pandas_udf(T.StringType())
+def stored_cases(text: pd.Series, form: pd.Series) -> pd.Series:
+    """stored_form of each row."""
+    return pd.Series([None if t is None else stored_form(t, int(f)) for t, f in zip(text, form, strict=True)])
+
+
+#: Bytes of an inflated list of cases, at most; a larger one gives NULL.
+MOST_CASES = 1 << 28
+
+_MARK = object()
+
+
+def plain_pickle(data: bytes):
+    """The value of a pickle of None, booleans, numbers, strings, lists, tuples and dicts. Its operations are read one by one, and those
+    that import or call anything, as any but these, fail with ValueError: nothing is ever executed."""
+    stack, memo = [], {}
+
+    def since_mark() -> list:
+        at = max(i for i, x in enumerate(stack) if x is _MARK)
+        items = stack[at + 1 :]
+        del stack[at:]
+        return items
+
+    try:
+        for op, value, _ in pickletools.genops(data):
+            match op.name:
+                case "PROTO" | "FRAME":
+                    pass
+                case "STOP":
+                    (found,) = stack
+                    return found
+                case "MARK":
+                    stack.append(_MARK)
+                case "NONE" | "NEWTRUE" | "NEWFALSE":
+                    stack.append({"NONE": None, "NEWTRUE": True, "NEWFALSE": False}[op.name])
+                case "INT" | "BININT" | "BININT1" | "BININT2" | "LONG" | "LONG1" | "LONG4" | "FLOAT" | "BINFLOAT" | "UNICODE" | "BINUNICODE" | "SHORT_BINUNICODE" | "BINUNICODE8":
+                    stack.append(value)
+                case "EMPTY_LIST" | "EMPTY_DICT" | "EMPTY_TUPLE":
+                    stack.append({"EMPTY_LIST": [], "EMPTY_DICT": {}, "EMPTY_TUPLE": ()}[op.name])
+                case "APPEND":
+                    item = stack.pop()
+                    list.append(stack[-1], item)
+                case "APPENDS":
+                    items = since_mark()
+                    list.extend(stack[-1], items)
+                case "LIST":
+                    stack.append(since_mark())
+                case "SETITEM":
+                    item, key = stack.pop(), stack.pop()
+                    dict.__setitem__(stack[-1], key, item)
+                case "SETITEMS" | "DICT":
+                    items = since_mark()
+                    if op.name == "DICT":
+                        stack.append({})
+                    dict.update(stack[-1], zip(items[::2], items[1::2], strict=True))
+                case "TUPLE":
+                    stack.append(tuple(since_mark()))
+                case "TUPLE1" | "TUPLE2" | "TUPLE3":
+                    n = int(op.name[-1])
+                    stack[-n:] = [tuple(stack[-n:])]
+                case "MEMOIZE":
+                    memo[len(memo)] = stack[-1]
+                case "PUT" | "BINPUT" | "LONG_BINPUT":
+                    memo[value] = stack[-1]
+                case "GET" | "BINGET" | "LONG_BINGET":
+                    stack.append(memo[value])
+                case other:
+                    raise ValueError(f"{other} isn't read")
+    except (IndexError, KeyError, TypeError) as e:
+        raise ValueError("not a plain pickle") from e
+    raise ValueError("a pickle without end")
+
+
+def inflated(data: bytes) -> bytes:
+    """What zlib has packed, or the data itself."""
+    unpack = zlib.decompressobj()
+    try:
+        found = unpack.decompress(data, MOST_CASES)
+    except zlib.error:
+        return data
+    if unpack.unconsumed_tail:
+        raise ValueError("too large")
+    return found
+
+
+def decoded_cases(value: str) -> list | None:
+    """Test cases from JSON of a list, JSON of such JSON as a string, and base64 of either's pickle or JSON, packed by zlib or not."""
+
+    def listed(x):
+        x = json.loads(x) if isinstance(x, str | bytes) else x
+        x = json.loads(x) if isinstance(x, str) else x
+        if not isinstance(x, list):
+            raise ValueError("not a list")
+        return [{k: None if c.get(k) is None else str(c.get(k)) for k in ("input", "output", "testtype")} for c in x]
+
+    packed = lambda: inflated(base64.b64decode(value, validate=True))
+    for read in (lambda: listed(value), lambda: listed(plain_pickle(packed())), lambda: listed(packed())):
         try:
-            for t in tokenize.generate_tokens(io.StringIO(text or "").readline):
-                if t.type in kinds:
-                    (r, c), (r2, c2) = t.start, t.end
-                    out.append({"start": starts[r - 1] + c, "end": starts[r2 - 1] + c2, "kind": kinds[t.type], "row": r - 1, "col": c})
-        except (tokenize.TokenError, IndentationError, SyntaxError):
-            pass  # what was read until there counts
-        return out
-
-    return source.map(of)
+            return read()
+        except (ValueError, TypeError, AttributeError, RecursionError):
+            continue
+    return None
 
 
 @F.pandas_udf(T.ArrayType(_CASE))
 def test_cases(stored: pd.Series) -> pd.Series:
-    """Test cases from JSON or base64 of zlib of JSON; anything else, pickles above all, gives NULL."""
-
-    def of(value):
-        for read in (lambda v: json.loads(v), lambda v: json.loads(zlib.decompress(base64.b64decode(v, validate=True)))):
-            try:
-                got = read(value)
-                got = json.loads(got) if isinstance(got, str) else got
-                return [{k: None if x.get(k) is None else str(x.get(k)) for k in ("input", "output", "testtype")} for x in got]
-            except (ValueError, TypeError, AttributeError, zlib.error):
-                continue
-        return None
-
-    return stored.map(of)
+    """decoded_cases of each row; NULL for NULL, and for what is of no such form or would call something."""
+    return stored.map(decoded_cases, na_action="ignore")
 
 
 _SPANS = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
@@ -140,14 +243,20 @@ def spans_of_ids(ids: list[int], tokenizer) -> tuple[str, list[tuple[int, int]]]
     return text, spans
 
 
+@lru_cache(maxsize=4)
+def tokenizer_of(path: str):
+    """The tokenizer of a file, read once in a worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def token_offsets(path: str):
     """An Arrow UDF over arrays of ids: STRUCT(text, spans) by the tokenizer of a file."""
 
     @F.pandas_udf(_SPANS)
     def offsets(ids: pd.Series) -> pd.DataFrame:
-        from tokenizers import Tokenizer
-
-        known = Tokenizer.from_file(path)
+        known = tokenizer_of(path)
         made = [(None, None) if x is None else spans_of_ids([int(i) for i in x], known) for x in ids]
         return pd.DataFrame({"text": [t for t, _ in made], "spans": [None if s is None else [{"start": a, "end": b} for a, b in s] for _, s in made]})
 

@@ -69,29 +69,33 @@ def int_list(values: Column) -> Column:
     return F.when(F.exists(got, lambda x: x.isNull()), F.lit(None)).otherwise(got)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 #: Fixed value. What opens and closes a block of code.
 FENCE = "```"
 
 
 def code_span(text: Column) -> Column:
-    """STRUCT(start, end), in characters and end exclusive, of the last fenced block's body; NULL with fewer than two fences.
+    """STRUCT(start, end), in characters and end exclusive, of what stands between the last two fences; NULL with fewer, or if it is empty.
 
     The info line is left out; a body without a line break starts at the fence.
     """
     parts = F.split(text, FENCE)
     n = F.size(parts) - 1
-    last = n - F.pmod(n, F.lit(2))  # the closing fence of the last pair
-    lead = F.array_join(F.slice(parts, F.lit(1), last - 1), FENCE)
-    body = F.get(parts, last - 1)
+    lead = F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), FENCE)
+    body = F.get(parts, n - 1)
     skip = F.locate("\n", body)
     start = F.length(lead) + len(FENCE)
-    return F.when(n >= 2, F.struct((start + skip).alias("start"), (start + F.length(body)).alias("end")))
+    return F.when((n >= 2) & (skip < F.length(body)), F.struct((start + skip).alias("start"), (start + F.length(body)).alias("end")))
 
 
 def code_of(text: Column) -> Column:
-    """The last fenced block's body without white space at its ends; empty if there is none."""
+    """The last fenced body without white space at its ends; empty if there is none."""
     span = code_span(text)
-    return F.coalesce(F.regexp_replace(F.substring(text, span["start"] + 1, span["end"] - span["start"]), r"^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(stripped(F.substring(text, span["start"] + 1, span["end"] - span["start"])), F.lit(""))
 
 
 def token_span(offsets: Column, span: Column) -> Column:
@@ -100,38 +104,8 @@ def token_span(offsets: Column, span: Column) -> Column:
     return F.when(F.array_min(at).isNotNull(), F.struct(F.array_min(at).alias("start"), F.array_max(at).alias("end")))
 
 
-def spans_from(pieces: Column) -> Column:
-    """ARRAY<STRUCT(start, end)> of pieces laid end to end."""
-    lengths = F.transform(pieces, lambda p: F.length(p))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end")))).alias("out"))
-    return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
-
-
-#: Fixed values. Comments to the line's end, and docstrings that begin a line: in compatible mode those of double
-#: quotes end at two of them, so that the third stays outside.
+#: Fixed value. Comments to the line's end.
 COMMENT = r"#[^\n]*"
-DOCSTRING = r"(?ms)^[ \t]*('''|\"\")[\s\S]*?\1"
-DOCSTRING_WHOLE = r"(?ms)^[ \t]*('''|\"\"\")[\s\S]*?\1"
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """ARRAY<STRUCT(start, end)> of a pattern's matches, in order."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        start = F.call_function("locate", m, text, acc["at"] + 1) - 1
-        return F.struct((start + F.length(m)).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end")))).alias("out"))
-
-    return F.aggregate(found, zero, step, lambda acc: acc["out"])
-
-
-def forced_mask(text: Column, offsets: Column, whole_docstrings: bool = False) -> Column:
-    """Per token whether it is blank or overlaps a comment or docstring."""
-    spans = F.concat(matches(text, COMMENT), matches(text, DOCSTRING_WHOLE if whole_docstrings else DOCSTRING))
-    blank = lambda o: F.trim(F.regexp_replace(F.substring(text, o["start"] + 1, o["end"] - o["start"]), r"\s", "")) == ""
-    return F.transform(offsets, lambda o: blank(o) | F.exists(spans, lambda s: (o["start"] < s["end"]) & (o["end"] > s["start"])))
 
 
 def comment_chars(text: Column) -> Column:
@@ -150,20 +124,27 @@ def nearest_line(lines: Column, x: Column) -> Column:
     return F.coalesce(F.array_min(F.filter(lines, lambda i: i >= x)), F.array_max(F.filter(lines, lambda i: i < x)))
 
 
-#: Fixed values. Markers of a reply in channels.
-CHANNEL_BODY = r"(?s)<\|message\|>(.*?)(?:<\|end\|>|<\|return\|>|<\|start\|>|$)"
+#: Fixed values. Whole messages of a reply in channels, and what begins a message.
+MESSAGE = r"(?s)<\|start\|>assistant<\|channel\|>(?:analysis|final)<\|message\|>(.*?)<\|end\|>"
+MESSAGE_START = r"<\|channel\|>(?:analysis|final)<\|message\|>"
 
 
 def stripped_channels(text: Column) -> Column:
-    """The messages' bodies on end, without channel markers; a text without markers as it is."""
-    bodies = F.regexp_extract_all(text, F.lit(CHANNEL_BODY), F.lit(1))
-    return F.when(F.contains(text, F.lit("<|message|>")), F.array_join(bodies, "")).otherwise(text)
+    """The messages' bodies, a line break between them: of whole messages, else what follows each start of one, else the text.
+    Markers of turns and ends go, as does white space at a body's ends; empty bodies are left out."""
+    whole = F.regexp_extract_all(text, F.lit(MESSAGE), F.lit(1))
+    plain = F.replace(text, F.lit("<|return|>"), F.lit(""))
+    plain = F.replace(F.regexp_replace(plain, r"<\|start\|>assistant\s*", ""), F.lit("<|end|>"), F.lit(""))
+    begun = F.split(plain, MESSAGE_START)
+    joined = lambda parts: F.array_join(F.transform(F.filter(parts, lambda p: p != ""), stripped), "\n")
+    return F.when(F.size(whole) > 0, joined(whole)).when(F.size(begun) > 1, joined(F.slice(begun, F.lit(2), F.size(begun)))).otherwise(stripped(plain))
 
 
 def reasoning_parts(text: Column, delimiter: str) -> tuple[Column, Column]:
-    """What stands before the first delimiter and after the last."""
+    """What stands before the first delimiter and after the last, without white space at the ends; NULL without a delimiter."""
     parts = F.split(text, re.escape(delimiter))
-    return F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    there = F.size(parts) > 1
+    return F.when(there, stripped(F.get(parts, F.lit(0)))), F.when(there, stripped(F.element_at(parts, -1)))
 
 
 def shortened(text: Column, n: int) -> Column:
@@ -176,11 +157,25 @@ def hard_timeout(tests: Column, seconds: Column) -> Column:
     return F.greatest(F.lit(30.0), tests * seconds + 5)
 
 
+#: A string in a literal, and whatever else may stand in a flat list of them.
+_STRING = r"""(?:'(?:[^'\\\n]|\\.)*+'|"(?:[^"\\\n]|\\.)*+")"""
+_ITEM = rf"(?:[uUrR]?{_STRING}|[-+]?(?:\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|None|True|False)"
+_ITEMS = rf"{_ITEM}(?:\s*,\s*{_ITEM})*+\s*,?"
+_LITERAL = rf"^(?:\[\s*(?:{_ITEMS})?\s*\]|\(\s*\)|\(\s*{_ITEM}\s*,\s*(?:{_ITEMS})?\s*\)|{_ITEM}\s*,\s*(?:{_ITEMS})?)$"
+
+
 def library_list(raw: Column) -> Column:
-    """Names from a list's literal, a comma list or a bare name; blanks dropped."""
-    inner = F.regexp_replace(F.trim(raw), r"^[\[\(\{]|[\]\)\}]$", "")
-    parts = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), r"^['\"]|['\"]$", ""))
-    return F.filter(parts, lambda x: x != "")
+    """Names from a list's or tuple's literal (its strings, quotes and commas inside them being part of a name), else from a comma list
+    with or without brackets (blanks dropped), else the bare name; none for NULL and blank text.
+
+    Literals are flat and their strings stand alone; of escapes, those of quotes and backslashes are read.
+    """
+    text = stripped(raw)
+    strings = F.transform(F.regexp_extract_all(text, F.lit(_STRING), F.lit(0)), lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"""\\(['"\\])""", "$1"))
+    bare = lambda x: F.regexp_replace(x, r"""^['"]+|['"]+$""", "")
+    parts = F.transform(F.split(F.regexp_replace(text, r"^[\[\]]+|[\[\]]+$", ""), ","), lambda x: bare(stripped(x)))
+    listed = F.when(text.rlike(_LITERAL), strings).when(F.contains(text, F.lit(",")), F.filter(parts, lambda x: x != "")).otherwise(F.array(bare(text)))
+    return F.when(F.coalesce(text, F.lit("")) != "", listed).otherwise(F.array().cast("array<string>"))
 
 
 def first_number(cell: Column) -> Column:
@@ -193,12 +188,26 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")
 
 
+def decimal_form(text: Column) -> Column:
+    """A decimal number's text in one form, so that equal numbers, of whatever size and precision, have equal texts: sign, digits
+    without zeros at either end, and the power of ten before them. NULL for what is no number, and for NaN, which equals nothing."""
+    plain = F.replace(text, F.lit("_"), F.lit(""))
+    pattern = r"^([-+]?)(?=\.?\d)(\d*)\.?(\d*)(?:[eE]([-+]?\d+))?$"
+    part = lambda i: F.regexp_extract(plain, pattern, i)
+    digits = F.concat(part(2), part(3))
+    without = F.regexp_replace(digits, "^0+", "")
+    power = F.when(part(4) == "", F.lit(0).cast("bigint")).otherwise(part(4).try_cast("bigint")) + F.length(part(2)) - (F.length(digits) - F.length(without))
+    sign = F.when(F.substring(plain, 1, 1) == "-", "-").otherwise("")
+    number = F.when(without == "", F.when(power.isNotNull(), "0")).otherwise(F.concat(sign, F.regexp_replace(without, "0+$", ""), F.lit("e"), power.cast("string")))
+    return F.when(plain.rlike(pattern), number).when(F.lower(plain).rlike("^[-+]?inf(inity)?$"), F.concat(sign, F.lit("inf")))
+
+
 def same_output(expected: Column, got: Column) -> Column:
-    """Whether two outputs agree line by line, as stripped text or as decimal numbers."""
-    lines = lambda c: F.transform(F.split(F.trim(c), "\n"), lambda x: F.trim(x))
+    """Whether two outputs agree line by line, as stripped text or as lists of decimal numbers."""
+    lines = lambda c: F.transform(F.split(stripped(c), "\n"), stripped)
     a, b = lines(expected), lines(got)
-    number = lambda x: F.transform(F.split(x, r"\s+"), lambda t: t.try_cast("decimal(38,18)"))
-    equal = lambda x, y: (x == y) | (F.forall(number(x), lambda t: t.isNotNull()) & (number(x) == number(y)))
+    numbers = lambda x: F.transform(F.split(x, r"\s+"), decimal_form)
+    equal = lambda x, y: (x == y) | (F.forall(numbers(x), lambda t: t.isNotNull()) & (numbers(x) == numbers(y)))
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, equal), lambda ok: F.coalesce(ok, F.lit(False)))
 
 

@@ -115,9 +115,13 @@ def role_positions(vectors: DataFrame, keys: list[str], requested: int | None =
     return rows.where(ok & F.col("_n").isin(3, 4) if requested in (-2, -3) else ok).drop("_i", "_n")
 
 
-def inferred_layers(requested: list[int], declared: list[int], vectors: DataFrame) -> list[int]:
-    """Layers asked for, else those the payload declares, else those that occur: a few numbers, in order."""
-    return list(requested or declared) or sorted(r["layer"] for r in vectors.select("layer").distinct().collect())
+def layers_of(vectors: DataFrame, keys: list[str], asked: str, declared: str) -> DataFrame:
+    """keys, layers and how: each candidate's layers, in order, that are asked for, else those that its payload declares, else those
+    that occur in its rows. asked and declared: columns with a list of layers, NULL or empty for none, the same in all its rows."""
+    rows = vectors.groupBy(*keys).agg(F.first(asked, ignorenulls=True).alias("_a"), F.first(declared, ignorenulls=True).alias("_d"), F.array_sort(F.collect_set("layer")).alias("_o"))
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    layers = F.when(some("_a"), F.col("_a")).when(some("_d"), F.col("_d")).otherwise(F.col("_o"))
+    return rows.select(*keys, layers.alias("layers"), F.when(some("_a"), "asked").when(some("_d"), "declared").otherwise("occurs").alias("how"))
 
 
 def three_way(is_correct: Column) -> Column:

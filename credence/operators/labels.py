@@ -25,10 +25,39 @@ def line_truth(tokens: DataFrame, mapped: DataFrame, keys: list[str]) -> DataFra
     return both.select(*keys, "line", F.coalesce(~F.col("line_is_clean"), F.col("line_is_error")).alias("line_is_error"))
 
 
-def propagated(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Tokens with a mismatch spread over their whole line; masked tokens stay correct."""
-    bad = F.max(F.coalesce(~F.col("tok_is_correct"), F.lit(False))).over(W.partitionBy(*keys, "line"))
-    return tokens.withColumn("tok_is_correct", F.when(F.col("ws_comment"), F.lit(True)).otherwise(~bad))
+def propagated(tokens: DataFrame, keys: list[str], forced: DataFrame | None = None) -> DataFrame:
+    """Tokens with a mismatch spread over their whole line, and over the lines of `forced` (keys, line); masked tokens stay correct."""
+    wrong = F.coalesce(~F.col("tok_is_correct"), F.lit(False))
+    if forced is not None:
+        tokens = tokens.join(forced.select(*keys, "line", F.lit(True).alias("_forced")).distinct(), [*keys, "line"], "left")
+        wrong = (wrong & ~F.col("ws_comment")) | F.coalesce("_forced", F.lit(False))
+    bad = F.max(wrong).over(W.partitionBy(*keys, "line"))
+    tokens = tokens.withColumn("_bad", bad)
+    return tokens.withColumn("tok_is_correct", F.when(F.col("ws_comment"), F.lit(True)).otherwise(~F.col("_bad"))).drop("_bad", "_forced")
+
+
+def code_lines_of(inserts: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line): for each insertion (keys, line) the line if it has a token that is not masked, else the next one that has, else
+    the last before; candidates of masked tokens only have none. Running values over both kinds of rows in order, from either end."""
+    code = tokens.where(~F.col("ws_comment")).select(*keys, "line").distinct()
+    rows = code.select(*keys, "line", F.col("line").alias("_code")).unionByName(inserts.select(*keys, "line", F.lit(None).cast(dict(tokens.dtypes)["line"]).alias("_code")))
+    down, up = (F.last("_code", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order)) for order in ((F.desc("line"), F.asc_nulls_last("_code")), (F.asc("line"), F.asc_nulls_last("_code"))))
+    at = rows.withColumn("_to", F.coalesce(down, up)).where("_code is null and _to is not null")
+    return at.select(*keys, F.col("_to").alias("line")).distinct()
+
+
+def fixed_candidates(tokens: DataFrame, inserts: DataFrame, keys: list[str], most_wrong_lines: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(tokens, candidates) from labels of an alignment with a fix: tokens with labels of their lines, and per candidate wrong_lines,
+    is_line_filter (at least so many) and is_no_correct_line.
+
+    tokens: keys, line, tok_is_correct, ws_comment; inserts: keys and the line before whose token something is missing.
+    """
+    forced = code_lines_of(inserts, tokens, keys)
+    spread = propagated(tokens, keys, forced)
+    per = tokens.groupBy(*keys, "line").agg(F.max(~F.col("tok_is_correct") & ~F.col("ws_comment")).alias("_wrong"), F.max(~F.col("ws_comment")).alias("_code"))
+    per = per.join(forced.withColumn("_forced", F.lit(True)), [*keys, "line"], "left").withColumn("_wrong", F.col("_wrong") | F.coalesce("_forced", F.lit(False)))
+    got = per.groupBy(*keys).agg(F.count_if("_wrong").alias("wrong_lines"), F.max(F.col("_code") & ~F.col("_wrong")).alias("_clean"))
+    return spread, got.select(*keys, "wrong_lines", (F.col("wrong_lines") >= most_wrong_lines).alias("is_line_filter"), (~F.col("_clean")).alias("is_no_correct_line"))
 
 
 def has_clean_line(tokens: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -58,6 +59,67 @@ def bootstrap(values: DataFrame, samples: int, seed: str, by: list[str] = ()) ->
     return got.select(*by, F.round(at(0.025), 9).alias("low"), F.round(at(0.975), 9).alias("high"))
 
 
+#: Values of a cell of a large bootstrap, about, and cells of a group at most.
+CELL_VALUES = 4096
+MOST_CELLS = 1 << 16
+
+
+def draws_of_cell(sizes: np.ndarray, cell: int, samples: int, seed: int) -> np.ndarray:
+    """How many of the sum(sizes) draws of each resample fall into a cell: a tree of halves of the cells, in which each node's draws are
+    dealt to its left half by a binomial variate whose generator is seeded by the node. So every cell finds its own counts, and all
+    cells' counts together are those of one multinomial draw."""
+    low, high, node = 0, len(sizes), 1
+    draws = np.full(samples, sizes.sum())
+    while high - low > 1:
+        middle = (low + high) // 2
+        whole, left = sizes[low:high].sum(), sizes[low:middle].sum()
+        dealt = np.random.default_rng([seed, node]).binomial(draws, left / whole if whole else 0.0)
+        if cell < middle:
+            draws, high, node = dealt, middle, 2 * node
+        else:
+            draws, low, node = draws - dealt, middle, 2 * node + 1
+    return draws
+
+
+def large_bootstrap(values: DataFrame, samples: int, seed: int, by: list[str] = (), cell_values: int = CELL_VALUES) -> DataFrame:
+    """(by, n, mean, low, high): the percentile interval (2.5 to 97.5 %) of the mean of each group's values (id, value), of any number.
+
+    A resample is a sum over cells of ids: what falls into each cell is known from the cells' sizes alone (see draws_of_cell), its draws
+    inside the cell come from a generator seeded by the cell, and cells' sums are added up by Spark. No task holds more than a cell,
+    no group is gathered. Ids are distinct in a group, as they deal values to cells; the interval depends on them and the seed only.
+    Null values don't count.
+    """
+    names = {c: f"_by{i}" for i, c in enumerate(by)}
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    known = values.where("value is not null").select(*by, "id", F.col("value").cast("double").alias("value"))
+    totals = known.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("value").alias("_mean"))
+    cells = F.least(F.lit(MOST_CELLS), F.greatest(F.lit(1), F.ceil(F.col("_n") / cell_values))).cast("int")
+    totals = totals.withColumn("_cells", cells).withColumnsRenamed(names)
+    both = known.join(totals, on) if by else known.join(F.broadcast(totals))  # one row
+    dealt = both.withColumn("_cell", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_cells")).cast("int")).drop(*names.values())
+    held = dealt.groupBy(*by, "_cell", "_n", "_mean", "_cells").agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("_v"))
+    held = held.select(*by, "_cell", "_n", "_mean", "_cells", F.transform("_v", lambda x: x["value"]).alias("_v"))
+    counts = dealt.groupBy(*by, "_cell").agg(F.count("*").alias("_k"))
+    sizes = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_k"))).alias("_k")).withColumnsRenamed(names)
+    rows = (held.join(sizes, on) if by else held.join(F.broadcast(sizes))).drop(*names.values())
+    rows = rows.withColumn("_sizes", F.transform(F.sequence(F.lit(0), F.col("_cells") - 1), lambda c: F.coalesce(F.col("_k")[c], F.lit(0).cast("bigint"))))
+
+    @F.pandas_udf("array<double>")
+    def sums(v: pd.Series, cell: pd.Series, of: pd.Series) -> pd.Series:
+        made = []
+        for own, c, k in zip(v, cell, of, strict=True):
+            draws = draws_of_cell(np.asarray(k, np.int64), int(c), samples, seed)
+            rng, own = np.random.default_rng([seed, 0, int(c)]), np.asarray(own)
+            made.append([own[rng.integers(0, len(own), n)].sum() for n in draws])
+        return pd.Series(made)
+
+    drawn = rows.select(*by, "_n", "_mean", F.posexplode(sums("_v", "_cell", "_sizes")).alias("_s", "_x"))
+    means = drawn.groupBy(*by, "_n", "_mean", "_s").agg((F.sum("_x") / F.col("_n")).alias("_m"))
+    got = means.groupBy(*by, "_n", "_mean").agg(F.array_sort(F.collect_list("_m")).alias("_m"))  # `samples` numbers a group
+    at = lambda q: F.get("_m", F.lit(max(0, int(q * samples) - 1)))
+    return got.select(*by, F.col("_n").alias("n"), F.round("_mean", 9).alias("mean"), F.round(at(0.025), 6).alias("low"), F.round(at(0.975), 6).alias("high"))
+
+
 def replayed_bootstrap(values: DataFrame, samples: int = 10_000, seed: int = 42, by: str = "model") -> DataFrame:
     """The same interval with the draws of Python's own generator, seeded for each group: (by, low, high)."""
 

@@ -75,6 +75,28 @@ def first_of_line(tokens: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first.select(*keys, "pos").union(last_tokens(tokens, keys).select(*keys, "pos")).distinct()
 
 
+def first_leaves(tokens: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """The token at which each line's first leaf starts, comments aside, and the candidate's last token, in candidates with a leaf;
+    first and last token of those without.
+
+    leaves: keys, kind, row, col and at, the token that holds the leaf's start, -1 for none, as spans.leaves gives them.
+    """
+    code = leaves.where((F.col("kind") != "comment") & (F.col("at") >= 0))
+    first = code.groupBy(*keys, "row").agg(F.min_by("at", "col").alias("pos")).select(*keys, F.col("pos").cast(dict(tokens.dtypes)["pos"]))
+    known = last_tokens(tokens, keys).join(leaves.select(*keys).distinct(), keys, "left_semi")
+    return or_first_last(first.union(known.select(*keys, "pos")).distinct(), tokens, keys)
+
+
+def without_kinds(tokens: DataFrame, leaves: DataFrame, keys: list[str], kinds: tuple[str, ...] = ("comment", "identifier")) -> DataFrame:
+    """Tokens that overlap no leaf of these kinds; of candidates in which that leaves none, the first and last.
+
+    leaves: keys, kind, first and last, the tokens that overlap it, as spans.leaves gives them.
+    """
+    marked = leaves.where(F.col("kind").isin(*kinds) & (F.col("first") >= 0)).select(*keys, F.explode(F.sequence("first", "last")).alias("pos")).distinct()
+    rest = excluded(tokens, marked, keys)
+    return tokens.join(or_first_last(rest, tokens, keys), [*keys, "pos"], "left_semi")
+
+
 def excluded(tokens: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens at no marked position (the complement of a selection)."""
     return tokens.join(marked.select(*keys, "pos"), [*keys, "pos"], "left_anti")

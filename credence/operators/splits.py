@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +27,17 @@ def allocated(n: int, ratios: tuple[float, ...]) -> list[int]:
     return counts
 
 
+def allotted(n: Column, ratios: tuple[float, ...]) -> Column:
+    """What `allocated` gives for a count, as ARRAY<BIGINT>: the remainders' order is that of (fraction, place), in double precision."""
+    check_ratios(ratios)
+    exact = F.array(*[n * F.lit(float(r)) for r in ratios])
+    floors = F.transform(exact, lambda x: F.floor(x))
+    left = n - F.aggregate(floors, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    order = F.array_sort(F.transform(exact, lambda x, i: F.struct((F.floor(x) - x).alias("minus"), i.alias("i"))))
+    place = lambda i: F.array_position(F.transform(order, lambda o: o["i"]), i)
+    return F.transform(floors, lambda f, i: f + F.when(place(i) <= left, 1).otherwise(0))
+
+
 def hashed_ranks(rows: DataFrame, key: str, seed: str, by: list[str] = ()) -> DataFrame:
     """rows with _rank, from 1, in the order of md5(seed|key) (inside each value of `by`).
 
@@ -45,28 +55,25 @@ def hashed_ranks(rows: DataFrame, key: str, seed: str, by: list[str] = ()) -> Da
 
 
 def split(rows: DataFrame, key: str, ratios: tuple[float, ...], seed: str, strata: str | None = None, names: tuple[str, ...] = SPLITS) -> DataFrame:
-    """rows with `split`, of exactly the sizes that `allocated` gives (for each stratum, if there are any): strata are counted,
-    allotted and joined in Spark, however many there are."""
-    check_ratios(ratios)
-    by = [strata] if strata else []
+    """rows with `split`, of exactly the sizes that `allocated` gives (for each stratum, if there are any).
 
-    def allotted(frames):
-        for pdf in frames:
-            out = []
-            for stratum, n in zip(pdf["stratum"], pdf["n"], strict=True):
-                end = 0
-                for c, x in zip(allocated(int(n), ratios), names, strict=False):
-                    out.append((stratum, x, end, end + c))
-                    end += c
-            yield pd.DataFrame(out, columns=["stratum", "split", "low", "high"])
-
-    stratum = F.to_json(F.struct(F.col(strata).alias("s"))) if strata else F.lit("")  # of any type; a null is a stratum too
-    sizes = rows.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("n"))
-    cuts = sizes.mapInPandas(allotted, "stratum string, split string, low bigint, high bigint")
-    ranked = hashed_ranks(rows, key, seed, by).withColumn("_stratum", stratum)
-    ranges = cuts.groupBy(F.col("stratum").alias("_stratum")).agg(F.collect_list(F.struct("low", "high", "split")).alias("_ranges"))
-    own = F.get(F.filter("_ranges", lambda r: (F.col("_rank") > r["low"]) & (F.col("_rank") <= r["high"])), F.lit(0))["split"]
-    return ranked.join(ranges, "_stratum").withColumn("split", own).drop("_rank", "_stratum", "_ranges")
+    The order is that of md5(seed|key), in cells of hash prefixes. One aggregate counts the cells, a row for each prefix (and stratum);
+    of these few rows come where each cell begins and, by the stratum's total, where each split ends. Rows are ranked inside their
+    cells and joined to that by prefix and stratum, so they are shuffled once.
+    """
+    by = [strata] if strata else []
+    cells = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))).withColumn("_cell", F.substring("_h", 1, 3))
+    totals = cells.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("_n").over(W.partitionBy(*by))
+    names_of = {c: f"_on{i}" for i, c in enumerate((*by, "_cell"))}
+    offsets = totals.select(*by, "_cell", before.alias("_before"), allotted(whole, ratios).alias("_sizes")).withColumnsRenamed(names_of)
+    own = F.row_number().over(W.partitionBy(*by, "_cell").orderBy("_h", key))
+    joined = cells.withColumn("_own", own).join(offsets, [F.col(c).eqNullSafe(F.col(n)) for c, n in names_of.items()])
+    rank = F.col("_own") + F.col("_before")
+    ends = [F.aggregate(F.slice("_sizes", 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x) for i in range(len(ratios))]
+    chosen = F.coalesce(*[F.when(rank <= end, F.lit(name)) for end, name in zip(ends, names, strict=False)])
+    return joined.withColumn("split", chosen).drop("_own", "_before", "_sizes", "_cell", "_h", *names_of.values())
 
 
 #: Weights of errors in candidates, correct ones and groups, as whole numbers of fifths: 1, 2 and 0.2.

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import domains, features, labels, metrics, outcomes, probes, reports, selection, splits
+from ..sources import readers, writers
+from ..sources.scratch import folder
 from . import views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,6 +328,15 @@ def bootstrap_replay(spark, sf):
 _R = "row_number() OVER (PARTITION BY \"user\" ORDER BY score DESC, pos)"
 
 
+@query()
+def bootstrap_of_tokens(spark, sf):
+    """Intervals of the mean score of every line number's tokens, by resamples that are summed cell by cell."""
+    l = views.table(spark, sf, "lineitem")
+    ids = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = l.select(F.col("l_returnflag").alias("flag"), ids.alias("id"), (F.col("l_discount") * 10).alias("value"))
+    return reports.large_bootstrap(rows, 400, 42, ["flag"])
+
+
 @query(f"SELECT \"user\", pos, score FROM (SELECT *, {_R} AS rk FROM ({SCORES})) WHERE rk <= 3")
 def topk_entropy_k(spark, sf):
     return selection.top_scored(views.scores(spark, sf), ["user"], k=3).select("user", "pos", "score")
@@ -607,10 +618,15 @@ def three_way_labels(spark, sf):
 
 @query(f"""WITH s AS ({SCORES}), l AS (SELECT "user", unnest([0, 1, 2]) AS tok_idx, min(pos) + 1 AS code_start FROM s GROUP BY "user") SELECT l."user", tok_idx, code_start + tok_idx AS pos, score FROM l JOIN s ON l."user" = s."user" AND s.pos = code_start + tok_idx""")
 def label_feature_by_position(spark, sf):
+    """Labels joined to features that are stored by user and position."""
     s = views.scores(spark, sf)
     starts = s.groupBy("user").agg((F.min("pos") + 1).alias("code_start"))
     labelled = starts.select("user", "code_start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tok_idx"))
-    return labels.at_positions(labelled, s.select("user", "pos", "score"), ["user"]).select("user", "tok_idx", "pos", "score")
+    at = folder(spark, "positions")
+    name, buckets = f"features_{at.rpartition('-')[2]}", max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    writers.bucketed(s.select("user", "pos", "score"), name, at, ["user", "pos"], buckets)
+    stored = readers.bucketed(spark, name, at, "user bigint, pos bigint, score double", ["user", "pos"], buckets)
+    return labels.at_positions(labelled, stored, ["user"]).select("user", "tok_idx", "pos", "score")
 
 
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) WHERE i >= 20 AND i < 50")
@@ -641,11 +657,22 @@ def canonical_splits(spark, sf):
     return rows.select("role", scalars.canonical_split(F.col("role")).alias("split"), "n")
 
 
-@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS same FROM orders")
+@query("SELECT o_orderkey, o_orderkey % 7 IN (0, 2, 4, 6) AS same FROM orders")
 def graded_output(spark, sf):
+    """Outputs that agree as text, as numbers of any length and form, or not."""
     k = F.col("o_orderkey")
-    want = F.concat(k.cast("string"), F.lit(".50 x\nlast"))
-    got = F.concat(k.cast("string"), F.when(k % 3 == 0, F.lit(".50 x \n last ")).otherwise(F.lit(".5 y\nlast")))
+    s = k.cast("string")
+    zeros = lambda n: F.lit("0" * n)
+    pairs = [
+        (F.concat(s, F.lit(".50 x\nlast")), F.concat(s, F.lit(".50 x \n last "))),
+        (F.concat(F.lit("0."), zeros(30), s), F.concat(F.lit("0."), zeros(31), s)),
+        (F.concat(s, F.lit("9" * 24)), F.concat(F.lit(" +"), s, F.lit("9" * 24 + ".0"))),
+        (F.concat(s, F.lit("1" * 24)), F.concat(s, F.lit("1" * 23 + "2"))),
+        (F.concat(s, F.lit("e-19 -0.0 inf")), F.concat(F.lit("0."), F.lpad(F.concat(s, F.lit("00")), 21, "0"), F.lit("  0 Infinity"))),
+        (F.lit("nan"), F.lit("NaN")),
+        (F.concat(F.lit("1_0"), s, F.lit("\n\n.5")), F.concat(F.lit("10"), s, F.lit("\n\n5E-1"))),
+    ]
+    want, got = (F.coalesce(*[F.when(k % 7 == i, p[side]) for i, p in enumerate(pairs)]) for side in (0, 1))
     return views.table(spark, sf, "orders").select("o_orderkey", scalars.same_output(want, got).alias("same"))
 
 
@@ -668,7 +695,7 @@ def unknown_problem_audit(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import further  # noqa: F401  it adds its own
+    from . import further, programs  # noqa: F401  they add their own
 
     return dict(_QUERIES)
 

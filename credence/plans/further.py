@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrow, scalars
+from ..functions import arrow, scalars, spans
 from ..operators import domains, features, labels, metrics, outcomes, probes, selection
 from ..operators.ranges import running, with_cells
 from ..sources import readers, writers
-from ..sources.scratch import folder
+from ..sources.scratch import folder, stored
 from . import views
 from .catalogue import MAPPED, RESULTS, SCORES, TOKENS, query
 
@@ -59,16 +59,42 @@ def split_files(spark, sf):
     return readers.split_records(spark, paths, "doc_id bigint, lang string").groupBy("split", "lang").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, 1 AS n FROM documents")
+@query("SELECT doc_id, 1 AS n, CASE WHEN doc_id % 3 = 0 THEN 'first' ELSE 'second' END AS run FROM documents WHERE doc_id IS NOT NULL")
 def resumed_output(spark, sf):
-    """A sink that broke off after a third, finished by key: every row is there once."""
+    """A sink of which one run ended, the next died with its batch written but not committed, and two more went on: every row is there once."""
     at = folder(spark, "resumed")
-    rows = views.table(spark, sf, "documents").select("doc_id", "lang")
-    schema = "doc_id bigint, lang string"
-    rows.where("doc_id % 3 = 0").write.json(at)
-    writers.appended(rows, readers.json_lines(spark, at, schema), "doc_id", at)
-    writers.appended(rows, readers.json_lines(spark, at, schema), "doc_id", at)  # nothing is left to do
-    return readers.json_lines(spark, at, schema).groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+    rows = views.table(spark, sf, "documents").where("doc_id is not null").select("doc_id", "lang")
+    writers.resumed(rows.where("doc_id % 3 = 0").withColumn("run", F.lit("first")), "doc_id", at)
+    writers.batch(rows.where("doc_id % 2 = 0").withColumn("run", F.lit("died")), at)
+    for run in ("second", "third"):
+        writers.resumed(rows.withColumn("run", F.lit(run)), "doc_id", at)
+    return readers.committed(spark, at, "doc_id bigint, run string").groupBy("doc_id", "run").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""WITH t AS (SELECT vec_id, 'test' AS split FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 'train' FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 6 = 0),
+n AS (SELECT vec_id, count(*) AS n FROM t GROUP BY vec_id)
+SELECT split, CAST(4 AS BIGINT) AS files_scanned, CAST(4 AS BIGINT) AS files_loaded, CAST(0 AS BIGINT) AS files_skipped, count(*) AS "rows", count(DISTINCT vec_id) AS samples, count(DISTINCT vec_id) FILTER (WHERE n > 1) AS collisions FROM t JOIN n USING (vec_id) GROUP BY split
+UNION ALL SELECT 'broken', 2, 0, 2, 0, 0, 0""")
+def features_audit(spark, sf):
+    """Feature files of two splits that share samples, and a split of files that are none: what was scanned, loaded and skipped."""
+    at = folder(spark, "scanned")
+    rows = views.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), F.col("embedding").alias("vec"))
+    k = F.col("sample_id").cast("bigint")
+    rows.where(k % 3 == 0).repartition(4).write.parquet(f"{at}/split=test")
+    rows.where((k % 3 != 0) | (k % 6 == 0)).repartition(4).write.parquet(f"{at}/split=train")
+    rows.select("sample_id").repartition(2).write.text(f"{at}/split=broken")
+    _, audit = readers.audited_features(spark, at, "sample_id string, vec array<float>")
+    return audit
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN o_orderstatus END AS input, CASE WHEN o_orderkey % 6 < 5 THEN 'x' || o_orderkey END AS output FROM orders")
+def stored_test_cases(spark, sf):
+    """Test cases in each of the forms in which they are stored, and in one that would call something, which gives none."""
+    k = F.col("o_orderkey")
+    case = F.to_json(F.array(F.struct(F.col("o_orderstatus").alias("input"), F.concat(F.lit("x"), k.cast("string")).alias("output"), F.lit("stdin").alias("testtype"))))
+    rows = views.table(spark, sf, "orders").select("o_orderkey", arrow.stored_cases(case, (k % 6).cast("int")).alias("stored"))
+    cases = rows.select("o_orderkey", arrow.test_cases("stored").alias("c"))
+    return cases.select("o_orderkey", F.get("c", F.lit(0))["input"].alias("input"), F.get("c", F.lit(0))["output"].alias("output"))
 
 
 @query("SELECT count(*) AS docs, count(DISTINCT lang) AS langs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
@@ -129,10 +155,17 @@ def lines_from_records(spark, sf):
 # Text and spans.
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN 10 END AS start, CASE WHEN turn % 3 <> 0 THEN CAST(11 + length(text) AS INTEGER) END AS "end", CASE WHEN turn % 3 <> 0 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE '' END AS code FROM conversations WHERE NOT contains(text, '`')""")
+@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'no ' || text WHEN 1 THEN 'ok' || chr(10) || '```abc' || chr(10) || text || chr(10) || '```' || chr(10) || 'end' ELSE 'a ```x``` b ```' || chr(10) || text || '``` c' || CASE WHEN conv_id % 2 = 0 THEN ' ``` d' ELSE '' END END AS t FROM conversations),
+p AS (SELECT *, str_split(t, '```') AS p FROM t), n AS (SELECT *, len(p) - 1 AS n FROM p),
+b AS (SELECT *, p[n] AS body, length(array_to_string(p[1:n - 1], '```')) + 3 AS a, length(array_to_string(p[1:n - 1], '```')) + 3 + length(p[n]) AS z FROM n),
+c AS (SELECT *, a + CASE WHEN contains(body, chr(10)) THEN position(chr(10) IN body) ELSE 0 END AS s FROM b)
+SELECT conv_id, turn, CASE WHEN n >= 2 AND s < z THEN CAST(s AS INTEGER) END AS start, CASE WHEN n >= 2 AND s < z THEN CAST(z AS INTEGER) END AS "end", CASE WHEN n >= 2 AND s < z THEN regexp_replace(t[s + 1 : z], '^\\s+|\\s+$', '', 'g') ELSE '' END AS code FROM c""")
 def code_spans(spark, sf):
-    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("no "), F.col("text"))).otherwise(F.concat(F.lit("ok\n```abc\n"), F.col("text"), F.lit("\n```\nend")))
-    rows = views.table(spark, sf, "conversations").where("not contains(text, '`')").withColumn("t", t)
+    """The last fenced body of every turn's text, with none, one or several fences around it, an unpaired one after it, or any of its own."""
+    k = F.col("turn") % 3
+    several = F.concat(F.lit("a ```x``` b ```\n"), F.col("text"), F.lit("``` c"), F.when(F.col("conv_id") % 2 == 0, " ``` d").otherwise(""))
+    t = F.when(k == 0, F.concat(F.lit("no "), F.col("text"))).when(k == 1, F.concat(F.lit("ok\n```abc\n"), F.col("text"), F.lit("\n```\nend"))).otherwise(several)
+    rows = views.table(spark, sf, "conversations").withColumn("t", t)
     span = scalars.code_span(F.col("t"))
     return rows.select("conv_id", "turn", span["start"].alias("start"), span["end"].alias("end"), scalars.code_of(F.col("t")).alias("code"))
 
@@ -145,23 +178,11 @@ count(*) FILTER (WHERE z + 1 > 5 AND a < 20) AS inside FROM p GROUP BY conv_id,
 def token_spans(spark, sf):
     """Words, each with the space after it, as tokens: those that overlap characters 5 to 20, and the one at 9."""
     pieces = F.transform(F.split("text", " "), lambda w: F.concat(w, F.lit(" ")))
-    rows = views.table(spark, sf, "conversations").withColumn("o", scalars.spans_from(pieces))
+    rows = views.table(spark, sf, "conversations").withColumn("o", spans.spans_from(pieces))
     span = scalars.token_span(F.col("o"), F.struct(F.lit(5).alias("start"), F.lit(20).alias("end")))
     return rows.select("conv_id", "turn", span["start"].alias("first"), span["end"].alias("last"), scalars.token_at(F.col("o"), F.lit(9)).alias("holds_9"), F.size(scalars.tokens_in(F.col("o"), F.lit(5), F.lit(20))).cast("bigint").alias("inside"))
 
 
-@query("""SELECT conv_id, turn, 4 + CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS masked, CASE WHEN turn % 2 = 0 THEN 7 ELSE 6 END AS tokens FROM conversations""")
-def forced_masks(spark, sf):
-    """Blank tokens and those of comments and docstrings, in a program made for each turn."""
-    k = F.col("turn").cast("string")
-    doc = F.array(F.lit("'''text " + "'''"), F.lit("\n"))
-    code = F.array(F.concat(F.lit("a"), k), F.lit(" "), F.concat(F.lit("# c"), k), F.lit("\n"), F.concat(F.lit("b"), k))
-    pieces = F.when(F.col("turn") % 2 == 0, F.concat(doc, code)).otherwise(F.concat(F.array(F.lit("  ")), code))
-    rows = views.table(spark, sf, "conversations").withColumn("p", pieces).withColumn("s", F.array_join("p", "")).withColumn("o", scalars.spans_from(F.col("p")))
-    mask = scalars.forced_mask(F.col("s"), F.col("o"), whole_docstrings=True)
-    return rows.select("conv_id", "turn", F.size(F.filter(mask, lambda x: x)).alias("masked"), F.size("o").alias("tokens"))
-
-
 @query("""WITH l AS (SELECT l_orderkey, list(DISTINCT l_linenumber) FILTER (WHERE l_returnflag = 'R') AS l FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, coalesce(list_min(list_filter(l, lambda x: x >= 3)), list_max(list_filter(l, lambda x: x < 3))) AS line FROM l""")
 def nearest_lines(spark, sf):
@@ -169,11 +190,20 @@ def nearest_lines(spark, sf):
     return l.select("l_orderkey", scalars.nearest_line(F.col("l"), F.lit(3)).alias("line"))
 
 
-@query("SELECT n_nationkey, lower(n_name) AS lib FROM nation UNION ALL SELECT n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey % 3 <> 2")
+@query("""SELECT n_nationkey, unnest(CASE n_nationkey % 6 WHEN 0 THEN [lower(n_name), 'r' || n_regionkey] WHEN 1 THEN [lower(n_name), 'r' || n_regionkey] WHEN 2 THEN [lower(n_name)] WHEN 3 THEN [lower(n_name) || ',' || n_regionkey, 'it''s ' || chr(92)]
+WHEN 4 THEN ['[' || lower(n_name) || ']'] ELSE [lower(n_name)] END) AS lib FROM nation""")
 def library_lists(spark, sf):
-    """Names as a list's literal, a comma list or a bare name."""
-    name, region, k = F.lower("n_name"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.col("n_nationkey") % 3
-    raw = F.when(k == 0, F.concat(F.lit("['"), name, F.lit("', \""), region, F.lit("\"]"))).when(k == 1, F.concat(name, F.lit(", "), region, F.lit(","))).otherwise(name)
+    """Names as a list's literal, a comma list, a bare name, a literal with commas and quotes in its names, and in brackets."""
+    name, region, k = F.lower("n_name"), F.col("n_regionkey").cast("string"), F.col("n_nationkey") % 6
+    forms = [
+        F.concat(F.lit("['"), name, F.lit("', \"r"), region, F.lit('", 3]')),
+        F.concat(name, F.lit(", r"), region, F.lit(",")),
+        name,
+        F.concat(F.lit(" ('"), name, F.lit(","), region, F.lit("', 'it\\'s \\\\') ")),
+        F.concat(F.lit("["), name, F.lit("]")),
+        F.concat(F.lit("'"), name, F.lit("'")),
+    ]
+    raw = F.coalesce(*[F.when(k == i, x) for i, x in enumerate(forms)])
     return views.table(spark, sf, "nation").select("n_nationkey", F.explode(scalars.library_list(raw)).alias("lib"))
 
 
@@ -188,17 +218,22 @@ def annotation_layouts(spark, sf):
     return views.table(spark, sf, "events").select("event_id", F.explode(scalars.annotation_tokens(raw)).alias("t")).select("event_id", "t.text", "t.label", "t.line")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || 'more' ELSE text END AS body FROM conversations")
+@query("""WITH t AS (SELECT conv_id, turn, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations) SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN s || chr(10) || 'more' WHEN 1 THEN CASE WHEN text = '' THEN '' ELSE s || chr(10) END || 'more' ELSE s END AS body FROM t""")
 def channel_messages(spark, sf):
-    marked = F.concat(F.lit("analysis<|message|>"), F.col("text"), F.lit("<|end|><|start|>final<|message|>more<|return|>"))
-    return views.table(spark, sf, "conversations").select("conv_id", "turn", scalars.stripped_channels(F.when(F.col("turn") % 2 == 0, marked).otherwise(F.col("text"))).alias("body"))
+    """Replies of two whole messages, of messages without turns, and of a turn without channels."""
+    k = F.col("turn") % 3
+    whole = F.concat(F.lit("<|start|>assistant<|channel|>analysis<|message|>"), F.col("text"), F.lit(" <|end|><|start|>assistant<|channel|>final<|message|>more<|end|>"))
+    begun = F.concat(F.lit("<|channel|>analysis<|message|>"), F.col("text"), F.lit("<|channel|>final<|message|> more <|return|>"))
+    t = F.when(k == 0, whole).when(k == 1, begun).otherwise(F.concat(F.lit("<|start|>assistant "), F.col("text"), F.lit("<|return|>")))
+    return views.table(spark, sf, "conversations").select("conv_id", "turn", scalars.stripped_channels(t).alias("body"))
 
 
-@query("SELECT conv_id, turn, role AS trace, text AS answer FROM conversations WHERE NOT contains(text, '</think>')")
+@query("""WITH t AS (SELECT conv_id, turn, str_split(CASE WHEN turn % 2 = 0 THEN role || '</think>between</think>' || text ELSE text END, '</think>') AS p FROM conversations) SELECT conv_id, turn, CASE WHEN len(p) > 1 THEN regexp_replace(p[1], '^\\s+|\\s+$', '', 'g') END AS trace, CASE WHEN len(p) > 1 THEN regexp_replace(p[-1], '^\\s+|\\s+$', '', 'g') END AS answer FROM t""")
 def reasoning_traces(spark, sf):
-    rows = views.table(spark, sf, "conversations").where("not contains(text, '</think>')")
-    first, last = scalars.reasoning_parts(F.concat("role", F.lit("</think>between</think>"), "text"), "</think>")
-    return rows.select("conv_id", "turn", first.alias("trace"), last.alias("answer"))
+    """What stands before the first delimiter and after the last, of texts with several, some of their own, or none."""
+    t = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit("</think>between</think>"), "text")).otherwise(F.col("text"))
+    first, last = scalars.reasoning_parts(t, "</think>")
+    return views.table(spark, sf, "conversations").select("conv_id", "turn", first.alias("trace"), last.alias("answer"))
 
 
 @query("""SELECT o_orderkey, o_orderpriority || chr(10) || chr(10) || o_orderstatus || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || chr(10) || '```python' || chr(10) || 'def f' || o_orderkey || '():' || chr(10) || '```' ELSE '' END AS prompt,
@@ -293,13 +328,13 @@ def missing_layers(spark, sf):
     return have.select("vec_id", F.explode(features.missing_layers([3, 1, 7, 1], F.col("have"))).alias("layer"))
 
 
-@query(f"""WITH b AS (SELECT line, CAST(floor((row_number() OVER (PARTITION BY line ORDER BY sample, o1, o2, wrong, score) - 1) / 64) AS BIGINT) AS b, CASE WHEN wrong THEN -ln(least(greatest(score, 1e-7), 1 - 1e-7)) ELSE -ln(1 - least(greatest(score, 1e-7), 1 - 1e-7)) END AS l FROM ({TOKENS}) WHERE line > 4),
+@query(f"""WITH b AS (SELECT line, CAST(floor((row_number() OVER (PARTITION BY line ORDER BY sample, o1, o2, wrong, score) - 1) / 64) AS BIGINT) AS b, CASE WHEN wrong THEN -ln(least(greatest(score, 1e-7), 1 - 1e-7)) ELSE -ln(1 - least(greatest(score, 1e-7), 1 - 1e-7)) END AS l FROM ({TOKENS})),
 m AS (SELECT line, b, avg(l) AS l FROM b GROUP BY line, b) SELECT line, count(*) AS batches, round(avg(l), 6) AS loss FROM m GROUP BY line""")
 def loss_of_batches(spark, sf):
     """The mean of the means of batches of 64, the last of which may be short."""
     from pyspark.sql import Window as W
 
-    t = views.tokens(spark, sf).where("line > 4")
+    t = views.tokens(spark, sf)
     order = W.partitionBy("line").orderBy("sample", "ordinal", F.col("tok_is_correct").desc(), "score")
     rows = t.withColumn("b", F.floor((F.row_number().over(order) - 1) / 64))
     return metrics.batch_mean_loss(rows, ~F.col("tok_is_correct"), F.col("score"), F.col("b"), ["line"])
@@ -385,27 +420,27 @@ def statuses(spark, sf):
     return views.table(spark, sf, "events").select("event_id", scalars.passed(word).alias("passed"), F.size(F.filter(flags, lambda x: x)).alias("n_true"), F.size(flags).alias("n"))
 
 
-@query("SELECT DISTINCT CAST(layer AS INTEGER) AS layer, 'occurs' AS how FROM embeddings, range(4) t(layer) WHERE layer <> 1 UNION ALL SELECT unnest([5, 2]), 'declared' UNION ALL SELECT 3, 'asked'")
+@query("SELECT vec_id, unnest(CASE vec_id % 3 WHEN 0 THEN [vec_id % 4, 9] WHEN 1 THEN [7, vec_id % 5] ELSE [x for x in [0, 1, 2, 3] if x <> vec_id % 4] END) AS layer, CASE vec_id % 3 WHEN 0 THEN 'asked' WHEN 1 THEN 'declared' ELSE 'occurs' END AS how FROM embeddings")
 def inferred_layers(spark, sf):
-    """Layers that are asked for, else declared, else those that occur."""
-    v = views.vectors(spark, sf).where("layer <> 1")
-    rows = [(x, how) for how, asked, declared in (("asked", [3], [5]), ("declared", [], [5, 2]), ("occurs", [], [])) for x in features.inferred_layers(asked, declared, v)]
-    return spark.createDataFrame(rows, "layer int, how string")
-
-
-@query("SELECT k, n, floor(n * CAST(0.6 AS DOUBLE)) + CASE WHEN n % 5 = 1 THEN 1 ELSE 0 END AS train FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1) WHERE n % 5 IN (0, 1, 4)")
+    """Each candidate's layers: those asked for, else those that its payload declares, else those that occur in it."""
+    k = F.col("vec_id") % 3
+    v = views.vectors(spark, sf).where("layer <> vec_id % 4")
+    rows = v.withColumn("asked", F.when(k == 0, F.array((F.col("vec_id") % 4).cast("int"), F.lit(9)))).withColumn("declared", F.when(k == 1, F.array(F.lit(7), (F.col("vec_id") % 5).cast("int"))).when(k == 2, F.array().cast("array<int>")))
+    return features.layers_of(rows, ["vec_id"], "asked", "declared").select("vec_id", F.explode(F.col("layers").cast("array<bigint>")).alias("layer"), "how")
+
+
+@query("""WITH g AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1),
+e AS (SELECT k, n, i, n * r AS exact FROM g, (VALUES (0, CAST(0.6 AS DOUBLE)), (1, CAST(0.2 AS DOUBLE)), (2, CAST(0.2 AS DOUBLE))) t(i, r)),
+o AS (SELECT *, floor(exact) AS low, row_number() OVER (PARTITION BY k ORDER BY exact - floor(exact) DESC, i) AS nth, sum(floor(exact)) OVER (PARTITION BY k) AS given FROM e)
+SELECT k, n, CAST(max(low + CASE WHEN nth <= n - given THEN 1 ELSE 0 END) FILTER (WHERE i = 0) AS BIGINT) AS train, CAST(max(low + CASE WHEN nth <= n - given THEN 1 ELSE 0 END) FILTER (WHERE i = 1) AS BIGINT) AS validation,
+CAST(max(low + CASE WHEN nth <= n - given THEN 1 ELSE 0 END) FILTER (WHERE i = 2) AS BIGINT) AS test FROM o GROUP BY k, n""")
 def allocations(spark, sf):
-    """Largest remainders of the counts of each group, for ratios that add up to one."""
+    """Largest remainders of the counts of each group."""
     from ..operators import splits
 
-    splits.check_ratios((0.6, 0.2, 0.2))
-    rows = views.table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n")).where("n % 5 in (0, 1, 4)")
-
-    def allotted(frames):
-        for pdf in frames:
-            yield pdf.assign(train=[float(splits.allocated(int(n), (0.6, 0.2, 0.2))[0]) for n in pdf["n"]])
-
-    return rows.mapInPandas(allotted, "k int, n bigint, train double")
+    rows = views.table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
+    dealt = splits.allotted(F.col("n"), (0.6, 0.2, 0.2))
+    return rows.select("k", "n", *[F.get(dealt, F.lit(i)).alias(s) for i, s in enumerate(splits.SPLITS)])
 
 
 # From programs and their fixes to labels, and probes end to end. SQL has neither alignments nor trees: the tests hold these against
@@ -456,8 +491,8 @@ def token_offsets_of_ids(spark, sf):
     return got.select("conv_id", "turn", "tokens", F.size("o.spans").alias("spans"), F.element_at("o.spans", -1)["end"].alias("end"))
 
 
-def _judged(model, test):
-    got = probes.scores(model, test).select("y", "score")
+def _judged(model, test, trees=None):
+    got = stored(probes.scores(model, test, trees).select("y", "score"), "scored")
     auc, best = metrics.roc_auc(got, F.col("y") > 0, F.col("score")), metrics.f1_sweep(got, F.col("y") > 0, F.col("score")).where("is_best")
     skill = metrics.brier_skill(got, F.col("y") > 0, F.col("score"))
     return auc.join(best.select("tenth", "f1")).join(skill.select("bss"))  # one row each
@@ -513,3 +548,12 @@ def perceptron_metrics(spark, sf):
     train, test = rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0")
     got = [_judged(probes.fitted(name, train, 64, rounds=15), test).withColumn("probe", F.lit(name)) for name in ("mlp_two_hidden", "mlp_one_hidden", "mlp_halving")]
     return got[0].unionByName(got[1]).unionByName(got[2])
+
+
+@query()
+def rate_sweep_metrics(spark, sf):
+    """Boosted trees at several rates, fitted side by side, each scored with the number of trees that validates best."""
+    rows = stored(probes.prepared(_vectors_of_tokens(spark, sf)).select("sample", "x", "y", "w"), "prepared")
+    train, validation, test = (rows.where(f"sample % 5 {rule}") for rule in ("> 1", "= 1", "= 0"))
+    got = [_judged(r["model"], test, r["trees"]).select(F.lit(r["rate"]).alias("rate"), F.lit(r["trees"]).alias("trees"), "*") for r in probes.sweep("gbt", train, validation, 4, (0.3, 0.1, 0.1, 0.03), weighted=True, rounds=8)]
+    return got[0].unionByName(got[1]).unionByName(got[2])

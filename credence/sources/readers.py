@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_number
+from ..functions.scalars import first_number, sample_id
 
 #: A problem and its candidates as parallel arrays.
 RECORD = """id string, prompt string, language string, difficulty string, output array<string>, stripped_output array<string>,
@@ -16,7 +16,7 @@ token_labels array<array<struct<token_id:bigint,token_text:string,label:boolean,
 line_error_map array<map<string,boolean>>"""
 
 
-def json_lines(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: str = RECORD) -> DataFrame:
     """One object a line; blank lines are skipped, a malformed one fails. The schema is given, so that maps stay maps."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -90,6 +90,56 @@ def features(spark: SparkSession, path: str, split: str | None = None) -> DataFr
     return rows
 
 
+def audited_features(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, audit) of all files in the split=... folders under a path, damaged ones among them.
+
+    rows: the schema's columns and split, of the files that can be read to their end; sample_id, where the schema has it, falls back to
+    the file's name up to a double underscore. audit: for each split, files_scanned, files_loaded, files_skipped (unreadable, cut
+    off, or without rows), rows, samples, and collisions: samples that occur in more than one loaded file of any split. A file
+    counts as loaded if as many rows come out of it as its footer says; other files give no row at all. An empty path fails.
+
+    Files are listed and counted by Spark, and nothing of them comes to the driver. Columns are read twice, once for the counts.
+    """
+    at = F.col("_metadata.file_path").alias("_file")
+    own = F.regexp_extract(F.col("_metadata.file_path"), r"/split=([^/]*)/", 1)
+    listed = spark.read.format("binaryFile").load(path).select(at, own.alias("split"))  # content isn't read
+    tolerant = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+    said = tolerant.select(at).groupBy("_file").agg(F.count("*").alias("_said"))  # no column: footers alone
+    names = [c for c in tolerant.columns if c != "split"]
+    found = tolerant.select(*names, at, own.alias("split"))
+    if "sample_id" in names:
+        found = found.withColumn("sample_id", sample_id(F.col("sample_id"), F.col("_file")))
+    each = found.select("_file", F.hash(*names).alias("_h")).groupBy("_file").agg(F.count("*").alias("_got"), F.bit_xor("_h").alias("_h"))
+    loaded = said.join(each, "_file").where("_said = _got and _h is not null").select("_file", "_got")  # the hash: so that every column is decoded
+    files = listed.join(loaded, "_file", "left").groupBy("split").agg(F.count("*").alias("files_scanned"), F.count("_got").alias("files_loaded"), F.coalesce(F.sum("_got"), F.lit(0)).alias("rows"))
+    rows = found.join(loaded.select("_file"), "_file", "left_semi")
+    audit = files.withColumn("files_skipped", F.col("files_scanned") - F.col("files_loaded"))
+    if "sample_id" in names:
+        several = rows.select("split", "sample_id", "_file").distinct().withColumn("_n", F.count("*").over(W.partitionBy("sample_id")))
+        per = several.groupBy("split").agg(F.count_distinct("sample_id").alias("samples"), F.count_distinct(F.when(F.col("_n") > 1, F.col("sample_id"))).alias("collisions"))
+        audit = audit.join(per, "split", "left").fillna(0, ["samples", "collisions"])
+    return rows.drop("_file"), audit
+
+
+def bucketed(spark: SparkSession, name: str, path: str, schema: str, keys: list[str], buckets: int) -> DataFrame:
+    """Features that writers.bucketed has stored, in this session or another."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE `{name}` ({schema}) USING parquet CLUSTERED BY ({columns}) SORTED BY ({columns}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def committed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the batches that writers.commit has entered in the manifest; none before the first. What a run that died has left is
+    not read. Names of batches, not rows, come to the driver."""
+    from .writers import exists
+
+    if not exists(spark, f"{path}/manifest"):
+        return spark.createDataFrame([], schema)
+    names = sorted(r["batch"] for r in spark.read.schema("batch string").json(f"{path}/manifest/*").collect())
+    return json_lines(spark, [f"{path}/{n}" for n in names], schema) if names else spark.createDataFrame([], schema)
+
+
 def problems(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """A catalogue (question_id, contest_date, ...) between two dates, both inclusive, in order of id."""
     from ..functions.scalars import within_dates

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,9 +18,44 @@ def features(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("split", "layer").parquet(path)
 
 
-def appended(rows: DataFrame, done: DataFrame, key: str, path: str) -> None:
-    """Adds the rows whose key isn't done yet: a run that broke off goes on by key, not by place."""
-    rows.join(done.select(key).distinct(), key, "left_anti").write.mode("append").json(path)
+def bucketed(rows: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> None:
+    """Features stored for joins on the keys: files by buckets of the keys, each sorted, so that a join on these keys with as many or
+    fewer shuffle partitions neither shuffles nor sorts them. name: of the table in the session's catalogue."""
+    rows.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def batch(rows: DataFrame, path: str) -> str:
+    """Writes rows as JSON lines in a folder of their own under the path, and returns its name. They don't count before `commit`."""
+    name = f"batch-{uuid.uuid4().hex}"
+    rows.write.json(f"{path}/{name}")
+    return name
+
+
+def commit(spark: SparkSession, path: str, name: str) -> None:
+    """Enters a batch that was written in full in the manifest: one file that appears whole or not at all."""
+    spark.createDataFrame([(name,)], "batch string").coalesce(1).write.json(f"{path}/manifest/{name}")
+
+
+def resumed(rows: DataFrame, key: str, path: str) -> int:
+    """Writes the rows whose key no committed batch holds, commits them, and returns how many they were.
+
+    A run that broke off goes on by key, not by place: its unfinished batch is in no manifest, is never read, and is written anew.
+    A second call finds nothing to do. One writer at a time. Keys are distinct and not null.
+    """
+    from .readers import committed
+
+    spark = rows.sparkSession
+    done = committed(spark, path, f"`{key}` {dict(rows.dtypes)[key]}")
+    name = batch(rows.join(done, key, "left_anti"), path)
+    n = spark.read.text(f"{path}/{name}").count()
+    if n:
+        commit(spark, path, name)
+    return n
 
 
 def statistics(one_row: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from credence.functions import arrow, scalars
+from credence.functions import arrow, scalars, spans
 from credence.operators import domains, features, labels, metrics, outcomes, reports, selection, splits
 from credence.sources import readers
 
@@ -304,8 +304,9 @@ def test_filter_reconciles(spark):
         ("```py\nx", None),
         ("a```py\nx = 1\n```b", "x = 1\n"),
         ("```\na\n``` t ```py\nbb```", "bb"),
-        ("```a\nb\n``` and ```", "b\n"),
-        ("``````", ""),
+        ("```a\nb\n``` and ```", " and "),
+        ("``````", None),
+        ("```a\n```", None),
     ],
 )
 def test_code_span(spark, text, want):
@@ -321,7 +322,9 @@ def test_scalars(spark):
     assert t("['a', \"b\"]", scalars.library_list) == ["a", "b"] and t("a, b,", scalars.library_list) == ["a", "b"] and t("x", scalars.library_list) == ["x"]
     assert t("**0.90** (x)", scalars.first_number) == 0.9 and t("n/a", scalars.first_number) is None
     assert t("org/model v1", scalars.safe_name) == "org_model_v1"
-    assert t("a<|message|>one<|end|>b<|message|>two", scalars.stripped_channels) == "onetwo" and t("plain", scalars.stripped_channels) == "plain"
+    start = "<|start|>assistant<|channel|>%s<|message|>"
+    assert t(start % "analysis" + " one <|end|>" + start % "final" + "two<|end|>", scalars.stripped_channels) == "one\ntwo" and t(" plain", scalars.stripped_channels) == "plain"
+    assert t("x<|channel|>final<|message|> a<|channel|>analysis<|message|>b<|return|>", scalars.stripped_channels) == "a\nb"
     assert t("valid", scalars.canonical_split) == "validation"
     assert t([1, 3, 7], lambda c: scalars.nearest_line(c, F.lit(4)), "array<int>") == 7
     assert t([1, 3], lambda c: scalars.nearest_line(c, F.lit(4)), "array<int>") == 3
@@ -335,8 +338,8 @@ def test_scalars(spark):
 def test_mask_in_both_modes(spark):
     text = '"""doc"""\nx = 1 # "c"\n'
     pieces = ['"""doc""', '"', "\n", "x", " = 1", " ", '# "c"', "\n"]
-    got = spark.createDataFrame([(text, pieces)], "t string, p array<string>").withColumn("o", scalars.spans_from(F.col("p")))
-    a, b = got.select(scalars.forced_mask(F.col("t"), F.col("o")), scalars.forced_mask(F.col("t"), F.col("o"), True)).first()
+    got = spark.createDataFrame([(text, pieces)], "t string, p array<string>").withColumn("o", spans.spans_from("p"))
+    a, b = got.select(spans.forced_mask(F.col("t"), F.col("o")), spans.forced_mask(F.col("t"), F.col("o"), True)).first()
     assert b == [True, True, True, False, False, True, True, True]
     assert a[0] and not a[3] and a[6]
 
@@ -365,10 +368,7 @@ def test_difference_labels(a, b):
             assert not any(got[i:j])
 
 
-def test_leaves_and_cases(spark):
-    df = spark.createDataFrame([("x = f(1)  # c\n",), (None,), ("def (",)], "s string")
-    got = [r[0] for r in df.select(arrow.leaves("s")).collect()]
-    assert [x["kind"] for x in got[0]] == ["identifier", "operator", "identifier", "operator", "number", "operator", "comment"] and got[1] == []
+def test_cases_as_json(spark):
     import base64
     import json
     import zlib
@@ -437,7 +437,8 @@ def test_roles_and_layers(spark):
     assert sorted((r["pos"], r["role"]) for r in features.role_positions(rows.where("c = 1"), ["c"]).collect()) == [(0, "first"), (4, "second_last"), (9, "last")]
     assert sorted((r["c"], r["pos"]) for r in features.role_positions(rows, ["c"], -2).collect()) == [(1, 4)]
     assert sorted((r["c"], r["pos"]) for r in features.role_positions(rows, ["c"], -1).collect()) == [(1, 9), (2, 4)]
-    assert features.inferred_layers([], [], rows) == [3] and features.inferred_layers([7], [1], rows) == [7]
+    got = features.layers_of(rows.withColumn("a", F.when(F.col("c") == 2, F.array(F.lit(7)))).withColumn("d", F.array().cast("array<int>")), ["c"], "a", "d")
+    assert {r["c"]: (r["layers"], r["how"]) for r in got.collect()} == {1: ([3], "occurs"), 2: ([7], "asked")}
     pieces = spark.createDataFrame([(1, "a"), (2, "<end>")], "token_id int, piece string")
     got = {r["token_id"]: r["piece"] for r in features.decoded(spark.createDataFrame([(1,), (2,), (3,)], "token_id int"), pieces, [2]).collect()}
     assert got == {1: "a", 2: "", 3: None}
@@ -455,8 +456,8 @@ def test_probes(spark, tmp_path):
     assert judge(probes.scores(model, rows)) > 0.9
     probes.saved(model, str(tmp_path / "m"))
     assert judge(probes.scores(probes.loaded(LogisticRegressionModel, str(tmp_path / "m")), rows)) > 0.9
-    rate, best = probes.swept("gbt", rows, rows, 2, (0.1, 0.1, 0.3), judge, rounds=3)
-    assert rate in (0.1, 0.3) and judge(probes.scores(best, rows)) > 0.9
+    rate, best, trees = probes.swept("gbt", rows, rows, 2, (0.1, 0.1, 0.3), judge, rounds=3)
+    assert rate in (0.1, 0.3) and judge(probes.scores(best, rows, trees)) > 0.9
     assert probes.in_two_dimensions(rows.withColumn("id", F.monotonically_increasing_id()), ["id"]).count() == 120
 
 
