@@ -39,6 +39,9 @@ HEADERS = ("banner", "header", "masthead")
 #: Fixed values. Further elements whose tags have weights of their own; those of others count as "<other".
 OTHERS = ("html", "body", "div", "section", "article", "main", "header", "address", "center", "details", "summary", "fieldset", "legend", "optgroup", "option", "audio", "video", "picture", "caption", "colgroup", "thead", "tfoot", "hgroup", "search", "slot", "path")
 
+#: Fixed values. Elements of running text, besides those inside lines: their names say nothing of what they are, as ids of headings are made of the heading's words.
+TEXTUAL = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "pre", "blockquote", "dt", "dd", "figcaption", "caption")
+
 #: Weight of a word, as a share of its usual one, in a part with one of NAMES among others in its name, and where that is a FOREIGN one.
 NAMED, NAMED_FOREIGN = 0.25, -0.3
 
@@ -46,10 +49,9 @@ NAMED, NAMED_FOREIGN = 0.25, -0.3
 MENU_SHARE, MENU_LINKS = 0.8, 3
 
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
-_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
 
-#: Pages that the weights are learned from, at most (about: they are drawn by a hash of page_id).
+#: Pages that the weights are learned from, at most (about: they are drawn by a hash of page_id and html).
 SAMPLE_PAGES = 2000
 
 #: Fixed values. Elements that carry running text.
@@ -62,6 +64,13 @@ PLAIN = {"word": 1.0, "linked": -0.6, "tag": -3.0} | {f"<{x}": -0.4 for x in FLO
 LABELLED_TAG, LABELLED_WORD = 0.1, 0.5
 
 
+#: Times the plain weight of a tag of running text that its learned one is at least: menus are made of lists too.
+TEXT_TAG = 3.0
+
+#: Share of the best region's score from which a further article or main outside of it counts.
+FURTHER = 0.1
+
+
 def attributes_of(tag: str) -> dict[str, str]:
     """A start tag's attributes by lower-cased name; the first of a name counts."""
     found: dict[str, str] = {}
@@ -70,29 +79,36 @@ def attributes_of(tag: str) -> dict[str, str]:
     return found
 
 
-def hidden(attributes: dict[str, str]) -> bool:
-    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(attributes.get("style", "")))
-
-
 def _words_of(token: str) -> list[str]:
     return re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
 
 
-def named_aside(attributes: dict[str, str], own_headers: bool = False) -> float:
-    """What a start tag's class, id or role leaves of the weight of words: 0 if a whole token is one of NAMES, NAMED or NAMED_FOREIGN if a part of one is, else 1."""
+def names_of(name: str, attributes: dict[str, str], mark: str) -> list[str]:
+    """What an element is called: the tokens of its class, role and label, of containers only. Ids are mostly made from headings: they
+    count outside of an article or main, of a section those of FOREIGN only, and inside where a div is called by one of FOREIGN."""
+    if name in TEXTUAL or name in INLINE:
+        return []
+    found = [t for x in ("class", "role", "aria-label") for t in attributes.get(x, "").split()]
+    own = attributes.get("id", "").split()
+    if mark not in ("article", "main"):
+        return found + [t for t in own if name != "section" or t.lower() in FOREIGN]
+    return found + [t for t in own if name == "div" and t.lower() in FOREIGN]
+
+
+def named_aside(names: list[str], own_headers: bool = False) -> float:
+    """What an element's names leave of the weight of words: 0 if one is of NAMES, NAMED or NAMED_FOREIGN if a part of one is, else 1."""
     found = 1.0
-    for value in (attributes[x] for x in ("class", "id", "role", "aria-label") if x in attributes):
-        for token in value.split():
-            words = [w for w in _words_of(token) if w in NAMES and not (own_headers and w in HEADERS)]
-            if words and token.lower() in words:
-                return 0.0
-            if words:
-                found = min(found, NAMED_FOREIGN if any(w in FOREIGN for w in words) else NAMED)
+    for token in names:
+        words = [w for w in _words_of(token) if w in NAMES and not (own_headers and w in HEADERS)]
+        if words and token.lower() in words:
+            return 0.0
+        if words:
+            found = min(found, NAMED_FOREIGN if any(w in FOREIGN for w in words) else NAMED)
     return found
 
 
-def foreign(attributes: dict[str, str]) -> bool:
-    return any(w in FOREIGN for x in ("class", "id", "role", "aria-label") for w in _words_of(attributes.get(x, "")))
+def foreign(names: list[str]) -> bool:
+    return any(w in FOREIGN for t in names for w in _words_of(t))
 
 
 def lexed(page: str):
@@ -175,7 +191,7 @@ def parsed(page: str) -> list[tuple[str, str, bool, str, float, int]]:
         if name == "p" and stack and stack[-1][0] == "p":
             opened["p"] -= 1
             stack.pop()
-        given = attributes_of(m[2]) if m[2] else {}
+        given = names_of(name, attributes_of(m[2]), mark) if m[2] else []
         leaves = named_aside(given, mark == "article") if given and name not in ("body", "html", "main") else 1.0
         if name in ("article", "main"):
             if name == "article" and leaves > NAMED_FOREIGN and not (leaves == 0 and foreign(given)):
@@ -185,7 +201,7 @@ def parsed(page: str) -> list[tuple[str, str, bool, str, float, int]]:
         if name in ("article", "main") or name == "body" and not mark:
             mark = name if mark != "article" else mark
         inside = mark in ("article", "main")
-        aside = aside or name in ASIDE or (name == "header" and mark != "article") or (name not in ("body", "html", "article", "main") and hidden(given))
+        aside = aside or name in ASIDE or (name == "header" and mark != "article")
         if own >= 0 and name == "a":
             doubtful[own][4] += 1
         if leaves == 0 or name in ("ul", "ol") and not inside:
@@ -241,15 +257,16 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
         elif name == "linked":
             made[name] = min(max(odds, -2.0), 0.3)
         else:
-            made[name] = min(max(odds, -6.0), PLAIN.get(name, -1.0))
+            plain = PLAIN.get(name, -1.0)
+            made[name] = min(max(odds, TEXT_TAG * plain if name[1:] in FLOW else -6.0), plain)
     return made
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from pages that label their own content by an article or main element, about `sample` of them."""
-    labelled = pages.select("page_id", F.col("html").cast("string")).where(F.lower("html").rlike("<(article|main)[ >]"))
+    labelled = pages.select("page_id", F.col("html").cast("string").alias("html")).where(F.lower("html").rlike("<(article|main)[ >]"))
     n = labelled.count()
-    drawn = labelled.where(F.pmod(F.xxhash64(F.col("page_id"), F.lit(5)), F.lit(1_000_003)) / 1_000_003.0 < min(1.0, sample / max(n, 1)))
+    drawn = labelled.where(F.pmod(F.xxhash64("page_id", "html", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0 < min(1.0, sample / max(n, 1)))
 
     def count(batches):
         held: dict[str, list[int]] = {}
@@ -302,16 +319,58 @@ def without_named(tokens: list[tuple], weights: dict[str, float]) -> list[tuple]
     return [(kind, name, aside or part in gone, mark, share, part) for kind, name, aside, mark, share, part in tokens]
 
 
+def regions(tokens: list[tuple], scores: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of tokens that hold the main text, in order.
+
+    First the range of the largest score. Where most of its words are labelled (article or main), other labelled parts outside of it
+    have a best range too, which counts if its score is FURTHER of the first one's: what stands between two parts of an article
+    may cost more than either. Else a range without an h1 gets the one right before it, if no text of the page stands between.
+    """
+    a, b = best_region(scores)
+    if a == b:
+        return []
+    labelled = np.array([mark in ("article", "main") for _, _, _, mark, _, _ in tokens])
+    words = np.array([len(t[1].split()) if t[0] == "text" and not t[2] else 0 for t in tokens])
+    if 2 * words[a:b][labelled[a:b]].sum() < words[a:b].sum():
+        return [(heading_before(tokens, a, b), b)]
+    found, least = [(a, b)], FURTHER * scores[a:b].sum()
+    rest = labelled.copy()
+    rest[a:b] = False
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], rest.astype(np.int8), [0]])))
+    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        x, y = best_region(scores[i:j])
+        if x < y and scores[i + x : i + y].sum() >= least:
+            found.append((i + x, i + y))
+    return sorted(found)
+
+
+def heading_before(tokens: list[tuple], a: int, b: int) -> int:
+    """Where the h1 starts that stands before a range without one, no text between; else the range's start."""
+    if any(t[0] == "start" and t[1] == "h1" and not t[2] for t in tokens[a:b]):
+        return a
+    inside = False
+    for k in range(a - 1, -1, -1):
+        kind, name, aside = tokens[k][:3]
+        if aside:
+            continue
+        if name == "h1" and kind != "text":
+            if kind == "start":
+                return k if inside else a
+            inside = True
+        elif kind == "text" and not inside and name.strip():
+            return a
+    return a
+
+
 def extract(page: str | None, weights: dict[str, float] = PLAIN) -> str:
-    """A page's main text: the region of the largest score, without what is no article inside it.
+    """A page's main text: the regions of the largest score, without what is no article inside them.
 
     Words score above 0 and tags below. What is no article costs its first tag only: it may stand inside the
-    region, but its text never counts. A page without positive region has no text.
+    region, but its text never counts. A page without positive region has no text. Text that a page holds but doesn't show at once
+    (hidden, aria-hidden, display: none) is text like other.
     """
     tokens = parsed(page or "")
     tokens = without_named(tokens, weights) if any(t[5] >= 0 for t in tokens) else tokens
-    scores = scored(tokens, weights)
-    a, b = best_region(scores)
     blocks, held = [], []
 
     def close():
@@ -319,13 +378,14 @@ def extract(page: str | None, weights: dict[str, float] = PLAIN) -> str:
             blocks.append(text)
         held.clear()
 
-    for kind, name, aside, *_ in tokens[a:b]:
-        if kind == "text":
-            if not aside:
-                held.append(name)
-        elif name not in INLINE:
-            close()
-    close()
+    for a, b in regions(tokens, scored(tokens, weights)):
+        for kind, name, aside, *_ in tokens[a:b]:
+            if kind == "text":
+                if not aside:
+                    held.append(name)
+            elif name not in INLINE:
+                close()
+        close()
     return " ".join(blocks)
 
 

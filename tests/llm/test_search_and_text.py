@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -140,7 +141,7 @@ def test_same_as_sql(spark):
     if not os.path.isdir(sf):
         pytest.skip("needs the driver's tables")
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, sf)
@@ -192,9 +193,27 @@ def test_attributes_and_names_alone_delete_no_article(part, around):
     assert htmltext.extract(page) == LONG
 
 
-def test_what_is_hidden_or_named_goes():
-    inside = "<p hidden>one two three</p><p aria-hidden=true>four</p><p style='color:red; display : none'>five</p><div class='notice'>We changed our terms</div><div id=comments>six</div>"
-    assert htmltext.extract(f"<article><p>{LONG}</p>{inside}<p>{PROSE}</p></article>") == f"{LONG} {PROSE}"
+def test_what_is_named_goes_and_what_is_hidden_stays():
+    inside = "<div class='notice'>We changed our terms</div><div id=comments>six</div>"
+    kept = "<p hidden>one two three</p><p aria-hidden=true>four</p><p style='color:red; display : none'>five</p><div hidden='until-found'>six</div>"
+    assert htmltext.extract(f"<article><p>{LONG}</p>{inside}{kept}<p>{PROSE}</p></article>") == f"{LONG} one two three four five six {PROSE}"
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_ids_of_headings_and_names_of_text_say_nothing(around):
+    parts = ['<h2 id="notice">Notice periods</h2>', '<h2 id="comments">Comments in code</h2>', '<p id="menu">Menu planning is hard</p>', '<ul><li id="related">Related fields</li></ul>', '<pre class="widget">make widget</pre>', "<table><tr><td class='footer'>Sum</td></tr></table>", '<section id="promo"><h2>Promo formats</h2></section>']
+    page = "<body><nav><a>Menu</a></nav>" + around.format("".join(f"{x}<p>{PROSE}</p>" for x in parts)) + "<div id='sidebar'><p>Side words</p></div><footer>Foot</footer></body>"
+    heads = ["Notice periods", "Comments in code", "Menu planning is hard", "Related fields", "make widget", "Sum", "Promo formats"]
+    assert htmltext.extract(page) == " ".join(f"{h} {PROSE}" for h in heads)
+
+
+def test_parts_far_apart():
+    gap = "<div></div>" * 10
+    assert htmltext.extract(f"<body><article><p>{PROSE}</p></article>{gap}<article><p>{LONG}</p></article>{gap}<article>ad</article></body>") == f"{PROSE} {LONG}"
+    assert htmltext.extract(f"<body><nav>Menu</nav><div><div><div><h1>The <b>title</b></h1></div></div></div><div><p>{LONG}</p></div></body>") == f"The title {LONG}"
+    assert htmltext.extract(f"<body><div><div><h1>Site</h1></div></div><div><div>Other words here</div></div><div><p>{LONG}</p></div></body>").endswith(LONG)
+    weights = htmltext.weights_of({"word": (50, 900), "linked": (300, 20), "<li": (5000, 1), "<ul": (900, 1), "<p": (10, 90), "<div": (400, 10)})
+    assert htmltext.extract(f"<body><div><p>{LONG}</p><ul>{'<li>A point of some words</li>' * 5}</ul><p>{LONG}</p></div></body>", weights) == f"{LONG} {' '.join(['A point of some words'] * 5)} {LONG}"
 
 
 def test_links_between_paragraphs():
@@ -212,25 +231,49 @@ def test_adversarial_pages_are_linear(page):
 
 
 def test_against_a_brute_force_extractor():
-    """On random pages: of all contiguous regions, the text of the one with the largest sum of scores."""
+    """On random pages: of all contiguous regions, the text of the one with the largest sum of scores, and of each further labelled
+    part that reaches its share of that."""
     draw = random.Random(4)
-    kinds = ["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "<b>", "</b>", "<article>", "</article>", "<nav>", "</nav>", "<br>", "words of text ", "more words &amp; others here ", "<ul><li>", "</ul>", "<div class=ad>", "<td>"]
-    for _ in range(300):
-        page = "".join(draw.choice(kinds) for _ in range(draw.randrange(1, 30)))
+    kinds = ["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "<b>", "</b>", "<article>", "</article>", "<nav>", "</nav>", "<br>", "words of text ", "more words &amp; others here ", "<ul><li>", "</ul>", "<div class=ad>", "<td>", "<div><div>"]
+
+    def text_of(tokens):
+        made, block = [], ""
+        for kind, name, aside, *_ in [*tokens, ("end", "div", False)]:
+            if kind == "text":
+                block += "" if aside else name
+            elif name not in htmltext.INLINE:
+                made.append(" ".join(block.replace("&amp;", "&").split()))
+                block = ""
+        return " ".join(x for x in made if x)
+
+    def best(scores, low, high):
+        """All ranges of the largest sum above 0."""
+        sums = {(i, j): sum(scores[i:j]) for i in range(low, high) for j in range(i + 1, high + 1)}
+        top = max(sums.values(), default=0)
+        return [r for r, x in sums.items() if x >= top - 1e-9] if top > 1e-9 else [], top
+
+    several = 0
+    for _ in range(600):
+        page = "".join(draw.choice(kinds) for _ in range(draw.randrange(1, 36)))
         tokens = htmltext.parsed(page)
         scores = htmltext.scored(tokens, htmltext.PLAIN)
-        n = len(scores)
-        sums = {(i, j): sum(scores[i:j]) for i in range(n + 1) for j in range(i, n + 1)}
-        best = max(sums.values(), default=0)
-        texts = set()
-        for (i, j), x in sums.items():
-            if x >= best - 1e-9:
-                made, block = [], ""
-                for kind, name, aside, *_ in [*tokens[i:j], ("end", "div", False)]:
-                    if kind == "text":
-                        block += "" if aside else name
-                    elif name not in htmltext.INLINE:
-                        made.append(" ".join(block.replace("&amp;", "&").split()))
-                        block = ""
-                texts.add(" ".join(x for x in made if x))
-        assert htmltext.extract(page) in texts
+        firsts, top = best(scores, 0, len(scores))
+        texts = set() if firsts else {""}
+        for i, j in firsts:
+            words = [(len(t[1].split()), t[3] in ("article", "main")) for t in tokens[i:j] if t[0] == "text" and not t[2]]
+            parts = [[(i, j)]]
+            if 2 * sum(n for n, own in words if own) >= sum(n for n, _ in words):
+                k = 0
+                while k < len(tokens):
+                    end = k
+                    while end < len(tokens) and tokens[end][3] in ("article", "main") and not i <= end < j:
+                        end += 1
+                    found, more = best(scores, k, end)
+                    if found and more >= htmltext.FURTHER * top - 1e-9:
+                        parts.append(found)
+                    k = max(end, k + 1)
+            several += len(parts) > 1
+            for chosen in itertools.product(*parts):
+                texts.add(" ".join(x for x in (text_of(tokens[a:b]) for a, b in sorted(chosen)) if x))
+        assert htmltext.extract(page) in texts, page
+    assert several
