@@ -19,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, input_bytes, map_texts, mix, new_folder, release_memory, small_batches, texts_of
+from .common import Words, chunks, input_bytes, mix, new_folder, release_memory, small_batches, texts_of
 
 #: Tokens whose bigrams a task counts before it passes the counts on.
 FLUSH = 1 << 22
 
-#: Bytes of training text for each shard, at most about, and shards that a worker has mapped at once.
-SHARD_BYTES = 16 << 20
+#: Bytes of training text for each shard, about; beyond MANY_SHARDS shards they widen up to WIDE_BYTES before there are more of them.
+SHARD_BYTES, MANY_SHARDS, WIDE_BYTES = 16 << 20, 8192, 128 << 20
+
+#: Shards that a worker has mapped at once, and tokens whose bigrams a task looks up in one pass over the shards.
 OPEN_SHARDS = 400
+HELD_TOKENS = 1 << 22
 
 #: The arrays of a shard of bigrams (upper and lower parts of the hash, count, large counts) and of words (hash, count, kinds of words before, kinds after by count).
 BIGRAMS = (np.uint32, np.uint16, np.uint16, np.int64)
@@ -247,11 +250,16 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [0.95, 1.95, 2.95])])
 
 
+def shards_for(size: int, least: int) -> int:
+    """Number of shards for so many bytes of training text."""
+    return max(least, min(-(-size // SHARD_BYTES), max(MANY_SHARDS, -(-size // WIDE_BYTES))))
+
+
 def train(texts: DataFrame) -> dict:
     """Counts the bigrams of all texts (column `text`; null: empty) and stores the model; returns its place and totals."""
     spark = texts.sparkSession
     small_batches(spark)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(texts) // SHARD_BYTES))
+    shards = shards_for(input_bytes(texts), int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = min(shards, max(64, 8 * isqrt(shards)))  # a shard makes a row for each: far fewer than shards, where these are many
     folder = new_folder(spark, "ngram")
     Store(folder)  # fails here, and not in every task, where the store is none that workers can write to
@@ -321,8 +329,9 @@ class Model:
                 own, at, want, check = own[~hit], at[~hit] + 1, want[~hit], check[~hit]
         return found
 
-    def scores(self, texts: pa.Array) -> dict:
-        w, first = tokens(texts)
+    def scores(self, w: np.ndarray, first: np.ndarray) -> dict:
+        """n_tokens, n_known, base_score and score of texts, given their tokens on end and where each text's start. Every shard that
+        holds one of their words or bigrams is looked at once."""
         v = contexts(w, first)
         distinct, inverse = np.unique(np.concatenate([w, v]), return_inverse=True)
         count, left, *follow = self.words(distinct)
@@ -333,24 +342,46 @@ class Model:
         begins = count[np.searchsorted(distinct, END)] if len(distinct) else 0
         total = np.where(distinct == BEGIN, begins, count)
         spare = np.dot(self.pair_off[1:], np.stack(follow)) / np.maximum(total, 1)
-        seen = self.pairs(v, w)
+        _, one, which = np.unique(at_v * len(distinct) + at_w, return_index=True, return_inverse=True)  # each bigram once
+        seen = self.pairs(v[one], w[one])[which]
         above = np.maximum(seen - self.pair_off[np.minimum(seen, 3)], 0) / np.maximum(total[at_v], 1)
         p = np.where(total[at_v] > 0, above + spare[at_v] * below[at_w], below[at_w])
-        add = lambda x: np.add.reduceat(x, first[:-1])
+        add = lambda x: np.add.reduceat(x, first[:-1]) if len(x) else x
         return {"n_tokens": np.diff(first), "n_known": add((count[at_w] > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
 
 
-def scored(docs: DataFrame, at: dict) -> DataFrame:
-    """n_tokens, n_known, base_score and score (log10 probabilities) of every whole text under a trained model.
+def scored(docs: DataFrame, at: dict, held_tokens: int = HELD_TOKENS) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score (log10 probabilities) of every whole text under a trained model.
 
     A text is its words and one end; a null text is empty: an end alone. Without training texts every token has
     probability 1. Repeated rows get the same result each; an empty table gives no rows.
+
+    A task keeps its texts' hashed tokens until there are `held_tokens` of them (a longer text by itself), and then makes one pass over
+    the shards: from a store that isn't mounted, each is fetched once a pass.
     """
-    memory: dict = {}
+    small_batches(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("t"))
+
+    def run(batches):
+        model, ids, parts, held = Model(at), [], [], 0
+
+        def made() -> pa.RecordBatch:
+            first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+            found = model.scores(np.concatenate([w for w, _ in parts]), first)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *[pa.array(x) for x in found.values()]], names=["doc_id", *found])
 
-    def score(texts):
-        if "model" not in memory:
-            memory["model"] = Model(at)
-        return memory["model"].scores(texts)
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            for a, b in chunks(texts):
+                ids.append(batch.column(0).slice(a, b - a))
+                parts.append(tokens(texts.slice(a, b - a)))
+                held += len(parts[-1][0])
+                if held >= held_tokens:
+                    yield made()
+                    ids, parts, held = [], [], 0
+        if parts:
+            yield made()
+        release_memory()
 
-    return map_texts(docs, "text", {"doc_id": "doc_id"}, score, "n_tokens bigint, n_known bigint, base_score double, score double")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")

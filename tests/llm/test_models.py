@@ -252,3 +252,29 @@ def test_crc_of_doc_id_as_text(spark):
 
     got = spark.range(50).select(crc_mod(F.col("id"), 10).alias("m")).collect()
     assert [r["m"] for r in got] == [zlib.crc32(str(i).encode()) % 10 for i in range(50)]
+
+
+def test_a_task_passes_over_the_shards_once(spark, docs, monkeypatch):
+    """With 1 000 shards, in a store that is not mounted and of which 40 may be there at once, none is fetched twice a pass; scores don't
+    depend on how much a pass holds."""
+    monkeypatch.setattr(ngram, "shards_for", lambda size, least: 1000)
+    monkeypatch.setattr(ngram, "OPEN_SHARDS", 40)
+    texts = corpus(300)
+    df = docs(list(enumerate(texts)))
+    at = ngram.train(df)
+    assert at["shards"] == 1000
+    model = ngram.Model(at)
+    model.store = ngram.Store(at["folder"], local=False)
+    opened, mapped = [], model.store._mapped
+    model.store._mapped = lambda name: opened.append(name) or mapped(name)
+    blocks = [ngram.tokens(texts_of(pa.array(texts[i : i + 30]))) for i in range(0, 300, 30)]
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in blocks]))])
+    found = model.scores(np.concatenate([w for w, _ in blocks]), first)
+    assert 40 < len(opened) == len(set(opened)) <= at["shards"] + at["parts"]
+    whole = {r["doc_id"]: r["score"] for r in ngram.scored(df, at).collect()}
+    small = {r["doc_id"]: r["score"] for r in ngram.scored(df, at, held_tokens=50).collect()}
+    assert whole == small == dict(enumerate(found["score"].tolist()))
+
+
+def test_shards_widen():
+    assert [ngram.shards_for(x, 8) for x in (0, 1 << 30, 1 << 37, 1 << 40, 100 << 40)] == [8, 64, 8192, 8192, 819200]
