@@ -21,6 +21,10 @@ CELL_VECTORS = 4096
 MOST_CELLS = 4096
 SAMPLE_PER_CELL = 32
 
+#: Bytes of the sample that the driver fits centres on, and vectors of it for each cell at least: longer vectors get fewer cells.
+SAMPLE_BYTES = 128 << 20
+LEAST_PER_CELL = 8
+
 #: Nearest cells that a query visits first, for a limit to all others, and vectors of a cell that one task holds.
 PROBES = 3
 BLOCK = 65536
@@ -72,7 +76,12 @@ def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     total = np.zeros(len(vectors))
     for column, x in zip(vectors.T, query, strict=True):
         total += (column - x) ** 2
-    return np.sqrt(total)
+    found = np.sqrt(total)
+    if len(huge := np.flatnonzero(~np.isfinite(total))):  # squares beyond the largest double: in parts of the largest difference
+        off = vectors[huge] / 4 - query / 4
+        most = np.abs(off).max(axis=1)
+        found[huge] = 4 * (most * np.sqrt(((off / most[:, None]) ** 2).sum(axis=1)))
+    return found
 
 
 class Block:
@@ -94,13 +103,15 @@ class Block:
             estimate, low = bounds(self.codes, self.norm, self.align, queries[a : a + 64], self.centre, self.turn, self.signs)
             for i in range(len(estimate)):
                 q, e, limit = queries[a + i], estimate[i], limits[a + i] ** 2
+                odd = ~(np.isfinite(low[i]) & np.isfinite(e))  # beyond what squares can hold: to be measured
+                low[i][odd], e[odd] = -np.inf, 0
                 own = slice(*np.searchsorted(self.ids, [query_ids[a + i], query_ids[a + i] + 1]))
                 low[i][own] = e[own] = np.inf
                 open_ = np.flatnonzero(low[i] <= limit * (1 + 1e-9)) if limit < np.inf else np.flatnonzero(e < np.inf)
                 if not len(open_):
                     continue
                 first = open_[np.argpartition(e[open_], k - 1)[:k]] if len(open_) > k else open_
-                exact = ((self.vectors[first] - q) ** 2).sum(axis=1)
+                exact = distances(self.vectors[first], q) ** 2
                 if len(exact) >= k:
                     limit = min(limit, exact.max())
                 near = np.union1d(open_[low[i][open_] <= limit * (1 + 1e-9)], first)
@@ -130,18 +141,22 @@ def _lists(column) -> np.ndarray:
 
 def centres(rows: DataFrame, cell_vectors: int = CELL_VECTORS) -> dict[int, np.ndarray]:
     """For each length of vectors, centres of about a cell per `cell_vectors` of them (at most MOST_CELLS), by a few rounds
-    of k-means over a sample of about SAMPLE_PER_CELL vectors a cell."""
+    of k-means over a sample of about SAMPLE_PER_CELL vectors a cell, of SAMPLE_BYTES in all at most."""
     counts = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}
-    cells = {d: min(MOST_CELLS, max(1, round(n / cell_vectors))) for d, n in counts.items()}
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(1_000_003)) / 1_000_003.0
-    share = F.create_map(*[x for d, n in counts.items() for x in (F.lit(d), F.lit(min(1.0, max(SAMPLE_PER_CELL * cells[d], 256) / n)))])
-    found = rows.where(draw < share[F.col("dim")]).select("dim", "v").toArrow()
+    whole = sum(d * n for d, n in counts.items())
+    most = {d: int(SAMPLE_BYTES * d * n / whole) // (8 * d) for d, n in counts.items()}  # vectors of the sample, of each length
+    cells = {d: min(MOST_CELLS, max(1, most[d] // LEAST_PER_CELL), max(1, round(n / cell_vectors))) for d, n in counts.items()}
+    draw = F.pmod(F.xxhash64("vec_id", "v", F.lit(13)), F.lit(1_000_003)) / 1_000_003.0
+    share = F.create_map(*[x for d, n in counts.items() for x in (F.lit(d), F.lit(min(1.0, most[d] / n, max(SAMPLE_PER_CELL * cells[d], 256) / n)))])
+    fits = F.forall("v", lambda x: F.abs(x) < 1e150)
+    found = rows.where((draw < share[F.col("dim")]) & fits).select("dim", "v").toArrow()
     made = {}
     for dim in counts:
         drawn = _lists(found["v"].filter(pa.array(found["dim"].to_numpy() == dim))).reshape(-1, dim)
-        drawn = np.unique(drawn, axis=0)  # in an order of their own
+        drawn = drawn[np.lexsort(drawn.T[: min(dim, 8)])]  # in an order of their own
+        drawn = drawn[np.concatenate([np.ones(min(len(drawn), 1), bool), (drawn[1:] != drawn[:-1]).any(axis=1)])]
         if not len(drawn):
             made[dim] = np.zeros((1, dim))
             continue
@@ -211,7 +226,7 @@ def _visits(queries: DataFrame, model, figures: dict[tuple[int, int], tuple[floa
                 order = np.argsort(np.where(blocks > 0, d, np.inf), axis=1, kind="stable")
                 first = np.zeros(d.shape, bool)
                 np.put_along_axis(first, order[:, :probes], True, axis=1)
-                wanted = (~first & (d - radius <= far[own, None] * (1 + 1e-9) + 1e-12) if rest else first) & (blocks > 0)
+                wanted = (~first & ~(d - radius > far[own, None] * (1 + 1e-9) + 1e-12) if rest else first) & (blocks > 0)
                 q, cell = np.nonzero(wanted)
                 times = -(-blocks[cell] // block).astype(np.int64)
                 q, cell = np.repeat(q, times), np.repeat(cell, times)

@@ -277,3 +277,27 @@ def test_against_a_brute_force_extractor():
                 texts.add(" ".join(x for x in (text_of(tokens[a:b]) for a, b in sorted(chosen)) if x))
         assert htmltext.extract(page) in texts, page
     assert several
+
+
+def test_components_beyond_what_squares_hold(spark):
+    import math
+
+    draw = np.random.default_rng(8)
+    rows = [(i, (draw.standard_normal(5) * (1e200 if i % 3 == 0 else 1)).tolist()) for i in range(260)] + [(300, [1.7e308, -1.7e308, 0.0, 0.0, 1.0]), (301, [1.7e308, -1.6e308, 0.0, 0.0, 1.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 100 == 0, 10, 40, 30).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r)
+    distance = lambda v, w: 4 * math.hypot(*[a / 4 - b / 4 for a, b in zip(v, w, strict=True)])
+    for q in (0, 100, 200, 300):
+        v = dict(rows)[q]
+        want = sorted((distance(v, w), i) for i, w in rows if i != q)[:10]
+        assert [r["score"] for r in got[q]] == pytest.approx([d for d, _ in want], rel=1e-12)
+        assert {r["vec_id"] for r in got[q]} == {i for _, i in want} or len({d for d, _ in want}) < 10
+
+
+def test_centres_are_fitted_on_bounded_bytes(spark, monkeypatch):
+    """At 768 components, the sample has the bytes that it may have, whatever the number of cells asked for."""
+    monkeypatch.setattr(ann, "SAMPLE_BYTES", 1 << 20)
+    df = spark.range(1500).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.hash("id", i).cast("float")).alias("embedding"))
+    centre = ann.centres(ann.usable(df), 10)[768]
+    assert centre.shape == ((1 << 20) // (8 * 768) // ann.LEAST_PER_CELL, 768)
