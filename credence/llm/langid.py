@@ -245,18 +245,15 @@ def _expected(vocabulary_file: str, logp: dict[str, np.ndarray] | None):
 def train(labelled: DataFrame, vocabulary_file: str, sample: int = SAMPLE_DOCUMENTS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability of each piece in each) from documents (doc_id, text, lang).
 
-    Learns from about `sample` documents a language, drawn by a hash of doc_id, and all words of these, by expectation
+    Learns from about `sample` documents a language, drawn by a hash of doc_id and text, and all words of these, by expectation
     maximisation over segmentations: each round is one pass over the counted words in Spark, of which the driver gets
     a number for each piece and language. Rows without text or lang are left out.
     """
-    known = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    drawn, sizes = _drawn(_known(labelled), sample)
     pieces, _ = lattice_of(vocabulary_file)
     if not sizes:
         return [], np.zeros((len(pieces), 0))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    counts = written(word_counts(known.where(draw < share[F.col("lang")])), "language-words")
+    counts = written(word_counts(drawn), "language-words")
     langs = sorted(sizes)
     logp = None
     for _ in range(rounds):
@@ -271,6 +268,44 @@ def train(labelled: DataFrame, vocabulary_file: str, sample: int = SAMPLE_DOCUME
     return langs, np.stack([logp[x] for x in langs], axis=1)
 
 
+#: A text is of no learned language if its best log-probability a byte of letters is below what is learned: so many standard deviations below
+#: the mean of a language's documents, or so many times the mean, whichever is less, and by so much over the root of its bytes besides.
+DEVIATIONS, TIMES, SHORT = 6.0, 1.8, 4.0
+
+
+def _drawn(known: DataFrame, sample: int) -> tuple[DataFrame, dict[str, int]]:
+    """About `sample` documents of each language of known (doc_id, text, lang), and how many documents each has."""
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not sizes:
+        return known, sizes
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
+    return known.where(draw < share[F.col("lang")]), sizes
+
+
+def _known(labelled: DataFrame) -> DataFrame:
+    return labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+
+
+def least_of(labelled: DataFrame, langs: list[str], logp: np.ndarray, vocabulary_file: str, sample: int = SAMPLE_DOCUMENTS) -> dict[str, float]:
+    """For each language the least log-probability a byte that its texts have, by the documents that it was learned from."""
+    if not langs:
+        return {}
+    drawn, _ = _drawn(_known(labelled), sample)
+    found = predict(drawn, langs, logp, vocabulary_file, {"lang": "lang"}).where("lang = lang_pred and n_bytes > 0")
+    rows = found.groupBy("lang").agg(F.avg("per_byte").alias("m"), F.stddev_pop("per_byte").alias("s")).collect()  # a row a language
+    learned = {r["lang"]: min(r["m"] - DEVIATIONS * r["s"], TIMES * r["m"]) for r in rows}
+    return {x: learned.get(x, -float("inf")) for x in langs}
+
+
+def within_range(least: dict[str, float]):
+    """Whether a row of predict() is within its language's learned range; true for `und`, which has none."""
+    if not least:
+        return F.lit(True)
+    of = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(float(v)))])
+    return F.coalesce(F.col("per_byte") >= of[F.col("lang_pred")] - SHORT / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1))), F.lit(True))
+
+
 class Scorer:
     """Per-language log-probabilities of texts; words seen before come from a bounded memory."""
 
@@ -298,7 +333,8 @@ class Scorer:
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, vocabulary_file: str, keep: dict[str, str] | None = None) -> DataFrame:
-    """lang_pred and score of every whole text: the most probable language and its posterior under even priors.
+    """lang_pred, score, n_bytes and per_byte of every whole text: the most probable language and its posterior under even priors; the
+    bytes of its letters, and its log-probability in that language over these.
 
     `und` with score 0 for a null text, one without letters, or where no language was learned. Ties go to the
     language first in alphabetical order. Repeated rows get the same result each; an empty table gives no rows.
@@ -317,6 +353,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, vocabulary_file
         ascii_letter = np.zeros(len(texts), bool)
         hit = words.data[words.starts] < 128
         ascii_letter[words.rows[hit]] = True
+        n_bytes = sums_of_rows((words.ends - words.starts).astype(float), words.first)
         for i, ok in enumerate(ascii_letter.tolist()):
             ok = ok or (words.first[i + 1] > words.first[i] and any(c.isalpha() for c in texts[i].as_py()))
             if not ok or not s.langs:
@@ -326,6 +363,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, vocabulary_file
             k = int(total[i].argmax())
             pred.append(s.langs[k])
             score.append(float(1 / np.exp(total[i] - total[i][k]).sum()))
-        return {"lang_pred": pred, "score": score}
+        best = total.max(axis=1) if s.langs else np.zeros(len(texts))
+        return {"lang_pred": pred, "score": score, "n_bytes": n_bytes.astype(np.int64), "per_byte": best / np.maximum(n_bytes, 1)}
 
-    return map_texts(docs, "text", keep or {"doc_id": "doc_id"}, scored, "lang_pred string, score double")
+    return map_texts(docs, "text", keep or {"doc_id": "doc_id"}, scored, "lang_pred string, score double, n_bytes bigint, per_byte double")
