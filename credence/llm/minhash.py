@@ -18,8 +18,9 @@ SHINGLE = 5
 PERMUTATIONS = 64
 BAND_ROWS = 4
 
-#: Texts of a band that are compared in one group.
+#: Texts of a band that are compared in one group, and shingles that count as one text: a longer one counts as several, so a group is bounded in bytes.
 BLOCK = 128
+TEXT_SHINGLES = 4096
 
 #: Times that a fuller band is divided by further bands of other permutations, before what is left in one is compared in pairs of blocks.
 LEVELS = 2
@@ -215,7 +216,7 @@ def _further_bands(level: int, permutations: int, rows: int):
 def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(every row's kept columns and fp; fp and root of the fps that are linked): rows of one root, or else of one fp, are one group.
 
-    fp stands for a set of shingles. Sets that share a band of the signature are compared, in blocks of about `block`;
+    fp stands for a set of shingles, w for how many texts of TEXT_SHINGLES it counts. Sets that share a band of the signature are compared, in blocks of about `block`;
     only sets that share a band are ever stored. Bands of several blocks that are one component then need no more. Where
     no more than a block for each band of a signature is outside a band's largest component, that is compared with all of this component. In the others
     those are compared that also share one of as many bands by further permutations (so two alike are missed with
@@ -235,7 +236,7 @@ def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, si
         x, first = shingle_hashes(Words(texts), size)
         sets = [np.unique(x[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
         sums = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) ^ len(s) for s in sets]
-        return {"fp": np.array(sums, np.uint64).view(np.int64), "bands": _lists(band_keys(minima(x, first, permutations), rows))}
+        return {"fp": np.array(sums, np.uint64).view(np.int64), "w": [max(1, -(-len(s) // TEXT_SHINGLES)) for s in sets], "bands": _lists(band_keys(minima(x, first, permutations), rows))}
 
     def shingled(texts):
         x, first = shingle_hashes(Words(texts), size)
@@ -243,21 +244,23 @@ def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, si
         ends = np.cumsum([0, *[len(s) for s in sets]])
         return {"shingles": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))}
 
-    found = written(map_texts(keyed, "text", {k: k for k in dict.fromkeys([*keep, *keys])}, described, "fp bigint, bands array<bigint>", limit=BLOCK_BYTES), "minhash-bands-of-rows")
+    found = written(map_texts(keyed, "text", {k: k for k in dict.fromkeys([*keep, *keys])}, described, "fp bigint, w bigint, bands array<bigint>", limit=BLOCK_BYTES), "minhash-bands-of-rows")
 
     def crowded(bands: DataFrame) -> DataFrame:
-        """(band, fp, root, n) of the bands that hold n > 1 sets, of more than one root; bands of the same sets count once."""
-        held = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+        """(band, fp, root, w, n) of the bands that hold sets, of weight n, of more than one root; bands of the same sets count once."""
+        held = bands.groupBy("band").agg(F.sum("w").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
         once = held.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
         return stored(bands.join(once, "band"), "minhash-shared")
 
-    one = found.groupBy("fp").agg(F.min(F.struct(*keys)).alias("k"), F.first("bands").alias("bands"))
-    shared = crowded(one.select("fp", F.col("fp").alias("root"), F.explode("bands").alias("band")).distinct())
+    one = found.groupBy("fp").agg(F.first("w").alias("w"), F.first("bands").alias("bands"))
+    shared = crowded(one.select("fp", F.col("fp").alias("root"), "w", F.explode("bands").alias("band")).distinct())
     wanted = stored(found.groupBy("fp").agg(F.min(F.struct(*keys)).alias("k")).join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "k.*"), "minhash-wanted")
     text = spare_name(keyed, "set_text")
     texts = keyed.select(*keys, F.col("text").alias(text)).join(wanted.hint("merge"), keys)
     sets = stored(map_texts(texts, text, {"fp": "fp"}, shingled, "shingles array<bigint>", limit=BLOCK_BYTES).groupBy("fp").agg(F.first("shingles").alias("shingles")), "minhash-sets")  # a row may stand twice
 
+    weights = stored(found.select("fp", "w").distinct().join(wanted.select("fp"), "fp", "left_semi"), "minhash-weights")
+
     def links(dealt: DataFrame) -> DataFrame:
         groups = dealt.select("band", "lo", "hi", "fp", "root").join(sets.hint("merge"), "fp")
         return stored(groups.groupBy("band", "lo", "hi").applyInArrow(_links(similarity), "a bigint, b bigint").distinct(), "minhash-links")
@@ -270,13 +273,13 @@ def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, si
         few = parts(F.col("k"))
         own = outside.withColumn("lo", F.pmod(F.xxhash64("fp"), few)).withColumn("hi", F.explode(F.sequence(F.lit(0).cast("bigint"), few - 1)))
         among = links(own.select("band", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "fp", "root"))
-        met = stored(outside.select("main", "fp", "root").distinct(), "minhash-met")
-        mains = met.groupBy("main").agg(F.count("*").alias("outsiders"))
+        met = stored(outside.select("main", "fp", "root", "w").distinct(), "minhash-met")
+        mains = met.groupBy("main").agg(F.sum("w").alias("outsiders"))
         members = roots.join(mains, F.col("root") == F.col("main")).select("main", "node", "outsiders").union(mains.select("main", F.col("main").alias("node"), "outsiders")).distinct()  # a text alone is its own root
-        members = stored(members, "minhash-members")
-        sizes = members.groupBy("main").agg(F.count("*").alias("members"), F.first("outsiders").alias("outsiders"))
+        members = stored(members.join(weights, F.col("node") == F.col("fp")).drop("fp"), "minhash-members")
+        sizes = members.groupBy("main").agg(F.sum("w").alias("members"), F.first("outsiders").alias("outsiders"))
         left = met.join(sizes, "main").select(F.col("main").alias("band"), F.pmod(F.xxhash64("fp"), parts(F.col("outsiders"))).alias("lo"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts(F.col("members")) - 1)).alias("hi"), "fp", "root")
-        right = members.drop("outsiders").join(sizes, "main").select(F.col("main").alias("band"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts(F.col("outsiders")) - 1)).alias("lo"), F.pmod(F.xxhash64("node"), parts(F.col("members"))).alias("hi"), F.col("node").alias("fp"), F.col("main").alias("root"))
+        right = members.drop("outsiders", "w").join(sizes, "main").select(F.col("main").alias("band"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts(F.col("outsiders")) - 1)).alias("lo"), F.pmod(F.xxhash64("node"), parts(F.col("members"))).alias("hi"), F.col("node").alias("fp"), F.col("main").alias("root"))
         return [among, links(left.union(right))]
 
     pairs = None
@@ -285,24 +288,24 @@ def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, si
         new = links(shared.select("band", "fp", "root", own.alias("lo"), own.alias("hi")))
         pairs = new if pairs is None else pairs.union(new)
         roots = stored(components(pairs), "minhash-roots")
-        full = shared.where(F.col("n") > block).drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
-        most = full.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("n"))
+        full = shared.where(F.col("n") > block).drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", "w", F.coalesce("root", "fp").alias("root"))
+        most = full.groupBy("band", "root").agg(F.sum("w").alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("n"))
         most = stored(most.select("band", F.col("most.root").alias("main"), (F.col("n") - F.col("most.m")).alias("k")).where("k > 0"), "minhash-full")  # a row a band
         if most.isEmpty():
             break
         some = block * (permutations // rows)  # up to here, comparing all with all takes no more rows than further bands would
         near = most.where(F.col("k") <= some) if level < levels else most
-        outside = full.join(near.withColumnRenamed("band", "b"), (F.col("band") == F.col("b")) & (F.col("root") != F.col("main"))).select("band", "fp", "root", "main", "k")
+        outside = full.join(near.withColumnRenamed("band", "b"), (F.col("band") == F.col("b")) & (F.col("root") != F.col("main"))).select("band", "fp", "w", "root", "main", "k")
         for found_links in outside_with_others(stored(outside, "minhash-outside"), roots):
             pairs = pairs.union(found_links)
         wide = most.where(F.col("k") > some)
         roots = stored(components(pairs), "minhash-roots")
         if level == levels or wide.isEmpty():
             break
-        wide = stored(full.join(wide.select("band"), "band").select("band", "fp"), "minhash-wide").join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
+        wide = stored(full.join(wide.select("band"), "band").select("band", "fp", "w"), "minhash-wide").join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", "w", F.coalesce("root", "fp").alias("root"))
         members = sets.join(wide.select("fp").distinct(), "fp", "left_semi").select("fp", "shingles")
         further = members.mapInArrow(_further_bands(level + 1, permutations, rows), "fp bigint, bands array<bigint>")
-        inner = wide.join(further, "fp").select("fp", "root", F.explode(F.transform("bands", lambda b: F.xxhash64("band", b))).alias("band"))
+        inner = wide.join(further, "fp").select("fp", "root", "w", F.explode(F.transform("bands", lambda b: F.xxhash64("band", b))).alias("band"))
         shared = crowded(inner.distinct())
     roots = written(roots.select(F.col("node").alias("fp"), "root"), "minhash-roots")
     for df in passing:

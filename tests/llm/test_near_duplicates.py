@@ -287,3 +287,30 @@ def test_minhash_recall_on_a_hot_band(docs):
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(rows)).collect()}
     assert all(c // 4 == d // 4 for d, c in got.items())
     assert sum(got[d] == d - 1 for d in got if d % 4 == 1) >= 0.99 * 2500
+
+
+def test_blocks_are_bounded_in_shingles(docs, monkeypatch):
+    """Long texts count as several: those of one band are dealt out, and the classes stay the same."""
+    monkeypatch.setattr(minhash, "TEXT_SHINGLES", 20)
+    groups, links = [], minhash._links
+
+    def counted(similarity):
+        run = links(similarity)
+
+        def group(key, rows):
+            with open(path, "a") as f:
+                f.write(f"{sum(len(x) for x in rows['shingles'])}\n")
+            return run(key, rows)
+
+        return group
+
+    import tempfile
+
+    path = tempfile.mktemp()
+    monkeypatch.setattr(minhash, "_links", counted)
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(i, f"{base} end{i}") for i in range(40)] + [(100, "other words altogether and more of them"), (101, base + " x y z")]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(rows), block=128).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), 100: 100, 101: 0}
+    groups = [int(x) for x in open(path)]
+    assert len(groups) > 4 and max(groups) < 4 * 128 * 20 < 41 * 397
