@@ -140,3 +140,26 @@ def test_contract_columns(spark):
         for prefix, columns in want.items():
             if name.startswith(prefix):
                 assert {k: v for k, v in f(spark, SF).dtypes if k in columns} == columns
+
+
+def test_texts_of_no_learned_language_go(spark):
+    """Texts in a language that no row is labelled with go; clean ones stay, short ones and those without a label too."""
+    import random
+
+    rng = random.Random(3)
+    words = {"en": "the water house garden people reading little before under music other time".split(), "de": "das Wasser Haus Garten Leute lesen klein bevor unter Musik andere Zeit".split(), None: "qzxv jkwq vvxz zzkq xqxj wqzk kjxv qqvz".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, text(lang, rng.choice([3, 30, 300])), lang, "s", 0) for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(200 + i, text("en", 4), None, "s", 0) for i in range(5)] + [(300 + i, text(None, 40), None, "s", 0) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, df, SF).collect()}
+    assert kept == set(range(120)) | set(range(200, 205))
+
+
+def test_rows_without_ids_are_drawn_like_others(spark):
+    from credence.llm import langid
+
+    rows = [(None if i % 2 else 5, f"text {i}", "en") for i in range(2000)]
+    drawn, sizes = langid._drawn(langid._known(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")), 400)
+    ids = [r["doc_id"] for r in drawn.collect()]
+    assert sizes == {"en": 2000} and 300 < len(ids) < 500 and 120 < sum(i is None for i in ids) < 280
