@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .ranges import running, with_cells
 
 
@@ -143,7 +144,7 @@ def percentiles(rows: DataFrame, value: str, ps: tuple[float, ...], by: list[str
     distinct values meet in one window.
     """
     known = with_cells(rows.where(F.col(value).isNotNull()).select(*by, value), value, "_cell")
-    counts = known.groupBy(*by, "_cell", value).agg(F.count("*").alias("_c"))
+    counts = stored(known.groupBy(*by, "_cell", value).agg(F.count("*").alias("_c")), "levels")  # read for totals, sizes and places
     names = {c: f"_by{i}" for i, c in enumerate(by)}
     sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).withColumnsRenamed(names)
     run = running(counts, value, "_cell", "_c", by)

@@ -80,7 +80,11 @@ def hit_at_k_by_threshold(spark, sf):
     return metrics.hit_at_1_by_threshold(views.lines(spark, sf))
 
 
-@query(f"""WITH d AS (SELECT trial, sample, line, is_error, row_number() OVER (PARTITION BY trial, sample ORDER BY md5('hit|' || trial || '|' || sample || '|' || line)) AS rk FROM ({LINES}), range(20) t(trial)),
+_TRIALS = ", ".join(f"({t}, {a}, {b})" for t, (a, b) in enumerate(metrics.trial_factors(20, "hit")))
+
+
+@query(f"""WITH x AS (SELECT sample, line, is_error, CAST('0x' || substr(md5('hit|' || sample || '|' || line), 1, 15) AS BIGINT) % {metrics.ORDER_PRIME} AS x FROM ({LINES})),
+d AS (SELECT trial, sample, line, is_error, row_number() OVER (PARTITION BY trial, sample ORDER BY (x * a + b) % {metrics.ORDER_PRIME}) AS rk FROM x, (VALUES {_TRIALS}) t(trial, a, b)),
 e AS (SELECT trial, sample, min(CASE WHEN is_error THEN rk END) AS fh FROM d GROUP BY trial, sample),
 p AS (SELECT trial, k, count(*) FILTER (WHERE fh <= k) / CAST(count(fh) AS DOUBLE) AS r FROM e, {KS} GROUP BY trial, k)
 SELECT k, round(avg(r), 9) AS mean_rate, round(stddev_pop(r), 9) AS std_rate FROM p GROUP BY k""")
