@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,25 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
+
 #: Bytes of text that a numpy pass works on at once; a longer single text makes a pass of its own.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = spark.conf.get("credence.shared.dir", None)
-        if not found:
-            found = f"file://{tempfile.mkdtemp(prefix='credence-')}"
-            spark.conf.set("credence.shared.dir", found)
-    return found.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share, deleted with all of the application's when that ends."""
+    return folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

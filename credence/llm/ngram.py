@@ -255,13 +255,16 @@ def shards_for(size: int, least: int) -> int:
     return max(least, min(-(-size // SHARD_BYTES), max(MANY_SHARDS, -(-size // WIDE_BYTES))))
 
 
-def train(texts: DataFrame) -> dict:
-    """Counts the bigrams of all texts (column `text`; null: empty) and stores the model; returns its place and totals."""
+def train(texts: DataFrame, folder: str | None = None) -> dict:
+    """Counts the bigrams of all texts (column `text`; null: empty) and stores the model; returns its place and totals.
+
+    folder: where the model is to stay, in a store that driver and executors share; else it goes when the application ends.
+    """
     spark = texts.sparkSession
     small_batches(spark)
     shards = shards_for(input_bytes(texts), int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = min(shards, max(64, 8 * isqrt(shards)))  # a shard makes a row for each: far fewer than shards, where these are many
-    folder = new_folder(spark, "ngram")
+    folder = folder or new_folder(spark, "ngram")
     Store(folder)  # fails here, and not in every task, where the store is none that workers can write to
     counted = texts.select(F.col("text").cast("string")).mapInArrow(_counter(shards), "shard int, v binary, w binary, n binary")
     # a shard for each task: Spark would put several together
