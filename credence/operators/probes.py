@@ -9,7 +9,7 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -25,6 +25,10 @@ PROBES = {
 }
 
 
+#: Of each probe, the class of its fitted model, as which it is loaded.
+MODELS = {name: {"gbt": GBTClassificationModel, "logistic": LogisticRegressionModel}.get(name, MultilayerPerceptronClassificationModel) for name in PROBES}
+
+
 def prepared(rows: DataFrame) -> DataFrame:
     """rows (vec, y boolean, ...) with x, a vector, and w, the weight of its class: negatives over positives for positives."""
     n = rows.agg(F.count_if(~F.col("y")).alias("neg"), F.count_if("y").alias("pos")).first()

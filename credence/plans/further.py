@@ -557,3 +557,12 @@ def rate_sweep_metrics(spark, sf):
     train, validation, test = (rows.where(f"sample % 5 {rule}") for rule in ("> 1", "= 1", "= 0"))
     got = [_judged(r["model"], test, r["trees"]).select(F.lit(r["rate"]).alias("rate"), F.lit(r["trees"]).alias("trees"), "*") for r in probes.sweep("gbt", train, validation, 4, (0.3, 0.1, 0.1, 0.03), weighted=True, rounds=8)]
     return got[0].unionByName(got[1]).unionByName(got[2])
+
+
+@query()
+def stored_probe_metrics(spark, sf):
+    """A probe by name, fitted, stored, loaded with its needed parameters, and judged on rows it has not seen."""
+    rows = probes.prepared(_vectors_of_tokens(spark, sf))
+    at = folder(spark, "probe")
+    probes.saved(probes.fitted("logistic", rows.where("sample % 5 <> 0"), 4, weighted=True), at)
+    return _judged(probes.loaded(probes.MODELS["logistic"], at), rows.where("sample % 5 = 0"))

@@ -372,3 +372,20 @@ def test_allotted_in_spark(spark, counts):
 def test_layers_of_nothing(spark):
     none = spark.createDataFrame([], "c int, layer int, a array<int>, d array<int>")
     assert features.layers_of(none, ["c"], "a", "d").count() == 0
+
+
+def test_judged_as_sql_says(spark, monkeypatch):
+    """AUC, best F1 and Brier skill of stored scores against DuckDB over the same rows."""
+    import duckdb
+    import pandas as pd
+
+    from credence.plans import further
+
+    rng = random.Random(12)
+    rows = [(float(rng.random() < 0.4), round(rng.random() * rng.random(), 2)) for _ in range(900)]
+    monkeypatch.setattr(probes, "scores", lambda model, test, trees=None: test)
+    got = further._judged(None, spark.createDataFrame(rows, "y double, score double")).first()
+    t = pd.DataFrame(rows, columns=["y", "score"])  # noqa: F841
+    auc, bss = duckdb.sql("SELECT avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END), (SELECT 1 - avg((y - score) ** 2) / (avg(y) * (1 - avg(y))) FROM t) FROM t p JOIN t n ON p.y = 1 AND n.y = 0").fetchall()[0]
+    f1 = duckdb.sql("SELECT max(2.0 * tp / (2 * tp + fp + fn)) FROM (SELECT k, count(*) FILTER (score >= k / 10 AND y = 1) AS tp, count(*) FILTER (score >= k / 10 AND y = 0) AS fp, count(*) FILTER (score < k / 10 AND y = 1) AS fn FROM t, range(1, 10) r(k) GROUP BY k)").fetchall()[0][0]
+    assert (got["auc"], got["bss"], got["f1"]) == (pytest.approx(auc, abs=1e-8), pytest.approx(bss, abs=1e-8), pytest.approx(f1, abs=1e-8))
