@@ -38,13 +38,32 @@ TEMPLATES = [
     ("cc-notice", "licensed under a creative commons attribution license", ["creative commons"]),
     ("public-domain", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
     ("all-rights-reserved", "copyright all rights reserved", ["all rights reserved"]),
+    ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included in all copies"]),
+    ("apache-2.0", "apache license version 2 0 january 2004", ["apache license version 2 0"]),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", ["gnu general public license version 2"]),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", ["gnu general public license version 3"]),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", ["gnu lesser general public license version 2 1"]),
+    ("lgpl-3.0", "gnu lesser general public license version 3 29 june 2007", ["gnu lesser general public license version 3"]),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007", ["gnu affero general public license version 3"]),
+    ("gfdl-notice", "gnu free documentation license", ["free documentation license"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ["may be used to endorse or promote products derived from this software"]),
+    ("mpl-1.1", "mozilla public license version 1 1", ["mozilla public license version 1 1"]),
+    ("mpl-2.0", "mozilla public license version 2 0", ["mozilla public license version 2 0"]),
+    ("epl-2.0", "eclipse public license v 2 0", ["eclipse public license v 2 0"]),
+    ("epl-2.0", "eclipse public license version 2 0", ["eclipse public license version 2 0"]),
+    ("eupl-1.2", "european union public licence v 1 2", ["european union public licence"]),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ["will the authors be held liable for any damages arising from the use of this software"]),
+    ("bsl-1.0", "boost software license version 1 0", ["boost software license"]),
+    ("artistic-2.0", "the artistic license 2 0", ["artistic license 2 0"]),
+    ("ofl-1.1", "sil open font license version 1 1", ["sil open font license"]),
+    ("cddl-notice", "common development and distribution license", ["common development and distribution license"]),
+    ("cc0-1.0", "cc0 1 0 universal", ["cc0 1 0 universal"]),
+    ("ms-pl", "microsoft public license ms pl", ["microsoft public license"]),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ["use copy modify and distribute this software and its documentation", "without a written agreement is hereby granted"]),
 ]
 
-#: Fixed values. Words of the notices that are too common to find one by.
-COMMON = "a and any are as be by can code following for form forms free in into is it of or person provided purpose source subject terms that the this to under use v with without you 0 2 3 4".split()
-
-#: Least number of a notice's indexed words (all, if it has fewer) that must stand at the same relative position.
-LEAST_ALIGNED = 2
+#: Words of each key phrase by which its notice is looked up: those that the fewest files hold.
+RAREST = 2
 
 #: Words before and after the matched place within which key phrases count.
 SLACK = 3
@@ -62,34 +81,50 @@ def _literals(values: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in values])
 
 
-def index() -> list[tuple[int, str, int]]:
-    """Postings (template, word, position) of the notices' words that are not common."""
-    return [(k, w, i) for k, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in COMMON]
-
+def phrase_words() -> list[tuple[int, int, str, int]]:
+    """(template, phrase, word, place in the template) of all words of key phrases."""
+    found = []
+    for k, (_, text, phrases) in enumerate(TEMPLATES):
+        words = text.split()
+        for j, phrase in enumerate(p.split() for p in phrases):
+            at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+            found += [(k, j, w, at + i) for i, w in enumerate(phrase)]
+    return found
 
-def _held() -> dict[int, int]:
-    """Indexed words of each template."""
-    held: dict[int, int] = {}
-    for k, _, _ in index():
-        held[k] = held.get(k, 0) + 1
-    return held
 
+def index(files: dict[str, int]) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
+    """(postings, least): postings (template, word, place) of each phrase's RAREST words of highest IDF, given how many files hold each word,
+    the first on ties; least: how many postings of a template align wherever one of its phrases stands, at least.
 
-def _postings(spark, idf: dict[str, float]) -> DataFrame:
-    """The postings, each word's share of its template's IDF, and each template's figures: some 150 rows, whatever the input."""
-    held, whole = _held(), {}
-    for k, w, _ in index():
+    So a place with all of a template's phrases is always found, whatever words are chosen, and words that many files hold are
+    looked up only where a phrase has no rarer ones.
+    """
+    of: dict[tuple[int, int], list[tuple[int, int, str]]] = {}
+    for k, j, w, i in phrase_words():
+        of.setdefault((k, j), []).append((files.get(w, 0), i, w))
+    chosen = {key: sorted(words)[:RAREST] for key, words in of.items()}
+    least: dict[int, int] = {}
+    for (k, _), words in chosen.items():
+        least[k] = min(least.get(k, RAREST), len(words))
+    return sorted({(k, w, i) for (k, _), words in chosen.items() for _, i, w in words}), least
+
+
+def _postings(spark, files: dict[str, int], n: int) -> DataFrame:
+    """The postings, each word's share of its template's IDF, and each template's figures: some 100 rows, whatever the input."""
+    postings, least = index(files)
+    idf = {w: math.log((n + 2.0) / (files.get(w, 0) + 1.0)) for _, w, _ in postings}
+    whole: dict[int, float] = {}
+    for k, w, _ in postings:
         whole[k] = whole.get(k, 0.0) + idf[w]
-    rows = ", ".join(f"({k}, '{w}', {i}, CAST({idf[w] / whole[k]!r} AS DOUBLE), {held[k]}, {len(TEMPLATES[k][1].split())})" for k, w, i in index())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, word, place, share, held, n)")
+    rows = ", ".join(f"({k}, '{w}', {i}, CAST({idf[w] / whole[k]!r} AS DOUBLE), {least[k]}, {len(TEMPLATES[k][1].split())})" for k, w, i in postings)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, word, place, share, least, n)")
 
 
-def _idf(compact: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """Inverse document frequency of each licence word over all files; above 0 for every word."""
-    words = compact.where("hits is not null").select(F.explode(F.array_distinct(F.col("hits.w"))).alias("w")).groupBy("w").count()
-    counts = {r["w"]: r["count"] for r in words.collect()}  # the vocabulary's words at most
-    n = compact.count()
-    return {w: math.log((n + 2.0) / (counts.get(w, 0) + 1.0)) for w in vocabulary}
+def _files(docs: DataFrame) -> dict[str, int]:
+    """How many files hold each word of the key phrases."""
+    known = _literals(sorted({w for _, _, w, _ in phrase_words()}))
+    rows = docs.select(F.explode(F.array_intersect(_words(F.col("text")), known)).alias("w")).groupBy("w").count()
+    return {r["w"]: r["count"] for r in rows.collect()}  # a row for each of these words
 
 
 def _starts(hits: Column, phrase: str) -> Column:
@@ -107,15 +142,16 @@ def _starts(hits: Column, phrase: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base: all places where a phrase of BASE stands. The method looks up all of a file's licence words (of the fixed
-    vocabulary) in the notices' postings, those of high IDF counting most, keeps notices of which at least LEAST_ALIGNED
-    words stand at one relative position, and verifies their key phrases there; its labels are added to the base ones.
-    score: the largest share of a verified notice's IDF that stands in place, to six digits, at least 0.5 if there is a
-    base place, else 0. A null text is empty; repeated rows give a row each; an empty table gives none;
+    Base: all places where a phrase of BASE stands. The method counts in how many files the words of key phrases stand, looks up a
+    file's words of highest IDF (see index) in the notices' postings, keeps notices of which the words of a phrase stand at one
+    relative position, and verifies all their key phrases there; its labels are added to the base ones.
+    score: the largest share of a verified notice's IDF (of its postings) that stands in place, to six digits, at least 0.5 if there
+    is a base place, else 0. A null text is empty; repeated rows give a row each; an empty table gives none;
     columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    vocabulary = sorted({w for _, w, _ in index()} | {w for p in BASE for w in p.split()})
+    files, n = _files(docs), docs.count()
+    vocabulary = sorted({w for _, w, _ in index(files)[0]} | {w for p in BASE for w in p.split()})
     one = docs.select(F.col("doc_id"), F.explode(F.array(_words(F.col("text")))).alias("words"))  # explode: so the words are made once
     seen = one.select("doc_id", "words", F.size(F.array_intersect("words", _literals(vocabulary))).alias("known"))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(vocabulary))
@@ -131,11 +167,11 @@ def scan(docs: DataFrame) -> DataFrame:
     places = marked.select("rid", F.explode("hits").alias("h")).select("rid", F.col("h.w").alias("word"), F.col("h.i").alias("i"))
 
     votes = (
-        places.join(F.broadcast(_postings(spark, _idf(compact, vocabulary))), "word")
-        .select("rid", "template", "held", "n", (F.col("i") - F.col("place")).alias("at"), "share")
-        .groupBy("rid", "template", "held", "n", "at")
+        places.join(F.broadcast(_postings(spark, files, n)), "word")
+        .select("rid", "template", "least", "n", (F.col("i") - F.col("place")).alias("at"), "share")
+        .groupBy("rid", "template", "least", "n", "at")
         .agg(F.count("*").alias("aligned"), F.sum("share").alias("share"))
-        .where(F.col("aligned") >= F.least(F.lit(LEAST_ALIGNED), F.col("held")))
+        .where(F.col("aligned") >= F.col("least"))
         .groupBy("rid")
         .agg(F.collect_list(F.struct("template", "at", "n", "share")).alias("votes"))
     )
@@ -190,9 +226,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def scan_sql() -> str:
     """The scan of `documents` (doc_id, text; one row a doc_id) in DuckDB's SQL."""
     quoted = lambda words: ", ".join(f"'{w}'" for w in words)
-    vocabulary = sorted({w for _, w, _ in index()} | {w for p in BASE for w in p.split()})
-    held = _held()
-    postings = ", ".join(f"({k}, '{w}', {i}, {held[k]}, {len(TEMPLATES[k][1].split())}, '{TEMPLATES[k][0]}')" for k, w, i in index())
+    vocabulary = sorted({w for _, _, w, _ in phrase_words()} | {w for p in BASE for w in p.split()})
+    words = ", ".join(f"({k}, {j}, '{w}', {i}, {len(TEMPLATES[k][1].split())}, '{TEMPLATES[k][0]}')" for k, j, w, i in phrase_words())
     phrases = " OR ".join("(template = {} AND {})".format(k, " AND ".join(f"contains(near, ' {p} ')" for p in t[2])) for k, t in enumerate(TEMPLATES))
     bases = " UNION ALL ".join(
         "SELECT h0.doc_id, h0.i, '{}' AS label FROM hits h0 {} WHERE h0.word = '{}'".format(
@@ -203,11 +238,13 @@ def scan_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SEPARATORS}'), lambda x: x <> '') AS words FROM documents),
 hits AS (SELECT doc_id, word, i - 1 AS i FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d) WHERE word IN ({quoted(vocabulary)})),
-counts AS (SELECT word, count(DISTINCT doc_id) AS n FROM hits GROUP BY word),
-postings(template, word, place, held, n, label) AS (VALUES {postings}),
-idf AS (SELECT DISTINCT postings.word, ln(((SELECT count(*) FROM d) + 2.0) / (coalesce(counts.n, 0) + 1.0)) AS idf FROM postings LEFT JOIN counts USING (word)),
-whole AS (SELECT template, sum(idf) AS whole FROM postings JOIN idf USING (word) GROUP BY template),
-votes AS (SELECT doc_id, template, held, n, label, i - place AS off, count(*) AS aligned, sum(idf / whole) AS share FROM hits JOIN postings USING (word) JOIN idf USING (word) JOIN whole USING (template) GROUP BY ALL HAVING count(*) >= least({LEAST_ALIGNED}, held)),
+counts AS (SELECT word, count(DISTINCT doc_id) AS files FROM hits GROUP BY word),
+phrases(template, phrase, word, place, n, label) AS (VALUES {words}),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY template, phrase ORDER BY coalesce(files, 0), place) AS nth FROM phrases LEFT JOIN counts USING (word) QUALIFY nth <= {RAREST}),
+least AS (SELECT template, min(k) AS least FROM (SELECT template, phrase, count(*) AS k FROM chosen GROUP BY template, phrase) GROUP BY template),
+postings AS (SELECT DISTINCT template, word, place, n, label, ln(((SELECT count(*) FROM d) + 2.0) / (coalesce(files, 0) + 1.0)) AS idf FROM chosen),
+whole AS (SELECT template, sum(idf) AS whole FROM postings GROUP BY template),
+votes AS (SELECT doc_id, template, least, n, label, i - place AS off, count(*) AS aligned, sum(idf / whole) AS share FROM hits JOIN postings USING (word) JOIN whole USING (template) JOIN least USING (template) GROUP BY ALL HAVING count(*) >= least),
 places AS (SELECT votes.*, ' ' || array_to_string(words[greatest(off - {SLACK}, 0) + 1 : greatest(off - {SLACK}, 0) + n + {2 * SLACK}], ' ') || ' ' AS near FROM votes JOIN d USING (doc_id)),
 verified AS (SELECT doc_id, label, least(1.0, share) AS share FROM places WHERE {phrases}),
 base AS ({bases}),

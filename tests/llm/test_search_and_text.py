@@ -301,3 +301,29 @@ def test_centres_are_fitted_on_bounded_bytes(spark, monkeypatch):
     df = spark.range(1500).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.hash("id", i).cast("float")).alias("embedding"))
     centre = ann.centres(ann.usable(df), 10)[768]
     assert centre.shape == ((1 << 20) // (8 * 768) // ann.LEAST_PER_CELL, 768)
+
+
+def test_whole_licence_texts(docs):
+    """Public licence texts, where the system has them, get their labels; and a notice is found whatever words the files make common."""
+    import os
+
+    at = "/usr/share/common-licenses"
+    wanted = {"Apache-2.0": "apache-2.0", "GPL-2": "gpl-2.0", "GPL-3": "gpl-3.0", "LGPL-3": "lgpl-3.0", "LGPL-2.1": "lgpl-2.1", "MPL-2.0": "mpl-2.0", "MPL-1.1": "mpl-1.1", "BSD": "bsd-notice", "GFDL-1.3": "gfdl-notice", "CC0-1.0": "cc0-1.0"}
+    there = [x for x in wanted if os.path.exists(f"{at}/{x}")]
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    rows = [(i, open(f"{at}/{x}", errors="replace").read()) for i, x in enumerate(there)] + [(50, isc), (51, mit), (52, "in no event will the authors be held liable for any damages arising from the use of this software"), (53, "Eclipse Public License - v 2.0")]
+    rows += [(100 + i, "license apache version public general gnu software permission mozilla any damages copies notice the of") for i in range(40)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs(rows)).collect()}
+    for i, x in enumerate(there):
+        assert wanted[x] in got[i], (x, got[i])
+    assert "isc-notice" in got[50] and "mit-notice" in got[51] and "zlib" in got[52] and "epl-2.0" in got[53] and got[120] == [""]
+
+
+def test_chosen_words_are_the_rarest_of_each_phrase():
+    postings, least = licenses.index({"license": 90, "mit": 2, "under": 80, "the": 100})
+    first = [(w, i) for k, w, i in postings if k == 0]
+    assert first == [("license", 4), ("mit", 3)] and least[0] == 2
+    k = next(k for k, t in enumerate(licenses.TEMPLATES) if t[0] == "gpl-3.0")
+    words = {w for t, w, _ in licenses.index({"general": 9, "public": 8, "license": 7, "version": 6, "3": 5})[0] if t == k}
+    assert words == {"version", "3"}
