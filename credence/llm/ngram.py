@@ -29,7 +29,7 @@ SHARD_BYTES, MANY_SHARDS, WIDE_BYTES = 16 << 20, 8192, 128 << 20
 
 #: Shards that a worker has mapped at once, and tokens whose bigrams a task looks up in one pass over the shards.
 OPEN_SHARDS = 400
-HELD_TOKENS = 1 << 22
+HELD_TOKENS = 1 << 21
 
 #: The arrays of a shard of bigrams (upper and lower parts of the hash, count, large counts) and of words (hash, count, kinds of words before, kinds after by count).
 BIGRAMS = (np.uint32, np.uint16, np.uint16, np.int64)
