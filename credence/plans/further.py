@@ -122,7 +122,7 @@ def _records(spark, sf):
     token = F.struct(F.col("l_partkey").alias("token_id"), F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("token_text"), (F.col("l_returnflag") != "R").alias("label"), F.col("l_linenumber").alias("line"), (F.col("l_linestatus") == "O").alias("ws_comment"))
     per = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(token)).alias("t"), F.count("*").alias("n"))
     k = F.col("l_orderkey")
-    clean = F.map_from_entries(F.array_distinct(F.transform("t", lambda x: F.struct(x["line"].cast("string"), F.lit(True).alias("v")))))
+    clean = F.map_from_entries(F.array_distinct(F.transform("t", lambda x: F.struct(x["line"].cast("string"), (x["line"] % 2 == 1).alias("v")))))
     rows = per.select(
         F.concat(F.lit("o"), k.cast("string")).alias("id"),
         F.array(F.lit("first"), F.lit("second")).alias("output"),
@@ -147,7 +147,7 @@ def tokens_from_records(spark, sf):
     return readers.tokens(_records(spark, sf)).groupBy("sample_id", F.col("line").cast("bigint").alias("line")).agg(F.count("*").alias("tokens"), F.count_if(~F.col("tok_is_correct")).alias("wrong"), F.count_if("ws_comment").alias("masked"))
 
 
-@query("SELECT DISTINCT 'o' || l_orderkey AS sample_id, CAST(l_linenumber AS INTEGER) AS line, true AS line_is_clean FROM lineitem")
+@query("SELECT DISTINCT 'o' || l_orderkey AS sample_id, CAST(l_linenumber AS INTEGER) AS line, l_linenumber % 2 = 1 AS line_is_clean FROM lineitem")
 def lines_from_records(spark, sf):
     return readers.lines(_records(spark, sf)).select("sample_id", "line", "line_is_clean")
 
