@@ -253,16 +253,20 @@ def test_random_baseline_is_the_drawn_order(spark):
     rows = [(s, i, i % 3 == s % 3) for s in range(40) for i in range(1 + s % 7)] + [(99, 1, False)]
     lines = spark.createDataFrame(rows, "sample int, line int, is_error boolean")
     rates = {1: [], 2: [], 3: []}
-    for trial in range(15):
+    for a, b in metrics.trial_factors(15, "x"):
         firsts = []
         for s in {r[0] for r in rows}:
-            own = sorted((hashlib.md5(f"x|{trial}|{s}|{i}".encode()).hexdigest(), e) for t, i, e in rows if t == s)
+            number = lambda i: int(hashlib.md5(f"x|{s}|{i}".encode()).hexdigest()[:15], 16) % metrics.ORDER_PRIME  # noqa: B023, E731
+            own = sorted(((number(i) * a + b) % metrics.ORDER_PRIME, e) for t, i, e in rows if t == s)
             if any(e for _, e in own):
                 firsts.append(1 + [e for _, e in own].index(True))
         for k in rates:
             rates[k].append(sum(f <= k for f in firsts) / len(firsts))
     for r in metrics.random_hit_baseline(lines, 15, "x").collect():
         assert r["mean_rate"] == pytest.approx(statistics.mean(rates[r["k"]])) and r["std_rate"] == pytest.approx(statistics.pstdev(rates[r["k"]]), abs=1e-8)
+    many = {r["k"]: r["mean_rate"] for r in metrics.random_hit_baseline(lines, 400, "y").collect()}
+    for r in metrics.expected_random_hit(lines).collect():  # drawn orders are as good as random ones
+        assert many[r["k"]] == pytest.approx(r["expected"], abs=0.02)
 
 
 def test_row_windows(spark):
