@@ -270,7 +270,7 @@ def train(labelled: DataFrame, vocabulary_file: str, sample: int = SAMPLE_DOCUME
 
 #: A text is of no learned language if its best log-probability a byte of letters is below what is learned: so many standard deviations below
 #: the mean of a language's documents, or so many times the mean, whichever is less, and by so much over the root of its bytes besides.
-DEVIATIONS, TIMES, SHORT = 6.0, 1.8, 4.0
+DEVIATIONS, TIMES, SHORT = 6.0, 2.0, 8.0
 
 
 def _drawn(known: DataFrame, sample: int) -> tuple[DataFrame, dict[str, int]]:
