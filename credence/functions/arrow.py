@@ -11,10 +11,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .alignment import matching_blocks, standing
+from .alignment import blocks_in, gaps, inside, numbered
+from .spans import parts
 
 #: Types are objects, not text: workers import this module without a session to parse it.
 _CASE = T.StructType([T.StructField(x, T.StringType()) for x in ("input", "output", "testtype")])
@@ -49,19 +52,47 @@ def logtoku(logits: pd.Series) -> pd.Series:
     return logits.map(reliability, na_action=None)
 
 
-def difference_labels(given: list, fixed: list, offset: int = 0, code: tuple[int, int] | None = None) -> list[bool]:
-    """Per given token whether it stands, from two alignments with the fixed sequence.
+#: Tokens that are aligned at once, rows being whole.
+TOKENS_AT_ONCE = 1 << 17
+
 
-    Whole sequences first: tokens at which something must be inserted are wrong. Then the code alone: tokens outside
-    equal blocks are wrong.
+def difference(x: np.ndarray, y: np.ndarray, first: np.ndarray, other: np.ndarray, code: np.ndarray | None = None) -> np.ndarray:
+    """Labels of given tokens x by alignment with fixed ones y, both numbers, row by row: rows start at `first` and `other` (one more at the end).
+
+    Whole rows first: tokens at which something must be inserted are wrong. Then the code alone (`code`: windows as blocks_in
+    has them): tokens outside equal blocks are wrong.
     """
-    ok, inserts = standing(given, fixed)
-    if len(given):
-        ok[np.minimum(inserts, len(given) - 1)] = False
-    if code:
-        a, b = code
-        ok[a:b] &= standing(given[a:b], fixed[offset:])[0]
-    return ok.tolist()
+    rows = np.stack([first[:-1], first[1:], other[:-1], other[1:]])
+    blocks = blocks_in(x, y, rows)
+    ok = inside(blocks, len(x))
+    row, at = gaps(blocks, rows)[:2]
+    some = first[row + 1] > first[row]
+    ok[np.minimum(at, first[row + 1] - 1)[some]] = False
+    if code is not None:
+        ok &= inside(blocks_in(x, y, code), len(x)) | ~inside(np.stack([code[0], code[2], code[1] - code[0]]), len(x))
+    return ok
+
+
+def difference_labels(given: list, fixed: list, offset: int = 0, code: tuple[int, int] | None = None) -> list[bool]:
+    """difference of one row; `code` is (start, end) in given, and stands against what is fixed from `offset` on."""
+    ends = np.array([0, len(given)]), np.array([0, len(fixed)])
+    window = None if code is None else np.array([[code[0]], [code[1]], [offset], [len(fixed)]])
+    return difference(*numbered(given, fixed), *ends, window).tolist()
+
+
+def fixed_rows(x: np.ndarray, y: np.ndarray, first: np.ndarray, other: np.ndarray, x_mask: np.ndarray, y_mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label of each given token, whether each row has an equal block, rows of (row, place) of insertions): see labels_from_fix."""
+    rows = np.stack([first[:-1], first[1:], other[:-1], other[1:]])
+    blocks = blocks_in(x, y, rows)
+    equal = np.diff(np.searchsorted(blocks[0], first)) > 0
+    before = np.concatenate([[0], np.cumsum(~y_mask)])
+    row, at, start, end = gaps(blocks, rows)
+    some = (before[end] > before[start]) & (first[row + 1] > first[row])
+    a, b = np.flatnonzero(~x_mask), np.flatnonzero(~y_mask)
+    begins, others = np.searchsorted(a, first), np.searchsorted(b, other)
+    labels = np.zeros(len(x), bool)
+    labels[a[inside(blocks_in(x[a], y[b], np.stack([begins[:-1], begins[1:], others[:-1], others[1:]])), len(a))]] = True
+    return labels, equal, np.stack([row, at - first[row]])[:, some]
 
 
 def labels_from_fix(given: list, fixed: list, given_mask: list[bool], fixed_mask: list[bool]) -> tuple[list[bool], bool, list[int]]:
@@ -69,41 +100,88 @@ def labels_from_fix(given: list, fixed: list, given_mask: list[bool], fixed_mask
     that are not masked share. Of the whole sequences it is told whether they share anything, and before which tokens something that
     is not all masked was inserted. A mask of another length than its tokens masks nothing.
     """
-    labels = np.zeros(len(given), bool)
-    if not len(given) or not len(fixed):
-        return labels.tolist(), False, []
     masks = [np.asarray(m, bool) if m is not None and len(m) == len(s) else np.zeros(len(s), bool) for s, m in ((given, given_mask), (fixed, fixed_mask))]
-    blocks = matching_blocks(given, fixed)
-    code_before = np.concatenate([[0], np.cumsum(~masks[1])])
-    ends = zip([(0, 0), *((i + n, j + n) for i, j, n in blocks)], [*((i, j) for i, j, _ in blocks), (len(given), len(fixed))], strict=True)
-    inserts = [i for (a, b), (i, j) in ends if a == i and code_before[j] > code_before[b]]
-    code = [np.flatnonzero(~m) for m in masks]
-    for i, _, n in matching_blocks([given[k] for k in code[0]], [fixed[k] for k in code[1]]):
-        labels[code[0][i : i + n]] = True
-    return labels.tolist(), bool(blocks), inserts
+    ok, equal, inserts = fixed_rows(*numbered(given, fixed), np.array([0, len(given)]), np.array([0, len(fixed)]), *masks)
+    return ok.tolist(), bool(equal[0]), inserts[1].tolist()
+
+
+def _numbered_rows(given: pa.Array, fixed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(given and fixed tokens as numbers, the same for equal ones, where rows start in each, one more at the end); null rows have none."""
+    (first, a), (other, b) = parts(given), parts(fixed)
+    codes = pc.dictionary_encode(pa.chunked_array([a, b]), null_encoding="encode").combine_chunks()
+    codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return codes[: len(a)], codes[len(a) :], first, other
+
+
+def _stretches(first: np.ndarray) -> list[tuple[int, int]]:
+    """Rows from..to that have about TOKENS_AT_ONCE tokens, a longer row by itself."""
+    cuts = [0]
+    while cuts[-1] < len(first) - 1:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + TOKENS_AT_ONCE, "right")) - 1))
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _labels(given: pa.Array, fixed: pa.Array, code=None) -> pa.Array:
+    """difference of all rows; code: offset, start and end of each. NULL without tokens on either side."""
+    x, y, first, other = _numbered_rows(given, fixed)
+    ok = [np.zeros(0, bool)]
+    for i, j in _stretches(first):
+        a, b, n, m = x[first[i] : first[j]], y[other[i] : other[j]], first[i : j + 1] - first[i], other[i : j + 1] - other[i]
+        windows = None
+        if code is not None:
+            offset, start, end = (pc.fill_null(c, 0).to_numpy(zero_copy_only=False)[i:j].astype(np.int64) for c in code)
+            windows = np.stack([n[:-1] + np.clip(start, 0, np.diff(n)), n[:-1] + np.clip(end, 0, np.diff(n)), m[:-1] + np.clip(offset, 0, np.diff(m)), m[1:]])
+            windows[1] = np.maximum(windows[1], windows[0])
+        ok.append(difference(a, b, n, m, windows))
+    mask = pc.or_(pc.is_null(given), pc.is_null(fixed))
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.concatenate(ok)), mask=mask)
+
+
+def _mask(lists: pa.Array, first: np.ndarray) -> np.ndarray:
+    """The rows' masks end to end; a mask of another length than its row masks nothing."""
+    starts, items = parts(lists)
+    fits = np.diff(starts) == np.diff(first)
+    made = np.zeros(first[-1], bool)
+    made[np.repeat(fits, np.diff(first))] = pc.fill_null(items, False).to_numpy(zero_copy_only=False)[np.repeat(fits, np.diff(starts))]
+    return made
 
 
 _FIX = T.StructType([T.StructField("labels", T.ArrayType(T.BooleanType())), T.StructField("has_equal", T.BooleanType()), T.StructField("inserts", T.ArrayType(T.IntegerType()))])
 
 
-@F.pandas_udf(_FIX)
-def fix_labels(given: pd.Series, fixed: pd.Series, given_mask: pd.Series, fixed_mask: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_FIX)
+def fix_labels(given: pa.Array, fixed: pa.Array, given_mask: pa.Array, fixed_mask: pa.Array) -> pa.Array:
     """labels_from_fix of each row; NULL fields without tokens on either side."""
-    made = [(None, None, None) if a is None or b is None else labels_from_fix(list(a), list(b), m, n) for a, b, m, n in zip(given, fixed, given_mask, fixed_mask, strict=True)]
-    return pd.DataFrame({f.name: pd.Series([x[k] for x in made], dtype=object) for k, f in enumerate(_FIX)})
-
-
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def token_labels(given: pd.Series, fixed: pd.Series) -> pd.Series:
+    x, y, first, other = _numbered_rows(given, fixed)
+    masks = _mask(given_mask, first), _mask(fixed_mask, other)
+    labels, equal, inserts = [np.zeros(0, bool)], [np.zeros(0, bool)], [np.zeros((2, 0), np.int64)]
+    for i, j in _stretches(first):
+        a, b = slice(first[i], first[j]), slice(other[i], other[j])
+        ok, some, added = fixed_rows(x[a], y[b], first[i : j + 1] - first[i], other[i : j + 1] - other[i], masks[0][a], masks[1][b])
+        labels.append(ok)
+        equal.append(some)
+        inserts.append(added + np.array([[i], [0]]))
+    added = np.concatenate(inserts, axis=1)
+    ends = np.searchsorted(added[0], np.arange(len(first)))
+    null = pc.or_(pc.is_null(given), pc.is_null(fixed))
+    columns = [
+        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.concatenate(labels)), mask=null),
+        pa.array(np.concatenate(equal), mask=null.to_numpy(zero_copy_only=False)),
+        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(added[1], pa.int32()), mask=null),
+    ]
+    return pa.StructArray.from_arrays(columns, names=[f.name for f in _FIX])
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def token_labels(given: pa.Array, fixed: pa.Array) -> pa.Array:
     """difference_labels of whole sequences."""
-    return pd.Series([None if a is None or b is None else difference_labels(list(a), list(b)) for a, b in zip(given, fixed, strict=True)])
+    return _labels(given, fixed)
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def code_token_labels(given: pd.Series, fixed: pd.Series, offset: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def code_token_labels(given: pa.Array, fixed: pa.Array, offset: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
     """difference_labels by both alignments: of the whole sequences, and of the given code from start to end with what is fixed from `offset` on."""
-    rows = zip(given, fixed, offset, start, end, strict=True)
-    return pd.Series([None if a is None or b is None else difference_labels(list(a), list(b), int(o), (int(s), int(e))) for a, b, o, s, e in rows])
+    return _labels(given, fixed, (offset, start, end))
 
 
 def stored_form(text: str, form: int) -> str:

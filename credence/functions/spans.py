@@ -25,7 +25,7 @@ DOCSTRING_WHOLE = re.compile(r"(?m)^[ \t]*[rRuUfF]{0,2}('''|\"\"\")(?:.|\n)*?\1"
 _BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
-def _parts(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+def parts(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Where each row's items start (one more at the end), null rows having none, and all items."""
     n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     return np.concatenate([[0], np.cumsum(n)]).astype(np.int64), lists.flatten()
@@ -43,7 +43,7 @@ def _structs(of: T.StructType, columns: list) -> pa.Array:
 @F.arrow_udf(T.ArrayType(_SPAN))
 def spans_from(pieces: pa.Array) -> pa.Array:
     """ARRAY<STRUCT(start, end)> of pieces laid end to end; a null piece is empty, a null list gives NULL."""
-    first, items = _parts(pieces)
+    first, items = parts(pieces)
     ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(items), 0).to_numpy(zero_copy_only=False))])
     before = np.repeat(ends[first[:-1]], np.diff(first))
     return _lists(first, _structs(_SPAN, [ends[:-1] - before, ends[1:] - before]), pieces)
@@ -69,7 +69,7 @@ def masked(text: str, starts: np.ndarray, ends: np.ndarray, whole_docstrings: bo
 
 def _rows(texts: pa.Array, offsets: pa.Array) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
     """(row, text, starts, ends) of the rows in which neither is null."""
-    first, items = _parts(offsets)
+    first, items = parts(offsets)
     starts, ends = (pc.struct_field(items, n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "end"))
     there = pc.and_(pc.is_valid(texts), pc.is_valid(offsets)).to_numpy(zero_copy_only=False)
     for i in np.flatnonzero(there).tolist():

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def line_error_map(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """line_is_clean of each line: no token of it is known to be wrong (an unknown token counts as clean; masked ones are never wrong)."""
@@ -36,6 +38,24 @@ def propagated(tokens: DataFrame, keys: list[str], forced: DataFrame | None = No
     return tokens.withColumn("tok_is_correct", F.when(F.col("ws_comment"), F.lit(True)).otherwise(~F.col("_bad"))).drop("_bad", "_forced")
 
 
+def line_totals(tokens: DataFrame, keys: list[str], inserts: DataFrame | None = None) -> DataFrame:
+    """What `propagated` makes of each line, in a row for each line: tokens, masked, is_bad (the others' label is false), correct (tokens whose
+    label is true then), has_code, and is_clean: no token that is not masked is wrong (NULL for a line of masked tokens only).
+
+    Tokens are counted where they are and only lines are shuffled. With inserts (keys, line) their lines are the forced ones: see code_lines_of.
+    """
+    wrong, code = F.coalesce(~F.col("tok_is_correct"), F.lit(False)), ~F.col("ws_comment")
+    spreads = wrong if inserts is None else wrong & code
+    per = tokens.groupBy(*keys, "line").agg(
+        F.count("*").alias("tokens"), F.count_if("ws_comment").alias("masked"), F.max(spreads).alias("is_bad"), F.max(code).alias("has_code"), F.min(F.when(code, F.col("tok_is_correct"))).alias("is_clean")
+    )
+    if inserts is not None:
+        per = stored(per, "line-totals")
+        forced = code_lines_of(inserts.select(*keys, "line").distinct(), per.select(*keys, "line", (~F.col("has_code")).alias("ws_comment")), keys)
+        per = per.join(forced.withColumn("_forced", F.lit(True)), [*keys, "line"], "left").withColumn("is_bad", F.col("is_bad") | F.coalesce("_forced", F.lit(False))).drop("_forced")
+    return per.withColumn("correct", F.when(F.col("is_bad"), F.col("masked")).otherwise(F.col("tokens")))
+
+
 def code_lines_of(inserts: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line): for each insertion (keys, line) the line if it has a token that is not masked, else the next one that has, else
     the last before; candidates of masked tokens only have none. Running values over both kinds of rows in order, from either end."""
@@ -52,12 +72,15 @@ def fixed_candidates(tokens: DataFrame, inserts: DataFrame, keys: list[str], mos
 
     tokens: keys, line, tok_is_correct, ws_comment; inserts: keys and the line before whose token something is missing.
     """
-    forced = code_lines_of(inserts, tokens, keys)
-    spread = propagated(tokens, keys, forced)
-    per = tokens.groupBy(*keys, "line").agg(F.max(~F.col("tok_is_correct") & ~F.col("ws_comment")).alias("_wrong"), F.max(~F.col("ws_comment")).alias("_code"))
-    per = per.join(forced.withColumn("_forced", F.lit(True)), [*keys, "line"], "left").withColumn("_wrong", F.col("_wrong") | F.coalesce("_forced", F.lit(False)))
-    got = per.groupBy(*keys).agg(F.count_if("_wrong").alias("wrong_lines"), F.max(F.col("_code") & ~F.col("_wrong")).alias("_clean"))
-    return spread, got.select(*keys, "wrong_lines", (F.col("wrong_lines") >= most_wrong_lines).alias("is_line_filter"), (~F.col("_clean")).alias("is_no_correct_line"))
+    spread = propagated(tokens, keys, code_lines_of(inserts, tokens, keys))
+    per = candidate_totals(line_totals(tokens, keys, inserts), keys, most_wrong_lines)
+    return spread, per.select(*keys, "wrong_lines", "is_line_filter", "is_no_correct_line")
+
+
+def candidate_totals(lines: DataFrame, keys: list[str], most_wrong_lines: int = 4) -> DataFrame:
+    """From line_totals, per candidate: tokens, correct, masked, wrong_lines, is_line_filter (at least so many) and is_no_correct_line."""
+    got = lines.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tokens", "correct", "masked")], F.count_if("is_bad").alias("wrong_lines"), F.max(F.col("has_code") & ~F.col("is_bad")).alias("_clean"))
+    return got.select(*keys, "tokens", "correct", "masked", "wrong_lines", (F.col("wrong_lines") >= most_wrong_lines).alias("is_line_filter"), (~F.col("_clean")).alias("is_no_correct_line"))
 
 
 def has_clean_line(tokens: DataFrame, keys: list[str]) -> DataFrame:

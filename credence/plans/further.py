@@ -449,7 +449,7 @@ def allocations(spark, sf):
 
 def _aligned(spark, sf):
     """Documents as programs of words, ten a line; the fix leaves out every seventh word, and the code begins after a quarter."""
-    d = views.table(spark, sf, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("given")).repartition("doc_id")
+    d = views.table(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id").select("doc_id", F.split("text", " ").alias("given"))
     rows = d.withColumn("fixed", F.filter("given", lambda w, i: i % 7 != 3))
     n = F.size("given")
     start = F.floor(n / 4).cast("int")
@@ -471,10 +471,9 @@ def labelled_candidates(spark, sf):
     """Alignment labels spread over lines, counted, and candidates without a clean line or a fix dropped."""
     rows = _aligned(spark, sf).select("doc_id", F.size("fixed").alias("n_fixed"), F.posexplode(arrow.code_token_labels("given", "fixed", "offset", "code_start", "code_end")).alias("ordinal", "tok_is_correct"))
     tokens = rows.select("doc_id", "n_fixed", "ordinal", F.floor(F.col("ordinal") / 10).alias("line"), "tok_is_correct", F.lit(False).alias("ws_comment"))
-    spread = labels.propagated(tokens, ["doc_id"])
-    per = spread.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if("tok_is_correct").alias("correct"), F.max("n_fixed").alias("n_fixed"))
-    clean = labels.has_clean_line(tokens, ["doc_id"])
-    flagged = per.join(clean, "doc_id").withColumn("is_no_fix", F.col("n_fixed") == 0).withColumn("is_no_correct_line", ~F.col("any_clean_line"))
+    lines = labels.line_totals(tokens, ["doc_id", "n_fixed"])
+    per = lines.groupBy("doc_id", "n_fixed").agg(F.sum("tokens").alias("tokens"), F.sum("correct").alias("correct"), F.max("is_clean").alias("any_clean_line"))
+    flagged = per.withColumn("is_no_fix", F.col("n_fixed") == 0).withColumn("is_no_correct_line", ~F.col("any_clean_line"))
     for r in ("no_program", "line_filter", "correct"):
         flagged = flagged.withColumn(f"is_{r}", F.lit(False))
     return outcomes.filtered(flagged).select("doc_id", "tokens", "correct")

@@ -13,6 +13,7 @@ from decimal import Decimal
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from credence.functions import alignment, arrow, scalars, spans
 from credence.operators import features, labels, metrics, probes, reports, selection, splits
+from credence.plans import further
 from credence.sources import readers, writers
 
 SHORT = st.lists(st.integers(0, 3), max_size=24)
@@ -389,3 +391,38 @@ def test_judged_as_sql_says(spark, monkeypatch):
     auc, bss = duckdb.sql("SELECT avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END), (SELECT 1 - avg((y - score) ** 2) / (avg(y) * (1 - avg(y))) FROM t) FROM t p JOIN t n ON p.y = 1 AND n.y = 0").fetchall()[0]
     f1 = duckdb.sql("SELECT max(2.0 * tp / (2 * tp + fp + fn)) FROM (SELECT k, count(*) FILTER (score >= k / 10 AND y = 1) AS tp, count(*) FILTER (score >= k / 10 AND y = 0) AS fp, count(*) FILTER (score < k / 10 AND y = 1) AS fn FROM t, range(1, 10) r(k) GROUP BY k)").fetchall()[0][0]
     assert (got["auc"], got["bss"], got["f1"]) == (pytest.approx(auc, abs=1e-8), pytest.approx(bss, abs=1e-8), pytest.approx(f1, abs=1e-8))
+
+
+def test_blocks_of_many_rows_at_once():
+    """Rows that are aligned together have the blocks, labels and insertions that each has by itself, empty and null ones among them."""
+    draw = random.Random(21)
+    rows = []
+    for size in [0, 1, 5, 40, 0, 300] * 20:
+        a = [str(draw.randrange(draw.choice([2, 9, 500]))) for _ in range(size)]
+        rows.append((a, [x for x in a if draw.random() > 0.15] + ["end"] * draw.randrange(2)))
+    ends = [np.cumsum([0, *[len(r[k]) for r in rows]]) for k in (0, 1)]
+    x, y = alignment.numbered([w for a, _ in rows for w in a], [w for _, b in rows for w in b])
+    got = alignment.blocks_in(x, y, np.stack([ends[0][:-1], ends[0][1:], ends[1][:-1], ends[1][1:]]))
+    assert [tuple(c) for c in got.T.tolist()] == [(i + ends[0][r], j + ends[1][r], n) for r, (a, b) in enumerate(rows) for i, j, n in alignment.matching_blocks(a, b)]
+    left, right = (pa.array([*[r[k] for r in rows], *([None, ["a"]][:: 1 - 2 * k])], pa.list_(pa.string())) for k in (0, 1))
+    cuts = [(len(b) // 3, len(a) // 2, len(a)) for a, b in rows] + [(0, 0, 0)] * 2
+    made = arrow._labels(left, right, [pa.array(c) for c in zip(*cuts, strict=True)]).to_pylist()
+    assert made == [*[arrow.difference_labels(a, b, o, (s, e)) for (a, b), (o, s, e) in zip(rows, cuts, strict=False)], None, None]
+
+
+def test_labelled_candidates_aligns_once(spark, tmp_path):
+    """Labels are made once, and counted by line before they are shuffled: no row for each token is sorted."""
+    texts = [" ".join(f"w{(i * k) % 13}" for i in range(k)) for k in (1, 9, 45, 160)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = further.labelled_candidates(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Window" not in plan and "Join" not in plan
+    want = []
+    for d, t in enumerate(texts):
+        a = t.split(" ")
+        start = len(a) // 4
+        ok = arrow.difference_labels(a, [w for i, w in enumerate(a) if i % 7 != 3], sum(i % 7 != 3 for i in range(start)), (start, len(a)))
+        lines = [ok[i : i + 10] for i in range(0, len(a), 10)]
+        if any(all(x) for x in lines):
+            want.append((d, len(a), sum(len(x) for x in lines if all(x))))
+    assert sorted(map(tuple, found.collect())) == want
