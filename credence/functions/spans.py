@@ -178,3 +178,16 @@ def leaves(texts: pa.Array, offsets: pa.Array) -> pa.Array:
     columns = [np.concatenate([np.zeros(0, np.int64), *[np.asarray(x[k], np.int64) for x in some]]) if k != 2 else [y for x in some for y in x[2]] for k in range(8)]
     mask = pa.array([x is None for x in made])
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), _structs(_LEAF, columns), mask=mask)
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def untouched(first: pa.Array, last: pa.Array, n: pa.Array) -> pa.Array:
+    """ARRAY<BOOLEAN> of n tokens: whether none of the spans first..last of tokens (both inclusive) holds it; NULL without spans or n."""
+    null = pc.or_(pc.is_null(n), pc.or_(pc.is_null(first), pc.is_null(last)))
+    ends = np.concatenate([[0], np.cumsum(np.where(null.to_numpy(zero_copy_only=False), 0, pc.fill_null(n, 0).to_numpy(zero_copy_only=False)))]).astype(np.int64)
+    (rows, a), (_, b) = parts(first), parts(last)
+    shift = np.repeat(ends[:-1], np.diff(rows))
+    steps = np.zeros(ends[-1] + 1, np.int64)
+    np.add.at(steps, a.to_numpy(zero_copy_only=False) + shift, 1)
+    np.add.at(steps, b.to_numpy(zero_copy_only=False) + shift + 1, -1)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.cumsum(steps[:-1]) == 0), mask=null)

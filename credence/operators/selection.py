@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.spans import untouched
+
 #: Share of the tokens that a selection takes where none or an invalid one is given.
 DEFAULT_QUANTILE = 0.05
 
@@ -97,6 +99,39 @@ def without_kinds(tokens: DataFrame, leaves: DataFrame, keys: list[str], kinds:
     return tokens.join(or_first_last(rest, tokens, keys), [*keys, "pos"], "left_semi")
 
 
+# The same over a candidate's row: tokens an array of (pos, ...) in order, leaves an array as spans.leaves gives it. Nothing is shuffled.
+
+
+def _ends(tokens: Column) -> Column:
+    """The first and the last token, once if they are the same."""
+    return F.array_distinct(F.array(F.get(tokens, F.lit(0)), F.element_at(tokens, -1)))
+
+
+def first_leaves_in(tokens: Column, leaves: Column) -> Column:
+    """first_leaves of each row: an array of positions."""
+    code = F.filter(leaves, lambda x: (x["kind"] != "comment") & (x["at"] >= 0))
+    rows = F.transform(code, lambda x: x["row"])
+    before = F.concat(F.array(F.lit(-1)), rows)  # leaves stand in order
+    first = F.zip_with(code, before, lambda x, row: F.when(x["row"] != row, x["at"]))
+    at = lambda a: F.transform(a, lambda t: t["pos"].cast("bigint"))
+    chosen = F.array_distinct(F.concat(F.array_compact(first).cast("array<bigint>"), at(F.slice(tokens, -1, 1))))
+    return F.when(F.size(leaves) > 0, chosen).otherwise(at(_ends(tokens)))
+
+
+def without_kinds_in(tokens: Column, leaves: Column, kinds: tuple[str, ...] = ("comment", "identifier")) -> Column:
+    """without_kinds of each row whose positions are 0, 1, ...: an array of tokens."""
+    marked = F.filter(leaves, lambda x: x["kind"].isin(*kinds) & (x["first"] >= 0))
+    free = untouched(F.transform(marked, lambda x: x["first"]), F.transform(marked, lambda x: x["last"]), F.size(tokens))
+    kept = F.array_compact(F.zip_with(tokens, free, lambda t, ok: F.when(ok, t)))
+    return F.when(F.size(kept) > 0, kept).otherwise(_ends(tokens))
+
+
+def top_scored_in(tokens: Column, score: str, k: int) -> Column:
+    """The k tokens of highest `score` of each row, ties by pos: an array of positions. Tokens without score never count."""
+    scored = F.filter(tokens, lambda t: t[score].isNotNull())
+    return F.transform(F.slice(F.array_sort(F.transform(scored, lambda t: F.struct((-t[score]).alias("s"), t["pos"].cast("bigint").alias("pos")))), 1, k), lambda t: t["pos"])
+
+
 def excluded(tokens: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens at no marked position (the complement of a selection)."""
     return tokens.join(marked.select(*keys, "pos"), [*keys, "pos"], "left_anti")

@@ -452,3 +452,25 @@ def test_labels_from_fixes_shuffles_lines_only(spark, tmp_path):
         bad = {min((c for c in code if c >= x), default=code[-1]) for x in asked if code} | {x for x, k, y in zip(line, m, ok, strict=True) if not k and not y}
         want = (len(p), sum(bool(k) or x not in bad for x, k in zip(line, m, strict=True)), int(m.sum()), len(bad), len(bad) >= 4, not set(code) - bad)
         assert tuple(got[d])[1:] == want
+
+
+def test_selections_in_rows_are_those_of_tables(spark, tmp_path):
+    """Selections over arrays of tokens and leaves equal those over tables of both; the query shuffles whole texts only."""
+    texts = ["", "x", "#", "a b", "1 + 2 # c\n", "if x : y = f( 'one two' ) # d. e\n  z", " ", "\n\n 3 * 4", "w " * 40 + '"""doc', "f'{a} b' + 1 2 3 4 5 6 7"]
+    p = F.transform(F.split("text", " "), lambda w: F.concat(w, F.lit(" ")))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("doc_id", p.alias("p"))
+    rows = rows.select("doc_id", "p", F.array_join("p", "").alias("s"), spans.spans_from("p").alias("o")).select("doc_id", "p", spans.leaves("s", "o").alias("leaves"))
+    entropy = lambda w: F.pmod(F.xxhash64(w), F.lit(5)) / 5.0
+    tokens = rows.select("doc_id", F.posexplode("p").alias("pos", "w")).select("doc_id", "pos", entropy(F.col("w")).alias("score"))
+    found = rows.select("doc_id", F.explode("leaves").alias("x")).select("doc_id", "x.*")
+    kept = selection.without_kinds(tokens, found, ["doc_id"])
+    want = [{(r["doc_id"], r["pos"]) for r in t.collect()} for t in (selection.first_leaves(tokens, found, ["doc_id"]), kept, selection.top_scored(kept, ["doc_id"], k=4))]
+    inside = rows.select("doc_id", F.transform("p", lambda w, i: F.struct(i.alias("pos"), entropy(w).alias("score"))).alias("tokens"), "leaves")
+    left = selection.without_kinds_in(F.col("tokens"), F.col("leaves"))
+    made = inside.select("doc_id", selection.first_leaves_in(F.col("tokens"), F.col("leaves")).alias("a"), F.transform(left, lambda t: t["pos"]).alias("b"), selection.top_scored_in(left, "score", 4).alias("c")).collect()
+    for k, own in enumerate(want):
+        got = [(r["doc_id"], pos) for r in made for pos in r[k + 1]]
+        assert len(got) == len(own) and set(got) == own
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = programs.leaf_selections(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
