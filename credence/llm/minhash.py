@@ -213,9 +213,11 @@ def _further_bands(level: int, permutations: int, rows: int):
     return run
 
 
-def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, size: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, block: int = BLOCK, levels: int = LEVELS, classes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(every row's kept columns and fp; fp and root of the fps that are linked): rows of one root, or else of one fp, are one group.
 
+    classes: the row_keys of docs and `class`, a long: rows of one class are candidates too, as those of a band are.
+
     fp stands for a set of shingles, w for how many texts of TEXT_SHINGLES it counts. Sets that share a band of the signature are compared, in blocks of about `block`;
     only sets that share a band are ever stored. Bands of several blocks that are one component then need no more. Where
     no more than a block for each band of a signature is outside a band's largest component, that is compared with all of this component. In the others
@@ -253,7 +255,11 @@ def grouped(docs: DataFrame, keep: list[str], similarity: float = SIMILARITY, si
         return stored(bands.join(once, "band"), "minhash-shared")
 
     one = found.groupBy("fp").agg(F.first("w").alias("w"), F.first("bands").alias("bands"))
-    shared = crowded(one.select("fp", F.col("fp").alias("root"), "w", F.explode("bands").alias("band")).distinct())
+    banded = one.select("fp", "w", F.explode("bands").alias("band"))
+    if classes is not None:
+        classed = found.select("fp", "w", *keys).join(classes, keys).select("fp", "w", F.xxhash64(F.lit("class"), "class").alias("band"))
+        banded = banded.union(classed.distinct())
+    shared = crowded(banded.select("fp", F.col("fp").alias("root"), "w", "band").distinct())
     wanted = stored(found.groupBy("fp").agg(F.min(F.struct(*keys)).alias("k")).join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "k.*"), "minhash-wanted")
     text = spare_name(keyed, "set_text")
     texts = keyed.select(*keys, F.col("text").alias(text)).join(wanted.hint("merge"), keys)
@@ -329,8 +335,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     return found.select("doc_id", "fp").join(written(ids, "minhash-ids"), "fp").select("doc_id", "class_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """docs with one row of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more), all its columns
-    kept: the row of the smallest doc_id (nulls last), then of the smallest text. No group is lost, whatever its doc_ids."""
+    kept: the row of the smallest doc_id (nulls last), then of the smallest text. No group is lost, whatever its doc_ids.
+    classes: see grouped."""
     _, keys = row_keys(docs)
-    return one_of_each(docs, *grouped(docs, ["doc_id", *keys]))
+    return one_of_each(docs, *grouped(docs, ["doc_id", *keys], classes=classes))

@@ -193,6 +193,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, segments: int = SEGMEN
     return prints.join(written(ids, "simhash-ids"), "fp").select("doc_id", "fp", "component_id")
 
 
+def classes_of_rows(docs: DataFrame) -> DataFrame:
+    """The row_keys of docs and `class`: the least fingerprint that a row's is linked to, directly or through others, itself included."""
+    keyed, keys = row_keys(docs)
+    prints = written(fingerprints(keyed, keep={k: k for k in keys}), "simhash-fingerprints")
+    roots = components(links(prints.select("fp").distinct()))
+    named = prints.join(roots, prints["fp"] == roots["node"], "left")
+    return named.select(*keys, F.coalesce("root", "fp").alias("class")).distinct()
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates, all its columns kept: see one_of_each."""
     keyed, keys = row_keys(docs)

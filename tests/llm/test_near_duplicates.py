@@ -314,3 +314,31 @@ def test_blocks_are_bounded_in_shingles(docs, monkeypatch):
     assert got == {**dict.fromkeys(range(40), 0), 100: 100, 101: 0}
     groups = [int(x) for x in open(path)]
     assert len(groups) > 4 and max(groups) < 4 * 128 * 20 < 41 * 397
+
+
+def test_simhash_classes_are_candidates(spark, docs, monkeypatch):
+    """The pipeline's stage takes its candidates from SimHash's grid too: pairs that it links are found where they share no MinHash band, and verified."""
+    import corpus_pipeline
+
+    draw = random.Random(17)
+    texts = []
+    for _ in range(25):
+        w = [f"w{draw.randrange(9000)}" for _ in range(500)]
+        texts += [" ".join(w), " ".join([*w[:250], "changed", *w[251:]])]
+    near = {i for i in range(0, 50, 2) if bin(fingerprint(texts[i]) ^ fingerprint(texts[i + 1])).count("1") <= 2}
+    texts += ["a a a a a a a b", "a a a a a a a a a a a a a b c d"]
+    table = docs(list(enumerate(texts)))
+
+    def linked(classes):
+        found, roots = minhash.grouped(table, ["doc_id"], rows=64, classes=classes)  # a single band
+        root = {r["doc_id"]: r["root"] for r in found.join(roots, "fp").collect()}
+        return {i for i in range(0, 52, 2) if i in root and root[i] == root.get(i + 1)}
+
+    made = simhash.classes_of_rows(table)
+    keyed, keys = simhash.row_keys(table)
+    rows = {r["doc_id"]: r["class"] for r in keyed.join(made, keys).collect()}
+    assert {i for i in range(0, 50, 2) if rows[i] == rows[i + 1]} == near and len(rows) == len(texts)
+    assert near and not near <= linked(None) and near <= linked(made) and 50 not in linked(made)
+    called = []
+    monkeypatch.setattr(simhash, "classes_of_rows", lambda d, real=simhash.classes_of_rows: (called.append(d), real(d))[1])
+    assert corpus_pipeline.distinct(spark, table, "").count() == 27 and called
