@@ -363,6 +363,28 @@ def test_large_bootstrap(spark):
     assert whole["low"] < whole["mean"] < whole["high"]
 
 
+def test_large_bootstrap_of_many_cells(spark):
+    """Thousands of cells, a third of them empty: the sums of plain draws over all sizes, for a group without a name too, in time that
+    grows with the values (sizes were looked up by every cell for every other, by a search each)."""
+    sizes = {"a": 7000, None: 300, "b": 1}
+    df = spark.createDataFrame([(m, i, float(i * i % 1009)) for m, n in sizes.items() for i in range(n)], "model string, id int, value double")
+    began = time.monotonic()
+    got = {r["model"]: r for r in reports.large_bootstrap(df, 40, 42, ["model"], cell_values=1).collect()}
+    took = time.monotonic() - began
+    cells = {}
+    for r in df.select("model", "id", "value", F.pmod(F.xxhash64("id", F.lit(42)), F.when(F.col("model") == "a", 7000).when(F.col("model") == "b", 1).otherwise(300)).alias("cell")).orderBy("id").collect():
+        cells.setdefault(r["model"], {}).setdefault(r["cell"], []).append(r["value"])
+    for m, n in sizes.items():
+        counts, total = np.array([len(cells[m].get(c, ())) for c in range(n)]), np.zeros(40)
+        assert n == 1 or (counts == 0).sum() > n / 4
+        for c, own in cells[m].items():
+            rng = np.random.default_rng([42, 0, c])
+            total += [np.array(own)[rng.integers(0, len(own), k)].sum() for k in reports.draws_of_cell(counts, c, 40, 42)]
+        means = sorted(total / n)
+        assert (got[m]["n"], got[m]["low"], got[m]["high"]) == (n, pytest.approx(means[0], abs=2e-6), pytest.approx(means[38], abs=2e-6)), m
+    assert took < 60, took
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 400), min_size=1, max_size=20))
 def test_allotted_in_spark(spark, counts):
